@@ -7,9 +7,9 @@ symbol of some chunk. Each chunk is indexed once for each single symbol left out
 signatures within distance ``2 * CHUNKS - 1`` (23 of 72) meets in a bucket. At J = 0.8 the distance is 14.3
 on average; that a link of exactly J = 0.8 meets in no bucket has a chance of about 3 in a million.
 
-Buckets never emit all their pairs: members are first compared with the bucket's smallest member, links are
-confirmed on full sets, and only members that are still in different components are compared with each
-other, after a test on signature distance. Nothing is capped.
+Buckets never emit all their pairs. Signatures within distance FAR of each other in a bucket span families, by
+at most one edge a member; the full sets of a family then meet in blocks of BLOCK, every pair of sets is tested
+in the block's task, and again only spanning links come out. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from .common import checkpointed
 
 CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
-#: Pairs at a larger signature distance are not confirmed; J = 0.8 lies 5 standard deviations below it.
-FAR = 32
+#: Signatures at a larger distance are not of one family; J = 0.8 lies 4.6 standard deviations below it.
+FAR = 30
+#: Sets of a block; a family of more meets block by block.
+BLOCK = 256
 
 
 class WordIds(dict):
@@ -136,16 +138,112 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have the similarity. The set of a node that many pairs name is dealt to
-    several tasks, 256 pairs to each."""
-    busy = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts")).where("parts > 1")
-    busy = checkpointed(busy)
-    left = sets.withColumnRenamed("node", "a").join(busy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    dealt = pairs.join(busy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
-    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").join(left.select("a", "part", F.col("items").alias("x")), ["a", "part"])
-    shared = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
-    return shared.where(F.col("both") * 100 >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
+def _in_blocks(rows: DataFrame, group: str, member: str, size: int) -> DataFrame:
+    """``rows`` once for each pair of blocks (i, j), i <= j, of their group that their own block is part of."""
+    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(checkpointed(counts), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of 0..n-1 that span the components of ``pairs``."""
+    up, out = list(range(n)), []
+    for x, y in pairs.tolist():
+        a, b = x, y
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        while up[b] != b:
+            up[b] = up[up[b]]
+            b = up[b]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _families(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that span, in every bucket, the pairs of signatures within FAR: from the bucket's smallest
+    member natively; members that are far from it are compared with all others of the bucket."""
+    longs = checkpointed(members.select(F.col("b").alias("node")).distinct().join(classes, "node").select("node", _as_longs().alias("longs")))
+    star = members.where("a != b").select("a", "b").distinct()
+    star = star.join(longs.select(F.col("node").alias("a"), F.col("longs").alias("x")), "a").join(longs.select(F.col("node").alias("b"), F.col("longs").alias("y")), "b")
+    star = checkpointed(star.select("a", "b", (_distance("x", "y") <= FAR).alias("near")))
+    far = checkpointed(members.where("n > 2").join(star.where("not near").select("a", "b"), ["a", "b"], "left_semi").select("key", "b").distinct())
+    mixed = members.select("key", "b").join(far.select("key").distinct(), "key", "left_semi").join(far.withColumn("far", F.lit(True)), ["key", "b"], "left")
+    mixed = mixed.join(longs.withColumnRenamed("node", "b"), "b").select("key", "b", F.coalesce("far", F.lit(False)).alias("far"), "longs")
+    blocks = _in_blocks(mixed, "key", "b", 1024).select("key", "i", "j", "b", "far", "longs")
+    dealt = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def near(table: pa.Table) -> list[tuple[int, int]]:
+        node, far = table.column("b").to_numpy(), table.column("far").to_numpy()
+        sig = table.column("longs").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(node), -1)
+        out = []
+        for k in np.nonzero(far)[0]:
+            close = np.nonzero((sig != sig[k]).sum(axis=1) <= FAR)[0]
+            close = close[close != k]
+            out.append(np.stack([np.full(len(close), k), close], axis=1))
+        return [(int(node[x]), int(node[y])) for x, y in _spanning(len(node), np.concatenate(out))] if out else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in _then_none(batches):
+            found: list[tuple[int, int]] = []
+            if batch is not None and batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+            if held and (batch is None or sum(t.num_rows for t in held) > 20_000):
+                table = pa.concat_tables(held).combine_chunks()
+                k, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+                cut = np.nonzero((np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
+                edges = [0, *cut.tolist()]
+                if batch is None:
+                    edges.append(table.num_rows)
+                for x, y in zip(edges, edges[1:], strict=False):
+                    found += near(table.slice(x, y - x))
+                held = [table.slice(edges[-1])] if edges[-1] < table.num_rows else []
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return star.where("near").select("a", "b").union(dealt.mapInArrow(run, "a long, b long")).distinct()
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _links(percent: int):
+    """Spanning links of a block pair: all its pairs of sets, by products of 0/1 rows over the items of the block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        own = table.column("own").to_numpy()[first]
+        items = table.column("items").combine_chunks()
+        sets = [items[int(k)].values.to_numpy() for k in first]
+        sizes = np.array([len(x) for x in sets])
+        shared = np.zeros((len(sets), len(sets)))
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        _, column = np.unique(flat, return_inverse=True)
+        # items of one set only add nothing to an intersection
+        seen = np.bincount(column)
+        keep = seen[column] > 1
+        row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
+        for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+            here = (column >= at) & (column < at + 4096)
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[row[here], column[here] - at] = 1
+            shared += m @ m.T
+        linked = shared * 100 >= percent * (sizes[:, None] + sizes[None, :] - shared)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        linked = np.triu(linked & ((own[:, None] != own[None, :]) | (i == j)), 1)
+        pairs = [(int(node[x]), int(node[y])) for x, y in _spanning(len(sets), np.argwhere(linked))]
+        return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -160,27 +258,14 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int =
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     keys = classes.select("node", _keys().alias("key"))
-    buckets = checkpointed(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
-    members = checkpointed(keys.join(buckets, "key").select("key", "a", F.col("node").alias("b")))
-    star = checkpointed(members.where("a != b").select("a", "b").distinct())
-
-    wanted = checkpointed(members.select(F.col("b").alias("node")).distinct().join(classes, "node"))
-    sets = checkpointed(_sets(documents, wanted, shingle))
-    links = checkpointed(_confirmed(star, sets, percent))
+    buckets = checkpointed(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    members = checkpointed(keys.join(buckets, "key").select("key", "a", "n", F.col("node").alias("b")))
+    families = connected_components(_families(members, classes))
+    placed = families.join(classes.select("node", "doc_id", "digest"), "node").select("node", F.col("label").alias("family"), "doc_id", "digest")
+    placed = checkpointed(_in_blocks(placed, "family", "node", BLOCK))
+    links = _sets(documents, placed, shingle).groupBy("family", "i", "j").applyInArrow(_links(percent), "a long, b long")
     labels = connected_components(links)
 
-    # members of a bucket that are still apart
-    placed = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("label", "b").alias("label"))
-    placed = checkpointed(placed)
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    apart = checkpointed(placed.join(mixed, "key", "left_semi").join(wanted.select(F.col("node").alias("b"), _as_longs().alias("longs")), "b"))
-    other = apart.select("key", F.col("b").alias("c"), F.col("label").alias("other"), F.col("longs").alias("longs2"))
-    left = apart.join(other, "key").where((F.col("label") != F.col("other")) & (F.col("b") < F.col("c")) & (_distance("longs", "longs2") <= FAR))
-    rest = checkpointed(left.select(F.col("b").alias("a"), F.col("c").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = checkpointed(_confirmed(rest, sets, percent))
-    if more.limit(1).count():
-        labels = connected_components(links.union(more))
-
     named = classes.join(labels, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
     named = checkpointed(named)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -189,22 +274,25 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int =
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, items) of the wanted classes, worked out again from the texts that stand for them."""
+def _sets(documents: DataFrame, placed: DataFrame, shingle: int) -> DataFrame:
+    """``placed`` with the items of each set, worked out again from the text that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         ids = WordIds()
         for batch in batches:
-            found = [shingle_set(text, shingle, ids) for text in batch.column(0).to_pylist()]
-            for at in range(0, len(found), 512):
-                part = found[at : at + 512]
-                ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in part], pa.binary()), items], ["digest", "items"])
-
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.where(F.length("text") > 0).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    again = texts.select("text").mapInArrow(run, "digest binary, items array<long>")
-    return again.join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "items")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(text, shingle, ids) for text in part.column("text").to_pylist()]
+                # an id may name several texts
+                right = [xxhash.xxh3_128_digest(x.tobytes()) == y for x, y in zip(sets, part.column("digest").to_pylist(), strict=True)]
+                sets = [x if y else x[:0] for x, y in zip(sets, right, strict=True)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                names = ["family", "i", "j", "node", "own"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), items], [*names, "items"]).filter(pa.array(right, pa.bool_()))
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    joined = texts.join(placed, "doc_id").select("family", "i", "j", "node", "own", "digest", "text")
+    return joined.mapInArrow(run, "family long, i int, j int, node long, own int, items array<long>")
