@@ -171,7 +171,11 @@ def _families(members: DataFrame, classes: DataFrame) -> DataFrame:
     star = members.where("a != b").select("a", "b").distinct()
     star = star.join(longs.select(F.col("node").alias("a"), F.col("longs").alias("x")), "a").join(longs.select(F.col("node").alias("b"), F.col("longs").alias("y")), "b")
     star = checkpointed(star.select("a", "b", (_distance("x", "y") <= FAR).alias("near")))
-    far = checkpointed(members.where("n > 2").join(star.where("not near").select("a", "b"), ["a", "b"], "left_semi").select("key", "b").distinct())
+    # buckets of the same members are searched once
+    same = members.where("n > 2").groupBy("key", "a", "n").agg(F.bit_xor(F.xxhash64("b")).alias("x"), F.bit_xor(F.xxhash64("b", "b")).alias("y"))
+    once = same.groupBy("a", "n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = checkpointed(members.join(once, "key", "left_semi"))
+    far = checkpointed(members.join(star.where("not near").select("a", "b"), ["a", "b"], "left_semi").select("key", "b").distinct())
     mixed = members.select("key", "b").join(far.select("key").distinct(), "key", "left_semi").join(far.withColumn("far", F.lit(True)), ["key", "b"], "left")
     mixed = mixed.join(longs.withColumnRenamed("node", "b"), "b").select("key", "b", F.coalesce("far", F.lit(False)).alias("far"), "longs")
     blocks = _in_blocks(mixed, "key", "b", 1024).select("key", "i", "j", "b", "far", "longs")
