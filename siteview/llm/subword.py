@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,24 +88,9 @@ class Pieces:
                 out += [got[1]] if got else [self.byte[b] for b in s.lstrip("\0").encode("utf-8", "surrogatepass")] if s[0] == "\0" and len(s) > 1 else [self.byte[b] for b in s.encode("utf-8", "surrogatepass")]
         return out
 
-    def encode(self, text: str | None, variant: int, memo: dict) -> bytes:
+    def encode(self, text: str | None, memo: Memo) -> bytes:
         """Ids of a whole text as int32; units that recur under a variant are segmented once."""
-        import xxhash
-
-        if not text:
-            return b""
-        out = []
-        for unit in UNIT.findall(" " + text):
-            got = memo.get((variant, unit))
-            if got is None:
-                key = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), seed=self.seed * 1_000_003 + variant)
-                got = np.array(self.unit(unit, key), np.int32).tobytes()
-                if len(unit) < 64:
-                    if len(memo) > 1_500_000:
-                        memo.clear()
-                    memo[variant, unit] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(memo.__getitem__, UNIT.findall(" " + text))) if text else b""
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of a text's ids, without the leading space that encoding adds."""
@@ -116,6 +102,41 @@ class Pieces:
         return self.flat[at][1:].tobytes()
 
 
+class Memo(dict):
+    """Ids of the units met under one variant, as bytes. Of two generations the older is dropped when the younger
+    is full, so memory is bounded and frequent units stay."""
+
+    def __init__(self, coder: Pieces, variant: int, most: int = 200_000):
+        self.coder, self.most, self.old = coder, most, {}
+        self.seed = coder.seed * 1_000_003 + variant
+
+    def __missing__(self, unit: str) -> bytes:
+        import xxhash
+
+        got = self.old.get(unit)
+        if got is None:
+            got = array("i", self.coder.unit(unit, xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), seed=self.seed))).tobytes()
+        if len(unit) < 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[unit] = got
+        return got
+
+
+#: Encoders that a Python worker keeps from task to task.
+_CODERS: dict[tuple, tuple[Pieces, list[Memo]]] = {}
+
+
+def _coder(model: bytes, dropout: float, seed: int, variants: int) -> tuple[Pieces, list[Memo]]:
+    key = (hash(model), dropout, seed, variants)
+    if key not in _CODERS:
+        _CODERS.clear()
+        coder = Pieces(model, dropout, seed)
+        _CODERS[key] = coder, [Memo(coder, v) for v in range(variants)]
+    return _CODERS[key]
+
+
 def _model(path: str) -> bytes:
     with open(path, "rb") as f:  # on the driver; the bytes go along with the tasks
         return f.read()
@@ -134,14 +155,14 @@ def encode(documents: DataFrame, model: str = MODEL, dropout: float = 0.1, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        coder, memo = Pieces(body, dropout, seed), {}
+        coder, memos = _coder(body, dropout, seed, variants)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, ends, right = [], [0], []
                 part = batch.slice(at, 500)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     variant = 0 if doc is None else xxhash.xxh3_64_intdigest(str(doc), seed=seed) % variants
-                    got = np.frombuffer(coder.encode(text, variant, memo), np.int32)
+                    got = np.frombuffer(coder.encode(text, memos[variant]), np.int32)
                     ids.append(got)
                     ends.append(ends[-1] + len(got))
                     right.append(coder.decode(got) == (text or "").encode("utf-8", "surrogatepass"))
