@@ -95,3 +95,13 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("track_id").orderBy("ts", "event_id")
     rows = _read(spark, sf_dir, "events").withColumn("track_id", F.col("user_id")).withColumn("seq", F.row_number().over(by) - 1)
     return rows.selectExpr("track_id", "seq", "FLOOR(value) AS x", "CAST(event_id % 97 AS DOUBLE) AS y").withColumn("x", F.col("x").cast("double"))
+
+
+def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that each of 40 poses of a site sees."""
+    rows = _read(spark, sf_dir, "lineitem").where("l_linenumber < 4")
+    return rows.selectExpr("CAST(l_suppkey % 25 AS INT) AS site_id", "CAST(l_partkey % 48 AS INT) AS i", "CAST(l_orderkey % 48 AS INT) AS j", "CAST(CAST(l_quantity AS INT) % 20 AS INT) AS k", "l_orderkey % 40 AS pose_id").distinct()
+
+
+def view_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").selectExpr("CAST(l_suppkey % 25 AS INT) AS site_id", "l_orderkey % 40 AS pose_id", "l_orderkey % 40 AS seq").distinct()
