@@ -138,6 +138,36 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_rarity(classes: DataFrame) -> DataFrame:
+    """Adds rarity: low for a signature of common symbols, which is the centre of a large group of near copies.
+
+    Counts every symbol at every place over all classes; the table of SYMBOLS * 256 counts is all that comes to the driver.
+    """
+
+    def slots(batch: pa.RecordBatch, column: int) -> np.ndarray:
+        sigs = b"".join(batch.column(column).to_pylist())
+        return np.frombuffer(sigs, np.uint8).reshape(-1, SYMBOLS).astype(np.int64) + np.arange(SYMBOLS) * 256
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SYMBOLS * 256, np.int64)
+        for batch in batches:
+            total += np.bincount(slots(batch, 0).ravel(), minlength=len(total))
+        found = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["slot", "n"])
+
+    common = np.zeros(SYMBOLS * 256)
+    for r in classes.select("sig").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        common[r["slot"]] = np.log(r["n"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rarity = -common[slots(batch, 3)].sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rarity)], [*batch.schema.names, "rarity"])
+
+    rows = classes.select("digest", "doc_id", "node", "sig")
+    return rows.mapInArrow(score, "digest binary, doc_id long, node long, sig binary, rarity double")
+
+
 def _in_blocks(rows: DataFrame, group: str, member: str, size: int) -> DataFrame:
     """``rows`` once for each pair of blocks (i, j), i <= j, of their group that their own block is part of."""
     counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).where("blocks > 1")
@@ -165,8 +195,8 @@ def _spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _families(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges (a, b) that span, in every bucket, the pairs of signatures within FAR: from the bucket's smallest
-    member natively; members that are far from it are compared with all others of the bucket."""
+    """Edges (a, b) that span, in every bucket, the pairs of signatures within FAR: from the bucket's least
+    rare member natively; members that are far from it are compared with all others of the bucket."""
     longs = checkpointed(members.select(F.col("b").alias("node")).distinct().join(classes, "node").select("node", _as_longs().alias("longs")))
     star = members.where("a != b").select("a", "b").distinct()
     star = star.join(longs.select(F.col("node").alias("a"), F.col("longs").alias("x")), "a").join(longs.select(F.col("node").alias("b"), F.col("longs").alias("y")), "b")
@@ -261,8 +291,9 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int =
     rows = checkpointed(signatures(documents, shingle))
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
-    keys = classes.select("node", _keys().alias("key"))
-    buckets = checkpointed(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    classes = checkpointed(_with_rarity(classes))
+    keys = classes.select("node", "rarity", _keys().alias("key"))
+    buckets = checkpointed(keys.groupBy("key").agg(F.min_by("node", "rarity").alias("a"), F.count("*").alias("n")).where("n > 1"))
     members = checkpointed(keys.join(buckets, "key").select("key", "a", "n", F.col("node").alias("b")))
     families = connected_components(_families(members, classes))
     placed = families.join(classes.select("node", "doc_id", "digest"), "node").select("node", F.col("label").alias("family"), "doc_id", "digest")
