@@ -91,3 +91,13 @@ def test_files(spark, tmp_path):
     sets = files.footage_sets(clips, sites, spark.sql("SELECT 1 AS site_id, 0.9D AS coverage"))
     files.write_footage_sets(sets, str(tmp_path / "out"))
     assert [c.clip_id for c in sets.first().clips] == ["c1", "c2"]
+
+
+def test_small_measures(spark):
+    seen = spark.sql("SELECT 1 AS image_id, 3D AS px, 4D AS py, 0D AS ox, 0D AS oy UNION ALL SELECT 1, 1D, 0D, 0D, 0D UNION ALL SELECT 1, NULL, NULL, 9D, 9D")
+    assert measures.reprojection_error(seen).first().error == 3
+    closeups = spark.sql("SELECT 1 AS site_id, true AS resolved UNION ALL SELECT 1, false")
+    stats = measures.closeup_plan_stats(closeups, spark.sql("SELECT 1 AS site_id UNION ALL SELECT 2")).collect()
+    assert {r.site_id: (r.n_resolved, r.resolved_fraction) for r in stats} == {1: (1, 0.5), 2: (0, 1.0)}
+    summary = spark.sql("SELECT 1 AS mission_id, 5D AS max_speed, 2D AS max_accel, 1D AS max_jerk UNION ALL SELECT 2, 5.1D, 2D, 1D")
+    assert [r.mission_id for r in measures.within_limits(summary, 5, 2, 1).collect()] == [1]
