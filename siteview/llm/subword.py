@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Spaces and the word they lead; no piece of a model that splits on white space goes on after such a unit.
 UNIT = re.compile(r" *[^ \n]+| +|\n")
+#: Characters of a unit up to which its agenda is a list; and no candidate.
+FEW, NONE = 48, 1 << 60
 
 
 class Pieces:
@@ -38,55 +41,82 @@ class Pieces:
             else:
                 self.rank[piece] = (-sp.get_score(i), i)
                 self.body.append(piece.replace(SPACE, " ").encode())
+        # place of each piece's score, best first; pieces of one score share a place
+        places = {x: k for k, x in enumerate(sorted({x for x, _ in self.rank.values()}))}
+        self.order = {piece: places[x] for piece, (x, _) in self.rank.items()}
+        self.ids = {piece: i for piece, (_, i) in self.rank.items()}
         self.limit, self.seed = int(dropout * 65536), seed
         self.sizes = np.array([len(b) for b in self.body])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.flat = np.frombuffer(b"".join(self.body), np.uint8)
 
+    def dropped(self, key: int, i: int, piece: str) -> bool:
+        return ((key ^ (i * 0x9E3779B1) ^ (self.ids[piece] * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F >> 40) & 0xFFFF < self.limit
+
     def unit(self, text: str, key: int) -> list[int]:
         """Ids of one unit. The agenda holds candidate merges, best score first, leftmost on ties; a candidate is
         skipped for good if the hash of (key, place, piece) falls under the dropout rate."""
         # a literal U+2581 is kept apart from a space by its bytes
-        sym: list[str | None] = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in text]
-        rank, limit = self.rank, self.limit
+        sym = ["\0" + c if c == SPACE else SPACE if c == " " else c for c in text] if SPACE in text else list(text.replace(" ", SPACE))
+        out: list[int] = []
+        for s in self._few(sym, key) if len(sym) <= FEW else self._many(sym, key):
+            got = self.ids.get(s)
+            if got is not None:
+                out.append(got)
+            else:
+                out += [self.byte[b] for b in (s[1:] if len(s) > 1 else s).encode("utf-8", "surrogatepass")]
+        return out
+
+    def _few(self, sym: list[str], key: int) -> list[str]:
+        """The agenda as a list beside the symbols, one candidate for each neighbouring pair."""
+        order, ids, limit = self.order.get, self.ids, self.limit
+        at = list(range(len(sym)))
+        agenda = [order(p, NONE) for p in map(add, sym, sym[1:])]
+        while agenda:
+            top = min(agenda)
+            if top == NONE:
+                break
+            k = agenda.index(top)
+            piece = sym[k] + sym[k + 1]
+            if limit and ((key ^ (at[k] * 0x9E3779B1) ^ (ids[piece] * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F >> 40) & 0xFFFF < limit:  # dropped()
+                agenda[k] = NONE
+                continue
+            sym[k] = piece
+            del sym[k + 1], at[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = order(piece + sym[k + 1], NONE)
+            if k:
+                agenda[k - 1] = order(sym[k - 1] + piece, NONE)
+        return sym
+
+    def _many(self, sym: list[str | None], key: int) -> list[str]:
+        """The agenda as a heap over linked symbols."""
+        order, limit = self.order.get, self.limit
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, str, int]] = []
-        for i in range(n - 1):
-            got = rank.get(sym[i] + sym[i + 1])
-            if got:
-                agenda.append((got[0], i, sym[i] + sym[i + 1], got[1]))
-        heapq.heapify(agenda)
+        agenda = [(got, i) for i, got in enumerate(map(order, map(add, sym, sym[1:]))) if got is not None]
+        heapify(agenda)
         while agenda:
-            _, i, piece, pid = heapq.heappop(agenda)
-            a = sym[i]
-            if a is None:
-                continue
+            top, i = heappop(agenda)
             j = after[i]
-            if j >= n or len(a) + len(sym[j]) != len(piece) or a + sym[j] != piece:
+            if sym[i] is None or j >= n:
+                continue
+            piece = sym[i] + sym[j]
+            if order(piece) != top or (limit and self.dropped(key, i, piece)):
                 continue
-            if limit:
-                h = ((key ^ (i * 0x9E3779B1) ^ (pid * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-                if (h >> 40) & 0xFFFF < limit:
-                    continue
             sym[i], sym[j] = piece, None
-            k = after[i] = after[j]
+            k, p = after[j], before[i]
+            after[i] = k
             if k < n:
                 before[k] = i
-                got = rank.get(piece + sym[k])
-                if got:
-                    heapq.heappush(agenda, (got[0], i, piece + sym[k], got[1]))
-            p = before[i]
+                got = order(piece + sym[k])
+                if got is not None:
+                    heappush(agenda, (got, i))
             if p >= 0:
-                got = rank.get(sym[p] + piece)
-                if got:
-                    heapq.heappush(agenda, (got[0], p, sym[p] + piece, got[1]))
-        out = []
-        for s in sym:
-            if s is not None:
-                got = rank.get(s)
-                out += [got[1]] if got else [self.byte[b] for b in s.lstrip("\0").encode("utf-8", "surrogatepass")] if s[0] == "\0" and len(s) > 1 else [self.byte[b] for b in s.encode("utf-8", "surrogatepass")]
-        return out
+                got = order(sym[p] + piece)
+                if got is not None:
+                    heappush(agenda, (got, p))
+        return [s for s in sym if s is not None]
 
     def encode(self, text: str | None, memo: Memo) -> bytes:
         """Ids of a whole text as int32; units that recur under a variant are segmented once."""
