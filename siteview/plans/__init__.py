@@ -1 +1 @@
-from . import queries, views  # noqa: F401  views adds its queries to the registry
+from . import queries, sight, views  # noqa: F401  these add their queries to the registry

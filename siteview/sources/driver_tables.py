@@ -105,3 +105,11 @@ def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def view_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr("CAST(l_suppkey % 25 AS INT) AS site_id", "l_orderkey % 40 AS pose_id", "l_orderkey % 40 AS seq").distinct()
+
+
+def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One segment an order, from a viewpoint to a place in the grid, clear of cell corners."""
+    return _read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS ray_id", "CAST(o_custkey % 25 AS INT) AS site_id", "o_orderkey % 121 - 60 + 0.37D AS e", "o_custkey * 7 % 121 - 60 + 0.21D AS n", "5 + o_orderkey % 40 + 0.13D AS u",
+        "o_custkey * 13 % 89 - 44 + 0.53D AS te", "o_orderkey * 11 % 83 - 41 + 0.59D AS tn", "o_orderkey % 37 + 0.77D AS tu",
+    )
