@@ -48,10 +48,12 @@ def _sql_ecef(lat: str, lon: str, alt: str, p: str) -> str:
 ROT = "sin(radians(home_lat)) AS sp, cos(radians(home_lat)) AS cp, sin(radians(home_lon)) AS sl, cos(radians(home_lon)) AS cl"
 GEO = f"""SELECT *, degrees(phi) AS lat, degrees(atan2(y, x)) AS lon, CASE WHEN abs(cos(phi)) > 1e-12 THEN p / cos(phi) - {A} / sqrt(1 - {E2!r} * sin(phi) * sin(phi)) ELSE abs(z) - {B!r} END AS alt
   FROM (SELECT *, atan2(z + {(A * A - B * B) / (B * B) * B!r} * pow(sin(th), 3), p - {E2 * A!r} * pow(cos(th), 3)) AS phi FROM (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * {A}, sqrt(x * x + y * y) * {B!r}) AS th FROM {{}}))"""
-REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
-def register(sql: str) -> Callable:
+def register(sql: str | None) -> Callable:
+    """Without SQL, tests hold the query's operator against brute force."""
+
     def wrap(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         REGISTRY[f.__name__] = (f, sql)
         return f
@@ -332,4 +334,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in REGISTRY.items()}
+    return {k: sql for k, (_, sql) in REGISTRY.items() if sql}
