@@ -2,10 +2,11 @@
 
 The CGK random walk turns a string into a longer one: at step j it writes the current character and moves on by
 a random bit that depends on (j, character), so strings at a small edit distance agree in most places. Sampling
-a few of those places gives a key; REPEATS walks with samples of their own make equal keys likely for windows
-with edits too. Windows are half an item long at most and start at every STRIDE-th word, while items are
-indexed from every word, so that a copy holds several windows of which any one suffices. A hit lines the item
-up with the text, and the exact edit distance between the item and its best match there decides.
+a few of those places gives a key. Windows are much shorter than an item and start at every word (of short items at
+every byte), in the texts as in the items, so that a copy holds many windows of which any one suffices; walks and
+samples are so many that at least TARGET of the copies at the largest distance share a key. A hit lines the item
+up with the text; the edit distance over the 64 bytes round the hit, many hits at a time, leaves out most chance hits,
+and the exact edit distance between the item and its best match there decides.
 """
 
 from __future__ import annotations
@@ -17,11 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPEATS, SAMPLED = 3, 10
-#: Items of a pass, so that what each task is sent is bounded (about 40 keys an item and repeat).
+#: Least share of copies at distance ``most`` = 0.2 that share a key with their item; the settings in CLASSES
+#: reach it for the shortest items of their class (tests/llm/test_llm.py, at 10, 15 and 19 % edits).
+TARGET = 0.95
+#: Items of a pass, so that what each task is sent is bounded (about 600 keys an item).
 ITEMS_A_PASS = 20_000
-#: (shortest item in characters, characters of a walk, words from window to window), longest items first.
-CLASSES = ((64, 48, 2), (16, 12, 1), (4, 3, 1), (1, 1, 1))
+#: (shortest item in bytes, steps of a walk, walks, samples of each walk, places in a sample, whether windows start at
+#: every byte), longest items first. Below 16 bytes the pigeonhole principle leaves an unedited piece as long as the walk.
+CLASSES = ((64, 48, 4, 4, 10, False), (16, 10, 3, 2, 6, True), (9, 3, 1, 1, 3, True), (4, 2, 1, 1, 2, True), (1, 1, 1, 1, 1, True))
+#: Bytes from start to start inside a run without spaces in a text; items start at every byte of such a run.
+RUN = 8
+#: Starts whose keys are made together, and hits that are looked at together.
+STARTS, HITS = 1 << 15, 1 << 12
+#: Bytes of text that are searched together, or one text; 2000 texts at most.
+TEXT = 4_000_000
 
 
 def normalise(text: str | None) -> bytes:
@@ -29,33 +39,76 @@ def normalise(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def _walks(steps: int) -> list[tuple[np.ndarray, list[int]]]:
+def _walks(steps: int, walks: int, samples: int, sampled: int) -> list[tuple[np.ndarray, list[list[int]]]]:
     rng = np.random.default_rng(7_919 + steps)
     out = []
-    for _ in range(REPEATS):
-        moves = rng.integers(0, 2, (steps, 256)).astype(np.int32)
+    for _ in range(walks):
+        moves = rng.integers(0, 2, (steps, 256))
         moves[:, 0] = 0  # the walk stays in the padding
-        out.append((moves, sorted(rng.choice(steps, min(SAMPLED, steps), replace=False).tolist())))
+        out.append((moves, [sorted(rng.choice(steps, sampled, replace=False).tolist()) for _ in range(samples)]))
     return out
 
 
-def window_keys(body: np.ndarray, starts: np.ndarray, steps: int) -> list[np.ndarray]:
-    """The keys of the windows of ``body`` that begin at ``starts``, one array for each repeat."""
+def window_keys(body: np.ndarray, starts: np.ndarray, walks: list[tuple[np.ndarray, list[list[int]]]]) -> list[np.ndarray]:
+    """The keys of the windows of ``body`` (int64) that begin at ``starts``, one array for each sample of each walk."""
     out = []
-    for r, (moves, sampled) in enumerate(_walks(steps)):
-        at, key, take = starts.astype(np.int32), np.full(len(starts), r + 1, np.uint64), set(sampled)
-        for j in range(sampled[-1] + 1):
-            c = body[at]
-            if j in take:
-                key = (key ^ c) * np.uint64(0x100000001B3)
-            at += moves[j][c]
-        out.append(key ^ (key >> np.uint64(31)))
+    for moves, samples in walks:
+        at = starts.astype(np.int64)
+        keys = [np.full(len(starts), len(out) + k + 1, np.uint64) for k in range(len(samples))]
+        for j in range(max(x[-1] for x in samples) + 1):
+            c = body.take(at, mode="clip")
+            u = c.view(np.uint64)
+            for k, sample in enumerate(samples):
+                if j in sample:
+                    keys[k] ^= u
+                    keys[k] *= np.uint64(0x9E3779B97F4A7C15)
+            at += moves[j].take(c, mode="clip")
+        out += [k ^ (k >> np.uint64(32)) for k in keys]
     return out
 
 
-def _word_starts(body: np.ndarray) -> np.ndarray:
+def _word_starts(body: np.ndarray, stride: int) -> np.ndarray:
+    """Starts of words, and every ``stride``-th byte on of a word, so that runs without spaces have windows too."""
     gap = (body == 32) | (body == 0)
-    return np.nonzero(~gap[1:] & gap[:-1])[0] + 1
+    first = np.nonzero(~gap[1:] & gap[:-1])[0] + 1
+    sizes = np.nonzero(gap[1:] & ~gap[:-1])[0] + 1 - first
+    long = sizes >= 2 * RUN
+    if not long.any():
+        return first
+    n = (sizes[long] - 1) // stride
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+    return np.sort(np.concatenate([first, np.repeat(first[long], n) + place * stride]))
+
+
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of each range of n, end to end."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def _local(patterns: np.ndarray, sizes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """``best_match`` of many patterns of up to 64 bytes (rows, with their sizes) with a text each."""
+    n, one = len(patterns), np.uint64(1)
+    peq = np.zeros(n << 8, np.uint64)
+    row = np.arange(n) << 8
+    for j in range(patterns.shape[1]):
+        x = row + patterns[:, j]
+        peq[x] |= np.where(j < sizes, one << np.uint64(j), np.uint64(0))
+    high = (sizes - 1).astype(np.uint64)
+    pv, mv = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+    score = sizes.astype(np.int64)
+    best = score.copy()
+    for j in range(texts.shape[1]):
+        eq = peq.take(row + texts[:, j])
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += (ph >> high & one).view(np.int64)
+        score -= (mh >> high & one).view(np.int64)
+        np.minimum(best, score, out=best)
+        ph <<= one
+        mh <<= one
+        xv = eq | mv
+        pv, mv = mh | ~(xv | ph), ph & xv
+    return best
 
 
 def best_match(item: bytes, text: bytes) -> tuple[int, int]:
@@ -90,17 +143,21 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items = items
         self.tables = []
+        self.sizes = np.array([len(body) for _, body in items], np.int64)
+        self.flat = np.frombuffer(b"".join(body for _, body in items) + bytes(64), np.uint8).astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
         taken: set[int] = set()
-        for least, steps, stride in CLASSES:
+        for least, steps, n, samples, sampled, dense in CLASSES:
+            walks = _walks(steps, n, samples, sampled)
             keys, of, offset = [], [], []
             for k, (_, body) in enumerate(items):
                 if k in taken or len(body) < least:
                     continue
                 taken.add(k)
-                x = np.frombuffer(b"\0" + body + bytes(steps + 1), np.uint8)
-                starts = _word_starts(x)
+                x = np.frombuffer(b"\0" + body + bytes(steps + 1), np.uint8).astype(np.int64)
+                starts = np.arange(1, len(body) + 1) if dense else _word_starts(x, 1)
                 starts = starts[(starts <= len(body) + 1 - steps * 2 // 3) | (starts == 1)]
-                for values in window_keys(x, starts, steps):
+                for values in window_keys(x, starts, walks):
                     keys.append(values)
                     of.append(np.full(len(starts), k))
                     offset.append(starts - 1)
@@ -109,28 +166,68 @@ class Index:
                 order = np.argsort(values, kind="stable")
                 seen = np.zeros(1 << 20, bool)
                 seen[(values & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables.append((steps, stride, values[order], of[order], offset[order], seen))
-
-    def candidates(self, body: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, where the item would start) of windows with equal keys; the place is rounded, since
-        windows of one copy shift by its edits."""
-        found: set[tuple[int, int, int]] = set()
-        words = _word_starts(body)
-        for steps, stride, values, of, offset, seen in self.tables:
-            starts = words[::stride]
-            for at in range(0, len(starts), 250_000):
-                part = starts[at : at + 250_000]
-                for keys in window_keys(body, part, steps):
-                    maybe = np.nonzero(seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
+                self.tables.append((walks, dense, values[order], of[order], offset[order], seen))
+
+    def _hits(self, wide: np.ndarray) -> Iterator[np.ndarray]:
+        """(item, where the item would start, place of the window in the item) of windows with equal keys, in parts."""
+        words = None
+        for walks, dense, values, of, offset, seen in self.tables:
+            if dense:
+                starts = np.nonzero(wide)[0]
+            else:
+                starts = words = _word_starts(wide, RUN) if words is None else words
+            for at in range(0, len(starts), STARTS):
+                part = starts[at : at + STARTS]
+                for keys in window_keys(wide, part, walks):
+                    maybe = np.nonzero(seen.take((keys & np.uint64((1 << 20) - 1)).view(np.int64)))[0]
                     lo = np.searchsorted(values, keys[maybe], "left")
-                    hi = np.searchsorted(values, keys[maybe], "right")
-                    hit = hi > lo
-                    for s, a, b in zip(part[maybe[hit]].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                        doc = int(np.searchsorted(ends, s, "right"))
-                        for x in range(a, b):
-                            k = int(of[x])
-                            span = max(16, len(self.items[k][1]) // 4)
-                            found.add((doc, k, (s - int(offset[x])) // span * span))
+                    n = np.searchsorted(values, keys[maybe], "right") - lo
+                    ends = np.cumsum(n)
+                    a = 0
+                    while a < len(n):  # many equal keys go on in several parts
+                        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, "right")))
+                        x = _spread(lo[a:b], n[a:b])
+                        yield np.stack([of[x], np.repeat(part[maybe[a:b]], n[a:b]) - offset[x], offset[x]])
+                        a = b
+
+    def regions(self, body: np.ndarray, ends: np.ndarray, most: float) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """{(document, item): stretches of ``body`` that may hold the item}. The place of a hit is rounded, since the
+        windows of one copy shift by its edits. The 64 bytes from the window on (all of a shorter item) may differ by
+        the item's edits, and by 1.6 times their share of them: a copy has windows on both sides of denser edits."""
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        begins = np.concatenate([[0], ends[:-1]]) + 1
+        wide = body.astype(np.int64)
+        padded = np.concatenate([np.zeros(512, np.int64), wide, np.zeros(512, np.int64)])
+        known = np.zeros(0, np.int64)
+        for of, place, offset in self._hits(wide):
+            _, at = np.unique(of << 36 | (place + (1 << 24)), return_index=True)
+            of, place, offset = of[at], place[at], offset[at]
+            span = np.maximum(16, self.sizes[of] // 4)
+            near = []
+            for a in range(0, len(of), HITS):
+                k, start = of[a : a + HITS], offset[a : a + HITS]
+                size = np.minimum(self.sizes[k], 64)
+                edits = np.floor(most * self.sizes[k])
+                begin = np.minimum(start, self.sizes[k] - size)
+                patterns = self.flat.take((self.first[k] + begin)[:, None] + np.arange(int(size.max())), mode="clip")
+                slack = int(min(edits.max(), 16))
+                texts = padded.take((place[a : a + HITS] + begin + 512 - slack)[:, None] + np.arange(int(size.max()) + 2 * slack), mode="clip")
+                near.append(_local(patterns, size, texts) <= np.minimum(edits, int(most * 64 * 1.6)))
+            if not near:
+                continue
+            keep = np.concatenate(near)
+            of, place, span = of[keep], place[keep], span[keep]
+            # places are counted in their document, whatever stands beside it
+            doc = np.searchsorted(ends, place + offset[keep], "right")
+            code = np.setdiff1d(of << 45 | doc << 34 | (place - begins[doc] + (1 << 24)) // span, known)
+            known = np.union1d(known, code)
+            for k, doc, place in zip((code >> 45).tolist(), (code >> 34 & 2047).tolist(), (code & ((1 << 34) - 1)).tolist(), strict=True):
+                size = int(self.sizes[k])
+                span = max(16, size // 4)
+                place = place * span - (1 << 24) + int(begins[doc])
+                slack = int(most * size) + span
+                lo, hi = max(place - slack, int(begins[doc])), min(place + size + 2 * slack, int(ends[doc]))
+                found.setdefault((doc, k), []).append((lo, hi))
         return found
 
 
@@ -182,23 +279,37 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield [x for x in found if x[1]]
 
 
+def _search_some(index: Index, bodies: list[bytes], most: float) -> dict[tuple[int, int], int]:
+    whole = b"\0" + b"\0".join(bodies) + bytes(64)
+    ends = np.cumsum([len(x) + 1 for x in bodies])
+    hits: dict[tuple[int, int], int] = {}
+    for (doc, k), parts in index.regions(np.frombuffer(whole, np.uint8), ends, most).items():
+        item = index.items[k][1]
+        merged: list[list[int]] = []
+        for a, b in sorted(parts):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        distance = min(best_match(item, whole[a:b])[0] for a, b in merged)
+        if distance <= most * len(item):
+            hits[doc, k] = distance
+    return hits
+
+
 def _hits(items: list[tuple[int, bytes]], most: float):
     """Search of some texts: {(text number, item number): distance}."""
 
     def search(index: Index, texts: list[str | None]) -> dict[tuple[int, int], int]:
-        bodies = [normalise(t) for t in texts]
-        joined = np.frombuffer(b"\0" + b"\0".join(bodies) + bytes(64), np.uint8)
-        ends = np.cumsum([len(x) + 1 for x in bodies])
         hits: dict[tuple[int, int], int] = {}
-        for doc, k, place in index.candidates(joined, ends):
-            if doc >= len(bodies):
-                continue
-            item = items[k][1]
-            slack = int(most * len(item)) + max(16, len(item) // 4)
-            start = place - int(ends[doc - 1] if doc else 0) - 1
-            distance, _ = best_match(item, bodies[doc][max(0, start - slack) : start + len(item) + 2 * slack])
-            if distance <= most * len(item):
-                hits[doc, k] = min(distance, hits.get((doc, k), distance))
+        bodies: list[bytes] = []
+        first = size = 0
+        for n, text in enumerate(texts, 1):
+            bodies.append(normalise(text))
+            size += len(bodies[-1])
+            if size >= TEXT or n - first >= 2000 or n == len(texts):
+                hits |= {(first + doc, k): d for (doc, k), d in _search_some(index, bodies, most).items()}
+                bodies, first, size = [], n, 0
         return hits
 
     return search

@@ -107,6 +107,48 @@ def test_decontamination_finds_exact_and_edited_copies(spark, docs):
     assert sum((k, k) in edited for k in items) >= 0.95 * len(items)
 
 
+def _edited(body, rate, rng):
+    """``body`` with random substitutions, deletions and insertions, as many as ``rate`` of its bytes."""
+    out = list(body)
+    for _ in range(int(rate * len(body))):
+        at, kind = int(rng.integers(len(out))), rng.integers(3)
+        out[at : at + (kind < 2)] = [] if kind == 0 else [int(rng.integers(97, 123))]
+    return bytes(out)
+
+
+def test_decontamination_recall_at_high_edit_rates(docs, spark):
+    bodies = [decontam.normalise(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    host = decontam.normalise(" ".join(r.text for r in docs.where("n_chars between 500 and 3000").limit(40).collect()))
+    rng = np.random.default_rng(5)
+    for length in (20, 40, 70, 100, 400):
+        items = [(k, b[:length].strip()) for k, b in enumerate(bodies)]
+        search, index = decontam._hits(items, 0.2), decontam.Index(items)
+        for rate in (0.10, 0.15, 0.19):
+            texts, n = [], 4
+            for k, body in items * n:
+                at = int(rng.integers(len(host) - 400))
+                texts.append((host[at : at + 150] + b" " + _edited(body, rate, rng) + b" " + host[at + 200 : at + 350]).decode("utf-8", "replace"))
+            found = search(index, texts)
+            # cut letters can push a copy beyond the limit
+            held = [d for d, t in enumerate(texts) if decontam.best_match(items[d % len(items)][1], decontam.normalise(t))[0] <= 0.2 * len(items[d % len(items)][1])]
+            assert len(held) > 0.5 * len(texts)
+            recall = sum((d, d % len(items)) in found for d in held) / len(held)
+            print(f"items of {length} bytes, {rate:.0%} edits: recall {recall:.3f}")
+            assert recall >= decontam.TARGET
+
+
+def test_decontamination_of_unspaced_text_and_of_any_batch(docs):
+    rng = np.random.default_rng(6)
+    item = bytes(rng.integers(97, 123, 90).tolist())
+    items = [(0, item)]
+    search, index = decontam._hits(items, 0.2), decontam.Index(items)
+    hosts = [bytes(rng.integers(97, 123, n).tolist()) for n in range(60, 100)]
+    texts = [(h + _edited(item, 0.1, rng) + h).decode() for h in hosts]
+    alone = {d: search(index, [t]).get((0, 0)) for d, t in enumerate(texts)}
+    assert sum(x is not None for x in alone.values()) >= decontam.TARGET * len(texts)
+    assert {d: x for d, x in alone.items() if x is not None} == {d: x for (d, _), x in search(index, texts).items()}
+
+
 def test_best_match_is_the_edit_distance():
     def brute(item, text):
         row = [0] * (len(text) + 1)
