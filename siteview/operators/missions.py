@@ -43,6 +43,13 @@ def leg_samples(waypoints: DataFrame, dt: float = 0.1, cruise: float = 5.0, fast
     return rows.withColumns(at).select("mission_id", "seq", "s", "e", "n", "u", (F.col("leg") / F.col("steps")).alias("step_m"), (F.col("leg") / F.col("v") / F.col("steps")).alias("step_s"))
 
 
+def path_samples(waypoints: DataFrame, dt: float = 0.1) -> DataFrame:
+    """(mission_id, site_id, seq, s, e, n, u): the first waypoint of each mission and the samples of its legs."""
+    start = waypoints.where("seq = 0").select("mission_id", "site_id", "seq", F.lit(0).alias("s"), "e", "n", "u")
+    flown = leg_samples(waypoints, dt).join(start.select("mission_id", "site_id"), "mission_id")
+    return start.unionByName(flown.select(*start.columns))
+
+
 def running_totals(samples: DataFrame, battery_s: float = 1080.0) -> DataFrame:
     """Adds path length, time and battery used so far."""
     by = Window.partitionBy("mission_id").orderBy("seq", "s").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -8,6 +8,8 @@ import math
 import numpy as np
 
 from siteview.operators import coverage, generators, measures
+from siteview.plans import queries as Q
+from siteview.sources import driver_tables as T
 from siteview.sources import files
 
 
@@ -101,3 +103,82 @@ def test_small_measures(spark):
     assert {r.site_id: (r.n_resolved, r.resolved_fraction) for r in stats} == {1: (1, 0.5), 2: (0, 1.0)}
     summary = spark.sql("SELECT 1 AS mission_id, 5D AS max_speed, 2D AS max_accel, 1D AS max_jerk UNION ALL SELECT 2, 5.1D, 2D, 1D")
     assert [r.mission_id for r in measures.within_limits(summary, 5, 2, 1).collect()] == [1]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _flown(rows):
+    """Samples (e, n, u, seconds so far) of one mission every 0.1 s."""
+    out, t = [(rows[0].e, rows[0].n, rows[0].u, 0.0)], 0.0
+    for a, b in zip(rows, rows[1:]):
+        leg = math.dist((a.e, a.n, a.u), (b.e, b.n, b.u))
+        if leg >= 1e-9:
+            seconds = leg / min(max(b.speed, 0.1), 15)
+            m = max(1, math.ceil(seconds / 0.1))
+            out += [(*(x + (y - x) * s / m for x, y in ((a.e, b.e), (a.n, b.n), (a.u, b.u))), t + seconds * s / m) for s in range(1, m + 1)]
+            t += seconds
+    return out
+
+
+def _missions(spark, monkeypatch, n):
+    """Every ``n``-th mission of the table, in place of all, and the cells that are mapped."""
+    few = T.waypoints(spark, SF).where(f"mission_id % {n} = 0").cache()
+    monkeypatch.setattr(T, "waypoints", lambda spark, sf: few)
+    by = {}
+    for r in few.orderBy("mission_id", "seq").collect():
+        by.setdefault(r.mission_id, []).append(r)
+    mapped = {}
+    for r in T.obstacle_map(spark, SF).collect():
+        mapped.setdefault(r.site_id, set()).add((r.i, r.j, r.k))
+    return by, mapped
+
+
+def _centre(cells):
+    return np.array(sorted(cells), float).reshape(-1, 3) * 2 + [-47, -47, 1]
+
+
+def test_flights_are_audited_between_coarse_samples(spark, monkeypatch):
+    by, mapped = _missions(spark, monkeypatch, 4)
+    fine = {r.mission_id: r for r in Q.queries()["g9_audit_missions_fine"](spark, SF).collect()}
+    coarse = {r.mission_id: r.collided for r in Q.queries()["g9_audit_missions"](spark, SF).collect()}
+    assert set(fine) == set(by)
+    for m, rows in by.items():
+        at = _centre(mapped.get(rows[0].site_id, ()))
+        least, collided, landed = math.inf, False, False
+        for k, (e, n, u, t) in enumerate(_flown(rows)):
+            cell = np.floor((np.array([e, n, u]) - [-48, -48, 0]) / 2)
+            near = at[(np.abs((at - [-47, -47, 1]) / 2 - cell) <= 3).all(axis=1)]
+            d = np.sqrt(((near - [e, n, u]) ** 2).sum(axis=1)).min(initial=math.inf)
+            least = min(least, d)
+            collided, landed = d < 1.5, d >= 1.5 and k > 0 and 1 - t / 1080 <= 0.2
+            if collided or landed:
+                break
+        r = fine[m]
+        assert (r.collided, r.landed, r.completed) == (collided, landed, not collided and not landed)
+        assert math.isclose(math.inf if r.min_clearance is None else r.min_clearance, least, abs_tol=1e-3)
+    print("collisions", sum(r.collided for r in fine.values()), "in steps of 5 s", sum(coarse.values()), "missions", len(by))
+    assert sum(r.collided for r in fine.values()) > sum(coarse.values())
+
+
+def test_thin_cells_beside_legs_count(spark, monkeypatch):
+    by, mapped = _missions(spark, monkeypatch, 4)
+    thin = {}
+    for r in T.voxels(spark, SF).where("label IN (4, 5)").collect():
+        thin.setdefault(r.site_id, set()).add((r.i, r.j, r.k))
+    want = {}
+    for rows in by.values():
+        site = rows[0].site_id
+        cells = sorted(thin.get(site, ()))
+        if cells:
+            at = _centre(cells)
+            path = np.array(_flown(rows))[:, :3]
+            close = np.zeros(len(at), bool)
+            for p in path:
+                close |= ((at - p) ** 2).sum(axis=1) <= 16
+            want.setdefault(site, set()).update(c for c, x in zip(cells, close) if x)
+    want = {s: (len(c - mapped.get(s, set())), len(c)) for s, c in want.items() if c}
+    assert {r.site_id: (r.n_missed, r.n_on_path) for r in Q.queries()["a5_missed_on_legs"](spark, SF).collect()} == want
+    waypoints = {r.site_id: r.n_on_path for r in Q.queries()["a5_missed_on_path"](spark, SF).collect()}
+    print("on path", sum(n for _, n in want.values()), "by waypoints alone", sum(waypoints.values()))
+    assert sum(n for _, n in want.values()) > sum(waypoints.values())
