@@ -74,6 +74,12 @@ def g2_nbv_plan(spark, sf):
     return coverage.nbv_plan(T.view_poses(spark, sf), _surface(spark, sf), T.visibility(spark, sf), 1.0, 4).select("site_id", "pick", "pose_id", "gain")
 
 
+@register(None)
+def g2_nbv_plan_whole(spark, sf):
+    """Until the target of 0.9 or until no pose adds a cell; g2_nbv_plan, as its SQL, stops after four picks."""
+    return coverage.nbv_plan(T.view_poses(spark, sf), _surface(spark, sf), T.visibility(spark, sf)).select("site_id", "pick", "pose_id", "gain")
+
+
 @register(f"WITH {VIEWPOINTS} SELECT vp_id, row_number() OVER (PARTITION BY site_id ORDER BY atan2(n, e), vp_id) - 1 AS ord FROM viewpoints")
 def w12_azimuth_order(spark, sf):
     return coverage.azimuth_order(T.viewpoints(spark, sf).withColumnRenamed("vp_id", "pose_id")).select(F.col("pose_id").alias("vp_id"), "ord")

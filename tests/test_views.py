@@ -182,3 +182,28 @@ def test_thin_cells_beside_legs_count(spark, monkeypatch):
     waypoints = {r.site_id: r.n_on_path for r in Q.queries()["a5_missed_on_path"](spark, SF).collect()}
     print("on path", sum(n for _, n in want.values()), "by waypoints alone", sum(waypoints.values()))
     assert sum(n for _, n in want.values()) > sum(waypoints.values())
+
+
+def test_the_whole_plan_of_views(spark, monkeypatch):
+    # sites 1 and 2 hold what six poses see in all; site 3 reaches 0.9 of its surface with five poses of nine cells
+    rng = np.random.default_rng(9)
+    see = {(s, p): {int(c) for c in rng.integers(0, 60, 5)} for s in (1, 2) for p in range(9)} | {(3, p): set(range(9 * p, 9 * p + 9)) for p in range(6)}
+    size = {1: 60, 2: 60, 3: 50}
+    voxels = spark.createDataFrame([(s, c, 0, 0, 2) for s, n in size.items() for c in range(n)], "site_id int, i int, j int, k int, label int")
+    visible = spark.createDataFrame([(s, p, c, 0, 0) for (s, p), cs in see.items() for c in cs], "site_id int, pose_id long, i int, j int, k int")
+    poses = spark.createDataFrame([(s, p, p) for s, p in see], "site_id int, pose_id long, seq long")
+    for name, table in (("voxels", voxels), ("visibility", visible), ("view_poses", poses)):
+        monkeypatch.setattr(T, name, lambda spark, sf, table=table: table)
+    want = []
+    for s, n in size.items():
+        seen, k = set(), 0
+        while len(seen) < 0.9 * n:
+            gain, p = max((len({c for c in see[s, p] if c < n} - seen), -p) for t, p in see if t == s)
+            if not gain:
+                break
+            seen |= {c for c in see[s, -p] if c < n}
+            want.append((s, k, -p, gain))
+            k += 1
+    assert sorted(map(tuple, Q.queries()["g2_nbv_plan_whole"](spark, "").collect())) == want
+    assert len(want) > 4 * len(size)
+    assert Q.queries()["g2_nbv_plan"](spark, "").count() == 4 * len(size)
