@@ -7,9 +7,11 @@ symbol of some chunk. Each chunk is indexed once for each single symbol left out
 signatures within distance ``2 * CHUNKS - 1`` (23 of 72) meets in a bucket. At J = 0.8 the distance is 14.3
 on average; that a link of exactly J = 0.8 meets in no bucket has a chance of about 3 in a million.
 
-Buckets never emit all their pairs. Signatures within distance FAR of each other in a bucket span families, by
-at most one edge a member; the full sets of a family then meet in blocks of BLOCK, every pair of sets is tested
-in the block's task, and again only spanning links come out. Nothing is capped.
+Buckets never emit all their pairs. Two rounds test each member with one member that stands for its bucket, first in
+buckets of whole chunks, then in all, and contract what the full sets confirm; pairs inside a component are never
+looked at again. Buckets that still hold several components are searched for signatures within distance FAR, which
+join components to families; in a family the sets outside its largest component meet each other and that component
+in blocks of BLOCK, and every pair of sets is tested in the block's task. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, stored
 
 CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
@@ -37,7 +39,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 2_000_000:  # only a memo
+        if len(self) > 300_000:  # only a memo
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -161,87 +163,125 @@ def _with_rarity(classes: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rarity = -common[slots(batch, 3)].sum(axis=1)
+            rarity = -common[slots(batch, 4)].sum(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rarity)], [*batch.schema.names, "rarity"])
 
-    rows = classes.select("digest", "doc_id", "node", "sig")
-    return rows.mapInArrow(score, "digest binary, doc_id long, node long, sig binary, rarity double")
-
-
-def _in_blocks(rows: DataFrame, group: str, member: str, size: int) -> DataFrame:
-    """``rows`` once for each pair of blocks (i, j), i <= j, of their group that their own block is part of."""
-    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).where("blocks > 1")
-    rows = rows.join(checkpointed(counts), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
-
-
-def _spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of 0..n-1 that span the components of ``pairs``."""
-    up, out = list(range(n)), []
-    for x, y in pairs.tolist():
-        a, b = x, y
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        while up[b] != b:
-            up[b] = up[up[b]]
-            b = up[b]
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
-
-
-def _families(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges (a, b) that span, in every bucket, the pairs of signatures within FAR: from the bucket's least
-    rare member natively; members that are far from it are compared with all others of the bucket."""
-    longs = checkpointed(members.select(F.col("b").alias("node")).distinct().join(classes, "node").select("node", _as_longs().alias("longs")))
-    star = members.where("a != b").select("a", "b").distinct()
-    star = star.join(longs.select(F.col("node").alias("a"), F.col("longs").alias("x")), "a").join(longs.select(F.col("node").alias("b"), F.col("longs").alias("y")), "b")
-    star = checkpointed(star.select("a", "b", (_distance("x", "y") <= FAR).alias("near")))
-    # buckets of the same members are searched once
-    same = members.where("n > 2").groupBy("key", "a", "n").agg(F.bit_xor(F.xxhash64("b")).alias("x"), F.bit_xor(F.xxhash64("b", "b")).alias("y"))
-    once = same.groupBy("a", "n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = checkpointed(members.join(once, "key", "left_semi"))
-    far = checkpointed(members.join(star.where("not near").select("a", "b"), ["a", "b"], "left_semi").select("key", "b").distinct())
-    mixed = members.select("key", "b").join(far.select("key").distinct(), "key", "left_semi").join(far.withColumn("far", F.lit(True)), ["key", "b"], "left")
-    mixed = mixed.join(longs.withColumnRenamed("node", "b"), "b").select("key", "b", F.coalesce("far", F.lit(False)).alias("far"), "longs")
-    blocks = _in_blocks(mixed, "key", "b", 1024).select("key", "i", "j", "b", "far", "longs")
-    dealt = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def near(table: pa.Table) -> list[tuple[int, int]]:
-        node, far = table.column("b").to_numpy(), table.column("far").to_numpy()
-        sig = table.column("longs").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(node), -1)
-        out = []
-        for k in np.nonzero(far)[0]:
-            close = np.nonzero((sig != sig[k]).sum(axis=1) <= FAR)[0]
-            close = close[close != k]
-            out.append(np.stack([np.full(len(close), k), close], axis=1))
-        return [(int(node[x]), int(node[y])) for x, y in _spanning(len(node), np.concatenate(out))] if out else []
+    rows = classes.select("digest", "doc_id", "node", "n", "sig")
+    return rows.mapInArrow(score, "digest binary, doc_id long, node long, n long, sig binary, rarity double")
+
+
+def _whole_keys() -> Column:
+    """One key for each chunk as it is."""
+    return F.explode(F.array(*[F.xxhash64(F.lit(c), F.substring("sig", c * WIDTH + 1, WIDTH)) for c in range(CHUNKS)]))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, a, a_label) of buckets of several labels: the least rare member of the label that has most members."""
+    by = members.groupBy("key", "label").agg(F.count("*").alias("m"), F.min_by("node", "rarity").alias("a"), F.min("rarity").alias("rarity"))
+    return by.groupBy("key").agg(F.max_by(F.struct("a", "label"), F.struct("m", -F.col("rarity"))).alias("of"), F.count("*").alias("labels")).where("labels > 1").select("key", "of.a", F.col("of.label").alias("a_label"))
+
+
+def _alike(percent: int) -> Column:
+    """Whether sets of n and m items, with signatures x and y, can be linked."""
+    return (_distance("x", "y") <= FAR) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+
+
+def _stars(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Blocks (family, i, j) of members with the one that stands for their bucket, of buckets of several labels."""
+    of = checkpointed(members.join(known.select("node", "label", "rarity"), "node"))
+    pairs = of.join(_mixed(of), "key").where("label <> a_label").select("a", "node").distinct()
+    one = known.select(F.col("node").alias("a"), F.col("longs").alias("x"), "n")
+    two = known.select("node", F.col("longs").alias("y"), F.col("n").alias("m"))
+    pairs = checkpointed(pairs.join(one, "a").join(two, "node").where(_alike(percent)).select("a", "node"))
+    sizes = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    dealt = pairs.join(sizes, "a").select(F.col("a").alias("family"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), "node")
+    centres = sizes.select(F.col("a").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("a").alias("node"))
+    return dealt.union(centres).select("family", "i", F.col("i").alias("j"), F.col("i").alias("own"), "node").join(known.select("node", "label"), "node")
+
+
+def _rest(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Blocks (family, i, j) of what the stars left apart: labels that signatures within FAR join in some bucket are
+    one family. Blocks below 0 hold its largest label; they meet the others, which also meet each other."""
+    of = members.join(known.select("node", "label", "rarity", "n", "longs"), "node")
+    left = checkpointed(of.join(_mixed(of).select("key"), "key", "left_semi").select("key", "node", "label", "n", "longs"))
+    family = connected_components(_near_labels(left, percent)).select(F.col("node").alias("label"), F.col("label").alias("family"))
+    rows = checkpointed(known.join(family, "label").select("family", "label", "node"))
+    counts = rows.groupBy("family", "label").agg(F.count("*").alias("m"))
+    sizes = counts.groupBy("family").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.max("m").alias("large"), F.sum("m").alias("all"))
+    sizes = sizes.select("family", "largest", F.ceil(F.col("large") / BLOCK).cast("int").alias("large"), F.ceil((F.col("all") - F.col("large")) / BLOCK).cast("int").alias("small"))
+    rows = rows.join(checkpointed(sizes), "family")
+    inside = F.col("label") == F.col("largest")
+    own = F.when(inside, -1 - F.pmod(F.xxhash64("node"), F.col("large"))).otherwise(F.pmod(F.xxhash64("node"), F.col("small"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(inside, 0).otherwise(-F.col("large")), F.col("small") - 1)))
+    return rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+
+
+class _Union(dict):
+    """Union-find over the labels that a task meets."""
+
+    def top(self, x: int) -> int:
+        while (y := self.setdefault(x, x)) != x:
+            self[x] = x = self[y] = self.setdefault(y, y)
+        return x
+
+    def tops(self, labels: np.ndarray) -> np.ndarray:
+        u, of = np.unique(labels, return_inverse=True)
+        return np.array([self.top(x) for x in u.tolist()], np.int64)[of]
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether ``x`` and ``y`` were apart."""
+        x, y = self.top(x), self.top(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _near_labels(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs of labels (a, b) that span, in every bucket, the members of different labels whose signatures are within FAR.
+    Buckets of many members are searched in pairs of blocks; what a task has joined it does not compare again."""
+    size = 4 * BLOCK
+    counts = checkpointed(left.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).where("blocks > 1"))
+    rows = left.join(counts, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "n", "longs")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def search(part: pa.Table, union: _Union) -> list[tuple[int, int]]:
+        label, n = part.column("label").to_numpy(), part.column("n").to_numpy()
+        top = union.tops(label)
+        if (top == top[0]).all():
+            return []
+        sig = part.column("longs").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(n), -1)
+        values, count = np.unique(top, return_counts=True)
+        found = []
+        for k in np.nonzero(top != values[count.argmax()])[0].tolist():
+            top = union.tops(label) if found else top
+            other = np.nonzero((top != top[k]) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * percent))[0]
+            near = other[(sig[other] != sig[k]).sum(axis=1) <= FAR]
+            found += [(int(label[k]), x) for x in np.unique(label[near]).tolist() if union.join(int(label[k]), x)]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        union = _Union()
         for batch in _then_none(batches):
             found: list[tuple[int, int]] = []
             if batch is not None and batch.num_rows:
                 held.append(pa.Table.from_batches([batch]))
             if held and (batch is None or sum(t.num_rows for t in held) > 20_000):
-                table = pa.concat_tables(held).combine_chunks()
-                k, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+                part = pa.concat_tables(held).combine_chunks()
+                k, i, j = (part.column(c).to_numpy() for c in ("key", "i", "j"))
                 cut = np.nonzero((np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
                 edges = [0, *cut.tolist()]
                 if batch is None:
-                    edges.append(table.num_rows)
+                    edges.append(part.num_rows)
                 for x, y in zip(edges, edges[1:], strict=False):
-                    found += near(table.slice(x, y - x))
-                held = [table.slice(edges[-1])] if edges[-1] < table.num_rows else []
+                    found += search(part.slice(x, y - x), union)
+                held = [part.slice(edges[-1])] if edges[-1] < part.num_rows else []
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return star.where("near").select("a", "b").union(dealt.mapInArrow(run, "a long, b long")).distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -249,37 +289,46 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def _links(percent: int):
-    """Spanning links of a block pair: all its pairs of sets, by products of 0/1 rows over the items of the block."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        own = table.column("own").to_numpy()[first]
-        items = table.column("items").combine_chunks()
-        sets = [items[int(k)].values.to_numpy() for k in first]
-        sizes = np.array([len(x) for x in sets])
-        shared = np.zeros((len(sets), len(sets)))
-        flat = np.concatenate(sets)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        _, column = np.unique(flat, return_inverse=True)
-        # items of one set only add nothing to an intersection
-        seen = np.bincount(column)
-        keep = seen[column] > 1
-        row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
-        for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
-            here = (column >= at) & (column < at + 4096)
-            m = np.zeros((len(sets), 4096), np.float32)
-            m[row[here], column[here] - at] = 1
-            shared += m @ m.T
-        linked = shared * 100 >= percent * (sizes[:, None] + sizes[None, :] - shared)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        linked = np.triu(linked & ((own[:, None] != own[None, :]) | (i == j)), 1)
-        pairs = [(int(node[x]), int(node[y])) for x, y in _spanning(len(sets), np.argwhere(linked))]
+def _tested(percent: int):
+    """Spanning links between the labels of a block: all its pairs of sets, by products of 0/1 rows over its items."""
+
+    def run(part: pa.Table) -> pa.Table:
+        _, first = np.unique(part.column("node").to_numpy(), return_index=True)
+        label, own = part.column("label").to_numpy()[first], part.column("own").to_numpy()[first]
+        pairs: list[tuple[int, int]] = []
+        if (label != label[0]).any():
+            items = part.column("items").combine_chunks()
+            sets = [items[int(k)].values.to_numpy() for k in first]
+            sizes = np.array([len(x) for x in sets])
+            shared = np.zeros((len(sets), len(sets)))
+            flat = np.concatenate(sets)
+            row = np.repeat(np.arange(len(sets)), sizes)
+            _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+            # items of one set only add nothing to an intersection
+            keep = seen[column] > 1
+            row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
+            for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+                here = (column >= at) & (column < at + 4096)
+                m = np.zeros((len(sets), 4096), np.float32)
+                m[row[here], column[here] - at] = 1
+                shared += m @ m.T
+            linked = shared * 100 >= percent * (sizes[:, None] + sizes[None, :] - shared)
+            one = part.column("i")[0].as_py() == part.column("j")[0].as_py()
+            linked = np.triu(linked & (label[:, None] != label[None, :]) & ((own[:, None] != own[None, :]) | one), 1)
+            union = _Union()
+            pairs = [(a, b) for a, b in ((int(label[x]), int(label[y])) for x, y in np.argwhere(linked)) if union.join(a, b)]
         return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _joined(known: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``known`` with the labels that the links in the blocks of ``placed`` make one."""
+    links = placed.join(sets, "node").groupBy("family", "i", "j").applyInArrow(_tested(percent), "a long, b long")
+    renamed = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return checkpointed(known.join(renamed, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+
+
 def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of their shingle sets.
 
@@ -289,28 +338,29 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int =
     Repeated rows share their decision; a text that comes under several ids counts under the smallest.
     """
     rows = checkpointed(signatures(documents, shingle))
-    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
-    classes = checkpointed(_with_rarity(classes))
-    keys = classes.select("node", "rarity", _keys().alias("key"))
-    buckets = checkpointed(keys.groupBy("key").agg(F.min_by("node", "rarity").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    members = checkpointed(keys.join(buckets, "key").select("key", "a", "n", F.col("node").alias("b")))
-    families = connected_components(_families(members, classes))
-    placed = families.join(classes.select("node", "doc_id", "digest"), "node").select("node", F.col("label").alias("family"), "doc_id", "digest")
-    placed = checkpointed(_in_blocks(placed, "family", "node", BLOCK))
-    links = _sets(documents, placed, shingle).groupBy("family", "i", "j").applyInArrow(_links(percent), "a long, b long")
-    labels = connected_components(links)
-
-    named = classes.join(labels, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
+    keys = classes.select("node", _keys().alias("key"))
+    members = checkpointed(keys.join(keys.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key"), "key"))
+    candidates = checkpointed(_with_rarity(classes).join(members.select("node").distinct(), "node"))
+    sets = stored(_sets(documents, candidates, shingle))
+    known = checkpointed(candidates.select("node", F.col("node").alias("label"), "rarity", "n", _as_longs().alias("longs")))
+    whole = candidates.select("node", _whole_keys().alias("key"))
+    for shared in (whole, members):
+        known = _joined(known, _stars(shared, known, percent), sets, percent)
+    known = _joined(known, _rest(members, known, percent), sets, percent)
+
+    named = classes.join(known.select("node", "label"), "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
     named = checkpointed(named)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = checkpointed(named.join(checkpointed(least), "label").select("digest", "component_id"))
-    out = rows.drop("sig").join(of, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    empty = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = rows.where("digest is not null").join(of, "digest", "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _sets(documents: DataFrame, placed: DataFrame, shingle: int) -> DataFrame:
-    """``placed`` with the items of each set, worked out again from the text that stands for it."""
+def _sets(documents: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+    """(node, items) of the candidates, worked out again from the text that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -319,15 +369,14 @@ def _sets(documents: DataFrame, placed: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(text, shingle, ids) for text in part.column("text").to_pylist()]
+                sets = [shingle_set(text, shingle, ids) for text in part.column(2).to_pylist()]
                 # an id may name several texts
-                right = [xxhash.xxh3_128_digest(x.tobytes()) == y for x, y in zip(sets, part.column("digest").to_pylist(), strict=True)]
+                right = [xxhash.xxh3_128_digest(x.tobytes()) == y for x, y in zip(sets, part.column(1).to_pylist(), strict=True)]
                 sets = [x if y else x[:0] for x, y in zip(sets, right, strict=True)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                names = ["family", "i", "j", "node", "own"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), items], [*names, "items"]).filter(pa.array(right, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0), items], ["node", "items"]).filter(pa.array(right, pa.bool_()))
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    joined = texts.join(placed, "doc_id").select("family", "i", "j", "node", "own", "digest", "text")
-    return joined.mapInArrow(run, "family long, i int, j int, node long, own int, items array<long>")
+    joined = texts.join(candidates.select("doc_id", "node", "digest"), "doc_id").select("node", "digest", "text")
+    return joined.mapInArrow(run, "node long, items array<long>")
