@@ -2,8 +2,10 @@
 
 Every text node has a root-to-leaf tag path. Per path, text length and punctuation are summed over its nodes and
 divided by their number; the ratios are smoothed over the paths in page order and fused; paths above a threshold
-are content. The element that holds nearly all content text is the article, and its blocks are the result,
-without parts whose tag, class, id or role names them as furniture.
+are content. Links do not count towards a path, and a furniture name among its classes lowers its ratios. The
+element that holds nearly all content text is the article; its blocks on content paths are the result, with a repair:
+headings, items and short paragraphs among them, and the rest of an article that the page declares, unless links or
+furniture names mark them. Tags and roles that mean furniture are left out before.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,61 +22,73 @@ from pyspark.sql import functions as F
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title xmp noembed noframes object canvas".split())
+RAW = frozenset("script style template iframe svg textarea title xmp noembed noframes canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("head nav footer aside form select button menu dialog fieldset legend optgroup option datalist audio video applet".split())
+PROSE = frozenset("p li dt dd td th pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
-_FURNITURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsbygoogle|adbox|adslot|banners?|sponsor(?:ed|s)?|promos?|promotions?|sidebars?|rail|menus?|navs?|navbar|navigation|breadcrumbs?|footers?|site-header|page-header|masthead|topbar|toolbar|cookies?|consent|notices?|gdpr|popups?|modals?|overlay|newsletter|subscribe|signup|paywall|share|sharing|social|related|recommended|recommendations|comments?|commentlist|comment-list|replies|reply|disqus|respond|discussion|widgets?|login|search|form|forms|skip|pagination|pager|copyright|legal|hidden|sr-only|outbrain|taboola)(?=$|[\s_-])",
-    re.I,
-)
-_IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = frozenset("ul ol dl table td th article section div main body html aside nav footer header form blockquote".split())
+#: Whole class tokens and ids that say furniture. They lower the ratios of a path and decide nothing alone.
+_NAMED = frozenset("ad ads advert adverts advertisement advertising sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies cookie-notice newsletter share sharing social related popup comments comment commentlist comment-list disqus".split())
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_SCOPE = frozenset("ul ol dl table tr td th article section div main body html aside nav footer header form blockquote".split())
 _HOLDERS = frozenset("html body main article section div td table tbody tr center blockquote root".split())
+_LISTS = frozenset("ul ol dl table tbody thead tr li dt dd td th".split())
 _MARKS = re.compile(r"[.,;:!?…。，、]")
+#: What a furniture name leaves of the ratios of the paths below it.
+NAMED_SHARE = 0.1
 
 
-@dataclass
 class Node:
-    tag: str
-    parent: Node | None
-    off: bool = False
-    body: bool = False
-    heading: bool = False
-    weight: float = 0.0
-    children: list[Node] = field(default_factory=list)
-
-
-def _furniture(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it says that it is the article."""
-    off, body = tag in FURNITURE or (tag == "header" and not inside_article), tag in ("article", "main")
+    """An open or closed element. ``ends`` has, for the tags that a later start tag can close, the innermost open one."""
+
+    __slots__ = ("tag", "parent", "path", "off", "body", "declared", "named", "ends", "weight", "size", "heading", "holds", "inside")
+
+    def __init__(self, tag: str, parent: Node | None, path: int):
+        self.tag, self.parent, self.path = tag, parent, path
+        self.off = self.body = self.declared = self.named = self.heading = self.holds = self.inside = False
+        self.ends: dict[str, Node] = {}
+        self.weight = self.size = 0.0
+
+
+def _read_attributes(node: Node, attrs: str) -> str:
+    """Mark the node by its attributes; returns what its class and id add to the path."""
+    label = ""
     if attrs and not attrs.isspace():
         for name, *values in _NAMES.findall(attrs):
             name, value = name.lower(), "".join(values).strip().lower()
             if name in ("class", "id"):
-                off = off or (tag not in ("html", "body", "article", "main") and bool(_FURNITURE_NAME.search(value)))
+                label += "." + value if name == "class" else ""
+                node.named = node.named or not _NAMED.isdisjoint(value.split())
             elif name == "role":
-                off, body = off or value in _ROLES, body or value in ("main", "article")
-            elif name == "hidden" or (name == "aria-hidden" and value == "true" and tag not in INLINE):
-                off = True
+                node.off, node.body = node.off or value in _ROLES, node.body or value in ("main", "article")
+            elif name == "hidden" or (name == "aria-hidden" and value == "true" and node.tag not in INLINE):
+                node.off = True
             elif name == "style":
-                off = off or "display:none" in value.replace(" ", "")
+                node.off = node.off or "display:none" in value.replace(" ", "")
             elif name == "itemprop":
-                body = body or value == "articlebody"
-    return off, body
+                node.body = node.body or value == "articlebody"
+    return label
 
 
-def parse(page: str) -> tuple[Node, list[tuple[int, Node, tuple[str, ...], str]]]:
-    """The root and the text pieces outside furniture: (block number, node, path, text)."""
-    root = node = Node("root", None)
-    path: tuple[str, ...] = ()
-    pieces, block, at, n = [], 0, 0, len(page)
+def parse(page: str) -> tuple[list[Node], list[tuple[int, Node, bool, str]]]:
+    """The elements, parents first, and the text pieces outside furniture: (block number, element, in a link, text).
+
+    A path is the number of (path of the parent, tag and classes), so it costs the same at every depth; inline
+    elements have the path of the block they stand in.
+    """
+    root = node = Node("root", None, 0)
+    nodes, paths = [root], {("", 0): 0}
+    open_tags: dict[str, int] = {}
+    pieces, block, at, n, links = [], 0, 0, len(page), 0
 
     def close(to: Node) -> None:
-        nonlocal node, path
-        while node is not to:
-            node, path = node.parent, path[:-1]
-        node, path = to.parent, path[:-1]
+        nonlocal node, links
+        while True:
+            open_tags[node.tag] -= 1
+            links -= node.tag == "a"
+            done, node = node is to, node.parent
+            if done:
+                return
 
     while at < n:
         lt = page.find("<", at)
@@ -84,7 +97,7 @@ def parse(page: str) -> tuple[Node, list[tuple[int, Node, tuple[str, ...], str]]
             lt = page.find("<", lt + 1)
         end = lt if m else n
         if end > at and not node.off:
-            pieces.append((block, node, path, page[at:end]))
+            pieces.append((block, node, links > 0, page[at:end]))
         if not m:
             break
         at = m.end()
@@ -95,10 +108,13 @@ def parse(page: str) -> tuple[Node, list[tuple[int, Node, tuple[str, ...], str]]
         if tag not in INLINE:
             block += 1
         if closing:
-            up = node
-            while up.parent is not None and up.tag != tag and not (tag == "p" and up.tag in _SCOPE):
-                up = up.parent
-            if up.parent is not None and up.tag == tag:
+            if tag == "p":
+                if "p" in node.ends:
+                    close(node.ends["p"])
+            elif open_tags.get(tag, 0):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
                 close(up)
             continue
         if tag in RAW:
@@ -106,83 +122,117 @@ def parse(page: str) -> tuple[Node, list[tuple[int, Node, tuple[str, ...], str]]
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = over.end() if over else n
             continue
-        if tag not in INLINE:  # a block ends the paragraph it stands in
-            up = node
-            while up.parent is not None and up.tag != "p" and up.tag not in _SCOPE:
-                up = up.parent
-            if up.tag == "p" and tag not in VOID:
-                close(up)
-        if tag in _IMPLIED:
-            up = node
-            while up.parent is not None and up.tag not in _IMPLIED[tag] and up.tag not in ("ul", "ol", "dl", "table"):
-                up = up.parent
-            if up.tag in _IMPLIED[tag]:
-                close(up)
+        if tag not in INLINE and tag not in VOID and "p" in node.ends:  # a block ends the paragraph it stands in
+            close(node.ends["p"])
+        for last in _ENDS.get(tag, ()):
+            if last in node.ends:
+                close(node.ends[last])
         if tag in VOID or attrs.rstrip().endswith("/"):
             continue
-        inside, up = False, node
-        while up is not None and not inside:
-            inside, up = up.tag in ("article", "main"), up.parent
-        off, body = _furniture(tag, attrs, inside)
-        child = Node(tag, node, node.off or off, body, tag in ("h1", "h2"))
-        node.children.append(child)
-        node, path = child, (*path, tag)
-    return root, pieces
-
-
-def _content(paths: list[tuple[str, ...]], texts: list[str]) -> set[tuple[str, ...]]:
-    """Paths whose smoothed and fused ratios of text length and punctuation reach the threshold."""
+        child = Node(tag, node, node.path)
+        child.off = tag in FURNITURE or (tag == "header" and not node.declared)
+        child.body = tag in ("article", "main")
+        label = _read_attributes(child, attrs)
+        child.off = child.off or node.off
+        child.declared = node.declared or child.body
+        child.heading = tag in ("h1", "h2")
+        if tag not in INLINE:
+            child.path = paths.setdefault((tag + label, node.path), len(paths))
+        if tag in ("ul", "ol", "dl", "table"):
+            child.ends = {}
+        elif tag in _ENDS or tag in _SCOPE:
+            child.ends = {k: v for k, v in node.ends.items() if k != "p"}
+        else:
+            child.ends = node.ends
+        if tag == "p" or tag in _ENDS:
+            child.ends = child.ends | {tag: child}
+        nodes.append(child)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        links += tag == "a"
+        node = child
+    return nodes, pieces
+
+
+def _content(paths: list[int], texts: list[str], shares: list[float]) -> tuple[set[int], dict[int, float]]:
+    """Paths whose smoothed and fused ratios of text length and punctuation reach the threshold, and the ratios. ``shares``
+    is the part of each text that counts: links do not, furniture names leave NAMED_SHARE."""
     order = {p: k for k, p in enumerate(dict.fromkeys(paths))}
-    sums = np.zeros((3, len(order)))
-    for p, t in zip(paths, texts, strict=True):
-        sums[:, order[p]] += (len(t), len(_MARKS.findall(t)), 1)
+    sums = np.zeros((4, len(order)))
+    for p, t, share in zip(paths, texts, shares, strict=True):
+        sums[:, order[p]] += (len(t), len(_MARKS.findall(t)), 1, share * len(t))
     ratios = sums[:2] / sums[2]
     kernel = np.exp(-0.5 * np.arange(-1, 2) ** 2 / 0.4**2)
     smooth = np.array([np.convolve(np.pad(r, 1, "edge"), kernel / kernel.sum(), "valid") for r in ratios])
-    fused = smooth[0] * np.log1p(smooth[1]) + 0.01 * smooth[0]
+    fused = (smooth[0] * np.log1p(smooth[1]) + 0.01 * smooth[0]) * sums[3] / sums[0]
     share = fused * sums[0] / max(1.0, sums[0].sum())
     limit = min(fused.std(), fused[share.argmax()])
-    return {p for p, k in order.items() if fused[k] >= limit}
+    return {p for p, k in order.items() if fused[k] >= limit and fused[k] > 0}, {p: float(fused[k]) for p, k in order.items()}
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line, references decoded and white space collapsed; empty if there are none."""
     if not page:
         return ""
-    root, pieces = parse(page)
-    pieces = [p for p in pieces if not p[1].off]
+    nodes, pieces = parse(page)
     blocks: dict[int, list] = {}
-    for block, node, path, text in pieces:
-        blocks.setdefault(block, []).append((node, path, text))
+    for block, node, link, text in pieces:
+        blocks.setdefault(block, []).append((node, link, text))
     rows = []
     for parts in blocks.values():
         text = " ".join(html.unescape("".join(t for _, _, t in parts)).split())
         if text:
-            rows.append((parts[0][0], max(parts, key=lambda x: len(x[2]))[1], text))
+            own = parts[0][0]
+            while own.tag in INLINE:
+                own = own.parent
+            linked = sum(len(t.strip()) for _, link, t in parts if link) / max(1, sum(len(t.strip()) for _, _, t in parts))
+            rows.append((own, 1 - min(1.0, linked), text))
     if not rows:
         return ""
-    content = _content([p for _, p, _ in rows], [t for _, _, t in rows])
-    for node, path, text in rows:
-        up = node
-        while up is not None:
-            up.weight += len(text) if path in content else 0
-            up.heading = up.heading or node.heading
-            up = up.parent
-    at = root
+    for node, _, text in rows:
+        node.size += len(text)
+    for node in reversed(nodes[1:]):
+        node.parent.size += node.size
+        node.parent.holds = node.parent.holds or node.holds or (node.body and not node.off)
+    for node in nodes[1:]:  # a name never marks what holds an article or most of the text
+        node.named = node.parent.named or (node.named and not (node.body or node.holds or node.size > 0.5 * nodes[0].size))
+    shares = [share * (NAMED_SHARE if node.named else 1) for node, share, _ in rows]
+    content, fused = _content([node.path for node, _, _ in rows], [t for _, _, t in rows], shares)
+    for node, _, text in rows:
+        node.weight += len(text) if node.path in content else 0
+    children: dict[int, list[Node]] = {}
+    for node in reversed(nodes[1:]):
+        node.parent.weight += node.weight
+        node.parent.heading = node.parent.heading or node.heading
+        children.setdefault(id(node.parent), []).append(node)
+    at = nodes[0]
     while not at.body:
-        inner = [c for c in at.children if not c.off and (c.body or c.tag in _HOLDERS)]
-        best = max(inner, key=lambda c: (c.weight, c.body), default=None)
-        if best is None or best.weight < 0.75 * at.weight or (not best.body and at.heading and not best.heading):
+        inner = [c for c in reversed(children.get(id(at), [])) if not c.off and (c.body or c.tag in _HOLDERS)]
+        declared = [c for c in inner if c.body and c.weight >= 0.25 * at.weight]
+        best = max(declared if len(declared) == 1 else inner, key=lambda c: (c.weight, c.body), default=None)
+        if best is None or best.weight < (0.25 if len(declared) == 1 else 0.75) * at.weight or (not best.body and at.heading and not best.heading):
             break
         at = best
-    out = []
-    for node, _, text in rows:
+    at.inside = True
+    for node in nodes:
+        node.inside = node.inside or (node.parent is not None and node.parent.inside)
+    rows = [r for r in rows if r[0].inside]
+    chosen = [k for k, (node, _, _) in enumerate(rows) if node.path in content]
+    beside = {id(rows[k][0].parent) for k in chosen} | {id(rows[k][0]) for k in chosen}
+
+    def repaired(k: int, node: Node, share: float) -> bool:
+        """Whether a block below the threshold belongs to the chosen ones: part of an article that the page declares, or
+        prose among or right beside them."""
+        if node.named or share < 0.5 or not chosen:
+            return False
+        if at.body:
+            return True
         up = node
-        while up is not None and up is not at:
+        while up.tag in _LISTS and up.parent is not None:
             up = up.parent
-        if up is at:
-            out.append(text)
-    return "\n".join(out)
+        home = up if up is not node else node.parent
+        return node.tag in PROSE and (chosen[0] < k < chosen[-1] or id(home) in beside)
+
+    return "\n".join(t for k, (node, share, t) in enumerate(rows) if node.path in content or repaired(k, node, share))
 
 
 def extract(pages: DataFrame) -> DataFrame:
