@@ -1,15 +1,14 @@
 """Personal data: patterns, then terms that give a protected entity away by corpus co-occurrence.
 
 A term t reveals an entity e by their pointwise mutual information, log(N n(e,t) / (n(e) n(t))), which is at most
-e's own information log(N / n(e)). Terms in the window round a mention of e whose share of that information
-reaches ``disclosure`` in at least ``support`` different texts are spans of kind ``term`` too, and are
-generalised on output. Counts are of texts, over the whole corpus.
+e's own information log(N / n(e)). Terms whose share of that information reaches ``disclosure``, in at least
+``support`` different texts that hold both, are spans of kind ``term`` wherever they stand in a text that holds the
+entity, and are generalised on output. All four counts are of different texts, over the whole corpus.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,15 +19,14 @@ from pyspark.sql import functions as F
 from .common import checkpointed, stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention whose link with it is measured.
-WINDOW = 4
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a match never starts inside a run of digits: from the run's start the same text would match or fail
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{4,}")
+#: Terms: words, names and codes of two letters or digits up, lower-cased one by one.
+_TERM = re.compile(r"[^\W_]{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -77,49 +75,40 @@ def _entity(text: str, span: tuple[int, int, str]) -> str:
     return span[2] + ":" + (value if span[2] in ("email", "ip") else "".join(c for c in value if c.isdigit()))
 
 
-def _read(documents: DataFrame) -> DataFrame:
-    """One table of three kinds of row: a document with its base spans; a (mention, term) with the term's span; a
-    term with the number of texts of the batch that hold it."""
+def _read(texts: DataFrame) -> DataFrame:
+    """Of (text_hash, text): a row for each text, with its base spans and, where it has any, its entities and its terms with
+    their places; and rows of (term, number of texts of the batch that hold it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        word = pa.struct([("term", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
         for batch in batches:
-            docs: list[tuple] = []
-            pairs: list[tuple] = []
+            base, entities, places = [], [], []
             counts: Counter = Counter()
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                of = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+            for text in batch.column(1).to_pylist():
                 spans = base_spans(text)
-                docs.append((doc, of, ",".join(f"{k}:{a}:{b}" for a, b, k in spans)))
-                low = text.lower()
-                words = set(_WORD.findall(low))
-                counts.update(words)
-                if spans and len(low) == len(text):
-                    clear = _uncovered([(m.start(), m.end()) for m in _WORD.finditer(low)], spans)
-                    begins = [a for a, _ in clear]
-                    for span in spans:
-                        i = bisect_left(begins, span[0])
-                        for a, b in clear[max(0, i - WINDOW) : i + WINDOW]:
-                            pairs.append((doc, of, _entity(text, span), low[a:b], a, b))
-            n, m, t = len(docs), len(pairs), len(counts)
-            d, p = list(zip(*docs, strict=True)) or [[]] * 3, list(zip(*pairs, strict=True)) or [[]] * 6
+                base.append(",".join(f"{k}:{a}:{b}" for a, b, k in spans))
+                entities.append(sorted({_entity(text, span) for span in spans}))
+                words = _uncovered([(m.start(), m.end()) for m in _TERM.finditer(text)], spans) if spans else []
+                places.append([{"term": text[a:b].lower(), "a": a, "b": b} for a, b in words])
+                counts.update({w.lower() for w in set(_TERM.findall(text))})
+            n, t = len(base), len(counts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(d[0], pa.int64()), pa.array(p[0], pa.int64()), pa.nulls(t, pa.int64())]),
-                    pa.concat_arrays([pa.array(d[1], pa.binary()), pa.array(p[1], pa.binary()), pa.nulls(t, pa.binary())]),
-                    pa.concat_arrays([pa.array(d[2], pa.string()), pa.nulls(m + t, pa.string())]),
-                    pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(p[2], pa.string()), pa.nulls(t, pa.string())]),
-                    pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(p[3], pa.string()), pa.array(list(counts), pa.string())]),
-                    pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(p[4], pa.int32()), pa.nulls(t, pa.int32())]),
-                    pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(p[5], pa.int32()), pa.array(list(counts.values()), pa.int32())]),
+                    pa.concat_arrays([batch.column(0), pa.nulls(t, pa.binary())]),
+                    pa.array(base + [None] * t, pa.string()),
+                    pa.array(entities + [None] * t, pa.list_(pa.string())),
+                    pa.array(places + [None] * t, pa.list_(word)),
+                    pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(list(counts), pa.string())]),
+                    pa.array([None] * n + list(counts.values()), pa.int64()),
                 ],
-                ["doc_id", "of", "base", "entity", "term", "a", "b"],
+                ["text_hash", "base", "entities", "places", "term", "n"],
             )
 
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, of binary, base string, entity string, term string, a int, b int")
+    return texts.mapInArrow(run, "text_hash binary, base string, entities array<string>, places array<struct<term:string,a:int,b:int>>, term string, n long")
+
+
+def _hash(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def _uncovered(words: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -134,36 +123,49 @@ def _uncovered(words: list[tuple[int, int]], spans: list[tuple[int, int, str]])
     return out
 
 
+def _found(documents: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """(text_hash, base, spans) for every different text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = documents.select(_hash(F.col("text")).alias("text_hash"), text.alias("text")).groupBy("text_hash").agg(F.first("text").alias("text"))
+    rows = stored(_read(texts))
+    docs = rows.where("base is not null").select("text_hash", "base", "entities", "places")
+    n = float(max(1, docs.count()))
+    some = docs.where("size(entities) > 0")
+    of = some.select("text_hash", F.explode("entities").alias("entity"))
+    # an entity in fewer texts cannot reach the support with any term
+    entities = checkpointed(of.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
+    known = checkpointed(of.join(entities, "entity", "left_semi"))
+    terms = some.select("text_hash", F.explode(F.array_distinct(F.col("places.term"))).alias("term"))
+    pairs = known.join(terms, "text_hash").select("text_hash", "entity", "term")
+    together = checkpointed(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
+    held = rows.where("term is not null").join(together.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+    information = F.log(F.lit(n) / F.col("n_entity"))
+    mutual = F.log(F.lit(n) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
+    telling = together.join(entities, "entity").join(held, "term").where((mutual >= disclosure * information) & (information > 0))
+    telling = checkpointed(telling.select("entity", "term"))
+    mine = pairs.join(telling, ["entity", "term"], "left_semi").groupBy("text_hash").agg(F.collect_set("term").alias("terms"))
+    both = docs.join(mine, "text_hash", "left")
+    parts = F.filter(F.split("base", ","), lambda x: x != "")
+    order = F.array(*map(F.lit, KINDS))
+    base = F.transform(parts, lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("a"), F.array_position(order, F.split(x, ":")[0]).cast("int").alias("k"), F.split(x, ":")[2].cast("int").alias("b"), F.split(x, ":")[0].alias("kind")))
+    none = F.array().cast("array<struct<term:string,a:int,b:int>>")
+    telling_places = F.coalesce(F.filter("places", lambda x: F.array_contains("terms", x["term"])), none)
+    extra = F.transform(telling_places, lambda x: F.struct(x["a"].alias("a"), F.lit(9).alias("k"), x["b"].alias("b"), F.lit("term").alias("kind")))
+    joined = F.array_join(F.transform(F.sort_array(F.concat(base, extra)), lambda x: F.concat_ws(":", x["kind"], x["a"], x["b"])), ",")
+    return both.select("text_hash", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(joined).alias("spans"))
+
+
 def find_personal_data(documents: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFrame:
     """(doc_id, text_hash, base, spans) for every row: base and all spans as ``kind:start:end``, by start,
     comma-joined, in code points.
 
-    Null texts count as empty and have no spans. Rows are told apart by (doc_id, text), so repeated ids keep the
-    spans of their own text, and repeated rows get equal results; a null id is an id of its own. Texts count once
-    towards the corpus however many rows repeat them, except in the number of texts that hold a term.
+    Null texts count as empty and have no spans. Every different text is searched and counted once, however many
+    rows repeat it, and its spans go to all of them; ids play no part, so null and repeated ids are like any other.
+    A term is a run of two or more letters and digits outside the base spans; single characters are none.
     """
-    rows = stored(_read(documents))
-    docs = rows.where("base is not null").select("doc_id", "of", "base")
-    pairs = rows.where("entity is not null")
-    together = pairs.groupBy("entity", "term").agg(F.countDistinct("of").alias("both")).where(F.col("both") >= support)
-    together = checkpointed(together)
-    entities = pairs.select("entity", "of").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = rows.where("entity is null and term is not null").join(together.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("b").alias("n_term"))
-    n = docs.count()
-    information = F.log(F.lit(float(max(n, 1))) / F.col("n_entity"))
-    mutual = F.log(F.lit(float(max(n, 1))) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
-    telling = together.join(entities, "entity").join(terms, "term").where((mutual >= disclosure * information) & (information > 0)).select("entity", "term")
-    telling = checkpointed(telling)
-    more = pairs.join(telling, ["entity", "term"], "left_semi").select("doc_id", "of", "a", "b").distinct()
-    more = more.groupBy("doc_id", "of").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("terms"))
-    key = [docs["doc_id"].eqNullSafe(more["doc_id"]), docs["of"] == more["of"]]
-    both = docs.join(more, key[0] & key[1], "left").select(docs["doc_id"], docs["of"].alias("text_hash"), "base", "terms")
-    parts = F.filter(F.split("base", ","), lambda x: x != "")
-    order = F.array(*map(F.lit, KINDS))
-    base = F.transform(parts, lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("a"), F.array_position(order, F.split(x, ":")[0]).cast("int").alias("k"), F.split(x, ":")[2].cast("int").alias("b"), F.split(x, ":")[0].alias("kind")))
-    extra = F.transform(F.coalesce("terms", F.array().cast("array<struct<a:int,b:int>>")), lambda x: F.struct(x["a"].alias("a"), F.lit(9).alias("k"), x["b"].alias("b"), F.lit("term").alias("kind")))
-    joined = F.array_join(F.transform(F.sort_array(F.concat(base, extra)), lambda x: F.concat_ws(":", x["kind"], x["a"], x["b"])), ",")
-    return both.select("doc_id", "text_hash", "base", joined.alias("spans"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _hash(F.col("text")).alias("text_hash"))
+    found = checkpointed(_found(documents, disclosure, support))
+    return rows.join(found, "text_hash").select("doc_id", "text_hash", "base", "spans")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -179,34 +181,28 @@ def digest(found: DataFrame) -> DataFrame:
 def sanitise(documents: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFrame:
     """``documents`` with every span replaced by ``[KIND]``, where spans overlap by the kind of the first;
     n_chars, if there, follows the new text. Rows without spans are unchanged; no row is lost."""
-    found = find_personal_data(documents, disclosure, support).where("spans != ''")
-    # one row for each id: the spans of each text that comes under it
-    by_id = found.dropDuplicates(["doc_id", "text_hash"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.hex("text_hash"), "spans"))).alias("_spans"))
-    by_id = checkpointed(by_id.select(F.col("doc_id").alias("_doc"), "_spans"))
-    joined = documents.join(by_id, documents["doc_id"].cast("long").eqNullSafe(by_id["_doc"]), "left").drop("_doc")
+    found = checkpointed(_found(documents, disclosure, support).where("spans != ''").select("text_hash", F.col("spans").alias("_spans")))
     names = documents.columns
+    columns = [F.col(f"`{c}`") for c in names]
+    joined = documents.select(*columns, _hash(F.col("text")).alias("_hash")).join(found, F.col("_hash") == found["text_hash"], "left").select(*columns, "_spans")
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             texts = batch.column(at).to_pylist()
             lengths = batch.column(size).to_pylist() if size is not None else []
             for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans and texts[k]:
-                    mine = dict(spans).get(xxhash.xxh3_128_digest(texts[k].encode("utf-8", "surrogatepass")).hex().upper())
-                    if mine:
-                        texts[k] = masked(texts[k], mine)
-                        if size is not None:
-                            lengths[k] = len(texts[k])
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
+                if spans:
+                    texts[k] = masked(texts[k], spans)
+                    if size is not None:
+                        lengths[k] = len(texts[k])
+            out = list(batch.columns[:-1])
+            out[at] = pa.array(texts, pa.string())
             if size is not None:
-                columns[size] = pa.array(lengths, columns[size].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+                out[size] = pa.array(lengths, out[size].type)
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return joined.select(*[f"`{c}`" for c in names], "_spans").mapInArrow(run, documents.schema)
+    return joined.mapInArrow(run, documents.schema)
 
 
 def masked(text: str, spans: str) -> str:
