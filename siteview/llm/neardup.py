@@ -11,7 +11,8 @@ Buckets never emit all their pairs. Two rounds test each member with one member
 buckets of whole chunks, then in all, and contract what the full sets confirm; pairs inside a component are never
 looked at again. Buckets that still hold several components are searched for signatures within distance FAR, which
 join components to families; in a family the sets outside its largest component meet each other and that component
-in blocks of BLOCK, and every pair of sets is tested in the block's task. Nothing is capped.
+in blocks of BLOCK, and every pair of sets is tested in the block's task. Nothing is capped. All joins are merge joins:
+what they join grows with the input, so none of it is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -128,12 +129,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     Joins are on checkpointed tables, so that Spark can split the many links of one node over tasks.
     """
     edges = checkpointed(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        heard = edges.join(labels, edges.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
-        hooked = checkpointed(labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was")))
+        heard = edges.join(labels.hint("merge"), edges.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
+        hooked = checkpointed(labels.join(heard.hint("merge"), "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was")))
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = checkpointed(hooked.join(up, "label").select("node", F.col("above").alias("label"), "was"))
+        jumped = checkpointed(hooked.join(up.hint("merge"), "label").select("node", F.col("above").alias("label"), "was"))
         changed = jumped.where(F.col("label") != F.col("was")).limit(1).count()
         labels = jumped.select("node", "label")
         if not changed:
@@ -188,28 +191,28 @@ def _alike(percent: int) -> Column:
 
 def _stars(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Blocks (family, i, j) of members with the one that stands for their bucket, of buckets of several labels."""
-    of = checkpointed(members.join(known.select("node", "label", "rarity"), "node"))
-    pairs = of.join(_mixed(of), "key").where("label <> a_label").select("a", "node").distinct()
+    of = checkpointed(members.join(known.select("node", "label", "rarity").hint("merge"), "node"))
+    pairs = of.join(_mixed(of).hint("merge"), "key").where("label <> a_label").select("a", "node").distinct()
     one = known.select(F.col("node").alias("a"), F.col("longs").alias("x"), "n")
     two = known.select("node", F.col("longs").alias("y"), F.col("n").alias("m"))
-    pairs = checkpointed(pairs.join(one, "a").join(two, "node").where(_alike(percent)).select("a", "node"))
+    pairs = checkpointed(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "node").where(_alike(percent)).select("a", "node"))
     sizes = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
-    dealt = pairs.join(sizes, "a").select(F.col("a").alias("family"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), "node")
+    dealt = pairs.join(sizes.hint("merge"), "a").select(F.col("a").alias("family"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), "node")
     centres = sizes.select(F.col("a").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("a").alias("node"))
-    return dealt.union(centres).select("family", "i", F.col("i").alias("j"), F.col("i").alias("own"), "node").join(known.select("node", "label"), "node")
+    return dealt.union(centres).select("family", "i", F.col("i").alias("j"), F.col("i").alias("own"), "node").join(known.select("node", "label").hint("merge"), "node")
 
 
 def _rest(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Blocks (family, i, j) of what the stars left apart: labels that signatures within FAR join in some bucket are
     one family. Blocks below 0 hold its largest label; they meet the others, which also meet each other."""
-    of = members.join(known.select("node", "label", "rarity", "n", "longs"), "node")
-    left = checkpointed(of.join(_mixed(of).select("key"), "key", "left_semi").select("key", "node", "label", "n", "longs"))
+    of = members.join(known.select("node", "label", "rarity", "n", "longs").hint("merge"), "node")
+    left = checkpointed(of.join(_mixed(of).select("key").hint("merge"), "key", "left_semi").select("key", "node", "label", "n", "longs"))
     family = connected_components(_near_labels(left, percent)).select(F.col("node").alias("label"), F.col("label").alias("family"))
-    rows = checkpointed(known.join(family, "label").select("family", "label", "node"))
+    rows = checkpointed(known.join(family.hint("merge"), "label").select("family", "label", "node"))
     counts = rows.groupBy("family", "label").agg(F.count("*").alias("m"))
     sizes = counts.groupBy("family").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.max("m").alias("large"), F.sum("m").alias("all"))
     sizes = sizes.select("family", "largest", F.ceil(F.col("large") / BLOCK).cast("int").alias("large"), F.ceil((F.col("all") - F.col("large")) / BLOCK).cast("int").alias("small"))
-    rows = rows.join(checkpointed(sizes), "family")
+    rows = rows.join(checkpointed(sizes).hint("merge"), "family")
     inside = F.col("label") == F.col("largest")
     own = F.when(inside, -1 - F.pmod(F.xxhash64("node"), F.col("large"))).otherwise(F.pmod(F.xxhash64("node"), F.col("small"))).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(inside, 0).otherwise(-F.col("large")), F.col("small") - 1)))
@@ -240,7 +243,7 @@ def _near_labels(left: DataFrame, percent: int) -> DataFrame:
     Buckets of many members are searched in pairs of blocks; what a task has joined it does not compare again."""
     size = 4 * BLOCK
     counts = checkpointed(left.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).where("blocks > 1"))
-    rows = left.join(counts, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = left.join(counts.hint("merge"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "n", "longs")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -324,9 +327,9 @@ def _tested(percent: int):
 
 def _joined(known: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``known`` with the labels that the links in the blocks of ``placed`` make one."""
-    links = placed.join(sets, "node").groupBy("family", "i", "j").applyInArrow(_tested(percent), "a long, b long")
+    links = placed.join(sets.hint("merge"), "node").groupBy("family", "i", "j").applyInArrow(_tested(percent), "a long, b long")
     renamed = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return checkpointed(known.join(renamed, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+    return checkpointed(known.join(renamed.hint("merge"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
 
 
 def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -341,8 +344,8 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int =
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     keys = classes.select("node", _keys().alias("key"))
-    members = checkpointed(keys.join(keys.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key"), "key"))
-    candidates = checkpointed(_with_rarity(classes).join(members.select("node").distinct(), "node"))
+    members = checkpointed(keys.join(keys.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key").hint("merge"), "key"))
+    candidates = checkpointed(_with_rarity(classes).join(members.select("node").distinct().hint("merge"), "node"))
     sets = stored(_sets(documents, candidates, shingle))
     known = checkpointed(candidates.select("node", F.col("node").alias("label"), "rarity", "n", _as_longs().alias("longs")))
     whole = candidates.select("node", _whole_keys().alias("key"))
@@ -350,12 +353,12 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int =
         known = _joined(known, _stars(shared, known, percent), sets, percent)
     known = _joined(known, _rest(members, known, percent), sets, percent)
 
-    named = classes.join(known.select("node", "label"), "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
+    named = classes.join(known.select("node", "label").hint("merge"), "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
     named = checkpointed(named)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = checkpointed(named.join(checkpointed(least), "label").select("digest", "component_id"))
+    of = checkpointed(named.join(checkpointed(least).hint("merge"), "label").select("digest", "component_id"))
     empty = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = rows.where("digest is not null").join(of, "digest", "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    out = rows.where("digest is not null").join(of.hint("merge"), "digest", "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -378,5 +381,5 @@ def _sets(documents: DataFrame, candidates: DataFrame, shingle: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), items], ["node", "items"]).filter(pa.array(right, pa.bool_()))
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    joined = texts.join(candidates.select("doc_id", "node", "digest"), "doc_id").select("node", "digest", "text")
+    joined = texts.join(candidates.select("doc_id", "node", "digest").hint("merge"), "doc_id").select("node", "digest", "text")
     return joined.mapInArrow(run, "node long, items array<long>")
