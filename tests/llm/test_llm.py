@@ -210,12 +210,55 @@ def test_terms_that_reveal_an_entity(spark):
     for r in pii.find_personal_data(table).collect():
         text = rows[r.doc_id][1] if r.doc_id < 100 else ""
         terms = {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"}
-        assert terms == ({"zanzibar"} if r.doc_id < 100 else set())
+        # the whole text counts: "note" stands only in texts that hold the address
+        assert terms == ({"zanzibar", "note"} if r.doc_id < 100 else set())
     out = {r.doc_id: r for r in pii.sanitise(table).collect()}
-    assert out[0].text == "note apples the captain [TERM] mails [EMAIL] about apples and the cargo" and out[0].n_chars == len(out[0].text)
+    assert out[0].text == "[TERM] apples the captain [TERM] mails [EMAIL] about apples and the cargo" and out[0].n_chars == len(out[0].text)
     assert out[101].text == rows[6][1]
 
 
+def brute_terms(rows, disclosure=0.9, support=3):
+    """{text: added spans} by counting over different texts."""
+    texts = {t or "" for _, t, *_ in rows}
+    holds, words = {}, {}
+    for t in texts:
+        spans = pii.base_spans(t)
+        holds[t] = {pii._entity(t, s) for s in spans}
+        words[t] = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", t) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+    has = {t: {m.lower() for m in re.findall(r"[^\W_]{2,}", t)} for t in texts}
+    out = {t: set() for t in texts}
+    for e in set().union(*holds.values()):
+        of = [t for t in texts if e in holds[t]]
+        for w in {t[a:b].lower() for t in of for a, b in words[t]}:
+            both = sum(w in {t[a:b].lower() for a, b in words[t]} for t in of)
+            n_t = sum(w in has[t] for t in texts)
+            if both >= support and len(of) < len(texts) and math.log(len(texts) * both / (len(of) * n_t)) >= disclosure * math.log(len(texts) / len(of)):
+                for t in of:
+                    out[t] |= {f"term:{a}:{b}" for a, b in words[t] if t[a:b].lower() == w}
+    return out
+
+
+def test_terms_against_brute_force_with_copies(spark):
+    rng = np.random.default_rng(4)
+    common, people = [f"w{k}" for k in range(60)], [("ann@x.org", "Ann", "acct77"), ("192.168.0.7", "Kim", "LEE"), ("bo@y.net", "İzmir", "q9")]
+    rows = []
+    for k in range(90):
+        body = [common[i] for i in rng.integers(0, 60, 25)]
+        if k % 3 == 0:
+            address, *hints = people[k // 3 % 3]
+            body = [hints[0], *body[:12], address, *body[12:], *hints]
+        rows.append((k, " ".join(body), "en", "s", 0))
+    rows += [(200 + k, rows[0][1], "en", "s", 0) for k in range(60)] + [(None, rows[3][1], None, None, None), (None, None, None, None, None), (3, "", None, None, None)]
+    want = brute_terms(rows)
+    assert sum(map(bool, want.values())) > 25
+    got = pii.find_personal_data(spark.createDataFrame(rows, DOC)).collect()
+    assert len(got) == len(rows)
+    text_of = {hashlib.md5((t or "").encode()).digest(): t or "" for _, t, *_ in rows}
+    for r in got:
+        text = text_of[bytes(r.text_hash)]
+        assert {s for s in r.spans.split(",") if s.startswith("term")} == want[text] and r.base == brute_spans(text)
+
+
 # 3, 10
 
 
@@ -421,11 +464,36 @@ def test_main_text():
     assert html_text.main_text(page).split("\n") == ["Title & more", "First paragraph, with bold text.", "Second one; a <tag>.", "Item one", "Item two"]
     plain = "<body><div id=menu><a>A</a></div><div id=main><h2>Head</h2><p>Some text, long enough to count.</p><p>More text, as long again.</p></div><div id=footer>x</div>"
     assert html_text.main_text(plain) == "Head\nSome text, long enough to count.\nMore text, as long again."
+    long = "This is a long paragraph of the article, with several clauses, and it goes on for quite some time; it says things. It says more, at length."
+    menu = "<div><a href=/>Home</a>, <a href=/s>Shop</a>, <a href=/c>Contact us</a></div><div>Buy cheap shoes now</div>"
+    for body in (f"{menu}<div><h1>A title</h1><p>{long}<p>{long}<p>Short.<ul><li>One<li>Two</ul></div><div><div>I disagree with this.</div></div>", f"{menu}<h1>A title</h1><p>{long}<p>{long}<p>Short.<ul><li>One<li>Two</ul><div>I disagree with this.</div>"):
+        assert html_text.main_text(f"<body>{body}</body>").split("\n") == ["A title", long, long, "Short.", "One", "Two"]
+    for name in ("related-work", "notice-board", "legal", "site has-sidebar", "sidebar", "no-sidebar"):
+        inner = f"<article><h1>A title</h1><p>{long}</p><div class='{name}-x'>See Smith, 2010.</div><section class='{name}-x'><p>{long}</p></section></article>"
+        assert html_text.main_text(f"<body><nav>Home</nav><div class='{name}'>{inner}</div></body>").split("\n") == ["A title", long, "See Smith, 2010.", long]
+    assert html_text.main_text("<article><math><mi>x</mi></math><p>and text</p><noscript>too</noscript></article>") == "x\nand text\ntoo"
     for odd in (None, "", "<", "<p", "<!-- x", "<script>x", "text only", "a < b & c &am", "<" * 5000, "<div>" * 3000 + "deep", "<a x='" * 300):
         assert isinstance(html_text.main_text(odd), str)
     assert html_text.main_text("a < b &amp; c") == "a < b & c"
 
 
+def test_deep_markup_takes_linear_time():
+    import time
+
+    for unit in ("<div>", "<div>a <b>x", "<ul><li><p>a</i>"):
+        start = time.time()
+        html_text.main_text(unit * 100_000)
+        assert time.time() - start < 60
+
+
+def test_pages_take_odd_rows_and_an_empty_table(spark):
+    schema = "page_id long, url string, html string, text int"
+    rows = [(None, None, None, 1), (1, "u", "", 2), (1, "u", "<p>Twice, as it stands.", 3), (1, "u", "<p>Twice, as it stands.", 3)]
+    got = html_text.extract(spark.createDataFrame(rows, schema)).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(None, None, "", 0), (1, "u", "", 0), (1, "u", "Twice, as it stands.", 20), (1, "u", "Twice, as it stands.", 20)])
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = {r.page_id: r for r in html_text.extract(pages).collect()}
