@@ -40,7 +40,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:  # only a memo
+        if len(self) > 100_000:  # only a memo
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -81,11 +81,12 @@ def signatures(documents: DataFrame, shingle: int = 2) -> DataFrame:
         ids, by = WordIds(), _multipliers()
         for batch in batches:
             n, digest, sig = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, shingle, ids)
-                n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(_signature(s, by) if len(s) else None)
+            for at in range(0, batch.num_rows, 500):
+                for text in batch.column(1).slice(at, 500).to_pylist():
+                    s = shingle_set(text, shingle, ids)
+                    n.append(len(s))
+                    digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    sig.append(_signature(s, by) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
                 ["doc_id", "n_shingles", "digest", "sig"],

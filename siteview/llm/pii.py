@@ -81,28 +81,25 @@ def _read(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = pa.struct([("term", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
+        names = ["text_hash", "base", "entities", "places", "term", "n"]
         for batch in batches:
-            base, entities, places = [], [], []
             counts: Counter = Counter()
-            for text in batch.column(1).to_pylist():
-                spans = base_spans(text)
-                base.append(",".join(f"{k}:{a}:{b}" for a, b, k in spans))
-                entities.append(sorted({_entity(text, span) for span in spans}))
-                words = _uncovered([(m.start(), m.end()) for m in _TERM.finditer(text)], spans) if spans else []
-                places.append([{"term": text[a:b].lower(), "a": a, "b": b} for a, b in words])
-                counts.update({w.lower() for w in set(_TERM.findall(text))})
-            n, t = len(base), len(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0), pa.nulls(t, pa.binary())]),
-                    pa.array(base + [None] * t, pa.string()),
-                    pa.array(entities + [None] * t, pa.list_(pa.string())),
-                    pa.array(places + [None] * t, pa.list_(word)),
-                    pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(list(counts), pa.string())]),
-                    pa.array([None] * n + list(counts.values()), pa.int64()),
-                ],
-                ["text_hash", "base", "entities", "places", "term", "n"],
-            )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                base, entities, places = [], [], []
+                for text in part.column(1).to_pylist():
+                    spans = base_spans(text)
+                    base.append(",".join(f"{k}:{a}:{b}" for a, b, k in spans))
+                    entities.append(sorted({_entity(text, span) for span in spans}))
+                    words = _uncovered([(m.start(), m.end()) for m in _TERM.finditer(text)], spans) if spans else []
+                    places.append([{"term": text[a:b].lower(), "a": a, "b": b} for a, b in words])
+                    counts.update({w.lower() for w in set(_TERM.findall(text))})
+                n = part.num_rows
+                columns = [part.column(0), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(places, pa.list_(word)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            t = len(counts)
+            columns = [pa.nulls(t, pa.binary()), pa.nulls(t, pa.string()), pa.nulls(t, pa.list_(pa.string())), pa.nulls(t, pa.list_(word)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.mapInArrow(run, "text_hash binary, base string, entities array<string>, places array<struct<term:string,a:int,b:int>>, term string, n long")
 

@@ -139,7 +139,7 @@ class Tagger:
     def emission(self, word: str) -> float:
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) > 1_500_000:
+            if len(self.memo) > 200_000:
                 self.memo.clear()
             w = self.weights
             got = self.memo[word] = float(sum(w[f] for f in _features(word.lower())))
@@ -225,8 +225,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, thre
         full[sparse] = values
         own = Tagger(full, trans)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2500):
-                part = batch.slice(at, 2500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 texts = [t or "" for t in part.column(2).to_pylist()]
                 p, sizes = own.marginals([TOKEN.findall(t) for t in texts])
                 ends = np.cumsum(sizes)
@@ -258,8 +258,8 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, folds: int = 5, thresh
         full[sparse] = values
         own = Tagger(full, trans)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2500):
-                part = batch.slice(k, 2500)
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
                 p, sizes = own.marginals([TOKEN.findall(t or "") for t in part.column(at).to_pylist()])
                 worst = np.zeros(part.num_rows)
                 if len(p):
