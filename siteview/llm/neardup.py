@@ -32,6 +32,8 @@ SYMBOLS = CHUNKS * WIDTH
 FAR = 30
 #: Sets of a block; a family of more meets block by block.
 BLOCK = 256
+#: Central members of its buckets that a member is tested with before the search.
+CENTRES = 3
 
 
 class WordIds(dict):
@@ -174,40 +176,39 @@ def _with_rarity(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(score, "digest binary, doc_id long, node long, n long, sig binary, rarity double")
 
 
-def _whole_keys() -> Column:
-    """One key for each chunk as it is."""
-    return F.explode(F.array(*[F.xxhash64(F.lit(c), F.substring("sig", c * WIDTH + 1, WIDTH)) for c in range(CHUNKS)]))
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """(key, a, a_label) of buckets of several labels: the least rare member of the label that has most members."""
-    by = members.groupBy("key", "label").agg(F.count("*").alias("m"), F.min_by("node", "rarity").alias("a"), F.min("rarity").alias("rarity"))
-    return by.groupBy("key").agg(F.max_by(F.struct("a", "label"), F.struct("m", -F.col("rarity"))).alias("of"), F.count("*").alias("labels")).where("labels > 1").select("key", "of.a", F.col("of.label").alias("a_label"))
-
-
 def _alike(percent: int) -> Column:
     """Whether sets of n and m items, with signatures x and y, can be linked."""
     return (_distance("x", "y") <= FAR) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
 
 
 def _stars(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Blocks (family, i, j) of members with the one that stands for their bucket, of buckets of several labels."""
-    of = checkpointed(members.join(known.select("node", "label", "rarity").hint("merge"), "node"))
-    pairs = of.join(_mixed(of).hint("merge"), "key").where("label <> a_label").select("a", "node").distinct()
+    """Blocks (family, i, j) of members with the central members of their buckets (key, node, centre)."""
+    centres = members.where("node <> centre.node").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("centre")), 1, CENTRES).alias("c"))
+    pairs = centres.select(F.explode("c.node").alias("a"), "node")
     one = known.select(F.col("node").alias("a"), F.col("longs").alias("x"), "n")
     two = known.select("node", F.col("longs").alias("y"), F.col("n").alias("m"))
     pairs = checkpointed(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "node").where(_alike(percent)).select("a", "node"))
     sizes = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
     dealt = pairs.join(sizes.hint("merge"), "a").select(F.col("a").alias("family"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), "node")
-    centres = sizes.select(F.col("a").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("a").alias("node"))
-    return dealt.union(centres).select("family", "i", F.col("i").alias("j"), F.col("i").alias("own"), "node").join(known.select("node", "label").hint("merge"), "node")
+    middle = sizes.select(F.col("a").alias("family"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("a").alias("node"))
+    return dealt.union(middle).select("family", "i", F.col("i").alias("j"), F.col("i").alias("own"), "node", F.col("node").alias("label"))
+
+
+def _contracted(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with a label for each node: the smallest node it is linked with, then that node's label; a part of its
+    component."""
+    least = links.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("low"))
+    hooked = checkpointed(known.join(least.hint("merge"), "node", "left").withColumn("label", F.coalesce("low", "node")).drop("low"))
+    above = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
+    return checkpointed(hooked.join(above.hint("merge"), "label").withColumn("label", F.col("above")).drop("above"))
 
 
 def _rest(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Blocks (family, i, j) of what the stars left apart: labels that signatures within FAR join in some bucket are
     one family. Blocks below 0 hold its largest label; they meet the others, which also meet each other."""
-    of = members.join(known.select("node", "label", "rarity", "n", "longs").hint("merge"), "node")
-    left = checkpointed(of.join(_mixed(of).select("key").hint("merge"), "key", "left_semi").select("key", "node", "label", "n", "longs"))
+    of = members.select("key", "node").join(known.select("node", "label", "n", "longs").hint("merge"), "node")
+    mixed = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    left = checkpointed(of.join(mixed.hint("merge"), "key", "left_semi"))
     family = connected_components(_near_labels(left, percent)).select(F.col("node").alias("label"), F.col("label").alias("family"))
     rows = checkpointed(known.join(family.hint("merge"), "label").select("family", "label", "node"))
     counts = rows.groupBy("family", "label").agg(F.count("*").alias("m"))
@@ -326,11 +327,9 @@ def _tested(percent: int):
     return run
 
 
-def _joined(known: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``known`` with the labels that the links in the blocks of ``placed`` make one."""
-    links = placed.join(sets.hint("merge"), "node").groupBy("family", "i", "j").applyInArrow(_tested(percent), "a long, b long")
-    renamed = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return checkpointed(known.join(renamed.hint("merge"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+def _links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that span the labels in each block of ``placed``."""
+    return checkpointed(placed.join(sets.hint("merge"), "node").groupBy("family", "i", "j").applyInArrow(_tested(percent), "a long, b long"))
 
 
 def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -343,18 +342,18 @@ def near_duplicate_groups(documents: DataFrame, shingle: int = 5, percent: int =
     """
     rows = checkpointed(signatures(documents, shingle))
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
-    keys = classes.select("node", _keys().alias("key"))
-    members = checkpointed(keys.join(keys.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key").hint("merge"), "key"))
-    candidates = checkpointed(_with_rarity(classes).join(members.select("node").distinct().hint("merge"), "node"))
+    classes = checkpointed(_with_rarity(checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))))
+    keys = classes.select("node", "rarity", _keys().alias("key"))
+    buckets = keys.groupBy("key").agg(F.min(F.struct("rarity", "node")).alias("centre"), F.count("*").alias("of")).where("of > 1").select("key", "centre")
+    members = checkpointed(keys.select("key", "node").join(buckets.hint("merge"), "key"))
+    candidates = checkpointed(classes.join(members.select("node").distinct().hint("merge"), "node"))
     sets = stored(_sets(documents, candidates, shingle))
-    known = checkpointed(candidates.select("node", F.col("node").alias("label"), "rarity", "n", _as_longs().alias("longs")))
-    whole = candidates.select("node", _whole_keys().alias("key"))
-    for shared in (whole, members):
-        known = _joined(known, _stars(shared, known, percent), sets, percent)
-    known = _joined(known, _rest(members, known, percent), sets, percent)
+    known = candidates.select("node", "n", _as_longs().alias("longs"))
+    central = _links(_stars(members, known, percent), sets, percent)
+    others = _links(_rest(members, _contracted(known, central), percent), sets, percent)
+    labels = connected_components(central.union(others))
 
-    named = classes.join(known.select("node", "label").hint("merge"), "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
+    named = classes.join(labels.hint("merge"), "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
     named = checkpointed(named)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = checkpointed(named.join(checkpointed(least).hint("merge"), "label").select("digest", "component_id"))
