@@ -25,13 +25,15 @@ TARGET = 0.95
 ITEMS_A_PASS = 20_000
 #: (shortest item in bytes, steps of a walk, walks, samples of each walk, places in a sample, whether windows start at
 #: every byte), longest items first. Below 16 bytes the pigeonhole principle leaves an unedited piece as long as the walk.
-CLASSES = ((64, 48, 4, 4, 10, False), (16, 10, 3, 2, 6, True), (9, 3, 1, 1, 3, True), (4, 2, 1, 1, 2, True), (1, 1, 1, 1, 1, True))
+CLASSES = ((64, 36, 3, 4, 9, False), (16, 10, 3, 2, 6, True), (9, 3, 1, 1, 3, True), (4, 2, 1, 1, 2, True), (1, 1, 1, 1, 1, True))
 #: Bytes from start to start inside a run without spaces in a text; items start at every byte of such a run.
 RUN = 8
 #: Starts whose keys are made together, and hits that are looked at together.
 STARTS, HITS = 1 << 15, 1 << 12
 #: Bytes of text that are searched together, or one text; 2000 texts at most.
-TEXT = 4_000_000
+TEXT = 2_000_000
+#: Bits of a key by which most keys that no item has are told.
+SEEN = 22
 
 
 def normalise(text: str | None) -> bytes:
@@ -40,31 +42,60 @@ def normalise(text: str | None) -> bytes:
 
 
 def _walks(steps: int, walks: int, samples: int, sampled: int) -> list[tuple[np.ndarray, list[list[int]]]]:
+    """For each walk a word for each byte, whose bit j is its move at step j, and the sampled steps."""
     rng = np.random.default_rng(7_919 + steps)
     out = []
     for _ in range(walks):
-        moves = rng.integers(0, 2, (steps, 256))
-        moves[:, 0] = 0  # the walk stays in the padding
+        moves = rng.integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, 256, dtype=np.uint64)
+        moves[0] = 0  # the walk stays in the padding
         out.append((moves, [sorted(rng.choice(steps, sampled, replace=False).tolist()) for _ in range(samples)]))
     return out
 
 
-def window_keys(body: np.ndarray, starts: np.ndarray, walks: list[tuple[np.ndarray, list[list[int]]]]) -> list[np.ndarray]:
-    """The keys of the windows of ``body`` (int64) that begin at ``starts``, one array for each sample of each walk."""
-    out = []
-    for moves, samples in walks:
+def window_keys(body: np.ndarray, starts: np.ndarray, walks: list[tuple[np.ndarray, list[list[int]]]]) -> Iterator[np.ndarray]:
+    """The keys of the windows of ``body`` (bytes) that begin at ``starts``, one array for each sample of each walk."""
+    one = np.uint64(1)
+    for number, (moves, samples) in enumerate(walks):
         at = starts.astype(np.int64)
-        keys = [np.full(len(starts), len(out) + k + 1, np.uint64) for k in range(len(samples))]
+        words = moves.take(body)
+        keys = [np.full(len(starts), number * len(samples) + k + 1, np.uint64) for k in range(len(samples))]
         for j in range(max(x[-1] for x in samples) + 1):
-            c = body.take(at, mode="clip")
-            u = c.view(np.uint64)
+            c = words.take(at, mode="clip")
             for k, sample in enumerate(samples):
                 if j in sample:
-                    keys[k] ^= u
+                    keys[k] ^= c
                     keys[k] *= np.uint64(0x9E3779B97F4A7C15)
-            at += moves[j].take(c, mode="clip")
-        out += [k ^ (k >> np.uint64(32)) for k in keys]
-    return out
+            c >>= np.uint64(j)
+            c &= one
+            at += c.view(np.int64)
+        for k in keys:
+            yield k ^ (k >> np.uint64(32))
+
+
+#: Bytes from a window's start whose three-byte pieces are sketched, and of the text, where edits shift them.
+SKETCH, SHIFT = 32, 4
+
+
+def _sketches(body: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each place of ``body`` (bytes), in two words: the hashed pieces of the SKETCH bytes from there on, and of
+    ``more`` bytes after them."""
+    x = np.concatenate([body, np.zeros(SKETCH + more + 2, np.uint8)]).astype(np.uint32)
+    h = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(16)
+    h ^= h >> np.uint32(7)
+    bit = np.uint64(1) << (h & np.uint32(63)).astype(np.uint64)
+    high = (h & np.uint32(64)).astype(bool)
+    out = []
+    for lane in (np.where(high, np.uint64(0), bit), np.where(high, bit, np.uint64(0))):
+        size = 1
+        while size * 2 <= SKETCH - 2:
+            lane = lane[:-size] | lane[size:]
+            size *= 2
+        rest = SKETCH - 2 - size
+        lane = lane[: len(lane) - rest] | lane[rest:]
+        if more:
+            lane = lane[:-more] | lane[more:]
+        out.append(lane[: len(body)])
+    return out[0], out[1]
 
 
 def _word_starts(body: np.ndarray, stride: int) -> np.ndarray:
@@ -85,6 +116,18 @@ def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
+def _gathered(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same hits in fewer parts, of HITS or more."""
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(x.shape[1] for x in held) >= HITS:
+            yield np.concatenate(held, axis=1)
+            held = []
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
 def _local(patterns: np.ndarray, sizes: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """``best_match`` of many patterns of up to 64 bytes (rows, with their sizes) with a text each."""
     n, one = len(patterns), np.uint64(1)
@@ -144,51 +187,72 @@ class Index:
         self.items = items
         self.tables = []
         self.sizes = np.array([len(body) for _, body in items], np.int64)
-        self.flat = np.frombuffer(b"".join(body for _, body in items) + bytes(64), np.uint8).astype(np.int64)
+        self.flat = np.frombuffer(b"".join(body for _, body in items) + bytes(64), np.uint8)
         self.first = np.cumsum(self.sizes) - self.sizes
         taken: set[int] = set()
         for least, steps, n, samples, sampled, dense in CLASSES:
             walks = _walks(steps, n, samples, sampled)
-            keys, of, offset = [], [], []
+            keys, of, offset, low, high = [], [], [], [], []
             for k, (_, body) in enumerate(items):
                 if k in taken or len(body) < least:
                     continue
                 taken.add(k)
-                x = np.frombuffer(b"\0" + body + bytes(steps + 1), np.uint8).astype(np.int64)
+                x = np.frombuffer(b"\0" + body + bytes(steps + 1), np.uint8)
                 starts = np.arange(1, len(body) + 1) if dense else _word_starts(x, 1)
                 starts = starts[(starts <= len(body) + 1 - steps * 2 // 3) | (starts == 1)]
+                lo, hi = _sketches(x)
                 for values in window_keys(x, starts, walks):
                     keys.append(values)
                     of.append(np.full(len(starts), k))
                     offset.append(starts - 1)
+                    low.append(lo[starts])
+                    high.append(hi[starts])
             if keys:
-                values, of, offset = np.concatenate(keys), np.concatenate(of), np.concatenate(offset)
+                values = np.concatenate(keys)
                 order = np.argsort(values, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(values & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables.append((walks, dense, values[order], of[order], offset[order], seen))
-
-    def _hits(self, wide: np.ndarray) -> Iterator[np.ndarray]:
-        """(item, where the item would start, place of the window in the item) of windows with equal keys, in parts."""
-        words = None
-        for walks, dense, values, of, offset, seen in self.tables:
+                of, offset, low, high = (np.concatenate(v)[order] for v in (of, offset, low, high))
+                values, first, count = np.unique(values[order], return_index=True, return_counts=True)
+                seen = np.zeros(1 << SEEN, bool)
+                seen[(values & np.uint64((1 << SEEN) - 1)).astype(np.int64)] = True
+                self.tables.append((walks, dense, values, first, count, of, offset, low, high, seen))
+
+    def _hits(self, body: np.ndarray, most: float) -> Iterator[np.ndarray]:
+        """(item, where the item would start, place of the window in the item) of windows with equal keys, in parts.
+
+        Windows of long items must also share pieces: of those of the item's SKETCH bytes, all but what 1.2 times the
+        edits would break are in the text's. A copy has windows on both sides of denser edits."""
+        words = text_low = None
+        share = max(0.0, 1 - 1.2 * most) ** 3
+        for walks, dense, values, first, count, of, offset, low, high, seen in self.tables:
             if dense:
-                starts = np.nonzero(wide)[0]
+                starts = np.nonzero(body)[0]
             else:
-                starts = words = _word_starts(wide, RUN) if words is None else words
+                starts = words = _word_starts(body, RUN) if words is None else words
+                if text_low is None:
+                    text_low, text_high = _sketches(body, SHIFT)
             for at in range(0, len(starts), STARTS):
                 part = starts[at : at + STARTS]
-                for keys in window_keys(wide, part, walks):
-                    maybe = np.nonzero(seen.take((keys & np.uint64((1 << 20) - 1)).view(np.int64)))[0]
-                    lo = np.searchsorted(values, keys[maybe], "left")
-                    n = np.searchsorted(values, keys[maybe], "right") - lo
+                a, z = int(part[0]), int(part[-1]) + 260
+                for keys in window_keys(body[a:z], part - a, walks):
+                    maybe = np.nonzero(seen.take((keys & np.uint64((1 << SEEN) - 1)).view(np.int64)))[0]
+                    key = keys[maybe]
+                    lo = np.searchsorted(values, key)
+                    lo[lo == len(values)] = 0
+                    right = values[lo] == key
+                    maybe, lo = maybe[right], lo[right]
+                    n = count[lo]
                     ends = np.cumsum(n)
-                    a = 0
-                    while a < len(n):  # many equal keys go on in several parts
-                        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, "right")))
-                        x = _spread(lo[a:b], n[a:b])
-                        yield np.stack([of[x], np.repeat(part[maybe[a:b]], n[a:b]) - offset[x], offset[x]])
-                        a = b
+                    x0 = 0
+                    while x0 < len(n):  # many equal keys go on in several parts
+                        x1 = max(x0 + 1, int(np.searchsorted(ends, (ends[x0 - 1] if x0 else 0) + 1_000_000, "right")))
+                        x = _spread(first[lo[x0:x1]], n[x0:x1])
+                        place = np.repeat(part[maybe[x0:x1]], n[x0:x1])
+                        if not dense:
+                            shared = np.bitwise_count(low[x] & text_low[place]) + np.bitwise_count(high[x] & text_high[place])
+                            alike = shared >= share * (np.bitwise_count(low[x]) + np.bitwise_count(high[x]))
+                            x, place = x[alike], place[alike]
+                        yield np.stack([of[x], place - offset[x], offset[x]])
+                        x0 = x1
 
     def regions(self, body: np.ndarray, ends: np.ndarray, most: float) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """{(document, item): stretches of ``body`` that may hold the item}. The place of a hit is rounded, since the
@@ -196,10 +260,9 @@ class Index:
         the item's edits, and by 1.6 times their share of them: a copy has windows on both sides of denser edits."""
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
         begins = np.concatenate([[0], ends[:-1]]) + 1
-        wide = body.astype(np.int64)
-        padded = np.concatenate([np.zeros(512, np.int64), wide, np.zeros(512, np.int64)])
+        padded = np.concatenate([np.zeros(512, np.uint8), body, np.zeros(512, np.uint8)])
         known = np.zeros(0, np.int64)
-        for of, place, offset in self._hits(wide):
+        for of, place, offset in _gathered(self._hits(body, most)):
             _, at = np.unique(of << 36 | (place + (1 << 24)), return_index=True)
             of, place, offset = of[at], place[at], offset[at]
             span = np.maximum(16, self.sizes[of] // 4)
