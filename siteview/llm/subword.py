@@ -17,8 +17,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Spaces and the word they lead; no piece of a model that splits on white space goes on after such a unit.
 UNIT = re.compile(r" *[^ \n]+| +|\n")
-#: Characters of a unit up to which its agenda is a list; and no candidate.
-FEW, NONE = 48, 1 << 60
+#: Characters of a unit up to which its agenda is a list; no candidate; candidates of a unit whose skips are drawn at once.
+FEW, NONE, DRAWN = 48, 1 << 60, 16
 
 
 class Pieces:
@@ -50,60 +50,69 @@ class Pieces:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.flat = np.frombuffer(b"".join(self.body), np.uint8)
 
-    def dropped(self, key: int, i: int, piece: str) -> bool:
-        return ((key ^ (i * 0x9E3779B1) ^ (self.ids[piece] * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F >> 40) & 0xFFFF < self.limit
-
-    def unit(self, text: str, key: int) -> list[int]:
-        """Ids of one unit. The agenda holds candidate merges, best score first, leftmost on ties; a candidate is
-        skipped for good if the hash of (key, place, piece) falls under the dropout rate."""
+    def unit(self, text: str, draw: int, mask: int) -> tuple[bytes, int]:
+        """Ids of one unit as int32, and how many candidates its agenda came to. The agenda holds candidate merges, best
+        score first, leftmost on ties; the t-th candidate is skipped for good if the hash of (draw, t) falls under the
+        dropout rate. ``mask`` has those hashes' outcomes for t < DRAWN."""
         # a literal U+2581 is kept apart from a space by its bytes
         sym = ["\0" + c if c == SPACE else SPACE if c == " " else c for c in text] if SPACE in text else list(text.replace(" ", SPACE))
-        out: list[int] = []
-        for s in self._few(sym, key) if len(sym) <= FEW else self._many(sym, key):
-            got = self.ids.get(s)
-            if got is not None:
-                out.append(got)
-            else:
-                out += [self.byte[b] for b in (s[1:] if len(s) > 1 else s).encode("utf-8", "surrogatepass")]
-        return out
-
-    def _few(self, sym: list[str], key: int) -> list[str]:
+        sym, t = self._few(sym, draw, mask) if len(sym) <= FEW else self._many(sym, draw, mask)
+        out = list(map(self.ids.get, sym))
+        if None in out:
+            out = []
+            for s in sym:
+                got = self.ids.get(s)
+                out += [got] if got is not None else [self.byte[b] for b in (s[1:] if len(s) > 1 else s).encode("utf-8", "surrogatepass")]
+        return array("i", out).tobytes(), t
+
+    def late(self, draw: int, t: int) -> bool:
+        """Whether the t-th candidate is skipped, t from DRAWN up."""
+        return (draw * (2 * t + 1) * 0xC2B2AE3D27D4EB4F >> 40) & 0xFFFF < self.limit
+
+    def _few(self, sym: list[str], draw: int, mask: int) -> tuple[list[str], int]:
         """The agenda as a list beside the symbols, one candidate for each neighbouring pair."""
-        order, ids, limit = self.order.get, self.ids, self.limit
-        at = list(range(len(sym)))
+        order, t, limit = self.order.get, 0, self.limit
         agenda = [order(p, NONE) for p in map(add, sym, sym[1:])]
         while agenda:
             top = min(agenda)
             if top == NONE:
                 break
             k = agenda.index(top)
-            piece = sym[k] + sym[k + 1]
-            if limit and ((key ^ (at[k] * 0x9E3779B1) ^ (ids[piece] * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F >> 40) & 0xFFFF < limit:  # dropped()
+            t += 1
+            if mask:
+                skip = mask & 1
+                mask >>= 1
+                if skip:
+                    agenda[k] = NONE
+                    continue
+            elif t > DRAWN and limit and self.late(draw, t - 1):
                 agenda[k] = NONE
                 continue
-            sym[k] = piece
-            del sym[k + 1], at[k + 1], agenda[k]
+            sym[k] = piece = sym[k] + sym.pop(k + 1)
+            del agenda[k]
             if k < len(agenda):
                 agenda[k] = order(piece + sym[k + 1], NONE)
             if k:
                 agenda[k - 1] = order(sym[k - 1] + piece, NONE)
-        return sym
+        return sym, t
 
-    def _many(self, sym: list[str | None], key: int) -> list[str]:
-        """The agenda as a heap over linked symbols."""
-        order, limit = self.order.get, self.limit
+    def _many(self, sym: list[str | None], draw: int, mask: int) -> tuple[list[str], int]:
+        """The agenda as a heap over linked symbols; an entry whose symbols have changed since is passed over."""
+        order, t = self.order.get, 0
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(got, i) for i, got in enumerate(map(order, map(add, sym, sym[1:]))) if got is not None]
+        agenda = [(got, i, len(sym[i]) + len(sym[i + 1])) for i, got in enumerate(map(order, map(add, sym, sym[1:]))) if got is not None]
         heapify(agenda)
         while agenda:
-            top, i = heappop(agenda)
+            top, i, size = heappop(agenda)
             j = after[i]
-            if sym[i] is None or j >= n:
+            if sym[i] is None or j >= n or len(sym[i]) + len(sym[j]) != size:
                 continue
-            piece = sym[i] + sym[j]
-            if order(piece) != top or (limit and self.dropped(key, i, piece)):
+            skip = mask >> t & 1 if t < DRAWN else self.late(draw, t)
+            t += 1
+            if skip:
                 continue
+            piece = sym[i] + sym[j]
             sym[i], sym[j] = piece, None
             k, p = after[j], before[i]
             after[i] = k
@@ -111,16 +120,45 @@ class Pieces:
                 before[k] = i
                 got = order(piece + sym[k])
                 if got is not None:
-                    heappush(agenda, (got, i))
+                    heappush(agenda, (got, i, len(piece) + len(sym[k])))
             if p >= 0:
                 got = order(sym[p] + piece)
                 if got is not None:
-                    heappush(agenda, (got, p))
-        return [s for s in sym if s is not None]
-
-    def encode(self, text: str | None, memo: Memo) -> bytes:
-        """Ids of a whole text as int32; units that recur under a variant are segmented once."""
-        return b"".join(map(memo.__getitem__, UNIT.findall(" " + text))) if text else b""
+                    heappush(agenda, (got, p, len(sym[p]) + len(piece)))
+        return [s for s in sym if s is not None], t
+
+    def draws(self, key: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of n units of the text with this key: its draw, and which of its first DRAWN candidates are skipped."""
+        x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of a known mixer
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(by)
+        x ^= x >> np.uint64(31)
+        mask = np.zeros(n, np.int64)
+        if self.limit:
+            for t in range(DRAWN):
+                mask |= ((x * np.uint64((2 * t + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) >> np.uint64(40)) & np.uint64(0xFFFF) < np.uint64(self.limit)).astype(np.int64) << t
+        return x, mask
+
+    def encode(self, text: str | None, key: int, memo: Memo) -> bytes:
+        """Ids of a whole text as int32. Every occurrence of a unit has draws of its own."""
+        if not text:
+            return b""
+        units = UNIT.findall(" " + text)
+        draws, masks = self.draws(key, len(units))
+        plain, varied = memo.plain, memo.varied
+        out = []
+        for i, (unit, mask) in enumerate(zip(units, masks.tolist(), strict=True)):
+            got = plain.get(unit)
+            if got is None:
+                out.append(memo.first(unit, mask, int(draws[i])))
+                continue
+            if not mask & got[1]:
+                out.append(got[0])
+                continue
+            ids = varied.get((unit, mask & got[2]))
+            out.append(memo.vary(unit, mask, got[2], int(draws[i])) if ids is None else ids)
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of a text's ids, without the leading space that encoding adds."""
@@ -132,38 +170,47 @@ class Pieces:
         return self.flat[at][1:].tobytes()
 
 
-class Memo(dict):
-    """Ids of the units met under one variant, as bytes. Of two generations the older is dropped when the younger
-    is full, so memory is bounded and frequent units stay."""
+class Memo:
+    """Ids of the units met, as bytes: as they are without dropout, and under the skips that an occurrence drew.
 
-    def __init__(self, coder: Pieces, variant: int, most: int = 200_000):
-        self.coder, self.most, self.old = coder, most, {}
-        self.seed = coder.seed * 1_000_003 + variant
+    ``plain`` has a unit's ids, a mask of the candidates that it comes to without skips, and one of a few more, under
+    which ``varied`` keeps it. A segmentation that comes to more candidates than that is not kept. Both are emptied when
+    full, so memory is bounded.
+    """
 
-    def __missing__(self, unit: str) -> bytes:
-        import xxhash
+    def __init__(self, coder: Pieces, most: int = 250_000):
+        self.coder, self.most = coder, most
+        self.plain: dict[str, tuple[bytes, int, int]] = {}
+        self.varied: dict[tuple[str, int], bytes] = {}
+
+    def first(self, unit: str, mask: int, draw: int) -> bytes:
+        """Ids of an occurrence of a unit that ``plain`` lacks; kept if no candidate that it came to was skipped."""
+        ids, t = self.coder.unit(unit, draw, mask)
+        if len(unit) < 64 and t <= DRAWN and not mask & ((1 << t) - 1):
+            if len(self.plain) >= self.most:
+                self.plain.clear()
+            self.plain[unit] = ids, (1 << t) - 1, (1 << min(t + 2, DRAWN)) - 1
+        return ids
 
-        got = self.old.get(unit)
-        if got is None:
-            got = array("i", self.coder.unit(unit, xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), seed=self.seed))).tobytes()
-        if len(unit) < 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[unit] = got
-        return got
+    def vary(self, unit: str, mask: int, wide: int, draw: int) -> bytes:
+        ids, t = self.coder.unit(unit, draw, mask)
+        if t <= wide.bit_length() and len(unit) < 64:
+            if len(self.varied) >= self.most:
+                self.varied.clear()
+            self.varied[unit, mask & wide] = ids
+        return ids
 
 
-#: Encoders that a Python worker keeps from task to task.
-_CODERS: dict[tuple, tuple[Pieces, list[Memo]]] = {}
+#: The encoder that a Python worker keeps from task to task.
+_CODERS: dict[tuple, tuple[Pieces, Memo]] = {}
 
 
-def _coder(model: bytes, dropout: float, seed: int, variants: int) -> tuple[Pieces, list[Memo]]:
-    key = (hash(model), dropout, seed, variants)
+def _coder(model: bytes, dropout: float, seed: int) -> tuple[Pieces, Memo]:
+    key = (hash(model), dropout, seed)
     if key not in _CODERS:
         _CODERS.clear()
         coder = Pieces(model, dropout, seed)
-        _CODERS[key] = coder, [Memo(coder, v) for v in range(variants)]
+        _CODERS[key] = coder, Memo(coder)
     return _CODERS[key]
 
 
@@ -172,27 +219,27 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(documents: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(documents: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """(doc_id, pieces, n_pieces, lossless): the ids of each whole text, and whether decoding them gave the text.
 
-    Each document takes one of ``variants`` by a hash of its id and the seed; a merge is dropped by a hash of
-    (seed, variant, unit, place, piece), so equal documents of a variant are segmented alike and another seed
-    gives another segmentation. With dropout 0 the ids are those of the model's own encoder, but for a literal
-    U+2581, which is written as bytes. Null and empty texts have no pieces; a null id takes variant 0.
+    Whether a merge is dropped is a hash of (seed, doc_id, place of the unit in the text, place of the merge in its agenda),
+    so a word is cut anew wherever it stands, repeated rows are cut alike, and another seed cuts all anew. A null id is
+    drawn by its text. With dropout 0 the ids are those of the model's own encoder, but for a literal
+    U+2581, which is written as bytes. Null and empty texts have no pieces.
     """
     body = _model(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        coder, memos = _coder(body, dropout, seed, variants)
+        coder, memo = _coder(body, dropout, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, ends, right = [], [0], []
                 part = batch.slice(at, 500)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    variant = 0 if doc is None else xxhash.xxh3_64_intdigest(str(doc), seed=seed) % variants
-                    got = np.frombuffer(coder.encode(text, memos[variant]), np.int32)
+                    key = xxhash.xxh3_64_intdigest(str(doc) if doc is not None else (text or "").encode("utf-8", "surrogatepass"), seed=seed)
+                    got = np.frombuffer(coder.encode(text, key, memo), np.int32)
                     ids.append(got)
                     ends.append(ends[-1] + len(got))
                     right.append(coder.decode(got) == (text or "").encode("utf-8", "surrogatepass"))
