@@ -360,9 +360,9 @@ def test_encoding_matches_the_model_and_decodes(docs, odd, spark):
     texts = [r.text for r in docs.limit(150).collect()] + ["  a  b ", "\n", "日本 x\t", "a\n\n b"]
     coder = subword.Pieces(subword._model(subword.MODEL), 0.0, 1)
     for t in texts:
-        assert np.frombuffer(coder.encode(t, subword.Memo(coder, 0)), np.int32).tolist() == sp.encode(t)
+        assert np.frombuffer(coder.encode(t, 0, subword.Memo(coder)), np.int32).tolist() == sp.encode(t)
     varied = subword.Pieces(subword._model(subword.MODEL), 0.1, 1)
-    longer = sum(len(varied.encode(t, subword.Memo(varied, 0))) > len(coder.encode(t, subword.Memo(coder, 0))) for t in texts)
+    longer = sum(len(varied.encode(t, 7, subword.Memo(varied))) > len(coder.encode(t, 7, subword.Memo(coder))) for t in texts)
     assert longer > 0.8 * len(texts)
     back = {(r.doc_id, r.text or "") for r in subword.decode(subword.encode(odd)).collect()}
     assert back == {(r[0], r[1] or "") for r in ODD}
@@ -370,6 +370,55 @@ def test_encoding_matches_the_model_and_decodes(docs, odd, spark):
     assert one != two and one == subword.encode(docs, seed=1).select(F.sum(F.hash("pieces").cast("long"))).first()[0]
 
 
+def plain_agenda(coder, text, draw, mask):
+    """Merge-dropout by looking at all pairs again for each candidate."""
+    sym, skipped, t = list(text.replace(" ", subword.SPACE)), set(), 0
+    ids = [(k, c) for k, c in enumerate(sym)]  # (place of the first character, symbol)
+    while True:
+        pairs = [(coder.order[a[1] + b[1]], a[0], a[1] + b[1]) for a, b in zip(ids, ids[1:], strict=False) if a[1] + b[1] in coder.order and (a[0], a[1] + b[1]) not in skipped]
+        if not pairs:
+            return [s for _, s in ids], t
+        _, place, piece = min(pairs)
+        skip = mask >> t & 1 if t < subword.DRAWN else coder.late(draw, t)
+        t += 1
+        if skip:
+            skipped.add((place, piece))
+            continue
+        k = [x[0] for x in ids].index(place)
+        ids[k : k + 2] = [(place, piece)]
+
+
+def test_dropout_against_brute_force(docs):
+    coder = subword.Pieces(subword._model(subword.MODEL), 0.3, 1)
+    rng = np.random.default_rng(9)
+    words = sorted({w for r in docs.limit(30).collect() for w in r.text.split()})
+    units = [" " + words[i] for i in rng.integers(0, len(words), 400)] + ["the same " * 12, " " + "ab" * 60, " aaaaaaaaaaaaaaaaaaaaaaaa"]
+    for unit in units:
+        draw, mask = (x[0] for x in coder.draws(int(rng.integers(2**62)), 1))
+        want = plain_agenda(coder, unit, int(draw), int(mask))
+        assert coder._few(list(unit.replace(" ", subword.SPACE)), int(draw), int(mask)) == want
+        assert coder._many(list(unit.replace(" ", subword.SPACE)), int(draw), int(mask)) == want
+    # what is kept from occurrence to occurrence is what a new one would give
+    text, memo = " ".join(units * 3), subword.Memo(coder)
+    found = subword.UNIT.findall(" " + text)
+    draws, masks = coder.draws(5, len(found))
+    assert coder.encode(text, 5, memo) == b"".join(coder.unit(u, int(d), int(m))[0] for u, d, m in zip(found, draws, masks, strict=True))
+
+
+def test_dropout_varies_within_a_text_and_between_texts():
+    coder = subword.Pieces(subword._model(subword.MODEL), 0.1, 1)
+    memo, cuts = subword.Memo(coder), []
+    for key in range(3):
+        x = np.frombuffer(coder.encode(" ".join(["international"] * 60), key, memo), np.int32).tolist()
+        cuts.append(x)
+        one = coder.encode("international", key + 100, memo)
+        assert coder.decode(np.frombuffer(one, np.int32)) == b"international"
+    whole = coder.ids[subword.SPACE + "international"]
+    assert all(10 < x.count(whole) < 60 for x in cuts) and len({tuple(x) for x in cuts}) == 3
+    kinds = {coder.unit(" international", *(int(x[0]) for x in coder.draws(k, 1)))[0] for k in range(300)}
+    assert len(kinds) > 5
+
+
 # 6
 
 
