@@ -1,4 +1,4 @@
-"""Cameras, poses and detections."""
+"""Cameras, poses and detections."""
 
 from __future__ import annotations
 
@@ -28,22 +28,58 @@ def pose_rotation(poses: DataFrame) -> DataFrame:
 
 def pose_quaternion(poses: DataFrame) -> DataFrame:
     """Adds qw, qx, qy, qz of a rotation: from its trace, or from the largest diagonal element."""
-    s = {
-        "t": "2 * sqrt(greatest(r00 + r11 + r22 + 1, 0))", "x": "2 * sqrt(greatest(1 + r00 - r11 - r22, 0))",
-        "y": "2 * sqrt(greatest(1 + r11 - r00 - r22, 0))", "z": "2 * sqrt(greatest(1 + r22 - r00 - r11, 0))",
-    }
-    rows = poses.withColumns({f"_{k}": F.expr(v) for k, v in s.items()})
-
-    def of(trace: str, x: str, y: str, z: str) -> Column:
-        return F.expr(f"CASE WHEN r00 + r11 + r22 > 0 THEN {trace} WHEN r00 > r11 AND r00 > r22 THEN {x} WHEN r11 > r22 THEN {y} ELSE {z} END")
-
-    rows = rows.withColumns({
-        "qw": of("_t / 4", "(r21 - r12) / _x", "(r02 - r20) / _y", "(r10 - r01) / _z"),
-        "qx": of("(r21 - r12) / _t", "_x / 4", "(r01 + r10) / _y", "(r02 + r20) / _z"),
-        "qy": of("(r02 - r20) / _t", "(r01 + r10) / _x", "_y / 4", "(r12 + r21) / _z"),
-        "qz": of("(r10 - r01) / _t", "(r02 + r20) / _x", "(r12 + r21) / _y", "_z / 4"),
-    }).withColumn("_n", F.expr("sqrt(qw * qw + qx * qx + qy * qy + qz * qz)"))
-    return rows.withColumns({c: F.col(c) / F.col("_n") for c in ("qw", "qx", "qy", "qz")}).drop("_t", "_x", "_y", "_z", "_n")
+    let = "transform(array({}), {} -> {})[0]"
+    sizes = """named_struct('t', 2 * sqrt(greatest(r00 + r11 + r22 + 1, 0D)), 'x', 2 * sqrt(greatest(1 + r00 - r11 - r22, 0D)),
+        'y', 2 * sqrt(greatest(1 + r11 - r00 - r22, 0D)), 'z', 2 * sqrt(greatest(1 + r22 - r00 - r11, 0D)))"""
+    parts = """CASE WHEN r00 + r11 + r22 > 0 THEN named_struct('w', s.t / 4, 'x', (r21 - r12) / s.t, 'y', (r02 - r20) / s.t, 'z', (r10 - r01) / s.t)
+        WHEN r00 > r11 AND r00 > r22 THEN named_struct('w', (r21 - r12) / s.x, 'x', s.x / 4, 'y', (r01 + r10) / s.x, 'z', (r02 + r20) / s.x)
+        WHEN r11 > r22 THEN named_struct('w', (r02 - r20) / s.y, 'x', (r01 + r10) / s.y, 'y', s.y / 4, 'z', (r12 + r21) / s.y)
+        WHEN r22 IS NOT NULL THEN named_struct('w', (r10 - r01) / s.z, 'x', (r02 + r20) / s.z, 'y', (r12 + r21) / s.z, 'z', s.z / 4) END"""
+    unit = "named_struct('q', p, 'l', sqrt(p.w * p.w + p.x * p.x + p.y * p.y + p.z * p.z))"
+    rows = poses.withColumn("_q", F.expr(let.format(sizes, "s", let.format(parts, "p", unit))))
+    return rows.withColumns({f"q{c}": F.col(f"_q.q.{c}") / F.col("_q.l") for c in "wxyz"}).drop("_q")
+
+
+def look_at(poses: DataFrame, up: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
+    """Adds the rotation r00..r22 that turns the optical axis from e, n, u to te, tn, tu. Straight up or down along ``up``
+    north serves as up; a target at the position has no rotation (null)."""
+    a, b, c = map(float, up)
+    let = "transform(array({}), {} -> {})[0]"  # one value under a name, so that nothing is written out again and again
+    axes = "named_struct('d0', te - e, 'd1', tn - n, 'd2', tu - u, 'l', sqrt(pow(te - e, 2) + pow(tn - n, 2) + pow(tu - u, 2)))"
+    z = "named_struct('z0', d.d0 / d.l, 'z1', d.d1 / d.l, 'z2', d.d2 / d.l)"
+    side = f"named_struct('x0', z.z1 * {c}D - z.z2 * {b}D, 'x1', z.z2 * {a}D - z.z0 * {c}D, 'x2', z.z0 * {b}D - z.z1 * {a}D)"
+    other = "IF(s.x0 * s.x0 + s.x1 * s.x1 + s.x2 * s.x2 < 1e-18D, named_struct('x0', -z.z2, 'x1', 0D, 'x2', z.z0), s)"
+    unit = "named_struct('x0', w.x0 / sqrt(w.x0 * w.x0 + w.x1 * w.x1 + w.x2 * w.x2), 'x1', w.x1 / sqrt(w.x0 * w.x0 + w.x1 * w.x1 + w.x2 * w.x2), 'x2', w.x2 / sqrt(w.x0 * w.x0 + w.x1 * w.x1 + w.x2 * w.x2))"
+    turn = """named_struct('r00', x.x0, 'r01', z.z1 * x.x2 - z.z2 * x.x1, 'r02', z.z0, 'r10', x.x1, 'r11', z.z2 * x.x0 - z.z0 * x.x2, 'r12', z.z1,
+        'r20', x.x2, 'r21', z.z0 * x.x1 - z.z1 * x.x0, 'r22', z.z2)"""
+    for value, name in ((unit, "x"), (other, "w"), (side, "s"), (z, "z")):
+        turn = let.format(value, name, turn)
+    rows = poses.withColumn("_turn", F.expr(let.format(axes, "d", f"IF(d.l < 1e-12D, NULL, {turn})")))
+    return rows.withColumns({f"r{i}{j}": F.col(f"_turn.r{i}{j}") for i in range(3) for j in range(3)}).drop("_turn")
+
+
+def target_gsd(cameras: DataFrame, standoff: Column) -> DataFrame:
+    """Adds gsd, the metres that a pixel covers at a standoff, to rows with fx."""
+    return cameras.withColumn("gsd", standoff / F.col("fx"))
+
+
+def fits_in_frame(sites: DataFrame, cameras: DataFrame, width: float = 0.0, border: float = 0.0) -> DataFrame:
+    """(site_id, camera_id, fits): whether the extremes of a building of the site's height and ``width`` project inside the
+    image, ``border`` of it left on each side, from ``radius`` north at half the height. The extremes are the base and the
+    top and, if it has a width, the corners at half the height, all on the side away from the camera."""
+    if not 0 <= border < 0.5:
+        raise ValueError("border must be in [0, 0.5)")
+    half, mid = width / 2, F.col("height") / 2
+    pose = sites.select("site_id", "height", F.lit(0.0).alias("e"), F.col("radius").alias("n"), mid.alias("u"), F.lit(0.0).alias("te"), F.lit(0.0).alias("tn"), mid.alias("tu"))
+    ends = [(F.lit(0.0), F.lit(0.0)), (F.lit(0.0), F.col("height"))] + ([(F.lit(-half), mid), (F.lit(half), mid)] if width > 0 else [])
+    points = F.explode(F.array(*[F.struct(x.alias("x"), h.alias("h")) for x, h in ends]))
+    rows = look_at(pose).withColumn("_p", points).crossJoin(F.broadcast(camera_intrinsics(cameras).withColumnRenamed("height", "height_px")))  # camera models: a handful of rows
+    d = {0: F.col("_p.x") - F.col("e"), 1: F.lit(-half) - F.col("n"), 2: F.col("_p.h") - F.col("u")}
+    rows = rows.withColumns({f"_c{j}": sum((F.col(f"r{i}{j}") * d[i] for i in range(3)), F.lit(0.0)) for j in range(3)})
+    px, py = F.expr("cx + fx * try_divide(_c0, _c2)"), F.expr("cy + fy * try_divide(_c1, _c2)")
+    bx, by = F.col("width") * border, F.col("height_px") * border
+    inside = (F.col("_c2") > 1e-9) & px.between(bx, F.col("width") - bx) & py.between(by, F.col("height_px") - by)
+    return rows.groupBy("site_id", "camera_id").agg(F.every(F.coalesce(inside, F.lit(False))).alias("fits"))
 
 
 def _posed(rows: DataFrame, poses: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -7,19 +7,10 @@ of ``visibility`` count for nothing.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .voxels import CELL
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siteview-"))
-    return df.checkpoint()
+from .voxels import CELL, _checkpoint
 
 
 def _seen(surface: DataFrame, visibility: DataFrame) -> DataFrame:

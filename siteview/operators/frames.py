@@ -1,4 +1,4 @@
-"""Geodetic, Earth-centred and local frames (P1-P7). Points carry lat, lon, alt or e, n, u; sites carry the home."""
+"""Geodetic, Earth-centred and local frames (P1-P7, P29). Points carry lat, lon, alt or e, n, u; sites carry the home."""
 
 from __future__ import annotations
 
@@ -74,6 +74,22 @@ def ned_to_enu(points: DataFrame) -> DataFrame:
     return points.withColumns({"e": F.col("east"), "n": F.col("north"), "u": -F.col("down")})
 
 
+def ned_to_geodetic(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """Adds lat, lon, alt of local north, east, down."""
+    return enu_to_geodetic(ned_to_enu(points), sites)
+
+
+def planar_geodetic(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """Adds lat, lon of local e, n by the equirectangular approximation, the other way of ``planar_enu``."""
+    rows = points.join(sites.select("site_id", "home_lat", "home_lon"), "site_id")
+    return rows.withColumns({"lat": F.col("home_lat") + F.col("n") / PLANAR, "lon": F.col("home_lon") + F.col("e") / (PLANAR * F.cos(F.radians("home_lat")))}).drop("home_lat", "home_lon")
+
+
+def round_vectors(rows: DataFrame, places: dict[str, int]) -> DataFrame:
+    """The named columns rounded half to even to their number of places."""
+    return rows.withColumns({c: F.bround(F.col(c), n) for c, n in places.items()})
+
+
 def planar_enu(points: DataFrame, sites: DataFrame) -> DataFrame:
     """Adds e, n by the equirectangular approximation."""
     rows = points.join(sites.select("site_id", "home_lat", "home_lon"), "site_id")

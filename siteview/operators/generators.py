@@ -1,8 +1,8 @@
-"""Poses and paths generated from a table of sites (P31, P34-P38, W14). Sites hold radius and height, and stand at the origin."""
+"""Poses and paths generated from a table of sites (P31, P34-P40, U1, W14). Sites hold radius and height, and stand at the origin."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,44 @@ def ring_path(centres: DataFrame, radius: float, segments: int, loops: int = 1)
     return rows.withColumns({"x": F.col("x") + radius * F.cos("_t"), "y": F.col("y") + radius * F.sin("_t")}).drop("_t")
 
 
+def sweep_order(extent: Column, ground_radius: Column, sidelap: float = 0.6) -> Column:
+    """The curve order whose cells are no wider than what images at this side-lap advance, 2 to 4."""
+    spacing = ground_radius * 2 * (1 - sidelap)
+    return F.greatest(F.lit(2), F.least(F.lit(4), F.ceil(F.log2(extent / spacing + 1)))).cast("int")
+
+
+def hilbert_sweep(areas: DataFrame) -> DataFrame:
+    """(site_id, seq, x, y): a Hilbert curve of ``order`` over the box min_x, max_x, min_y, max_y of each area, from its low
+    corner; the outermost cells lie on the box. The position on the curve is read two bits a level, smallest level first."""
+    fold = """aggregate(sequence(0, order - 1), struct(seq AS t, 0L AS x, 0L AS y), (a, l) -> transform(array(struct((a.t div 2) & 1L AS rx, (a.t ^ ((a.t div 2) & 1L)) & 1L AS ry)), r -> struct(
+        a.t div 4 AS t,
+        (CASE WHEN r.ry = 1 THEN a.x WHEN r.rx = 1 THEN shiftleft(1L, l) - 1 - a.y ELSE a.y END) + shiftleft(r.rx, l) AS x,
+        (CASE WHEN r.ry = 1 THEN a.y WHEN r.rx = 1 THEN shiftleft(1L, l) - 1 - a.x ELSE a.x END) + shiftleft(r.ry, l) AS y))[0])"""
+    rows = areas.withColumn("seq", F.explode(F.expr("sequence(0L, shiftleft(1L, 2 * order) - 1)"))).withColumn("_c", F.expr(fold)).withColumn("_n", F.expr("shiftleft(1L, order) - 1"))
+    at = {c: F.col(f"min_{c}") + (F.col(f"max_{c}") - F.col(f"min_{c}")) * F.col(f"_c.{c}") / F.col("_n") for c in "xy"}
+    return rows.select("site_id", "seq", *[v.alias(k) for k, v in at.items()])
+
+
+def heat_points(pois: DataFrame, controls: DataFrame) -> DataFrame:
+    """(site_id, e, n, heat): every point of interest (site_id, e, n, r, loops) at 0.55 and 0.18 a loop, 1 at most and one loop
+    at least, ten samples round it at 0.6 of its radius with 0.55 of its heat, and drawn control points (site_id, e, n) at 0.4."""
+    loops = F.when(F.coalesce("loops", F.lit(0)) == 0, 1).otherwise(F.col("loops"))
+    centres = pois.withColumn("heat", F.least(F.lit(1.0), F.lit(0.55) + F.lit(0.18) * loops))
+    around = centres.withColumn("_k", _steps(10)).withColumn("_t", F.lit(2.0) * F.pi() * F.col("_k") / 10)
+    around = around.select("site_id", (F.col("e") + F.col("r") * 0.6 * F.cos("_t")).alias("e"), (F.col("n") + F.col("r") * 0.6 * F.sin("_t")).alias("n"), (F.col("heat") * 0.55).alias("heat"))
+    return centres.select("site_id", "e", "n", "heat").unionByName(around).unionByName(controls.select("site_id", "e", "n", F.lit(0.4).alias("heat")))
+
+
+def candidate_views(*sources: tuple[str, DataFrame]) -> DataFrame:
+    """The poses of each (name, table) one after the other, with source and ord, their place in the order of a site's candidates."""
+    rows = None
+    for k, (name, poses) in enumerate(sources):
+        part = poses.select("site_id", F.lit(name).alias("source"), F.lit(k).alias("_k"), "step", "e", "n", "u", "te", "tn", "tu")
+        rows = part if rows is None else rows.unionByName(part)
+    by = Window.partitionBy("site_id").orderBy("_k", "step", "e", "n", "u")
+    return rows.withColumn("ord", F.row_number().over(by) - 1).drop("_k")
+
+
 def ease_samples(missions: DataFrame, samples: int = 600) -> DataFrame:
     """Adds step and the eased time tau in 0..1, slow at both ends."""
     return missions.withColumn("step", _steps(samples)).withColumn("tau", F.lit(0.5) * (1 - F.cos(F.pi() * F.col("step") / (samples - 1))))

@@ -1,4 +1,4 @@
-"""Value of viewpoints and their selection."""
+"""Value of viewpoints and their selection."""
 
 from __future__ import annotations
 
@@ -6,34 +6,70 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import polygons, voxels
+from .camera import camera_intrinsics, pose_quaternion, project_points
+
+
+def score_pairs(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, optimal: float = 12.0, sigma: float = 6.0, power: float = 1.0, centre: float = 0.5) -> DataFrame:
+    """Viewpoint and hotspot pairs of a site with a framing above 0, and their term interest * framing * focal.
+
+    Viewpoints carry r00..r22 and camera_id. Framing is facing, the cosine between the view and the inward normal to the
+    ``power``, times the in-frame reward: 0 behind the camera or off the image, else 1 less ``centre`` times the distance
+    from the image's middle (1 at a corner). Beyond 39 sigma of the optimal distance the focal weight is 0 in double
+    precision: both sides are binned to cells of that reach and meet the 27 neighbours, so a large site does not form all
+    its pairs, and no term is lost. Viewpoints may bring an ``optimal`` and ``sigma`` of their own as columns; the widest
+    reach of them, one number, then sets the cells.
+    """
+    if optimal <= 0 or sigma <= 0 or power <= 0 or not 0 <= centre <= 1:
+        raise ValueError("optimal, sigma and power must be positive and centre in [0, 1]")
+    own = {"optimal", "sigma"} <= set(viewpoints.columns)
+    reach = (viewpoints.agg(F.max(F.col("optimal") + 39 * F.col("sigma"))).first()[0] or 1.0) if own else optimal + 39 * sigma
+    best, width = (F.col("optimal"), F.col("sigma")) if own else (F.lit(optimal), F.lit(sigma))
+    turn = [f"r{i}{j}" for i in range(3) for j in range(3)]
+    camera = camera_intrinsics(cameras).select("camera_id", "width", "height", "fx", "fy", "cx", "cy")
+    v = viewpoints.select("site_id", "vp_id", "camera_id", *[F.col(c).alias(f"v{c}") for c in "enu"], *turn, best.alias("_best"), width.alias("_width")).join(F.broadcast(camera), "camera_id")  # camera models: a handful of rows
+    size = F.sqrt(F.nullif(F.expr("nx * nx + ny * ny + nz * nz"), F.lit(0.0)))
+    h = hotspots.select("site_id", "hs_id", *[F.col(c).alias(f"h{c}") for c in "enu"], *[(F.col(c) / size).alias(c) for c in ("nx", "ny", "nz")], "interest")
+    for c in "enu":
+        v = v.withColumn(f"c{c}", F.floor(F.col(f"v{c}") / reach))
+        h = h.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{c}", F.floor(F.col(f"h{c}") / reach) + F.col("_d")).drop("_d")
+    # a pair that is not seen gets a framing of null, and all are sifted once
+    pairs = v.join(h, ["site_id", "ce", "cn", "cu"]).withColumns({"_d0": F.expr("he - ve"), "_d1": F.expr("hn - vn"), "_d2": F.expr("hu - vu")})
+    pairs = pairs.withColumn("dist", F.expr("sqrt(_d0 * _d0 + _d1 * _d1 + _d2 * _d2)"))
+    pairs = pairs.withColumn("facing", F.expr("IF(dist >= 1e-9, -(_d0 * nx + _d1 * ny + _d2 * nz) / dist, NULL)"))
+    pairs = pairs.withColumns({f"_c{j}": F.expr(f"r0{j} * _d0 + r1{j} * _d1 + r2{j} * _d2") for j in range(3)})
+    pairs = pairs.withColumns({"px": F.expr("IF(_c2 > 1e-9, cx + fx * _c0 / _c2, NULL)"), "py": F.expr("IF(_c2 > 1e-9, cy + fy * _c1 / _c2, NULL)")})
+    off = F.least(F.lit(1.0), F.expr("sqrt(pow((px - cx) / (width / 2D), 2) + pow((py - cy) / (height / 2D), 2))") / F.sqrt(F.lit(2.0)))
+    seen = F.expr("px >= 0 AND px < width AND py >= 0 AND py < height")
+    pairs = pairs.withColumn("in_frame", F.when(seen, F.lit(1.0 - centre) + F.lit(centre) * (1 - off)).otherwise(0.0))
+    pairs = pairs.withColumn("framing", F.when(F.col("facing") > 0, F.pow("facing", F.lit(power)) * F.col("in_frame")))
+    focal = F.exp(-F.pow(F.col("dist") - F.col("_best"), 2) / (2 * F.col("_width") * F.col("_width")))
+    rows = pairs.select("site_id", "vp_id", "hs_id", "dist", "facing", "in_frame", "framing", (F.col("interest") * F.col("framing") * focal).alias("term"))
+    return rows.where("framing > 0")
+
+
+def viewpoint_value(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, **how: float) -> DataFrame:
+    """Adds score, the sum of a viewpoint's terms; 0 where nothing is seen."""
+    total = score_pairs(viewpoints, hotspots, cameras, **how).groupBy("vp_id").agg(F.sum("term").alias("score"))
+    return viewpoints.join(total, "vp_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def score_pairs(viewpoints: DataFrame, hotspots: DataFrame, optimal: float = 12.0, sigma: float = 6.0, power: float = 1.0, reach: float | None = None) -> DataFrame:
-    """Viewpoint and hotspot pairs of a site that face each other, with their term interest * facing * focal.
-
-    With ``reach``, only pairs within it: both sides are binned to cells of that edge and cells meet their 27
-    neighbours, so a large site does not form all its pairs."""
-    v = viewpoints.select("site_id", "vp_id", *[F.col(c).alias(f"v{c}") for c in "enu"])
-    h = hotspots.select("site_id", "hs_id", *[F.col(c).alias(f"h{c}") for c in "enu"], "nx", "ny", "nz", "interest")
-    keys = ["site_id"]
-    if reach:
-        for c in "enu":
-            v = v.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{c}", F.floor(F.col(f"v{c}") / reach) + F.col("_d")).drop("_d")
-            h = h.withColumn(f"c{c}", F.floor(F.col(f"h{c}") / reach))
-        keys += ["ce", "cn", "cu"]
-    pairs = v.join(h, keys).withColumn("dist", F.expr("sqrt(pow(he - ve, 2) + pow(hn - vn, 2) + pow(hu - vu, 2))"))
-    if reach:
-        pairs = pairs.where(F.col("dist") <= reach)
-    pairs = pairs.withColumn("facing", F.when(F.col("dist") >= 1e-9, F.expr("greatest(0D, -((he - ve) * nx + (hn - vn) * ny + (hu - vu) * nz) / dist)")).otherwise(0.0))
-    pairs = pairs.where(F.col("facing") > 0)
-    focal = F.exp(-F.pow(F.col("dist") - optimal, 2) / (2 * sigma * sigma))
-    return pairs.withColumn("term", F.col("interest") * F.pow("facing", F.lit(power)) * focal).select("site_id", "vp_id", "hs_id", "dist", "facing", "term")
-
-
-def viewpoint_value(viewpoints: DataFrame, hotspots: DataFrame, **how: float) -> DataFrame:
-    """Adds the sum of a viewpoint's terms; 0 where nothing is seen."""
-    total = score_pairs(viewpoints, hotspots, **how).groupBy("vp_id").agg(F.sum("term").alias("score"))
-    return viewpoints.join(total, "vp_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def build_value_field(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, **how: float) -> DataFrame:
+    """(site_id, vp_id, e, n, u, qw, qx, qy, qz, value): scored viewpoints with their orientation."""
+    rows = pose_quaternion(viewpoint_value(viewpoints, hotspots, cameras, **how).withColumn("value", F.col("score")))
+    return rows.select("site_id", "vp_id", "e", "n", "u", "qw", "qx", "qy", "qz", "value")
+
+
+def sample_heatmap(points: DataFrame, poses: DataFrame, cameras: DataFrame, heatmap: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Hotspots of the points (image_id, e, n, u) whose pixel, rounded half to even, has an interest above the threshold in
+    ``heatmap`` (image_id, u, v, interest): the points with interest and a normal nx, ny, nz toward the camera."""
+    pixel = project_points(points, poses, cameras).where("z > 1e-9")
+    pixel = pixel.withColumns({"_u": F.rint("px").cast("long"), "_v": F.rint("py").cast("long")})
+    heat = heatmap.select("image_id", F.col("u").cast("long").alias("_u"), F.col("v").cast("long").alias("_v"), "interest").where(F.col("interest") > threshold)
+    size = poses.select("image_id", "camera_id", *[F.col(c).alias(f"_p{c}") for c in "enu"]).join(F.broadcast(cameras.select("camera_id", "width", "height")), "camera_id").drop("camera_id")
+    rows = pixel.join(heat, ["image_id", "_u", "_v"]).join(size, "image_id").where("_u >= 0 AND _u < width AND _v >= 0 AND _v < height")
+    rows = rows.withColumn("_l", F.expr("sqrt(pow(_pe - e, 2) + pow(_pn - n, 2) + pow(_pu - u, 2))")).where("_l >= 1e-9")
+    normal = {f"n{x}": (F.col(f"_p{c}") - F.col(c)) / F.col("_l") for x, c in zip("xyz", "enu", strict=True)}
+    return rows.withColumns(normal).select(*points.columns, "interest", *normal)
 
 
 def normalise_value(viewpoints: DataFrame) -> DataFrame:

@@ -1,13 +1,23 @@
-"""Measures of predictions and flights against references."""
+"""Measures of predictions and flights against references."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import missions, voxels
 
 
+def mask_intersect(one: DataFrame, two: DataFrame, by: str = "image_id") -> DataFrame:
+    return one.select(by, "u", "v").intersect(two.select(by, "u", "v"))
+
+
+def mask_union(one: DataFrame, two: DataFrame, by: str = "image_id") -> DataFrame:
+    return one.select(by, "u", "v").union(two.select(by, "u", "v")).distinct()
+
+
 def mask_iou(pred: DataFrame, truth: DataFrame, by: str = "image_id") -> DataFrame:
     """(by, inter, union, iou) of two tables of positive pixels (by, u, v); an image that only one side has counts 0."""
     key = [by, "u", "v"]
@@ -107,3 +117,82 @@ def audit_missions(waypoints: DataFrame, obstacles: DataFrame, dt: float = 0.1,
 
 def flight_ok(audit: DataFrame) -> DataFrame:
     return audit.withColumn("ok", ~F.col("collided") & (F.col("completed") | F.col("landed")))
+
+
+def match_boxes(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(image_id, pred_id, truth_id, iou): a one-to-one match of boxes x0, y0, x1, y1 of an image that overlap enough.
+
+    The result is that of taking all pairs by score, then overlap, then ids, and keeping a pair if both boxes are free.
+    Each round keeps every pair that is the first of both its boxes, so images and boxes are matched at once; what is
+    left is checkpointed for the next round.
+    """
+    t = truth.select("image_id", "truth_id", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+    pairs = pred.select("image_id", "pred_id", "score", "x0", "y0", "x1", "y1").join(t, "image_id").where("x0 < tx1 AND tx0 < x1 AND y0 < ty1 AND ty0 < y1")
+    pairs = pairs.withColumn("_i", F.expr("(least(x1, tx1) - greatest(x0, tx0)) * (least(y1, ty1) - greatest(y0, ty0))"))
+    pairs = pairs.withColumn("iou", F.expr("_i / ((x1 - x0) * (y1 - y0) + (tx1 - tx0) * (ty1 - ty0) - _i)")).where(F.col("iou") >= threshold)
+    left = voxels._checkpoint(pairs.select("image_id", "pred_id", "truth_id", "score", "iou"))
+    order, out = [F.desc("score"), F.desc("iou"), "pred_id", "truth_id"], None
+    while True:
+        rank = lambda c: F.row_number().over(Window.partitionBy("image_id", c).orderBy(*order))
+        kept = voxels._checkpoint(left.withColumns({"_p": rank("pred_id"), "_t": rank("truth_id")}).where("_p = 1 AND _t = 1").select("image_id", "pred_id", "truth_id", "iou"))
+        out = kept if out is None else out.unionByName(kept)
+        left = left.join(kept.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti").join(kept.select("image_id", "truth_id"), ["image_id", "truth_id"], "left_anti")
+        left = voxels._checkpoint(left)
+        if left.isEmpty():
+            return out
+
+
+def detection_quality(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(image_id, n_truth, n_pred, n_match, recall, precision, false_positives) of every image with boxes; an image without
+    true boxes has recall 1, one without predictions precision 1."""
+    hit = match_boxes(pred, truth, threshold).groupBy("image_id").agg(F.count("*").alias("n_match"))
+    counts = truth.groupBy("image_id").agg(F.count("*").alias("n_truth")).join(pred.groupBy("image_id").agg(F.count("*").alias("n_pred")), "image_id", "full").join(hit, "image_id", "left")
+    rows = counts.select("image_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_truth", "n_pred", "n_match")])
+    share = lambda of: F.when(F.col(of) == 0, 1.0).otherwise(F.try_divide(F.col("n_match"), F.col(of)))
+    return rows.withColumns({"recall": share("n_truth"), "precision": share("n_pred"), "false_positives": F.col("n_pred") - F.col("n_match")})
+
+
+def frechet_similarity(tracks: DataFrame, pairs: DataFrame, scale: float = 10.0, bound: float | None = None) -> DataFrame:
+    """(track_a, track_b, distance, similarity) of pairs of tracks (track_id, seq, x, y): the discrete Frechet distance d and
+    1 / (1 + d / scale).
+
+    With ``bound``, pairs whose first or last points are farther apart, and so their distance, are left out beforehand. A
+    task holds the points of one pair; a row of the table is worked out at a time.
+    """
+    points = tracks.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    rows = pairs.select("track_a", "track_b").join(points.select(F.col("track_id").alias("track_a"), F.col("p").alias("a")), "track_a").join(points.select(F.col("track_id").alias("track_b"), F.col("p").alias("b")), "track_b")
+    if bound is not None:
+        ends = [F.hypot(F.element_at("a.x", k) - F.element_at("b.x", k), F.element_at("a.y", k) - F.element_at("b.y", k)) <= bound for k in (1, -1)]
+        rows = rows.where(ends[0] & ends[1])
+    flat = rows.select("track_a", "track_b", *[F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "ab" for c in "xy"])
+
+    @F.pandas_udf("double")
+    def distance(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([_frechet(np.column_stack([p, q]), np.column_stack([r, s])) for p, q, r, s in zip(ax, ay, bx, by, strict=True)], dtype=float)
+
+    out = flat.select("track_a", "track_b", distance("ax", "ay", "bx", "by").alias("distance"))
+    return out.withColumn("similarity", 1 / (1 + F.col("distance") / scale))
+
+
+def _frechet(a: np.ndarray, b: np.ndarray) -> float:
+    row = None
+    for p in a:
+        d = np.sqrt(((b - p) ** 2).sum(axis=1))
+        if row is None:
+            row = np.maximum.accumulate(d)
+            continue
+        reach = np.minimum(row, np.concatenate([[np.inf], row[:-1]]))
+        new = np.empty(len(b))
+        last = np.inf
+        for j, (x, y) in enumerate(zip(reach.tolist(), d.tolist(), strict=True)):
+            last = new[j] = max(y, min(x, last))
+        row = new
+    return float(row[-1])
+
+
+def mission_summary(shots: DataFrame, audit: DataFrame, tag: str = "occlusion_closeup") -> DataFrame:
+    """(mission_id, n_waypoints, n_shots, n_closeups and the audit's columns) of clips (mission_id, shot_type, interest_tags)."""
+    counts = shots.groupBy("mission_id").agg(
+        F.count("*").alias("n_waypoints"), F.countDistinct("shot_type").alias("n_shots"), F.count_if(F.array_contains("interest_tags", tag)).alias("n_closeups")
+    )
+    return counts.join(audit, "mission_id", "left")

@@ -1,4 +1,4 @@
-"""Routes, samples, shots and tracks."""
+"""Routes, samples, shots and tracks."""
 
 from __future__ import annotations
 
@@ -58,13 +58,38 @@ def running_totals(samples: DataFrame, battery_s: float = 1080.0) -> DataFrame:
 
 
 def assign_shot_types(waypoints: DataFrame, distinct: int = 3, palette: tuple[str, ...] = PALETTE) -> DataFrame:
-    """Adds shot_type: the palette in turn. A palette of fewer than two kinds is an error."""
-    if len(palette) < 2:
-        raise ValueError("a palette needs two kinds of shot")
+    """Adds shot_type: the palette in turn. A palette of fewer than two kinds, or of fewer than ``distinct``, is an error."""
+    if len(set(palette)) < max(2, distinct):
+        raise ValueError("the palette has too few kinds of shot")
     i = F.pmod(F.row_number().over(_by()) - 1, F.lit(len(palette))).cast("int")
     return waypoints.withColumn("shot_type", F.element_at(F.array(*map(F.lit, palette)), i + 1))
 
 
+def add_tag(clips: DataFrame, tag: str, where: Column) -> DataFrame:
+    """Appends ``tag`` to interest_tags where the condition holds and the tag is not there yet."""
+    tags = F.col("interest_tags")
+    return clips.withColumn("interest_tags", F.when(F.coalesce(where, F.lit(False)) & ~F.array_contains(tags, tag), F.concat(tags, F.array(F.lit(tag)))).otherwise(tags))
+
+
+def first_tags(clips: DataFrame, n: int = 3) -> DataFrame:
+    return clips.withColumn("interest_tags", F.slice("interest_tags", 1, n))
+
+
+def tag_closeups(clips: DataFrame, closeups: DataFrame, tolerance: float = 1e-6, tag: str = "occlusion_closeup") -> DataFrame:
+    """Clips (clip key columns, site_id, e, n, u, interest_tags) with the tag where a close-up camera (site_id, e, n, u) stands
+    within the tolerance. Both sides are binned to cells of twice the tolerance; a clip meets the 27 cells round its own."""
+    cell = 2 * tolerance
+    near = F.sequence(F.lit(-1), F.lit(1))
+    keyed = clips.withColumn("_id", F.struct(*[c for c in clips.columns if c != "interest_tags"]))
+    left = keyed.select("_id", "site_id", "e", "n", "u")
+    for c in "enu":
+        left = left.withColumn("_d", F.explode(near)).withColumn(f"_{c}", F.floor(F.col(c) / cell) + F.col("_d")).drop("_d")
+    right = closeups.select("site_id", *[F.floor(F.col(c) / cell).alias(f"_{c}") for c in "enu"], *[F.col(c).alias(f"c{c}") for c in "enu"])
+    hit = left.join(right, ["site_id", "_e", "_n", "_u"]).where(F.expr("sqrt(pow(e - ce, 2) + pow(n - cn, 2) + pow(u - cu, 2))") < tolerance)
+    rows = keyed.join(hit.select("_id").distinct().withColumn("_hit", F.lit(True)), "_id", "left")
+    return add_tag(rows, tag, F.col("_hit")).drop("_id", "_hit")
+
+
 def check_variety(shots: DataFrame, distinct: int = 3) -> DataFrame:
     """varied: no equal neighbours and enough kinds."""
     rows = shots.withColumn("_same", F.coalesce((F.lag("shot_type").over(_by()) == F.col("shot_type")).cast("int"), F.lit(0)))
@@ -101,10 +126,13 @@ def downsample(waypoints: DataFrame, n: int) -> DataFrame:
     return rows.where((F.col("_m") <= n) | F.array_contains(wanted, F.col("_i"))).drop("_i", "_m")
 
 
-def orbit_poses(sites: DataFrame, views: int = 16) -> DataFrame:
-    """A ring of camera positions at half the height round the origin."""
+def orbit_poses(sites: DataFrame, views: int = 16, altitude: Column | None = None) -> DataFrame:
+    """A ring of camera positions round the origin, at half the height unless an altitude is given, aimed (te, tn, tu) at
+    the site's middle at half the height."""
     rows = sites.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(views - 1)))).withColumn("_t", F.lit(2.0) * F.pi() * F.col("view") / views)
-    return rows.select("site_id", "view", (F.col("radius") * F.cos("_t")).alias("e"), (F.col("radius") * F.sin("_t")).alias("n"), (F.col("height") / 2).alias("u"))
+    at = F.col("height") / 2 if altitude is None else altitude
+    aim = [F.lit(0.0).alias("te"), F.lit(0.0).alias("tn"), (F.col("height") / 2).alias("tu")]
+    return rows.select("site_id", "view", (F.col("radius") * F.cos("_t")).alias("e"), (F.col("radius") * F.sin("_t")).alias("n"), at.alias("u"), *aim)
 
 
 def _track() -> WindowSpec:
@@ -125,11 +153,16 @@ def catmull_rom(tracks: DataFrame, segments: int = 18) -> DataFrame:
     return rows.select("track_id", "seq", "step", *[F.when(bent, curve(c)).otherwise(F.col(c)).alias(c) for c in "xy"])
 
 
-def chaikin(tracks: DataFrame) -> DataFrame:
-    """One round of corner cutting, both ends kept: each segment gives its points at 1/4 and 3/4."""
-    rows = tracks.withColumns({f"{c}2": F.lead(c).over(_track()) for c in "xy"})
-    cut = rows.where("x2 IS NOT NULL").withColumn("w", F.explode(F.array(F.lit(0.25), F.lit(0.75))))
-    inner = cut.select("track_id", (F.col("seq") + F.col("w")).alias("at"), *[(F.col(c) * (1 - F.col("w")) + F.col(f"{c}2") * F.col("w")).alias(c) for c in "xy"])
-    first = tracks.where("seq = 0").select("track_id", F.col("seq").cast("double").alias("at"), "x", "y")
-    last = rows.where("x2 IS NULL AND seq > 0").select("track_id", F.col("seq").cast("double").alias("at"), "x", "y")
-    return inner.unionByName(first).unionByName(last)
+def chaikin(tracks: DataFrame, iters: int = 1) -> DataFrame:
+    """Rounds of corner cutting, both ends kept: each segment gives its points at 1/4 and 3/4. (track_id, at, x, y), ``at`` in
+    the points of the round before. Tracks of fewer than three points stay as they are."""
+    rows = tracks.select("track_id", F.col("seq").cast("double").alias("seq"), "x", "y")
+    for _ in range(iters):
+        numbered = rows.withColumn("seq", (F.row_number().over(_track()) - 1).cast("double"))
+        whole = numbered.withColumns({f"{c}2": F.lead(c).over(_track()) for c in "xy"} | {"_n": F.count("*").over(Window.partitionBy("track_id"))})
+        ends = F.when((F.col("seq") == 0) | F.col("x2").isNull() | (F.col("_n") < 3), F.array(F.lit(0.0))).otherwise(F.array().cast("array<double>"))
+        inner = F.when(F.col("x2").isNotNull() & (F.col("_n") >= 3), F.array(F.lit(0.25), F.lit(0.75))).otherwise(F.array().cast("array<double>"))
+        cut = whole.withColumn("w", F.explode(F.concat(ends, inner)))
+        mix = {c: F.when(F.col("w") == 0, F.col(c)).otherwise(F.col(c) * (1 - F.col("w")) + F.col(f"{c}2") * F.col("w")) for c in "xy"}
+        rows = cut.select("track_id", (F.col("seq") + F.col("w")).alias("seq"), *[v.alias(k) for k, v in mix.items()])
+    return rows.withColumnRenamed("seq", "at")

@@ -1,65 +1,81 @@
-"""Visit orders and smooth trajectories, one mission a group (G5-G7). A mission has tens of waypoints: the selection
-before it (O1) limits them, so a group is small whatever the number of missions."""
+"""Visit orders and smooth trajectories, one mission a group (G5-G7). After the selection (O1) a mission has tens of waypoints; visit
+orders cut a longer one into bounded stretches, splines hold the waypoints of one mission."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import measures, missions
 
 
-def _visit(p: np.ndarray, rounds: int) -> list[int]:
-    """An open path from point 0: nearest neighbours, then reversed and moved stretches while that shortens it."""
+#: Points of a mission that are ordered together; a longer mission is cut into stretches of so many by seq.
+STRETCH = 400
+
+
+def _visit(p: np.ndarray) -> list[int]:
+    """An open path from point 0: nearest neighbours, then the best reversal or move of up to three points, all of them
+    weighed at once, until none shortens the path. Distances are whole millimetres, so the path gets shorter each time."""
     d = np.rint(np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)) * 1000) / 1000
-    left, path = set(range(1, len(p))), [0]
-    while left:
-        path.append(min(left, key=lambda k: (d[path[-1], k], k)))
-        left.discard(path[-1])
-    n = len(path)
+    n = len(p)
+    free, path = np.ones(n, bool), [0]
+    free[0] = False
+    while free.any():
+        path.append(int(np.where(free, d[path[-1]], np.inf).argmin()))
+        free[path[-1]] = False
     if n <= 2:
         return path
-    cost = lambda a, b: d[path[a], path[b]] if b < n else 0.0
-    for _ in range(rounds):
+    order = np.array(path)
+    at = np.arange(n)
+    while True:
+        # row and column n stand for the open end, at no distance
+        w = np.zeros((n + 1, n + 1))
+        w[:n, :n] = d[np.ix_(order, order)]
+        step = w[at, at + 1]  # from each place to the next
+        turn = w[: n - 1, 1:n] + w[1:n, 2:] - step[: n - 1, None] - step[None, 1:]
+        turn[np.tril_indices(n - 1, -1)] = 0
         best, change = -1e-9, None
-        for a in range(1, n):
-            for b in range(a, n):
-                cut = cost(a - 1, a) + cost(b, b + 1)
-                turn = cost(a - 1, b) + (d[path[a], path[b + 1]] if b + 1 < n else 0.0) - cut
-                if turn < best:
-                    best, change = turn, (a, b, None)
-                if b - a < 3:
-                    closed = (d[path[a - 1], path[b + 1]] if b + 1 < n else 0.0) - cut
-                    for c in [*range(a - 1), *range(b + 1, n)]:
-                        put = cost(c, a) + (d[path[b], path[c + 1]] if c + 1 < n else 0.0) - cost(c, c + 1)
-                        if closed + put < best:
-                            best, change = closed + put, (a, b, c)
+        k = int(turn.argmin())
+        if turn.flat[k] < best:
+            best, change = turn.flat[k], ("turn", 1 + k // (n - 1), 1 + k % (n - 1), 0)
+        for more in range(min(3, n - 1)):
+            a = np.arange(1, n - more)
+            b = a + more
+            closed = w[a - 1, b + 1] - step[a - 1] - step[b]
+            put = closed[:, None] + w[:n, a].T + w[b][:, 1:] - step[None, :]
+            put[(at[None, :] >= a[:, None] - 1) & (at[None, :] <= b[:, None])] = 0
+            k = int(put.argmin())
+            if put.flat[k] < best:
+                best, change = put.flat[k], ("move", int(a[k // n]), int(b[k // n]), k % n)
         if change is None:
-            break
-        a, b, c = change
-        if c is None:
-            path[a : b + 1] = path[a : b + 1][::-1]
+            return order.tolist()
+        kind, a, b, c = change
+        if kind == "turn":
+            order[a : b + 1] = order[a : b + 1][::-1].copy()
         else:
-            piece, rest = path[a : b + 1], path[:a] + path[b + 1 :]
-            at = rest.index(path[c]) + 1
-            path = rest[:at] + piece + rest[at:]
-    return path
+            rest = np.concatenate([order[:a], order[b + 1 :]])
+            c = c + 1 if c < a else c + 1 - (b + 1 - a)
+            order = np.concatenate([rest[:c], order[a : b + 1], rest[c:]])
 
 
-def route_missions(points: DataFrame, rounds: int = 200) -> DataFrame:
-    """Adds visit, the place of each point in its mission's path. The path starts at the first point by seq, is open,
-    and no reversal of a stretch and no move of up to three points shortens it (after ``rounds`` changes at most)."""
+def route_missions(points: DataFrame) -> DataFrame:
+    """Adds visit, the place of each point in its mission's path. The path starts at the first point by seq, is open, and
+    no reversal of a stretch and no move of up to three points shortens it. A mission of more than STRETCH points is cut
+    into stretches by seq, each a path of that kind from its own first point, flown one after the other, so that no task
+    holds more than a stretch."""
     kinds = dict(points.dtypes)
+    place = F.row_number().over(Window.partitionBy("mission_id").orderBy("seq")) - 1
+    cut = points.withColumn("_part", F.floor(place / STRETCH).cast("int"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable").reset_index(drop=True)
-        order = _visit(rows[["e", "n", "u"]].to_numpy(float), rounds)
-        return rows.iloc[order].assign(visit=np.arange(len(rows)))
+        order = _visit(rows[["e", "n", "u"]].to_numpy(float))
+        return rows.iloc[order].assign(visit=rows["_part"].iloc[0] * STRETCH + np.arange(len(rows))).drop(columns="_part")
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", visit long"
-    return points.groupBy("mission_id").applyInPandas(one, schema)
+    return cut.groupBy("mission_id", "_part").applyInPandas(one, schema)
 
 
 def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -1,15 +1,28 @@
-"""Voxel grids and obstacle maps (P19, F6-F8, F12, J6, J12, J13, A4, A6-A9). Cells are (site_id, i, j, k)."""
+"""Voxel grids and obstacle maps (P19, F6-F8, F12, J6, J7, J12-J14, J17, A4, A6-A9). Cells are (site_id, i, j, k)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import camera
+from . import camera, polygons
 
 CELL = ["site_id", "i", "j", "k"]
 
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage; the copy lies in the folder that the cluster shares."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def voxel_index(points: DataFrame, res: float, origin: tuple[float, float, float]) -> DataFrame:
     return points.withColumns({c: F.floor((F.col(p) - o) / res).cast("int") for c, p, o in zip("ijk", "enu", origin, strict=True)})
 
@@ -89,3 +102,66 @@ def occupancy(depth: DataFrame, poses: DataFrame, cameras: DataFrame, res: float
 
 def build_obstacle_map(depth: DataFrame, poses: DataFrame, cameras: DataFrame, res: float, origin: tuple[float, float, float], shape: tuple[int, int, int]) -> DataFrame:
     return drop_ground(occupancy(depth, poses, cameras, res, origin, shape))
+
+
+def obstacle_lookup(cells: DataFrame, res: float, labelled: DataFrame | None = None, sparse: DataFrame | None = None, heights: DataFrame | None = None) -> DataFrame:
+    """The cells that any of the sources holds: labelled voxels but for empty and ground (0, 1), a list of occupied cells, or a
+    height grid (site_id, i, j, h), whose columns are occupied up to their height."""
+    found = []
+    if labelled is not None:
+        found.append(cells.join(labelled.where("label NOT IN (0, 1)").select(*CELL), CELL, "left_semi"))
+    if sparse is not None:
+        found.append(cells.join(sparse.select(*CELL), CELL, "left_semi"))
+    if heights is not None:
+        top = heights.groupBy("site_id", "i", "j").agg(F.max("h").alias("_h"))
+        found.append(cells.join(top, ["site_id", "i", "j"]).where(F.col("k") * res <= F.col("_h")).select(*cells.columns))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def voxelize_footprints(footprints: DataFrame, res: float = 5.0, vfov: float = 53.0, margin: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """Grids and building cells of footprints (site_id, polygon, height) extruded to their height.
+
+    A closing vertex is dropped and the vertex mean becomes the origin. Grids: site_id, radius (the view's fit, or 1.5
+    times the reach and the margin if that is more), oe, on, ou, nx, ny, nz. Cells (site_id, i, j, k) are those from the first
+    above the ground up to the roof whose centre lies inside; only the polygon's own box is tried.
+    """
+    same = F.expr("size(polygon) > 1 AND abs(polygon[0].x - element_at(polygon, -1).x) <= 1e-8 + 1e-5 * abs(element_at(polygon, -1).x) AND abs(polygon[0].y - element_at(polygon, -1).y) <= 1e-8 + 1e-5 * abs(element_at(polygon, -1).y)")
+    rows = footprints.withColumn("polygon", F.when(same, F.expr("slice(polygon, 1, size(polygon) - 1)")).otherwise(F.col("polygon")))
+    rows = polygons.polygon_stats(rows).withColumn("polygon", F.expr("transform(polygon, p -> named_struct('x', p.x - cx, 'y', p.y - cy))"))
+    rows = rows.select("site_id", "height", "polygon", "cx", "cy", "reach").withColumn("radius", F.greatest((F.col("height") / 2 + margin) / F.tan(F.radians(F.lit(vfov)) / 2), F.col("reach") * 1.5 + margin))
+    rows = rows.withColumn("_half", F.expr("radius + reach + 6")).withColumns({"nx": F.ceil(F.col("_half") * 2 / res).cast("int"), "nz": F.ceil((F.col("height") + 2 * res) / res).cast("int")})
+    grids = rows.select("site_id", "radius", "cx", "cy", (-F.col("_half")).alias("oe"), (-F.col("_half")).alias("on"), F.lit(0.0).alias("ou"), "nx", F.col("nx").alias("ny"), "nz")
+
+    def span(c: str) -> Column:
+        lo, hi = (F.floor((f(F.col(f"polygon.{c}")) + F.col("_half")) / res) for f in (F.array_min, F.array_max))
+        return F.sequence(F.greatest(F.lit(0), lo.cast("int")), F.least(F.col("nx") - 1, hi.cast("int")))
+
+    columns = rows.withColumn("i", F.explode(span("x"))).withColumn("j", F.explode(span("y")))
+    columns = columns.withColumns({"_e": (F.col("i") + 0.5) * res - F.col("_half"), "_n": (F.col("j") + 0.5) * res - F.col("_half")}).where(polygons.inside("_e", "_n", "polygon"))
+    top = F.least(F.ceil(F.col("height") / res).cast("int"), F.col("nz") - 1)
+    return grids, columns.where(top >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), top))).select(*CELL)
+
+
+def nearest_surface(points: DataFrame, surface: DataFrame, key: str, res: float, origin: tuple[float, float, float], reach: float = 8.0) -> DataFrame:
+    """(key, i, j, k, dist) of the surface cell whose centre is nearest to each point of its site, of equals the first in cell
+    order; points of sites without a surface have no row.
+
+    Points look in cubes of ``reach`` round them and, while none is found within it, in cubes of twice the edge; each round
+    works on the points still open, and there are at most as many as doublings span the grid.
+    """
+    centres = voxel_center(surface.select(*CELL).distinct(), res, origin).withColumnsRenamed({c: f"s{c}" for c in "enu"})
+    left = points.select(key, "site_id", "e", "n", "u").join(surface.select("site_id").distinct(), "site_id", "left_semi")
+    out = None
+    near = F.sequence(F.lit(-1), F.lit(1))
+    while True:
+        cells, boxes = left, centres
+        for c in "enu":
+            cells = cells.withColumn("_d", F.explode(near)).withColumn(f"_{c}", F.floor(F.col(c) / reach) + F.col("_d")).drop("_d")
+            boxes = boxes.withColumn(f"_{c}", F.floor(F.col(f"s{c}") / reach))
+        pairs = cells.join(boxes, ["site_id", "_e", "_n", "_u"]).withColumn("dist", F.expr("sqrt(pow(e - se, 2) + pow(n - sn, 2) + pow(u - su, 2))")).where(F.col("dist") <= reach)
+        best = _checkpoint(pairs.groupBy(key).agg(F.min(F.struct("dist", "i", "j", "k")).alias("b")).select(key, "b.i", "b.j", "b.k", "b.dist"))
+        out = best if out is None else out.unionByName(best)
+        left = _checkpoint(left.join(best.select(key), key, "left_anti"))
+        if left.isEmpty():
+            return out
+        reach *= 2

@@ -230,13 +230,6 @@ def a9_build_obstacle_map(spark, sf):
     return cells.groupBy("site_id").agg(F.count("*").alias("n_cells"))
 
 
-@register(f"""WITH {VIEWPOINTS}, {HOTSPOTS}, p AS (SELECT v.vp_id, h.interest, sqrt(pow(h.e - v.e, 2) + pow(h.n - v.n, 2) + pow(h.u - v.u, 2)) AS d, (h.e - v.e) * nx + (h.n - v.n) * ny + (h.u - v.u) * nz AS dot
-    FROM viewpoints v JOIN hotspots h USING (site_id)), s AS (SELECT vp_id, sum(interest * -dot / d * exp(-pow(d - 12, 2) / 72)) AS score FROM p WHERE d <= 40 AND d >= 1e-9 AND dot < 0 GROUP BY vp_id)
-  SELECT vp_id, round(coalesce(score, 0), 6) AS score FROM viewpoints LEFT JOIN s USING (vp_id)""")
-def a10_viewpoint_value(spark, sf):
-    return interest.viewpoint_value(T.viewpoints(spark, sf), T.hotspots(spark, sf), reach=40.0).select("vp_id", *_r("score"))
-
-
 PEAKS = """peaks AS (SELECT v.* FROM viewpoints v WHERE NOT EXISTS (SELECT 1 FROM viewpoints o WHERE o.site_id = v.site_id AND o.vp_id <> v.vp_id AND sqrt(pow(o.e - v.e, 2) + pow(o.n - v.n, 2) + pow(o.u - v.u, 2)) <= 6.000000001
   AND (o.value > v.value + 1e-12 OR (abs(o.value - v.value) <= 1e-12 AND o.vp_id < v.vp_id))))"""
 

@@ -1,16 +1,17 @@
-"""Files of footprints, footage sets and drawn paths (IO1-IO3, IO6, IO7, F9)."""
+"""Files of footprints, footage sets, drawn paths and traces (IO1-IO8, F9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import frames, missions, voxels
+from ..operators.missions import PALETTE as SHOT_TYPES
+
 FOOTPRINT = "site_id LONG, centroid ARRAY<DOUBLE>, height_m DOUBLE, polygon_latlon ARRAY<ARRAY<DOUBLE>>"
 POSE = "STRUCT<position: ARRAY<DOUBLE>, orientation: STRUCT<w: DOUBLE, x: DOUBLE, y: DOUBLE, z: DOUBLE>>"
 CLIP = f"STRUCT<clip_id: STRING, shot_type: STRING, poses: ARRAY<{POSE}>, interest_tags: ARRAY<STRING>, uri: STRING, start_time_s: DOUBLE, duration_s: DOUBLE>"
 FOOTAGE = f"aoi_name STRING, home STRUCT<lat: DOUBLE, lon: DOUBLE, alt: DOUBLE>, clips ARRAY<{CLIP}>, coverage DOUBLE, _corrupt STRING"
-# shot types (fixed values)
-SHOT_TYPES = ("orbit", "flyby", "reveal", "push_in", "top_down", "parallax", "dronie")
 
 
 def read_footprints(spark: SparkSession, path: str) -> DataFrame:
@@ -20,9 +21,36 @@ def read_footprints(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"lat": F.col("_p")[0], "lon": F.col("_p")[1]}).drop("_p")
 
 
+#: Keys of each level of a footage set.
+KEYS = {
+    "": ("aoi_name", "home", "clips", "coverage"),
+    "home": ("lat", "lon", "alt"),
+    "clip": ("clip_id", "shot_type", "poses", "interest_tags", "uri", "start_time_s", "duration_s"),
+    "pose": ("position", "orientation"),
+    "orientation": ("w", "x", "y", "z"),
+}
+
+
 def read_footage_sets(spark: SparkSession, path: str) -> DataFrame:
-    """One row a set, one set a line; a line that is no JSON of this shape is kept in ``_corrupt``."""
-    return spark.read.schema(FOOTAGE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    """One row a set, one set a line; a line that is no JSON of this shape is kept in ``_corrupt``. ``_unknown`` lists the
+    keys that no level of a set has, as ``key``, ``home.key``, ``clip.key``, ``pose.key`` or ``orientation.key``."""
+    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    parsed = rows.withColumn("_set", F.from_json("value", FOOTAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    part = {
+        "": "json_object_keys(value)",
+        "home": "json_object_keys(get_json_object(value, '$.home'))",
+        "clip": "flatten(transform(from_json(get_json_object(value, '$.clips'), 'array<map<string,string>>'), c -> map_keys(c)))",
+        "pose": "flatten(flatten(transform(from_json(get_json_object(value, '$.clips'), 'array<map<string,string>>'), c -> transform(from_json(c['poses'], 'array<map<string,string>>'), p -> map_keys(p)))))",
+        "orientation": "flatten(flatten(transform(from_json(get_json_object(value, '$.clips'), 'array<map<string,string>>'), c -> transform(from_json(c['poses'], 'array<map<string,string>>'), p -> map_keys(from_json(p['orientation'], 'map<string,string>'))))))",
+    }
+    none = F.array().cast("array<string>")
+
+    def beyond(level: str) -> Column:
+        names = F.coalesce(F.filter(F.expr(part[level]), lambda x: x.isNotNull()), none)
+        return F.transform(F.array_except(names, F.array(*map(F.lit, KEYS[level]))), lambda x: F.concat(F.lit(level + "." if level else ""), x))
+
+    unknown = [beyond(level) for level in KEYS]
+    return parsed.select("_set.*", F.array_sort(F.array_distinct(F.concat(*unknown))).alias("_unknown"))
 
 
 def validate_footage_sets(sets: DataFrame) -> DataFrame:
@@ -31,6 +59,7 @@ def validate_footage_sets(sets: DataFrame) -> DataFrame:
     shots = ", ".join(f"'{s}'" for s in SHOT_TYPES)
     rules = {
         "unreadable": "_corrupt IS NOT NULL",
+        **({"unknown": "size(_unknown) > 0"} if "_unknown" in sets.columns else {}),
         "home": f"{none('home.lat')} OR {none('home.lon')} OR abs(home.lat) > 90 OR abs(home.lon) > 180",
         "coverage": f"{none('coverage')} OR coverage NOT BETWEEN 0 AND 1",
         "clips": f"{none('clips')} OR size(clips) < 1",
@@ -70,6 +99,51 @@ def write_poi_paths(tracks: DataFrame, path: str) -> None:
 
 
 def posed_image_refs(poses: DataFrame, prefix: str = "img") -> DataFrame:
-    """Adds ref: the prefix and the number of the pose in its site, from 0, in four digits."""
+    """Adds ref: the prefix and the number of the pose in its site, from 0, in four digits; and pose, its position and
+    quaternion nested, if the poses have an orientation."""
     by = Window.partitionBy("site_id").orderBy("pose_id")
-    return poses.withColumn("ref", F.format_string(f"{prefix}_%04d", F.row_number().over(by) - 1))
+    rows = poses.withColumn("ref", F.format_string(f"{prefix}_%04d", F.row_number().over(by) - 1))
+    if not {"qw", "qx", "qy", "qz"} <= set(poses.columns):
+        return rows
+    turn = F.struct(*[F.col(f"q{c}").alias(c) for c in "wxyz"])
+    return rows.withColumn("pose", F.struct(F.array("e", "n", "u").alias("position"), turn.alias("orientation")))
+
+
+def model3d(surface: DataFrame, images: DataFrame, coverage: DataFrame, res: float, origin: tuple[float, float, float], override: DataFrame | None = None) -> DataFrame:
+    """Rows (site_id, part, position, ref, pose, voxel_size, coverage) of each site's model: part ``surface`` for a cell, ``image``
+    for a posed image. ``override`` (site_id, override) takes the place of the measured coverage. A model is as large as
+    its surface, so it stays rows and is never nested into one."""
+    cells = voxels.voxel_center(surface.select("site_id", "i", "j", "k"), res, origin).select("site_id", F.lit("surface").alias("part"), F.array("e", "n", "u").alias("position"))
+    shots = images.select("site_id", F.lit("image").alias("part"), F.array("e", "n", "u").alias("position"), "ref", "pose")
+    measured = coverage.select("site_id", "coverage")
+    if override is not None:
+        measured = measured.join(override.select("site_id", "override"), "site_id", "left").select("site_id", F.coalesce("override", "coverage").alias("coverage"))
+    return cells.unionByName(shots, allowMissingColumns=True).join(measured, "site_id").withColumn("voxel_size", F.lit(float(res)))
+
+
+def geo_trace(sites: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """(site_id, part, seq, lat, lon, alt, phase, label) of local tables (site_id, seq, e, n, u and perhaps label): degrees to 7
+    places, altitudes to 1, phases by the site's height. One row a point, so that no site's trace meets in one task."""
+    rows = None
+    for name, points in parts.items():
+        label = F.col("label") if "label" in points.columns else F.lit(None).cast("string")
+        part = points.select("site_id", F.lit(name).alias("part"), "seq", "e", "n", "u", label.alias("label"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = missions.classify_phase(frames.enu_to_geodetic(rows, sites).withColumn("alt", F.col("u")), sites)
+    return frames.round_vectors(rows, {"lat": 7, "lon": 7, "alt": 1}).select("site_id", "part", "seq", "lat", "lon", "alt", "phase", "label")
+
+
+def stage_trace(parts: dict[str, DataFrame]) -> DataFrame:
+    """(site_id, part, seq, e, n, u, v) of local tables (site_id, seq, e, n, u and perhaps v): metres to 2 places, values to 3."""
+    rows = None
+    for name, points in parts.items():
+        value = F.col("v") if "v" in points.columns else F.lit(None).cast("double")
+        part = points.select("site_id", F.lit(name).alias("part"), F.col("seq").cast("long").alias("seq"), "e", "n", "u", value.alias("v"))
+        rows = part if rows is None else rows.unionByName(part)
+    return frames.round_vectors(rows, {"e": 2, "n": 2, "u": 2, "v": 3})
+
+
+def write_trace(trace: DataFrame, summary: DataFrame, path: str) -> None:
+    """A trace as JSON lines, one folder a part, and beside it the folder ``meta`` with a summary row a site or mission."""
+    trace.write.mode("errorifexists").partitionBy("part").json(f"{path}/trace")
+    summary.write.mode("errorifexists").json(f"{path}/meta")

@@ -83,8 +83,10 @@ def test_selection(spark):
     v = spark.createDataFrame([(1, k, float(e), 0.0, 10.0, float(x)) for k, (e, x) in enumerate([(0, 5), (3, 2), (40, 7), (43, 1), (-40, 6)])], "site_id int, vp_id long, e double, n double, u double, value double")
     assert sorted(r.value for r in interest.local_maxima(v).collect()) == [5, 6, 7]
     h = spark.sql("SELECT 1 AS site_id, 1 AS hs_id, 0D AS e, 0D AS n, 0D AS u, 1D AS nx, 0D AS ny, 0D AS nz, 2D AS interest")
-    one = spark.createDataFrame([(1, 1, 12.0, 0.0, 0.0)], "site_id int, vp_id long, e double, n double, u double")
-    assert interest.viewpoint_value(one, h).first().score == pytest.approx(2.0)
+    cams = spark.range(1).selectExpr("0 AS camera_id", "84D AS hfov", "53D AS vfov", "640 AS width", "480 AS height")
+    one = spark.createDataFrame([(1, 1, 12.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)], "site_id int, vp_id long, e double, n double, u double, te double, tn double, tu double, camera_id int")
+    one = camera.look_at(one)
+    assert interest.viewpoint_value(one, h, cams).first().score == pytest.approx(2.0)
     assert interest.viewpoint_value(one, h.withColumn("nx", F.lit(-1.0))).first().score == 0
     near = spark.createDataFrame([(1, 1, 0, 0)], "site_id int, i int, j int, k int")
     got = voxels.clearance(one.withColumn("e", F.lit(-44.0)).withColumn("n", F.lit(-47.0)).withColumn("u", F.lit(1.0)), near, "vp_id", 4).first()
