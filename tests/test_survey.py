@@ -87,7 +87,7 @@ def test_selection(spark):
     one = spark.createDataFrame([(1, 1, 12.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)], "site_id int, vp_id long, e double, n double, u double, te double, tn double, tu double, camera_id int")
     one = camera.look_at(one)
     assert interest.viewpoint_value(one, h, cams).first().score == pytest.approx(2.0)
-    assert interest.viewpoint_value(one, h.withColumn("nx", F.lit(-1.0))).first().score == 0
+    assert interest.viewpoint_value(one, h.withColumn("nx", F.lit(-1.0)), cams).first().score == 0
     near = spark.createDataFrame([(1, 1, 0, 0)], "site_id int, i int, j int, k int")
     got = voxels.clearance(one.withColumn("e", F.lit(-44.0)).withColumn("n", F.lit(-47.0)).withColumn("u", F.lit(1.0)), near, "vp_id", 4).first()
     assert got.min_d == pytest.approx(1.0)
