@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    sc = spark.sparkContext
+    """The folder that the cluster shares: ``spark.checkpoint.dir``, or the checkpoint folder that the session was given. A
+    temporary one serves only a session in one JVM; on a cluster the rest would not see what an executor wrote there."""
+    sc, given = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siteview-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if given is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="siteview-"))
+    return given or sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

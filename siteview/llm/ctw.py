@@ -188,7 +188,7 @@ def score_texts(documents: DataFrame, folds: int = 10, chunk: int = CHUNK) -> Da
     chunks = max(1, -(-docs.count() // chunk))
     docs = docs.withColumn("held_out", id_bucket("doc_id", folds) == 0)
     # rows without an id, and repeats of one, are spread by their text
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(chunks)))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     items = stored(docs.groupBy("chunk").applyInArrow(_count, "chunk long, word binary, gram long, n long, ends long"))
     by_word = Window.partitionBy("word")
     words = items.where("word is not null").select("chunk", "word", F.sum("n").over(by_word).alias("c"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first"))

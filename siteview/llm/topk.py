@@ -101,9 +101,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(fine)
     queries = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(fine)
     n_q, n_c = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // block))
-    left = _blocks(queries, n_q).select(F.col("block").alias("q_block"), "dim", *[F.col(x).alias(f"q_{x}") for x in ("ids", "data", "exact", "large")])
-    right = _blocks(vectors, n_c).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    tiles = left.join(right, ["q_block", "dim"]).repartition(F.col("q_block"), F.col("block"))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = _blocks(queries, n_q).select(F.col("block").alias("q_block"), "dim", *[F.col(x).alias(f"q_{x}") for x in ("ids", "data", "exact", "large")]).withColumn("block", to(n_c))
+    right = _blocks(vectors, n_c).withColumn("q_block", to(n_q))
+    tiles = left.join(right.hint("merge"), ["q_block", "block", "dim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

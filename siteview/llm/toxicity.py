@@ -153,7 +153,7 @@ class Tagger:
 
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 30, seed: int = 5) -> Tagger:
-    """Conditional log-likelihood by Adagrad over windows round toxic tokens and as many random windows."""
+    """Conditional log-likelihood by Adagrad over windows round all toxic tokens and two random windows a text."""
     marks = token_labels(texts, toxic)
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
@@ -161,8 +161,15 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 30, seed: int = 5)
     for text, is_toxic in zip(texts, toxic, strict=True):
         words = [w.lower() for w in TOKEN.findall(text)]
         label = [int(bool(is_toxic) and any(s in marks for s in _stems(w))) for w in words]
-        hits = [i for i, y in enumerate(label) if y][:4] if is_toxic else []
-        for i in [*hits, *(rng.integers(0, len(words), 2).tolist() if words else [])]:
+        hits = [i for i, y in enumerate(label) if y] if is_toxic else []
+        at = -1
+        for i in hits:  # windows of neighbouring tokens are one
+            if i > at:
+                at = i + 8
+                near = [k for k in hits if i <= k <= at]
+                a, b = max(0, i - 8), near[-1] + 9
+                windows.append(([vocabulary.setdefault(w, len(vocabulary)) for w in words[a:b]], label[a:b]))
+        for i in rng.integers(0, len(words), 2).tolist() if words else []:
             a, b = max(0, i - 8), i + 9
             windows.append(([vocabulary.setdefault(w, len(vocabulary)) for w in words[a:b]], label[a:b]))
     weights, trans = np.zeros(WEIGHTS), np.zeros((2, 2))
