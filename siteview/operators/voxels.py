@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +14,13 @@ CELL = ["site_id", "i", "j", "k"]
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage; the copy lies in the folder that the cluster shares."""
+    """Cut the lineage; the copy lies in the folder that the cluster shares, or in a temporary one of a session in one JVM."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+        if folder is None and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siteview-"))
     return df.checkpoint()
 
 
