@@ -391,16 +391,12 @@ def io3_footage_sets(spark, sf):
     return sets.select("site_id", F.size("clips").cast("long").alias("n_clips"), F.col("clips")[0]["clip_id"].alias("first_clip"), "home.lat", *_r("coverage")).withColumnRenamed("lat", "home_lat")
 
 
-@register(None)
-def g4_map_sites(spark, sf):
-    """Orbits of four views and the completion poses, over the whole voxel table."""
-    return survey.map_sites(_sites(spark, sf), T.voxels(spark, sf), T.cameras(spark), 4)["coverage"]
-
-
 @register(None)
 def g10_run_pipeline(spark, sf):
-    """All stages over the whole voxel table, with orbits of four views."""
-    return survey.run_pipeline(T.sites(spark, sf), T.voxels(spark, sf), T.cameras(spark), 4)["summary"]
+    """All stages over the whole voxel table, with orbits of four views: a row a site with its coverage (G4) and its flight."""
+    out = survey.run_pipeline(T.sites(spark, sf), T.voxels(spark, sf), T.cameras(spark), 4)
+    flown = out["summary"].withColumnRenamed("mission_id", "site_id")
+    return out["coverage"].join(flown, "site_id", "left")
 
 
 @register(None)

@@ -60,6 +60,7 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obstacle_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that a survey found: those of the lines that were not returned, so that it misses some of ``voxels``."""
     kept = _read(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'")
     cells = kept.selectExpr("CAST(l_suppkey % 25 AS INT) AS site_id", "CAST(l_partkey % 48 AS INT) AS i", "CAST(l_orderkey % 48 AS INT) AS j", "CAST(CAST(l_quantity AS INT) % 20 AS INT) AS k")
     return cells.where("k <> 0").distinct()
@@ -98,7 +99,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells that each of 40 poses of a site sees."""
+    """The cells that each of 40 poses of a site sees: of the lines numbered below 4, so that some cells are seen by none."""
     rows = _read(spark, sf_dir, "lineitem").where("l_linenumber < 4")
     return rows.selectExpr("CAST(l_suppkey % 25 AS INT) AS site_id", "CAST(l_partkey % 48 AS INT) AS i", "CAST(l_orderkey % 48 AS INT) AS j", "CAST(CAST(l_quantity AS INT) % 20 AS INT) AS k", "l_orderkey % 40 AS pose_id").distinct()
 
