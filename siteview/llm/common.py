@@ -29,7 +29,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, as compressed Parquet, for tables of many rows."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/siteview-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
