@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, html_text, neardup, pii, quality, sharding, subword, topk, toxicity
+from . import ctw, decontam, html_text, neardup, phrases, pii, quality, sharding, subword, topk, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +62,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontaminate, op2_personal_data, op3_quality, op4_hilbert_shards, op5_sentencepiece, op6_exact_top_k, op7_context_tree, op8_main_text, op9_near_duplicates, op10_toxicity, pipeline)
+    ops = (
+        op1_decontaminate, op2_personal_data, op3_quality, op4_hilbert_shards, op5_sentencepiece, op6_exact_top_k, op7_context_tree, op8_main_text, op9_near_duplicates, op10_toxicity,
+        op12_phrases, pipeline,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -107,8 +114,44 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m ON s.doc_id = m.doc_id
 """
 
+PHRASES_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), suffix AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece)
+), c1 AS (
+  SELECT lang, w1, count(*) AS f FROM suffix GROUP BY ALL
+), c2 AS (
+  SELECT lang, w1, w2, count(*) AS f FROM suffix WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), c3 AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM suffix WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), size AS (
+  SELECT lang, sum(f) AS n FROM c1 GROUP BY lang
+), longer AS (
+  SELECT lang, w1, w2, max(f) AS longest FROM (SELECT lang, w1, w2, f FROM c3 UNION ALL SELECT lang, w2, w3, f FROM c3) GROUP BY ALL
+), cut AS (
+  SELECT p.lang, concat(p.w1, ' ', p.w2) AS phrase, p.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM c2 p JOIN c1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN c1 y ON y.lang = p.lang AND y.w1 = p.w2
+  LEFT JOIN longer o ON o.lang = p.lang AND o.w1 = p.w1 AND o.w2 = p.w2
+  WHERE o.longest IS NULL OR 100 * o.longest < 50 * p.f
+  UNION ALL
+  SELECT p.lang, concat(p.w1, ' ', p.w2, ' ', p.w3), p.f, x.f, y.f, 1
+  FROM c3 p JOIN c1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN c2 y ON y.lang = p.lang AND y.w1 = p.w2 AND y.w2 = p.w3
+  UNION ALL
+  SELECT p.lang, concat(p.w1, ' ', p.w2, ' ', p.w3), p.f, x.f, y.f, 2
+  FROM c3 p JOIN c2 x ON x.lang = p.lang AND x.w1 = p.w1 AND x.w2 = p.w2 JOIN c1 y ON y.lang = p.lang AND y.w1 = p.w3
+), best AS (
+  SELECT *, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cut
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM best JOIN size USING (lang)
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn models, hash with functions that SQL lacks or parse markup; tests/llm checks
     them against brute force, exact round trips and held-out rows."""
-    return {"op6_exact_top_k": TOP_K_SQL, "op9_near_duplicates": NEAR_DUPLICATE_SQL}
+    return {"op6_exact_top_k": TOP_K_SQL, "op9_near_duplicates": NEAR_DUPLICATE_SQL, "op12_phrases": PHRASES_SQL}
