@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, html_text, neardup, phrases, pii, quality, sharding, subword, topk, toxicity
+from . import ctw, decontam, html_text, neardup, phrases, pii, quality, rans, sharding, subword, topk, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_decontaminate, op2_personal_data, op3_quality, op4_hilbert_shards, op5_sentencepiece, op6_exact_top_k, op7_context_tree, op8_main_text, op9_near_duplicates, op10_toxicity,
-        op12_phrases, pipeline,
+        op11_token_files, op12_phrases, pipeline,
     )
     return {f.__name__: f for f in ops}
 
