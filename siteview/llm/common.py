@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Writer options of tables with large rows: small row groups, since a reader holds a group of them.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares: ``spark.checkpoint.dir``, or the checkpoint folder that the session was given. A
     temporary one serves only a session in one JVM; on a cluster the rest would not see what an executor wrote there."""
@@ -26,10 +30,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``checkpointed``, as compressed Parquet, for tables of many rows."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """As ``checkpointed``, as compressed Parquet, for tables of many rows; ``options`` are the writer's."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/siteview-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import LARGE_ROWS, stored
 
 #: Ranges of first words, leaves that a group may hold, bytes of text in a batch, and words in a suffix.
-SLOTS, BUDGET, BATCH, DEPTH = 1024, 1_500_000, 16 << 20, 3
+SLOTS, BUDGET, BATCH, DEPTH = 1024, 1_000_000, 6 << 20, 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,8 +43,8 @@ def _suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word[1:-1]].tobytes())])
     coded = words.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    path = np.zeros((len(codes), DEPTH), np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1
+    path = np.zeros((len(codes), DEPTH), np.int32)
     for d in range(min(DEPTH, len(codes))):
         path[: len(codes) - d, d] = np.where(piece[d:] == piece[: len(codes) - d], codes[d:], 0)
     return np.array(coded.dictionary.to_pylist() or [b""], object), path
@@ -56,7 +56,7 @@ def _leaves(path: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     if bits * DEPTH <= 63:  # a row packs into one number
         key = np.zeros(len(path), np.int64)
         for d in range(DEPTH):
-            key = (key << bits) | path[:, d]
+            key = (key << bits) | path[:, d].astype(np.int64)
         order = np.argsort(key, kind="stable") if counts is not None else None
         key = key[order] if order is not None else np.sort(key)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -99,10 +99,11 @@ def _partial(slots: int, batch_bytes: int):
                 # places of words follow their slots, so that the leaves of a slot stand together
                 of = np.array([_slot(lang, w, slots) for w in words])
                 order = np.argsort(of, kind="stable")
-                place = np.zeros(len(words) + 1, np.int64)
-                place[order + 1] = np.arange(1, len(words) + 1)
+                place = np.zeros(len(words) + 1, np.int32)
+                place[order + 1] = np.arange(1, len(words) + 1, dtype=np.int32)
                 rows, counts = _leaves(place[path], None)
                 yield _packed(lang, of[order][rows[:, 0] - 1], words[order], rows, counts)
+                pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -120,9 +121,9 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, rows, counts) of the partial subtrees of one language taken together."""
     lists = [x.split(b"\n") for x in table.column("words").to_pylist()]
     coded = pa.array([w for x in lists for w in x], pa.large_binary()).dictionary_encode()
-    codes, at, paths = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, 0, []
+    codes, at, paths = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1, 0, []
     for words, path in zip(lists, table.column("path").to_pylist(), strict=True):
-        own = np.concatenate([[0], codes[at : at + len(words)]])
+        own = np.concatenate([codes[:0], [0], codes[at : at + len(words)]]).astype(np.int32)
         paths.append(own[np.frombuffer(path, np.int32).reshape(-1, DEPTH)])
         at += len(words)
     counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
@@ -196,7 +197,7 @@ def phrase_counts(documents: DataFrame, least: int = 10, slots: int = SLOTS, bud
     pieces to words at spaces and tabs; A-Z are lower-cased; a null lang is ``und``, a null text empty. Rows count as often
     as they occur. What the driver holds is ``slots`` numbers."""
     docs = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    trees = stored(docs.mapInArrow(_partial(slots, batch), _TREE_DDL))
+    trees = stored(docs.mapInArrow(_partial(slots, batch), _TREE_DDL), **LARGE_ROWS)
     loads = {r["slot"]: r["n"] for r in trees.groupBy("slot").agg(F.sum("leaves").alias("n")).collect()}
     first, parts = groups(loads, slots, budget)
     nodes = trees.mapInArrow(_dealt(first, parts), _TREE_DDL).groupBy("slot").applyInArrow(_subtree(least), _NODE_DDL)

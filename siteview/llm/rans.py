@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import LARGE_ROWS, shared_dir
 
 #: Frequencies sum to 2 ** BITS; lanes of a block; rows of lanes in a segment; tokens from which a block is full.
 BITS, LANES, ROWS, FULL = 20, 512, 256, 1 << 18
@@ -227,8 +227,6 @@ def _coder(vocabulary: str) -> Units:
     return _UNITS[key]
 
 
-#: Bytes of a Parquet row group: blocks are large rows, and a reader holds a group of them.
-_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "compression": "zstd"}
 _FILE = "start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, body binary"
 _BLOCK = "part int, block long, at long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary"
 
@@ -299,7 +297,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_by", F.xxhash64("text"))
     docs = docs.repartitionByRange("doc_id", "_by").sortWithinPartitions("doc_id", "_by").select("doc_id", "text")
     raw = f"{shared_dir(spark).rstrip('/')}/siteview-{uuid.uuid4().hex}"
-    docs.mapInArrow(_tokenised(rules, end, full), _BLOCK).write.options(**_GROUPS).parquet(raw)
+    docs.mapInArrow(_tokenised(rules, end, full), _BLOCK).write.options(compression="zstd", **LARGE_ROWS).parquet(raw)
     blocks = spark.read.schema(_BLOCK).parquet(raw)
     counts = blocks.select("n_tokens", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     table = Table.of_counts(counts.column("id").to_numpy(), counts.column("n").to_numpy())
@@ -314,7 +312,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bodies, pa.binary())], ["start", "n_tokens", "doc_ids", "doc_tokens", "body"])
 
     coded = placed.select("start", "n_tokens", "doc_ids", "doc_tokens", "ids").mapInArrow(run, _FILE)
-    coded.write.options(**_GROUPS).parquet(f"{path}/blocks")
+    coded.write.options(**LARGE_ROWS).parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> Table:
