@@ -29,7 +29,7 @@ _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _WORD = ~_BREAK
 _WORD[[32, 9]] = False
 
-_TREE = pa.schema([("lang", pa.string()), ("slot", pa.int32()), ("leaves", pa.int64()), ("words", pa.large_binary()), ("path", pa.binary()), ("counts", pa.binary())])
+_TREE = pa.schema([("lang", pa.string()), ("slot", pa.int32()), ("leaves", pa.int64()), ("words", pa.binary()), ("path", pa.binary()), ("counts", pa.binary())])
 _TREE_DDL = "lang string, slot int, leaves long, words binary, path binary, counts binary"
 _NODE_DDL = "lang string, w1 string, w2 string, w3 string, f long"
 
@@ -163,7 +163,7 @@ def _dealt(first: np.ndarray, parts: np.ndarray):
             whole = np.flatnonzero(parts[slots] == 1)
             if len(whole):
                 part = batch.take(pa.array(whole))
-                yield part.set_column(1, "slot", pa.array(first[slots[whole]], pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(first[slots[whole]], pa.int32()), *part.columns[2:]], schema=_TREE)
             for at in np.flatnonzero(parts[slots] > 1):
                 one = pa.Table.from_batches([batch.slice(at, 1)])
                 words, rows, counts = _merged(one)
