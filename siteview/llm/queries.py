@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, html_text, neardup, phrases, pii, quality, rans, sharding, subword, topk, toxicity
+from . import ctw, decontam, html_text, neardup, phrases, pii, quality, rans, repair, sharding, subword, topk, toxicity
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digest(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_decontaminate, op2_personal_data, op3_quality, op4_hilbert_shards, op5_sentencepiece, op6_exact_top_k, op7_context_tree, op8_main_text, op9_near_duplicates, op10_toxicity,
-        op11_token_files, op12_phrases, pipeline,
+        op11_token_files, op12_phrases, op13_repair, pipeline,
     )
     return {f.__name__: f for f in ops}
 
