@@ -9,42 +9,59 @@ from . import polygons, voxels
 from .camera import camera_intrinsics, pose_quaternion, project_points
 
 
-def score_pairs(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, optimal: float = 12.0, sigma: float = 6.0, power: float = 1.0, centre: float = 0.5) -> DataFrame:
+#: Parts that a site's viewpoints are dealt over in the pair join.
+SALT = 8
+
+
+def score_pairs(
+    viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, optimal: float = 12.0, sigma: float = 6.0, power: float = 1.0, centre: float = 0.5, cutoff: float | None = None
+) -> DataFrame:
     """Viewpoint and hotspot pairs of a site with a framing above 0, and their term interest * framing * focal.
 
     Viewpoints carry r00..r22 and camera_id. Framing is facing, the cosine between the view and the inward normal to the
     ``power``, times the in-frame reward: 0 behind the camera or off the image, else 1 less ``centre`` times the distance
     from the image's middle (1 at a corner). Beyond 39 sigma of the optimal distance the focal weight is 0 in double
     precision: both sides are binned to cells of that reach and meet the 27 neighbours, so a large site does not form all
-    its pairs, and no term is lost. Viewpoints may bring an ``optimal`` and ``sigma`` of their own as columns; the widest
-    reach of them, one number, then sets the cells.
+    its pairs, and no term is lost; a ``cutoff`` in metres makes the reach smaller and leaves out all pairs beyond it.
+    Viewpoints may bring an ``optimal`` and ``sigma`` of their own as columns; the widest reach of them, one number, then
+    sets the cells. A site's viewpoints are dealt over SALT parts.
+
+    Pairs are sifted by products of numbers that each side brings along: first those that face away, then those behind the
+    camera, then those off the image; distances, pixels and weights are taken of what is left.
     """
-    if optimal <= 0 or sigma <= 0 or power <= 0 or not 0 <= centre <= 1:
-        raise ValueError("optimal, sigma and power must be positive and centre in [0, 1]")
+    if optimal <= 0 or sigma <= 0 or power <= 0 or not 0 <= centre <= 1 or (cutoff is not None and cutoff <= 0):
+        raise ValueError("optimal, sigma, power and cutoff must be positive and centre in [0, 1]")
     own = {"optimal", "sigma"} <= set(viewpoints.columns)
     reach = (viewpoints.agg(F.max(F.col("optimal") + 39 * F.col("sigma"))).first()[0] or 1.0) if own else optimal + 39 * sigma
+    reach = min(reach, cutoff or reach)
     best, width = (F.col("optimal"), F.col("sigma")) if own else (F.lit(optimal), F.lit(sigma))
-    turn = [f"r{i}{j}" for i in range(3) for j in range(3)]
     camera = camera_intrinsics(cameras).select("camera_id", "width", "height", "fx", "fy", "cx", "cy")
-    v = viewpoints.select("site_id", "vp_id", "camera_id", *[F.col(c).alias(f"v{c}") for c in "enu"], *turn, best.alias("_best"), width.alias("_width")).join(F.broadcast(camera), "camera_id")  # camera models: a handful of rows
+    # rows of the camera matrix: depth, and pixels times depth, of a place are linear in it
+    rows = {"z": "r{i}2", "x": "fx * r{i}0 + cx * r{i}2", "y": "fy * r{i}1 + cy * r{i}2"}
+    v = viewpoints.join(camera, "camera_id").select(
+        "site_id", "vp_id", *[F.col(c).alias(f"v{c}") for c in "enu"], F.col("width").cast("double").alias("_w"), F.col("height").cast("double").alias("_h"), "cx", "cy", best.alias("_best"), width.alias("_width"),
+        *[F.expr(x.format(i=i)).alias(f"_{k}{i}") for k, x in rows.items() for i in range(3)],
+    )
+    v = v.withColumns({f"_{k}3": F.expr(f"_{k}0 * ve + _{k}1 * vn + _{k}2 * vu") for k in rows}).withColumn("_salt", F.pmod(F.hash("vp_id"), F.lit(SALT)))
     size = F.sqrt(F.nullif(F.expr("nx * nx + ny * ny + nz * nz"), F.lit(0.0)))
-    h = hotspots.select("site_id", "hs_id", *[F.col(c).alias(f"h{c}") for c in "enu"], *[(F.col(c) / size).alias(c) for c in ("nx", "ny", "nz")], "interest")
+    h = hotspots.select("site_id", "hs_id", *[F.col(c).alias(f"h{c}") for c in "enu"], *[(F.col(c) / size).alias(c) for c in ("nx", "ny", "nz")], "interest").where("nx IS NOT NULL")
+    h = h.withColumn("_n", F.expr("he * nx + hn * ny + hu * nz")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     for c in "enu":
         v = v.withColumn(f"c{c}", F.floor(F.col(f"v{c}") / reach))
         h = h.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{c}", F.floor(F.col(f"h{c}") / reach) + F.col("_d")).drop("_d")
-    # a pair that is not seen gets a framing of null, and all are sifted once
-    pairs = v.join(h, ["site_id", "ce", "cn", "cu"]).withColumns({"_d0": F.expr("he - ve"), "_d1": F.expr("hn - vn"), "_d2": F.expr("hu - vu")})
-    pairs = pairs.withColumn("dist", F.expr("sqrt(_d0 * _d0 + _d1 * _d1 + _d2 * _d2)"))
-    pairs = pairs.withColumn("facing", F.expr("IF(dist >= 1e-9, -(_d0 * nx + _d1 * ny + _d2 * nz) / dist, NULL)"))
-    pairs = pairs.withColumns({f"_c{j}": F.expr(f"r0{j} * _d0 + r1{j} * _d1 + r2{j} * _d2") for j in range(3)})
-    pairs = pairs.withColumns({"px": F.expr("IF(_c2 > 1e-9, cx + fx * _c0 / _c2, NULL)"), "py": F.expr("IF(_c2 > 1e-9, cy + fy * _c1 / _c2, NULL)")})
-    off = F.least(F.lit(1.0), F.expr("sqrt(pow((px - cx) / (width / 2D), 2) + pow((py - cy) / (height / 2D), 2))") / F.sqrt(F.lit(2.0)))
-    seen = F.expr("px >= 0 AND px < width AND py >= 0 AND py < height")
-    pairs = pairs.withColumn("in_frame", F.when(seen, F.lit(1.0 - centre) + F.lit(centre) * (1 - off)).otherwise(0.0))
-    pairs = pairs.withColumn("framing", F.when(F.col("facing") > 0, F.pow("facing", F.lit(power)) * F.col("in_frame")))
+    keys = ["site_id", "ce", "cn", "cu", "_salt"]
+    z, x, y = (f"(_{k}0 * he + _{k}1 * hn + _{k}2 * hu - _{k}3)" for k in "zxy")
+    facing = "(ve * nx + vn * ny + vu * nz - _n)"
+    pairs = v.repartition(*keys).join(h, keys).where(f"{facing} > 0 AND {z} > 1e-9 AND {x} >= 0 AND {x} < _w * {z} AND {y} >= 0 AND {y} < _h * {z}")
+    dist = "sqrt((he - ve) * (he - ve) + (hn - vn) * (hn - vn) + (hu - vu) * (hu - vu))"
+    pairs = pairs.selectExpr("site_id", "vp_id", "hs_id", "interest", "_best", "_width", "cx", "cy", "_w", "_h", f"{dist} AS dist", f"{facing} AS _f", f"{z} AS _z", f"{x} AS _x", f"{y} AS _y")
+    off = "least(1D, sqrt(pow((_x / _z - cx) / (_w / 2), 2) + pow((_y / _z - cy) / (_h / 2), 2)) / sqrt(2D))"
+    pairs = pairs.selectExpr("site_id", "vp_id", "hs_id", "interest", "_best", "_width", "dist", "_f / dist AS facing", f"{1.0 - centre}D + {float(centre)}D * (1 - {off}) AS in_frame")
+    near = F.col("dist").between(1e-9, float(cutoff or "inf"))
+    pairs = pairs.where(near).withColumn("framing", F.pow("facing", F.lit(float(power))) * F.col("in_frame"))
     focal = F.exp(-F.pow(F.col("dist") - F.col("_best"), 2) / (2 * F.col("_width") * F.col("_width")))
-    rows = pairs.select("site_id", "vp_id", "hs_id", "dist", "facing", "in_frame", "framing", (F.col("interest") * F.col("framing") * focal).alias("term"))
-    return rows.where("framing > 0")
+    pairs = pairs.where("in_frame > 0") if centre == 1 else pairs
+    return pairs.select("site_id", "vp_id", "hs_id", "dist", "facing", "in_frame", "framing", (F.col("interest") * F.col("framing") * focal).alias("term"))
 
 
 def viewpoint_value(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, **how: float) -> DataFrame:
