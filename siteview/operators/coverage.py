@@ -7,10 +7,12 @@ of ``visibility`` count for nothing.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .voxels import CELL, _checkpoint
+from .voxels import CELL, shared_dir, stored
 
 
 def _seen(surface: DataFrame, visibility: DataFrame) -> DataFrame:
@@ -81,32 +83,29 @@ def nbv_plan(poses: DataFrame, surface: DataFrame, visibility: DataFrame, target
     """Greedy cover, all sites in step: (site_id, pick, pose_id, gain, covered).
 
     Every round each site takes the pose that adds the most cells, the earliest of equals, until it reaches the target,
-    no pose adds any or ``max_views`` are taken. Every round's tables are checkpointed; only whether any site goes on
-    comes to the driver, and there are at most as many rounds as one site has useful poses.
+    no pose adds any or ``max_views`` are taken. A round writes its picks beside those before it and the cells that the sites
+    still going have left; only whether there are picks comes to the driver. There are at most as many rounds as one site has
+    useful poses.
     """
+    spark = surface.sparkSession
     size = surface.select(*CELL).distinct().groupBy("site_id").agg(F.count("*").alias("_n"))
-    left = _checkpoint(_seen(surface, visibility).join(poses.select("site_id", "pose_id", "seq"), ["site_id", "pose_id"]))
-    done = _checkpoint(size.withColumn("_c", F.lit(0).cast("long")))
-    picks: list[DataFrame] = []
-    while max_views is None or len(picks) < max_views:
-        open_sites = done.where(F.col("_c") < F.lit(target) * F.col("_n")) if picks else done
+    left = stored(_seen(surface, visibility).join(poses.select("site_id", "pose_id", "seq"), ["site_id", "pose_id"]))
+    done = size.withColumn("_c", F.lit(0).cast("long")).where(F.lit(0.0) < F.lit(float(target)) * F.col("_n"))
+    folder, k = f"{shared_dir(spark)}/siteview-{uuid.uuid4().hex}", 0
+    out = spark.createDataFrame([], f"site_id {dict(surface.dtypes)['site_id']}, pick int, pose_id {dict(poses.dtypes)['pose_id']}, gain long, _c long, _n long")
+    while max_views is None or k < max_views:
         gains = left.groupBy("site_id", "pose_id", "seq").agg(F.count("*").alias("gain"))
         best = gains.groupBy("site_id").agg(F.max_by(F.struct("pose_id", "gain"), F.struct("gain", -F.col("seq"), -F.col("pose_id"))).alias("b"))
-        pick = best.join(open_sites, "site_id").select("site_id", F.lit(len(picks)).alias("pick"), "b.pose_id", "b.gain", (F.col("_c") + F.col("b.gain")).alias("_c"), "_n")
-        pick = _checkpoint(pick)
-        if not pick.limit(1).count():
+        pick = best.join(done, "site_id").select("site_id", F.lit(k).alias("pick"), "b.pose_id", "b.gain", (F.col("_c") + F.col("b.gain")).alias("_c"), "_n")
+        pick = stored(pick, f"{folder}/{k}")
+        if pick.isEmpty():
             break
-        picks.append(pick.select("site_id", "pick", "pose_id", "gain", (F.col("_c") / F.col("_n")).alias("covered")))
+        k += 1
+        done = pick.where(F.col("_c") < F.lit(target) * F.col("_n")).select("site_id", "_n", "_c")
         gone = left.join(pick.select("site_id", "pose_id"), ["site_id", "pose_id"], "left_semi").select(*CELL)
-        going = pick.where(F.col("_c") < F.lit(target) * F.col("_n")).select("site_id")
-        left = _checkpoint(left.join(going, "site_id", "left_semi").join(gone, CELL, "left_anti"))
-        done = _checkpoint(pick.select("site_id", "_n", "_c"))
-    if not picks:
-        return size.where("false").selectExpr("site_id", "0 AS pick", "0L AS pose_id", "0L AS gain", "0D AS covered")
-    out = picks[0]
-    for p in picks[1:]:
-        out = out.unionByName(p)
-    return out
+        left = stored(left.join(done.select("site_id"), "site_id", "left_semi").join(gone, CELL, "left_anti"))
+    picks = spark.read.schema(out.schema).parquet(*[f"{folder}/{i}" for i in range(k)]) if k else out
+    return picks.select("site_id", "pick", "pose_id", "gain", (F.col("_c") / F.col("_n")).alias("covered"))
 
 
 def outward_normal(points: DataFrame, res: float = 2.0) -> DataFrame:

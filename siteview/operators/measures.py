@@ -92,8 +92,9 @@ def footage_summary(clips: DataFrame, by: str = "site_id") -> DataFrame:
     return counts.join(tags, by, "left")
 
 
-def audit_missions(waypoints: DataFrame, obstacles: DataFrame, dt: float = 0.1, margin: float = 1.5, reserve: float = 0.2, battery_s: float = 1080.0, window: int = 3) -> DataFrame:
-    """One row a mission: path_m, time_s, used, min_clearance, collided, landed, completed, up to the first event.
+def audit_missions(waypoints: DataFrame, obstacles: DataFrame, dt: float = 0.1, margin: float = 1.5, reserve: float = 0.15, battery_s: float = 1080.0, window: int = 3) -> DataFrame:
+    """One row a mission: path_m, time_s, used, min_clearance, collided, landed, completed, up to the first event, in samples
+    every ``dt``; ``legs.audit_flights`` has no steps.
 
     A sample nearer to an obstacle than ``margin`` is a collision, one whose battery is down to the reserve a landing; a
     collision comes first in a sample that has both. The first waypoint is tested for collision only. min_clearance is null if no

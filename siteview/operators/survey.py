@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import camera, coverage, generators, interest, measures, missions, rays, routes, voxels
+from . import camera, coverage, generators, interest, legs, measures, missions, rays, routes, voxels
 from .voxels import CELL
 
 
@@ -100,5 +100,5 @@ def run_pipeline(sites: DataFrame, solid: DataFrame, cameras: DataFrame, views:
     obstacles = voxels.drop_ground(solid).select(*CELL)
     plan = build_missions(field, aoi, obstacles, k, cruise)
     tagged = missions.tag_closeups(plan["clips"].join(plan["waypoints"].select("mission_id", "site_id", "seq", "e", "n", "u", "shot_type"), ["mission_id", "seq"]), close)
-    audit = measures.audit_missions(plan["waypoints"], obstacles)
+    audit = legs.audit_flights(plan["waypoints"], obstacles)
     return out | plan | {"clips": tagged, "aoi": aoi, "framed": camera.fits_in_frame(framed, cameras), "field": field, "audit": audit, "summary": measures.mission_summary(tagged, audit)}

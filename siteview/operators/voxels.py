@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import camera, polygons
@@ -13,17 +14,29 @@ from . import camera, polygons
 CELL = ["site_id", "i", "j", "k"]
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage; the copy lies in the folder that the cluster shares, or in a temporary one of a session in one JVM."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, or a temporary one of a session in one JVM."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siteview-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage; the copy lies in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """As ``_checkpoint``, as a table that is computed once, at ``path`` or under a new name in the shared folder."""
+    path = path or f"{shared_dir(df.sparkSession)}/siteview-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def voxel_index(points: DataFrame, res: float, origin: tuple[float, float, float]) -> DataFrame:
     return points.withColumns({c: F.floor((F.col(p) - o) / res).cast("int") for c, p, o in zip("ijk", "enu", origin, strict=True)})
 

@@ -393,8 +393,8 @@ def io3_footage_sets(spark, sf):
 
 @register(None)
 def g10_run_pipeline(spark, sf):
-    """All stages over the whole voxel table, with orbits of four views: a row a site with its coverage (G4) and its flight."""
-    out = survey.run_pipeline(T.sites(spark, sf), T.voxels(spark, sf), T.cameras(spark), 4)
+    """All stages over the whole voxel table: a row a site with its coverage (G4) and its flight."""
+    out = survey.run_pipeline(T.sites(spark, sf), T.voxels(spark, sf), T.cameras(spark))
     flown = out["summary"].withColumnRenamed("mission_id", "site_id")
     return out["coverage"].join(flown, "site_id", "left")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import camera, coverage, generators, measures, missions
+from ..operators import camera, coverage, generators, legs, measures, missions
 from ..sources import driver_tables as T
 from ..sources import files
 from .queries import CELLS, MAP, SHOTS, SITES, TRACKS, VIEWPOINTS, VOXELS, WAYPOINTS, _r, register
@@ -54,30 +54,31 @@ def a12_build_hotspots(spark, sf):
 
 @register(f"""{VIEWS}, f AS (SELECT site_id, min(pose_id) AS seq FROM seen GROUP BY site_id, i, j, k), g AS (SELECT site_id, seq, count(*) AS gain FROM f GROUP BY ALL),
   r AS (SELECT site_id, pose_id, seq, coalesce(gain, 0) AS gain, sum(coalesce(gain, 0)) OVER (PARTITION BY site_id ORDER BY seq) * 1.0 / n AS covered FROM poses LEFT JOIN g USING (site_id, seq) JOIN size USING (site_id))
-  SELECT site_id, pose_id, seq, gain, round(covered, 6) AS covered FROM (SELECT *, lag(covered) OVER (PARTITION BY site_id ORDER BY seq) AS prior FROM r) WHERE coalesce(prior, -1) < 0.3""")
+  SELECT site_id, pose_id, seq, gain, round(covered, 6) AS covered FROM (SELECT *, lag(covered) OVER (PARTITION BY site_id ORDER BY seq) AS prior FROM r) WHERE coalesce(prior, -1) < 0.9""")
 def w10_lawnmower_plan(spark, sf):
-    rows = coverage.lawnmower_plan(T.view_poses(spark, sf), _surface(spark, sf), T.visibility(spark, sf), 0.3)
+    rows = coverage.lawnmower_plan(T.view_poses(spark, sf), _surface(spark, sf), T.visibility(spark, sf))
     return rows.select("site_id", "pose_id", "seq", "gain", *_r("covered"))
 
 
-def _picks(n: int) -> str:
-    """Greedy picks, one after the other."""
+def _picks(target: float) -> str:
+    """Greedy picks one after the other, as many as a site has poses (40), each with the cells so far and those left."""
     sql = ""
-    for k in range(n):
-        rest = f"seen ANTI JOIN (SELECT s.* FROM seen s SEMI JOIN ({' UNION ALL '.join(f'SELECT site_id, pose_id FROM p{i}' for i in range(k))}) t ON s.site_id = t.site_id AND s.pose_id = t.pose_id) q USING (site_id, i, j, k)" if k else "seen"
-        sql += f", p{k} AS MATERIALIZED (SELECT site_id, pose_id, count(*) AS gain FROM {rest} GROUP BY site_id, pose_id QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY gain DESC, pose_id) = 1)"
-    return sql + " " + " UNION ALL ".join(f"SELECT site_id, {k} AS pick, pose_id, gain FROM p{k}" for k in range(n))
+    for k in range(40):
+        left, open_sites = (f"l{k - 1}", f"(SELECT site_id, n, c FROM p{k - 1})") if k else ("seen", "(SELECT site_id, n, 0 AS c FROM size)")
+        sql += f", p{k} AS MATERIALIZED (SELECT site_id, pose_id, gain, c + gain AS c, n FROM (SELECT site_id, pose_id, count(*) AS gain FROM {left} GROUP BY site_id, pose_id QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY gain DESC, pose_id) = 1) JOIN {open_sites} USING (site_id) WHERE c < {target} * n)"
+        sql += f", l{k} AS MATERIALIZED (SELECT * FROM {left} WHERE (site_id, i, j, k) NOT IN (SELECT (site_id, i, j, k) FROM {left} SEMI JOIN p{k} USING (site_id, pose_id)))"
+    return sql + " " + " UNION ALL ".join(f"SELECT site_id, {k} AS pick, pose_id, gain FROM p{k}" for k in range(40))
 
 
-@register(VIEWS + _picks(4))
+@register(VIEWS + _picks(0.9))
 def g2_nbv_plan(spark, sf):
-    return coverage.nbv_plan(T.view_poses(spark, sf), _surface(spark, sf), T.visibility(spark, sf), 1.0, 4).select("site_id", "pick", "pose_id", "gain")
+    return coverage.nbv_plan(T.view_poses(spark, sf), _surface(spark, sf), T.visibility(spark, sf)).select("site_id", "pick", "pose_id", "gain")
 
 
-@register(None)
+@register(VIEWS + _picks(1.0))
 def g2_nbv_plan_whole(spark, sf):
-    """Until the target of 0.9 or until no pose adds a cell; g2_nbv_plan, as its SQL, stops after four picks."""
-    return coverage.nbv_plan(T.view_poses(spark, sf), _surface(spark, sf), T.visibility(spark, sf)).select("site_id", "pick", "pose_id", "gain")
+    """Until no pose adds a cell."""
+    return coverage.nbv_plan(T.view_poses(spark, sf), _surface(spark, sf), T.visibility(spark, sf), 1.0).select("site_id", "pick", "pose_id", "gain")
 
 
 @register(f"WITH {VIEWPOINTS} SELECT vp_id, row_number() OVER (PARTITION BY site_id ORDER BY atan2(n, e), vp_id) - 1 AS ord FROM viewpoints")
@@ -167,23 +168,41 @@ def io7_posed_image_refs(spark, sf):
     return files.posed_image_refs(T.view_poses(spark, sf)).select("site_id", "pose_id", "ref")
 
 
-@register(f"""WITH {WAYPOINTS}, {MAP}, legs AS (SELECT *, sqrt(pow(e - pe, 2) + pow(n - pn, 2) + pow(u - pu, 2)) AS leg, least(greatest(speed, 0.1), 15) AS v FROM (SELECT *, lag(e) OVER w AS pe, lag(n) OVER w AS pn, lag(u) OVER w AS pu FROM waypoints WINDOW w AS (PARTITION BY mission_id ORDER BY seq)) WHERE seq > 0),
-  steps AS (SELECT *, CAST(greatest(ceil(leg / v / 5), 1) AS INT) AS m FROM legs WHERE leg >= 1e-9),
-  raw AS (SELECT mission_id, site_id, seq, s, pe + (e - pe) * s / m AS e, pn + (n - pn) * s / m AS n, pu + (u - pu) * s / m AS u, leg / m AS dm, leg / v / m AS ds FROM (SELECT *, unnest(range(1, m + 1)) AS s FROM steps)
-    UNION ALL SELECT mission_id, site_id, 0, 0, e, n, u, 0, 0 FROM waypoints WHERE seq = 0),
-  smp AS (SELECT *, sum(dm) OVER w AS path_m, sum(ds) OVER w AS time_s FROM raw WINDOW w AS (PARTITION BY mission_id ORDER BY seq, s)),
-  near AS (SELECT mission_id, seq, s, min(sqrt(pow(e - (-48 + (i + 0.5) * 2), 2) + pow(n - (-48 + (j + 0.5) * 2), 2) + pow(u - (k + 0.5) * 2, 2))) AS d FROM smp JOIN mapped USING (site_id)
-    WHERE i BETWEEN floor((e + 48) / 2) - 3 AND floor((e + 48) / 2) + 3 AND j BETWEEN floor((n + 48) / 2) - 3 AND floor((n + 48) / 2) + 3 AND k BETWEEN floor(u / 2) - 3 AND floor(u / 2) + 3 GROUP BY ALL),
-  ev AS (SELECT smp.*, d, CASE WHEN d < 1.5 THEN 1 WHEN seq > 0 AND 1 - time_s / 1080 <= 0.2 THEN 2 END AS event FROM smp LEFT JOIN near USING (mission_id, seq, s)),
-  kept AS (SELECT * FROM ev QUALIFY coalesce(count(event) OVER (PARTITION BY mission_id ORDER BY seq, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0)
-  SELECT mission_id, round(max(path_m), 4) AS path_m, round(max(time_s), 4) AS time_s, round(min(d), 4) AS min_clearance, coalesce(bool_or(event = 1), false) AS collided, coalesce(bool_or(event = 2), false) AS landed, coalesce(bool_and(event IS NULL), true) AS completed FROM kept GROUP BY mission_id""")
+_NEAR = "CASE WHEN qb >= 0 OR qa = 0 THEN start2 WHEN -qb >= qa THEN start2 + 2 * qb + qa ELSE start2 - qb * qb / qa END"
+
+
+def near_legs(legs: str, cells: str, reach: float) -> str:
+    """All pairs of a leg and a cell of its site whose centre is nearer than the reach, by segment distance."""
+    c = {"e": "(-48 + (i + 0.5::DOUBLE) * 2)", "n": "(-48 + (j + 0.5::DOUBLE) * 2)", "u": "((k + 0.5::DOUBLE) * 2)"}
+    dot = lambda a, b: " + ".join(f"({a.format(x)}) * ({b.format(x)})" for x in "enu")
+    off = " + ".join(f"(p{x} - {c[x]}) * (p{x} - {c[x]})" for x in "enu")
+    cross = " + ".join(f"({x} - p{x}) * (p{x} - {c[x]})" for x in "enu")
+    box = " AND ".join(f"{c[x]} BETWEEN least({x}, p{x}) - {reach} AND greatest({x}, p{x}) + {reach}" for x in "enu")
+    return f"""(SELECT * FROM (SELECT *, {_NEAR} AS near2 FROM (SELECT l.*, i, j, k, {dot('{0} - p{0}', '{0} - p{0}')} AS qa, {cross} AS qb, {off} AS start2
+      FROM {legs} l JOIN {cells} c ON l.site_id = c.site_id AND {box})) WHERE near2 < {reach * reach})"""
+
+
+WAYS = """ways AS (SELECT *, coalesce(sum(leg) OVER past, 0) AS before_m, coalesce(sum(leg / v) OVER past, 0) AS before_s FROM (SELECT *, sqrt((e - pe) * (e - pe) + (n - pn) * (n - pn) + (u - pu) * (u - pu)) AS leg,
+  least(greatest(speed, 0.1), 15.0::DOUBLE) AS v FROM (SELECT *, coalesce(lag(e) OVER w, e) AS pe, coalesce(lag(n) OVER w, n) AS pn, coalesce(lag(u) OVER w, u) AS pu FROM waypoints WINDOW w AS (PARTITION BY mission_id ORDER BY seq)))
+  WINDOW past AS (PARTITION BY mission_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@register(f"""WITH {WAYPOINTS}, {MAP}, {WAYS}, cut AS (SELECT *, 918 - before_s AS rest FROM ways WHERE before_s < 918),
+  part AS (SELECT *, leg > 0 AND leg / v >= rest AS lands, CASE WHEN leg > 0 AND leg / v >= rest THEN rest * v / leg ELSE 1 END AS f FROM cut),
+  legs AS (SELECT mission_id, site_id, seq, pe, pn, pu, pe + (e - pe) * f AS e, pn + (n - pn) * f AS n, pu + (u - pu) * f AS u, leg * f AS leg, v, before_m, before_s, lands FROM part),
+  met AS (SELECT mission_id, seq, min(CASE WHEN start2 < 2.25 THEN 0 WHEN near2 < 2.25 AND qb < 0 THEN (-qb - sqrt(qb * qb - qa * (start2 - 2.25))) / qa END) AS hit, min(near2) AS near2, min(start2) AS start2 FROM {near_legs('legs', 'mapped', 6.0)} GROUP BY ALL),
+  r AS (SELECT *, count(hit) OVER (PARTITION BY mission_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hits FROM legs LEFT JOIN met USING (mission_id, seq)),
+  g AS (SELECT mission_id, max(before_m + leg * coalesce(hit, 1)) AS path_m, max(before_s + leg / v * coalesce(hit, 1)) AS time_s, min(CASE WHEN hit IS NULL THEN sqrt(near2) WHEN hit > 0 THEN 1.5 ELSE sqrt(start2) END) AS min_clearance,
+    bool_or(hit IS NOT NULL) AS collided, bool_or(lands AND hit IS NULL) AS landed, {', '.join(f'max_by(p{c} + ({c} - p{c}) * coalesce(hit, 1), seq) AS {c}' for c in 'enu')} FROM r WHERE hits = 0 GROUP BY mission_id)
+  SELECT mission_id, {', '.join(f'round({c}, 4) AS {c}' for c in ('path_m', 'time_s', 'min_clearance'))}, collided, landed, NOT collided AND NOT landed AS completed, {', '.join(f'round(CASE WHEN collided OR landed THEN {c} END, 4) + 0.0 AS event_{c}' for c in 'enu')} FROM g""")
 def g9_audit_missions(spark, sf):
-    rows = measures.audit_missions(T.waypoints(spark, sf), T.obstacle_map(spark, sf), 5.0)
-    return rows.select("mission_id", *_r4("path_m", "time_s", "min_clearance"), "collided", "landed", "completed")
+    """The first event of every flight where it happens on its leg, and its place."""
+    rows = legs.audit_flights(T.waypoints(spark, sf), T.obstacle_map(spark, sf))
+    return rows.select("mission_id", *[F.round(c, 4).alias(c) for c in ("path_m", "time_s", "min_clearance")], "collided", "landed", "completed", *_r4("event_e", "event_n", "event_u"))
 
 
 @register(None)
 def g9_audit_missions_fine(spark, sf):
-    """All missions in the operator's own steps of 0.1 s; the SQL of g9_audit_missions is for steps of 5 s, which miss collisions."""
+    """As samples every 0.1 s, which is how a simulated flight is audited; g9_audit_missions solves for the events."""
     rows = measures.audit_missions(T.waypoints(spark, sf), T.obstacle_map(spark, sf))
     return rows.select("mission_id", *_r4("path_m", "time_s", "min_clearance"), "collided", "landed", "completed")
