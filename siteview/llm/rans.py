@@ -39,6 +39,10 @@ class Table:
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
         self.crc = zlib.crc32(self.freq.astype("<u8").tobytes(), zlib.crc32(self.ids.astype("<u4").tobytes()))
         self._slots: np.ndarray | None = None
+        # the place of each id, where ids are small numbers, as those of a vocabulary are
+        self._places = np.full(int(self.ids[-1]) + 1, -1, np.int32) if len(ids) and self.ids[-1] < 1 << 24 else None
+        if self._places is not None:
+            self._places[self.ids] = np.arange(len(ids), dtype=np.int32)
 
     @classmethod
     def of_counts(cls, ids: np.ndarray, counts: np.ndarray, bits: int = BITS) -> Table:
@@ -54,6 +58,15 @@ class Table:
         freq[int(np.argmax(counts))] += (1 << bits) - int(freq.sum())
         return cls(ids, freq)
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        if self._places is not None:
+            place = self._places[np.minimum(ids, len(self._places) - 1)]
+        else:
+            place = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        if len(ids) and (not len(self.ids) or (self.ids[place] != ids).any()):
+            raise ValueError("an id is not in the table")
+        return place
+
     def slots(self) -> np.ndarray:
         """The place of the id that each of the 2 ** BITS slots belongs to."""
         if self._slots is None:
@@ -65,9 +78,7 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, rows: int =
     """The body of a block. The last row of lanes is filled up with the commonest id, which costs the least."""
     n = len(ids)
     bits = np.uint64(int(table.freq.sum()).bit_length() - 1) if n else np.uint64(BITS)
-    place = np.searchsorted(table.ids, ids)
-    if n and (place.max() >= len(table.ids) or (table.ids[place] != ids).any()):
-        raise ValueError("an id is not in the table")
+    place = table.places(ids)
     steps = -(-n // lanes)
     if n:
         place = np.concatenate([place, np.full(steps * lanes - n, int(np.argmax(table.freq)))])
@@ -141,6 +152,16 @@ def decode_block(body: bytes, table: Table, start: int = 0, stop: int | None = N
 _ODD = " [{0}]|[{0}] |^ | $".format(r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 #: Units that a worker remembers at most, and ids of them.
 _KEPT, _IDS = 1_500_000, 12_000_000
+#: Marks behind a word, and characters of text that are encoded at once.
+_MARKS, _AT_ONCE = ".,;:!?", 6_000_000
+
+
+def _strings(values: pa.Array) -> list[str]:
+    """The values of an array, cut from one string unless the separator is in one of them."""
+    if not len(values):
+        return []
+    out = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(pa.string())), "\0")[0].as_py().split("\0")
+    return out if len(out) == len(values) else values.to_pylist()
 
 
 class Units:
@@ -172,24 +193,44 @@ class Units:
         return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def _learn(self, units: list[str], lead: int) -> np.ndarray:
-        """The number of each unit; those not known are encoded."""
+        """The number of each unit; those not known are encoded. The tokenizer's split always cuts between a letter and a
+        sentence's mark, so a unit that ends in marks behind a letter is put together from its word and its marks."""
         known = self.known[lead]
         new = [u for u in units if u not in known]
+        if new:
+            cut = [(u, w, u[len(w) :]) for u in new if u[-1:] in _MARKS and (w := u.rstrip(_MARKS)) and w[-1].isalpha()]
+            ends, words = list({m for _, _, m in cut}), list({w for _, w, _ in cut})
+            if cut:
+                whole = {u for u, _, _ in cut}
+                self._encode([u for u in new if u not in whole], lead)
+                word, end = dict(zip(words, self._learn(words, lead).tolist(), strict=True)), dict(zip(ends, self._learn(ends, 0).tolist(), strict=True))
+                a, b = (np.fromiter((x[c[k]] for c in cut), np.int64, len(cut)) for k, x in ((1, word), (2, end)))
+                pairs = np.column_stack([self.first[a], self.first[b]]).ravel()
+                sizes = np.column_stack([self.length[a], self.length[b]]).ravel()
+                flat = self.ids[np.repeat(pairs - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+                self._keep([u for u, _, _ in cut], lead, flat, self.length[a] + self.length[b])
+            else:
+                self._encode(new, lead)
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+
+    def _encode(self, new: list[str], lead: int) -> None:
         if new:
             coded = [x.ids for x in self.coder.encode_batch_fast([" " + u for u in new] if lead else new, add_special_tokens=False)]
             lengths = np.fromiter(map(len, coded), np.int64, len(coded))
             flat = np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum()))
-            at = sum(map(len, self.known))
-            while self.size + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-            while at + len(new) > len(self.first):
-                self.first, self.length = (np.concatenate([a, np.zeros(len(a), np.int64)]) for a in (self.first, self.length))
-            self.ids[self.size : self.size + len(flat)] = flat
-            self.first[at : at + len(new)] = self.size + np.cumsum(lengths) - lengths
-            self.length[at : at + len(new)] = lengths
-            self.size += len(flat)
-            known.update(zip(new, range(at, at + len(new)), strict=True))
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+            self._keep(new, lead, flat, lengths)
+
+    def _keep(self, new: list[str], lead: int, flat: np.ndarray, lengths: np.ndarray) -> None:
+        at = sum(map(len, self.known))
+        while self.size + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        while at + len(new) > len(self.first):
+            self.first, self.length = (np.concatenate([a, np.zeros(len(a), np.int64)]) for a in (self.first, self.length))
+        self.ids[self.size : self.size + len(flat)] = flat
+        self.first[at : at + len(new)] = self.size + np.cumsum(lengths) - lengths
+        self.length[at : at + len(new)] = lengths
+        self.size += len(flat)
+        self.known[lead].update(zip(new, range(at, at + len(new)), strict=True))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``end``, and the number of ids of each."""
@@ -201,7 +242,7 @@ class Units:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         lead = np.ones(len(codes), bool)
         lead[(np.cumsum(n) - n)[n > 0]] = False
-        named = coded.dictionary.to_pylist()
+        named = _strings(coded.dictionary)
         number = np.zeros(len(codes), np.int64)
         for which in (0, 1):
             mine = np.flatnonzero(lead == bool(which))
@@ -248,8 +289,10 @@ def _tokenised(vocabulary: str, end: int, full: int):
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["part", "block", "at", "n_tokens", "doc_ids", "doc_tokens", "ids"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // _AT_ONCE
+            cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                some = batch.slice(lo, hi - lo)
                 got, lengths = coder.encode(some.column(1), end)
                 edge = 0
                 for doc, n in zip(some.column(0).to_pylist(), lengths.tolist(), strict=True):
