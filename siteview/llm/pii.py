@@ -57,7 +57,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then by the order of KINDS; leftmost, non-overlapping within a kind."""
     out = [(a, b, 0) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m[0].split("."))):
             out.append((m.start(), m.end(), 1))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")

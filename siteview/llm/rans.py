@@ -59,11 +59,13 @@ class Table:
         return cls(ids, freq)
 
     def places(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) and not len(self.ids):
+            raise ValueError("an id is not in the table")
         if self._places is not None:
             place = self._places[np.minimum(ids, len(self._places) - 1)]
         else:
             place = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-        if len(ids) and (not len(self.ids) or (self.ids[place] != ids).any()):
+        if len(ids) and (self.ids[place] != ids).any():
             raise ValueError("an id is not in the table")
         return place
 
@@ -77,8 +79,8 @@ class Table:
 def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, rows: int = ROWS) -> bytes:
     """The body of a block. The last row of lanes is filled up with the commonest id, which costs the least."""
     n = len(ids)
-    bits = np.uint64(int(table.freq.sum()).bit_length() - 1) if n else np.uint64(BITS)
     place = table.places(ids)
+    bits = np.uint64(int(table.freq.sum()).bit_length() - 1) if n else np.uint64(BITS)
     steps = -(-n // lanes)
     if n:
         place = np.concatenate([place, np.full(steps * lanes - n, int(np.argmax(table.freq)))])

@@ -16,21 +16,18 @@ FAN_IN = 64
 
 
 def _pack(batch: pa.Table) -> pa.Table:
-    """One row for each vector length of a block: ids ascending and the quantised components. Of rows that
-    share an id, the one with the smallest components counts."""
-    out: dict[int, dict[int, tuple]] = {}
+    """One row for each vector length of a block: ids ascending and the quantised components."""
+    out: dict[int, list[tuple[int, tuple]]] = {}
     for block, i, v in zip(batch.column("block").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
         if i is None or v is None or any(x is None or x - x != 0 for x in v):
             continue
         q = tuple(int(x) for x in np.floor(256 * np.asarray(v, np.float64)))
-        seen = out.setdefault(len(q), {})
-        if i not in seen or q < seen[i]:
-            seen[i] = q
+        out.setdefault(len(q), []).append((i, q))
     block = batch.column("block")[0].as_py()
     rows = []
-    for dim, seen in sorted(out.items()):
-        ids = sorted(seen)
-        data = [seen[i] for i in ids]
+    for dim, found in sorted(out.items()):
+        found.sort()
+        ids, data = [i for i, _ in found], [q for _, q in found]
         large = max((abs(x) for q in data for x in q), default=0)
         exact = large < 2**62
         body = np.array(data, np.int64 if exact else object).reshape(len(ids), dim)
@@ -59,7 +56,7 @@ def _tile(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if small:
         q, c = q.astype(np.float64), c.astype(np.float64)
     out: list[list[np.ndarray]] = [[], [], []]
-    own = np.searchsorted(ci, qi)
+    own, behind = np.searchsorted(ci, qi), np.searchsorted(ci, qi, "right")
     for at in range(0, len(qi), 512):
         if small:
             key = (q[at : at + 512] @ c.T) * len(ci) + (len(ci) - 1 - np.arange(len(ci)))
@@ -67,9 +64,8 @@ def _tile(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         else:
             key = np.dot(q[at : at + 512].astype(object), c.T.astype(object)) * len(ci) + (len(ci) - 1 - np.arange(len(ci))).astype(object)
             lowest = -(2**400)
-        at_own = own[at : at + 512]
-        mine = (at_own < len(ci)) & (ci[np.minimum(at_own, len(ci) - 1)] == qi[at : at + 512])
-        key[np.nonzero(mine)[0], at_own[mine]] = lowest
+        for k_own in np.flatnonzero(behind[at : at + 512] > own[at : at + 512]):  # rows of the query's id
+            key[k_own, own[at + k_own] : behind[at + k_own]] = lowest
         n = min(k, len(ci))
         best = np.argpartition(-key, n - 1, axis=1)[:, :n] if small else np.argsort(-key, axis=1)[:, :n]
         got = np.take_along_axis(key, best, axis=1)
@@ -90,8 +86,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     """The k highest integer inner products of each query with every other row.
 
     Components x become floor(256 * x). Rows with a null id, a null vector or a null or non-finite component
-    take no part; vectors meet only vectors of their length; rows that share the query's id are its own; of
-    rows that share an id the one with the smallest components counts. Scores beyond 64 bits saturate. Returns
+    take no part; vectors meet only vectors of their length; rows that share the query's id are its own, and
+    rows that share another id are candidates each; the queries of one id share its k places. Scores beyond 64 bits saturate. Returns
     query_id, rank, vec_id, score; a query without candidates has no rows.
 
     Every query block is joined with every candidate block by a tile key, so that the work is blocks times
