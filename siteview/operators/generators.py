@@ -43,11 +43,15 @@ def completion_poses(sites: DataFrame, oblique: int = 8, share: float = 0.7, abo
     return nadir.unionByName(ring.select("site_id", F.lit("oblique").alias("kind"), "step", "e", "n", "u", zero.alias("te"), zero.alias("tn"), roof.alias("tu")))
 
 
+#: Degrees above a target from which it is looked at, in the order of trial (fixed values).
+ELEVATIONS = (10.0, 25.0, 45.0, 60.0)
+
+
 def closeup_candidates(targets: DataFrame, standoff: float = 8.0, azimuths: int = 48, lowest: float = 2.0) -> DataFrame:
     """Camera positions (ce, cn, cu) round each target (e, n, u), ranked by elevation 10, 25, 45, 60 degrees, then azimuth;
     positions that are not above ``lowest`` are dropped."""
-    elevations = F.array(*map(F.lit, (10.0, 25.0, 45.0, 60.0)))
-    rows = targets.withColumn("_i", _steps(4)).withColumn("_j", _steps(azimuths)).withColumn("_el", F.radians(F.element_at(elevations, F.col("_i") + 1)))
+    elevations = F.array(*map(F.lit, ELEVATIONS))
+    rows = targets.withColumn("_i", _steps(len(ELEVATIONS))).withColumn("_j", _steps(azimuths)).withColumn("_el", F.radians(F.element_at(elevations, F.col("_i") + 1)))
     az = F.lit(2.0) * F.pi() * F.col("_j") / azimuths
     rows = rows.withColumns({
         "candidate_rank": F.col("_i") * azimuths + F.col("_j"), "ce": F.col("e") + standoff * F.cos("_el") * F.cos(az),

@@ -114,3 +114,17 @@ def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey AS ray_id", "CAST(o_custkey % 25 AS INT) AS site_id", "o_orderkey % 121 - 60 + 0.37D AS e", "o_custkey * 7 % 121 - 60 + 0.21D AS n", "5 + o_orderkey % 40 + 0.13D AS u",
         "o_custkey * 13 % 89 - 44 + 0.53D AS te", "o_orderkey * 11 % 83 - 41 + 0.59D AS tn", "o_orderkey % 37 + 0.77D AS tu",
     )
+
+
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plot a part, on one plane: a box, or where its key is divisible by 3 the same without its upper right quarter."""
+    rows = _read(spark, sf_dir, "part").selectExpr("p_partkey AS plot_id", "CAST(p_partkey * 37 % 1500 AS DOUBLE) AS x", "CAST(p_partkey * 91 % 1300 AS DOUBLE) AS y", "CAST(4 + p_size AS DOUBLE) AS a", "CAST(4 + p_partkey % 40 AS DOUBLE) AS b")
+    ring = lambda *xy: "array(" + ", ".join(f"named_struct('x', {p}, 'y', {q})" for p, q in xy) + ")"
+    box = ring(("x", "y"), ("x + a", "y"), ("x + a", "y + b"), ("x", "y + b"))
+    ell = ring(("x", "y"), ("x + a", "y"), ("x + a", "y + b / 2"), ("x + a / 2", "y + b / 2"), ("x + a / 2", "y + b"), ("x", "y + b"))
+    return rows.selectExpr("plot_id", f"IF(plot_id % 3 = 0, {ell}, {box}) AS polygon")
+
+
+def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point an order, on the plane of the plots and clear of their edges."""
+    return _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS pin_id", "o_orderkey * 17 % 1600 + 0.37D AS e", "o_custkey * 29 % 1400 + 0.21D AS n")
