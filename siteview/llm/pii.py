@@ -97,8 +97,8 @@ def _read(texts: DataFrame) -> DataFrame:
                 n = part.num_rows
                 columns = [part.column(0), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(places, pa.list_(word)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names)
-            t = len(counts)
-            columns = [pa.nulls(t, pa.binary()), pa.nulls(t, pa.string()), pa.nulls(t, pa.list_(pa.string())), pa.nulls(t, pa.list_(word)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            t, terms = len(counts), sorted(counts)  # in order they take less room
+            columns = [pa.nulls(t, pa.binary()), pa.nulls(t, pa.string()), pa.nulls(t, pa.list_(pa.string())), pa.nulls(t, pa.list_(word)), pa.array(terms, pa.string()), pa.array([counts[x] for x in terms], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.mapInArrow(run, "text_hash binary, base string, entities array<string>, places array<struct<term:string,a:int,b:int>>, term string, n long")
