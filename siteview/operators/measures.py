@@ -61,14 +61,20 @@ def finite_differences(samples: DataFrame, columns: dict[str, str], dt: float, b
     return samples.withColumns(out)
 
 
-def trajectory_summary(samples: DataFrame, dt: float, by: str = "mission_id") -> DataFrame:
-    """(by, max_speed, max_accel, max_jerk, duration) of positions e, n, u at even times."""
+def trajectory_summary(samples: DataFrame, dt: float, by: str = "mission_id", obstacles: DataFrame | None = None, margin: float = 1.5) -> DataFrame:
+    """(by, max_speed, max_accel, max_jerk, duration) of positions e, n, u at even times. With ``obstacles``, and samples that carry
+    site_id, min_clearance too: the least distance of a sample to an obstacle's centre, looked for up to three cells beyond
+    the margin; null if none is there."""
     names, rows = ("e", "n", "u"), samples
     for step in "vaj":
         new = tuple(step + c[-1] for c in names)
         rows, names = finite_differences(rows, dict(zip(names, new, strict=True)), dt, by), new
     size = lambda s: F.max(F.sqrt(sum((F.col(s + c) * F.col(s + c) for c in "enu"), F.lit(0.0))))
-    return rows.groupBy(by).agg(size("v").alias("max_speed"), size("a").alias("max_accel"), size("j").alias("max_jerk"), ((F.count("*") - 1) * F.lit(dt)).alias("duration"))
+    out = rows.groupBy(by).agg(size("v").alias("max_speed"), size("a").alias("max_accel"), size("j").alias("max_jerk"), ((F.count("*") - 1) * F.lit(dt)).alias("duration"))
+    if obstacles is None:
+        return out
+    near = voxels.clearance(samples.withColumn("_s", F.struct(by, "seq")), obstacles, "_s", -int(-margin // 1) + 3)
+    return out.join(near.groupBy(by).agg(F.min("min_d").alias("min_clearance")), by)
 
 
 def within_limits(summary: DataFrame, speed: float, accel: float, jerk: float) -> DataFrame:
@@ -85,11 +91,13 @@ def path_interpolate(tracks: DataFrame, fraction: float) -> DataFrame:
     return rows.where(F.col("_i") == segment).select("track_id", *[(F.col(c) + (F.coalesce(f"_{c}", c) - F.col(c)) * rest).alias(c) for c in "xy"])
 
 
-def footage_summary(clips: DataFrame, by: str = "site_id") -> DataFrame:
-    """(by, n_clips, n_shots, n_poses, tags) of clips (by, clip_id, shot_type, poses array, interest_tags array)."""
-    counts = clips.groupBy(by).agg(F.count("*").alias("n_clips"), F.countDistinct("shot_type").alias("n_shots"), F.sum(F.size("poses")).alias("n_poses"))
+def footage_summary(clips: DataFrame, by: str = "site_id", coverage: DataFrame | None = None) -> DataFrame:
+    """(by, n_clips, n_shots, n_poses, tags, clip_ids) of clips (by, clip_id, shot_type, poses array, interest_tags array), with the
+    coverage (by, coverage) of their set, if given. A set's clip ids are one array, as in its file."""
+    counts = clips.groupBy(by).agg(F.count("*").alias("n_clips"), F.countDistinct("shot_type").alias("n_shots"), F.sum(F.size("poses")).alias("n_poses"), F.sort_array(F.collect_list("clip_id")).alias("clip_ids"))
     tags = clips.select(by, F.explode("interest_tags").alias("tag")).distinct().groupBy(by).agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("tags"))
-    return counts.join(tags, by, "left")
+    rows = counts.join(tags, by, "left").select(by, "n_clips", "n_shots", "n_poses", "tags", "clip_ids")
+    return rows if coverage is None else rows.join(coverage.select(by, "coverage"), by, "left")
 
 
 def audit_missions(waypoints: DataFrame, obstacles: DataFrame, dt: float = 0.1, margin: float = 1.5, reserve: float = 0.15, battery_s: float = 1080.0, window: int = 3) -> DataFrame:

@@ -102,20 +102,30 @@ def obstacle_recall(truth: DataFrame, mapped: DataFrame, radius: float, band: fl
 
 
 def estimate_height(depth: DataFrame, by: str = "image_id") -> DataFrame:
-    """Largest less smallest finite depth of each nadir image."""
-    return depth.where(F.col("depth") < float("inf")).groupBy(by).agg((F.max("depth") - F.min("depth")).alias("height"))
-
-
-def occupancy(depth: DataFrame, poses: DataFrame, cameras: DataFrame, res: float, origin: tuple[float, float, float], shape: tuple[int, int, int]) -> DataFrame:
-    """Distinct cells of the grid that depth samples hit."""
-    cells = voxel_index(camera.backproject_depth(depth, poses, cameras), res, origin)
+    """Largest less smallest finite depth of each nadir image; null with a reason for an image that has none."""
+    seen = F.when((F.abs("depth") < float("inf")) & ~F.isnan("depth"), F.col("depth"))
+    rows = depth.groupBy(by).agg((F.max(seen) - F.min(seen)).alias("height"))
+    return rows.withColumn("reason", F.when(F.col("height").isNull(), F.lit("no finite depth")))
+
+
+def occupancy(
+    depth: DataFrame, poses: DataFrame, cameras: DataFrame, res: float, origin: tuple[float, float, float], shape: tuple[int, int, int], stride: int = 1, least: int = 1, farthest: float | None = None
+) -> DataFrame:
+    """The cells of the grid that at least ``least`` finite depth samples hit, of pixels u, v that are multiples of ``stride`` and
+    not farther than ``farthest``."""
+    if stride < 1 or least < 1:
+        raise ValueError("stride and least must be 1 or more")
+    kept = depth.where((F.abs("depth") < float("inf")) & ~F.isnan("depth"))
+    kept = kept.where((F.col("u") % stride == 0) & (F.col("v") % stride == 0)) if stride > 1 else kept
+    kept = kept if farthest is None else kept.where(F.col("depth") <= farthest)
+    cells = voxel_index(camera.backproject_depth(kept, poses, cameras), res, origin)
     for c, n in zip("ijk", shape, strict=True):
         cells = cells.where((F.col(c) >= 0) & (F.col(c) < n))
-    return cells.select(*CELL).distinct()
+    return cells.groupBy(*CELL).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*CELL)
 
 
-def build_obstacle_map(depth: DataFrame, poses: DataFrame, cameras: DataFrame, res: float, origin: tuple[float, float, float], shape: tuple[int, int, int]) -> DataFrame:
-    return drop_ground(occupancy(depth, poses, cameras, res, origin, shape))
+def build_obstacle_map(depth: DataFrame, poses: DataFrame, cameras: DataFrame, res: float, origin: tuple[float, float, float], shape: tuple[int, int, int], **how: float) -> DataFrame:
+    return drop_ground(occupancy(depth, poses, cameras, res, origin, shape, **how))
 
 
 def obstacle_lookup(cells: DataFrame, res: float, labelled: DataFrame | None = None, sparse: DataFrame | None = None, heights: DataFrame | None = None) -> DataFrame:

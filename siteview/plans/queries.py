@@ -219,7 +219,7 @@ def a4_obstacle_recall(spark, sf):
     return voxels.obstacle_recall(T.voxels(spark, sf), T.obstacle_map(spark, sf), 30.0).select("site_id", "n_truth", *_r("recall"))
 
 
-@register(f"WITH {DEPTH} SELECT image_id, max(depth) - min(depth) AS height FROM depth GROUP BY image_id")
+@register(f"WITH {DEPTH} SELECT image_id, max(depth) - min(depth) AS height, CAST(NULL AS VARCHAR) AS reason FROM depth GROUP BY image_id")
 def a6_estimate_height(spark, sf):
     return voxels.estimate_height(T.depth_samples(spark, sf))
 

@@ -158,9 +158,15 @@ _DERIVED = _slope(_slope(_slope("waypoints", {"e": "ve", "n": "vn", "u": "vu"}),
 SUMMARY = f"summary AS (SELECT mission_id, max(sqrt(ve * ve + vn * vn + vu * vu)) AS max_speed, max(sqrt(ae * ae + an * an + au * au)) AS max_accel, max(sqrt(je * je + jn * jn + ju * ju)) AS max_jerk, CAST(count(*) - 1 AS DOUBLE) AS duration FROM {_DERIVED} GROUP BY mission_id)"
 
 
-@register(f"WITH {WAYPOINTS}, {SUMMARY} SELECT mission_id, {_s('max_speed', 'max_accel', 'max_jerk')}, duration FROM summary")
+# the nearest mapped cell within five cells of a sample, each way
+A21_NEAR = f""", {MAP}, near AS (SELECT mission_id, min(sqrt(pow(e - (-48 + (i + 0.5) * 2), 2) + pow(n - (-48 + (j + 0.5) * 2), 2) + pow(u - (k + 0.5) * 2, 2))) AS min_clearance FROM waypoints JOIN mapped USING (site_id)
+  WHERE abs(i - floor((e + 48) / 2)) <= 5 AND abs(j - floor((n + 48) / 2)) <= 5 AND abs(k - floor(u / 2)) <= 5 GROUP BY mission_id)"""
+
+
+@register(f"WITH {WAYPOINTS}, {SUMMARY} SELECT mission_id, {_s('max_speed', 'max_accel', 'max_jerk', 'min_clearance')}, duration FROM summary LEFT JOIN near USING (mission_id)".replace("SELECT mission_id, round(max_speed", f"{A21_NEAR} SELECT mission_id, round(max_speed"))
 def a21_trajectory_summary(spark, sf):
-    return measures.trajectory_summary(T.waypoints(spark, sf), 1.0).select("mission_id", *_r("max_speed", "max_accel", "max_jerk"), "duration")
+    rows = measures.trajectory_summary(T.waypoints(spark, sf), 1.0, obstacles=T.obstacle_map(spark, sf))
+    return rows.select("mission_id", *_r("max_speed", "max_accel", "max_jerk", "min_clearance"), "duration")
 
 
 @register(f"WITH {WAYPOINTS}, {SUMMARY} SELECT mission_id FROM summary WHERE max_speed <= 80.000001 AND max_accel <= 70.000001 AND max_jerk <= 90.000001")

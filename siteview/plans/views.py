@@ -156,11 +156,12 @@ def w15_path_interpolate(spark, sf):
     return measures.path_interpolate(T.tracks(spark, sf), 0.3).select("track_id", *_r("x", "y"))
 
 
-@register(f"WITH {WAYPOINTS}, c AS (SELECT site_id, {SHOTS} AS shot FROM waypoints) SELECT site_id, count(*) AS n_clips, count(DISTINCT shot) AS n_shots, count(*)::BIGINT AS n_poses, string_agg(DISTINCT shot, ',' ORDER BY shot) AS tags FROM c GROUP BY site_id")
+@register(f"WITH {WAYPOINTS}, c AS (SELECT site_id, {SHOTS} AS shot, printf('clip_%06d_%03d', mission_id, seq) AS id FROM waypoints) SELECT site_id, count(*) AS n_clips, count(DISTINCT shot) AS n_shots, count(*)::BIGINT AS n_poses, string_agg(DISTINCT shot, ',' ORDER BY shot) AS tags, string_agg(id, ',' ORDER BY id) AS clip_ids, round(site_id / 25.0::DOUBLE, 6) AS coverage FROM c GROUP BY site_id")
 def a15_footage_summary(spark, sf):
     shots = missions.assign_shot_types(T.waypoints(spark, sf))
-    clips = shots.select("site_id", F.format_string("clip_%d_%03d", "mission_id", "seq").alias("clip_id"), "shot_type", F.array(F.struct("e", "n", "u")).alias("poses"), F.array("shot_type").alias("interest_tags"))
-    return measures.footage_summary(clips)
+    clips = shots.select("site_id", F.format_string("clip_%06d_%03d", "mission_id", "seq").alias("clip_id"), "shot_type", F.array(F.struct("e", "n", "u")).alias("poses"), F.array("shot_type").alias("interest_tags"))
+    covered = T.sites(spark, sf).select("site_id", (F.col("site_id") / 25).alias("coverage"))
+    return measures.footage_summary(clips, coverage=covered).withColumns({"clip_ids": F.array_join("clip_ids", ","), "coverage": F.round("coverage", 6)})
 
 
 @register(f"{VIEWS} SELECT site_id, pose_id, printf('img_%04d', row_number() OVER (PARTITION BY site_id ORDER BY pose_id) - 1) AS ref FROM poses")

@@ -141,7 +141,7 @@ def _centre(cells):
 def test_flights_are_audited_between_coarse_samples(spark, monkeypatch):
     by, mapped = _missions(spark, monkeypatch, 4)
     fine = {r.mission_id: r for r in Q.queries()["g9_audit_missions_fine"](spark, SF).collect()}
-    coarse = {r.mission_id: r.collided for r in Q.queries()["g9_audit_missions"](spark, SF).collect()}
+    exact = {r.mission_id: r for r in Q.queries()["g9_audit_missions"](spark, SF).collect()}
     assert set(fine) == set(by)
     for m, rows in by.items():
         at = _centre(mapped.get(rows[0].site_id, ()))
@@ -151,14 +151,23 @@ def test_flights_are_audited_between_coarse_samples(spark, monkeypatch):
             near = at[(np.abs((at - [-47, -47, 1]) / 2 - cell) <= 3).all(axis=1)]
             d = np.sqrt(((near - [e, n, u]) ** 2).sum(axis=1)).min(initial=math.inf)
             least = min(least, d)
-            collided, landed = d < 1.5, d >= 1.5 and k > 0 and 1 - t / 1080 <= 0.2
+            collided, landed = d < 1.5, d >= 1.5 and k > 0 and 1 - t / 1080 <= 0.15
             if collided or landed:
                 break
         r = fine[m]
         assert (r.collided, r.landed, r.completed) == (collided, landed, not collided and not landed)
         assert math.isclose(math.inf if r.min_clearance is None else r.min_clearance, least, abs_tol=1e-3)
-    print("collisions", sum(r.collided for r in fine.values()), "in steps of 5 s", sum(coarse.values()), "missions", len(by))
-    assert sum(r.collided for r in fine.values()) > sum(coarse.values())
+    # what samples hit, the way between them hits as well, no later and at the margin
+    for m, r in exact.items():
+        if fine[m].collided:
+            assert r.collided and r.time_s <= fine[m].time_s + 1e-3 and r.path_m <= fine[m].path_m + 1e-3
+            assert r.event_e is not None and r.min_clearance <= 1.5
+            at = _centre(mapped[by[m][0].site_id])
+            d = np.sqrt(((at - [r.event_e, r.event_n, r.event_u]) ** 2).sum(axis=1)).min()
+            assert abs(d - 1.5) < 1e-3 or (r.path_m == 0 and d < 1.5)
+        elif not r.collided:
+            assert (r.landed, r.completed) == (fine[m].landed, fine[m].completed) and (r.event_e is None) == r.completed
+    assert sum(r.collided for r in exact.values()) >= sum(r.collided for r in fine.values()) > 0
 
 
 def test_thin_cells_beside_legs_count(spark, monkeypatch):
@@ -179,9 +188,9 @@ def test_thin_cells_beside_legs_count(spark, monkeypatch):
             want.setdefault(site, set()).update(c for c, x in zip(cells, close) if x)
     want = {s: (len(c - mapped.get(s, set())), len(c)) for s, c in want.items() if c}
     assert {r.site_id: (r.n_missed, r.n_on_path) for r in Q.queries()["a5_missed_on_legs"](spark, SF).collect()} == want
-    waypoints = {r.site_id: r.n_on_path for r in Q.queries()["a5_missed_on_path"](spark, SF).collect()}
-    print("on path", sum(n for _, n in want.values()), "by waypoints alone", sum(waypoints.values()))
-    assert sum(n for _, n in want.values()) > sum(waypoints.values())
+    exact = {r.site_id: r.n_on_path for r in Q.queries()["a5_missed_on_path"](spark, SF).collect()}
+    assert all(n <= exact[s] for s, (_, n) in want.items())
+    assert sum(exact.values()) - sum(n for _, n in want.values()) <= 0.01 * sum(exact.values())
 
 
 def test_the_whole_plan_of_views(spark, monkeypatch):
@@ -197,7 +206,7 @@ def test_the_whole_plan_of_views(spark, monkeypatch):
     want = []
     for s, n in size.items():
         seen, k = set(), 0
-        while len(seen) < 0.9 * n:
+        while len(seen) < n:
             gain, p = max((len({c for c in see[s, p] if c < n} - seen), -p) for t, p in see if t == s)
             if not gain:
                 break
@@ -206,4 +215,6 @@ def test_the_whole_plan_of_views(spark, monkeypatch):
             k += 1
     assert sorted(map(tuple, Q.queries()["g2_nbv_plan_whole"](spark, "").collect())) == want
     assert len(want) > 4 * len(size)
-    assert Q.queries()["g2_nbv_plan"](spark, "").count() == 4 * len(size)
+    # the plan up to 0.9 is the beginning of the whole one, site by site
+    plan = sorted(map(tuple, Q.queries()["g2_nbv_plan"](spark, "").collect()))
+    assert plan == [w for w in want if w in plan] and sum(w[0] == 3 for w in plan) == 5
