@@ -14,9 +14,10 @@ CLIP = f"STRUCT<clip_id: STRING, shot_type: STRING, poses: ARRAY<{POSE}>, intere
 FOOTAGE = f"aoi_name STRING, home STRUCT<lat: DOUBLE, lon: DOUBLE, alt: DOUBLE>, clips ARRAY<{CLIP}>, coverage DOUBLE, _corrupt STRING"
 
 
-def read_footprints(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each vertex of a footprint: site_id, home_lat, home_lon, height, vertex, lat, lon."""
-    rows = spark.read.schema(FOOTPRINT).option("multiLine", True).json(path)
+def read_footprints(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each vertex of a footprint: site_id, home_lat, home_lon, height, vertex, lat, lon. A file is one document, or
+    with ``lines`` one document a line."""
+    rows = spark.read.schema(FOOTPRINT).option("multiLine", not lines).json(path)
     rows = rows.select("site_id", F.col("centroid")[0].alias("home_lat"), F.col("centroid")[1].alias("home_lon"), F.col("height_m").alias("height"), F.posexplode("polygon_latlon").alias("vertex", "_p"))
     return rows.withColumns({"lat": F.col("_p")[0], "lon": F.col("_p")[1]}).drop("_p")
 
@@ -147,3 +148,57 @@ def write_trace(trace: DataFrame, summary: DataFrame, path: str) -> None:
     """A trace as JSON lines, one folder a part, and beside it the folder ``meta`` with a summary row a site or mission."""
     trace.write.mode("errorifexists").partitionBy("part").json(f"{path}/trace")
     summary.write.mode("errorifexists").json(f"{path}/meta")
+
+
+_POINTS = "ARRAY<ARRAY<DOUBLE>>"
+PLAN = (
+    "building STRING, osm_id LONG, home ARRAY<DOUBLE>, poi_regions ARRAY<STRUCT<id: STRING, center: ARRAY<DOUBLE>, enu: ARRAY<DOUBLE>, radius_m: DOUBLE, extra_loops: INT>>, "
+    f"paths ARRAY<STRUCT<id: STRING, mode: STRING, altitude_m: DOUBLE, duration_s: DOUBLE, control_points: {_POINTS}, smoothed: {_POINTS}>>"
+)
+
+
+def read_plans(spark: SparkSession, path: str) -> DataFrame:
+    """One row a drawn plan, one JSON document a line or a file of its own: building, osm_id, home, poi_regions, paths."""
+    return spark.read.schema(PLAN).json(path)
+
+
+def _planar(rows: DataFrame) -> DataFrame:
+    """Adds e, n of lat, lon about the plan's own home, which every row carries."""
+    m, c = F.lit(frames.PLANAR), F.cos(F.radians("home_lat"))
+    return rows.withColumns({"e": (F.col("lon") - F.col("home_lon")) * m * c, "n": (F.col("lat") - F.col("home_lat")) * m})
+
+
+def plan_regions(plans: DataFrame) -> DataFrame:
+    """(building, osm_id, home_lat, home_lon, region_id, lat, lon, e, n, radius_m, extra_loops): the regions of interest of plans,
+    with their place about the home worked out anew from latitude and longitude; a plan without any has no row."""
+    rows = plans.select("building", "osm_id", F.col("home")[0].alias("home_lat"), F.col("home")[1].alias("home_lon"), F.explode("poi_regions").alias("_r"))
+    rows = rows.select("building", "osm_id", "home_lat", "home_lon", F.col("_r.id").alias("region_id"), F.col("_r.center")[0].alias("lat"), F.col("_r.center")[1].alias("lon"), "_r.radius_m", "_r.extra_loops")
+    return _planar(rows).select("building", "osm_id", "home_lat", "home_lon", "region_id", "lat", "lon", "e", "n", "radius_m", "extra_loops")
+
+
+def plan_tracks(plans: DataFrame) -> DataFrame:
+    """(building, osm_id, home_lat, home_lon, track_id, mode, altitude_m, duration_s, kind, seq, lat, lon, e, n): the points of the drawn
+    paths, of kind ``control`` or ``smoothed``."""
+    rows = plans.select("building", "osm_id", F.col("home")[0].alias("home_lat"), F.col("home")[1].alias("home_lon"), F.explode("paths").alias("_p"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_p.{c}").alias("points")) for k, c in (("control", "control_points"), ("smoothed", "smoothed"))])
+    rows = rows.withColumn("_k", F.explode(kinds)).select("building", "osm_id", "home_lat", "home_lon", F.col("_p.id").alias("track_id"), "_p.mode", "_p.altitude_m", "_p.duration_s", "_k.kind", F.posexplode("_k.points").alias("seq", "_g"))
+    return _planar(rows.withColumns({"lat": F.col("_g")[0], "lon": F.col("_g")[1]}).drop("_g"))
+
+
+def plans(homes: DataFrame, regions: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Plans of homes (building, osm_id, home_lat, home_lon), regions (osm_id, region_id, lat, lon, e, n, radius_m, extra_loops) and
+    tracks as ``plan_tracks`` has them. Regions and paths stand in order of their ids; enu is written to two places."""
+    point = lambda: F.transform(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))), lambda p: F.array(p["lat"], p["lon"]))
+    lines = tracks.groupBy("osm_id", "track_id", "mode", "altitude_m", "duration_s", "kind").agg(point().alias("points"))
+    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("points")), ignorenulls=True)
+    paths = lines.groupBy("osm_id", "track_id", "mode", "altitude_m", "duration_s").agg(of("control").alias("control_points"), of("smoothed").alias("smoothed"))
+    paths = paths.groupBy("osm_id").agg(F.sort_array(F.collect_list(F.struct(F.col("track_id").alias("id"), "mode", "altitude_m", "duration_s", "control_points", "smoothed"))).alias("paths"))
+    spots = F.struct(F.col("region_id").alias("id"), F.array("lat", "lon").alias("center"), F.array(F.bround("e", 2), F.bround("n", 2)).alias("enu"), "radius_m", "extra_loops")
+    found = regions.groupBy("osm_id").agg(F.sort_array(F.collect_list(spots)).alias("poi_regions"))
+    rows = homes.select("building", "osm_id", F.array("home_lat", "home_lon").alias("home")).join(found, "osm_id", "left").join(paths, "osm_id", "left")
+    none = {c: F.coalesce(F.col(c), F.array().cast(dict(rows.dtypes)[c])) for c in ("poi_regions", "paths")}
+    return rows.select(F.lit(3).alias("stage"), "building", "osm_id", "home", *[v.alias(k) for k, v in none.items()])
+
+
+def write_plans(rows: DataFrame, path: str) -> None:
+    rows.write.mode("errorifexists").json(path)
