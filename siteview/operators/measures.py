@@ -165,7 +165,8 @@ def frechet_similarity(tracks: DataFrame, pairs: DataFrame, scale: float = 10.0,
     """(track_a, track_b, distance, similarity) of pairs of tracks (track_id, seq, x, y): the discrete Frechet distance d and
     1 / (1 + d / scale).
 
-    With ``bound``, pairs whose first or last points are farther apart, and so their distance, are left out beforehand. A
+    With ``bound``, pairs whose first or last points are farther apart, and so their distance, are left out beforehand, and a
+    pair is given up, with an infinite distance, as soon as no point of one row can be reached within it. A
     task holds the points of one pair; a row of the table is worked out at a time.
     """
     points = tracks.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
@@ -174,22 +175,57 @@ def frechet_similarity(tracks: DataFrame, pairs: DataFrame, scale: float = 10.0,
         ends = [F.hypot(F.element_at("a.x", k) - F.element_at("b.x", k), F.element_at("a.y", k) - F.element_at("b.y", k)) <= bound for k in (1, -1)]
         rows = rows.where(ends[0] & ends[1])
     flat = rows.select("track_a", "track_b", *[F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "ab" for c in "xy"])
+    most = float("inf") if bound is None else bound
 
     @F.pandas_udf("double")
     def distance(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-        return pd.Series([_frechet(np.column_stack([p, q]), np.column_stack([r, s])) for p, q, r, s in zip(ax, ay, bx, by, strict=True)], dtype=float)
+        return pd.Series([_frechet(np.column_stack([p, q]), np.column_stack([r, s]), most) for p, q, r, s in zip(ax, ay, bx, by, strict=True)], dtype=float)
 
     out = flat.select("track_a", "track_b", distance("ax", "ay", "bx", "by").alias("distance"))
     return out.withColumn("similarity", 1 / (1 + F.col("distance") / scale))
 
 
-def _frechet(a: np.ndarray, b: np.ndarray) -> float:
+def track_candidates(tracks: DataFrame, bound: float) -> DataFrame:
+    """(track_a, track_b): the pairs, track_a below track_b, whose Frechet distance can be within the bound. Their first points, their
+    last points and each side of their boxes are not farther apart than it.
+
+    Tracks meet by the cells of both ends, so that many tracks from one place meet only if they also end near each other.
+    """
+    if bound <= 0:
+        raise ValueError("bound must be positive")
+    known = tracks.where("x IS NOT NULL AND y IS NOT NULL")
+    at = F.struct("seq", "x", "y")
+    ends = known.groupBy("track_id").agg(F.min(at).alias("f"), F.max(at).alias("l"), *[f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xy"])
+    ends = ends.select("track_id", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "fl" for c in "xy"], "lox", "loy", "hix", "hiy")
+    cells = {f"c{e}{c}": F.floor(F.col(f"{e}{c}") / bound).cast("long") for e in "fl" for c in "xy"}
+    left, right = ends.withColumns(cells), ends.withColumns(cells)
+    near = F.explode(F.array(*[F.struct(*[F.lit(k // 3**i % 3 - 1).alias(c) for i, c in enumerate(cells)]) for k in range(81)]))
+    left = left.withColumn("_d", near).withColumns({c: F.col(c) + F.col(f"_d.{c}") for c in cells}).drop("_d")
+    one, two = (t.select(*cells, *[F.col(c).alias(f"{c}_{s}") for c in ends.columns]) for t, s in ((left, "a"), (right, "b")))
+    pairs = one.join(two, list(cells)).where("track_id_a < track_id_b")
+    for e in "fl":
+        pairs = pairs.where(F.hypot(F.col(f"{e}x_a") - F.col(f"{e}x_b"), F.col(f"{e}y_a") - F.col(f"{e}y_b")) <= bound)
+    for c in ("lox", "loy", "hix", "hiy"):
+        pairs = pairs.where(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= bound)
+    return pairs.select(F.col("track_id_a").alias("track_a"), F.col("track_id_b").alias("track_b"))
+
+
+def similar_tracks(tracks: DataFrame, bound: float, scale: float = 10.0) -> DataFrame:
+    """(track_a, track_b, distance, similarity) of all pairs of tracks whose discrete Frechet distance is within the bound. Points without
+    a coordinate are left out, and a track without points has no pair."""
+    known = tracks.where("x IS NOT NULL AND y IS NOT NULL")
+    return frechet_similarity(known, track_candidates(known, bound), scale, bound).where(F.col("distance") <= bound)
+
+
+def _frechet(a: np.ndarray, b: np.ndarray, most: float = float("inf")) -> float:
     row = None
     for p in a:
         d = np.sqrt(((b - p) ** 2).sum(axis=1))
         if row is None:
             row = np.maximum.accumulate(d)
             continue
+        if row.min() > most:
+            return float("inf")
         reach = np.minimum(row, np.concatenate([[np.inf], row[:-1]]))
         new = np.empty(len(b))
         last = np.inf

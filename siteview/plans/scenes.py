@@ -380,6 +380,12 @@ def a22_detection_quality(spark, sf):
     return measures.detection_quality(*_boxes(spark, sf))
 
 
+@register(None)
+def a29_similar_tracks(spark, sf):
+    """All pairs of missions whose ways over ground are within 40 m of each other."""
+    return measures.similar_tracks(T.waypoints(spark, sf).selectExpr("mission_id AS track_id", "seq", "e AS x", "n AS y"), 40.0)
+
+
 @register(None)
 def a29_frechet_similarity(spark, sf):
     tracks = T.waypoints(spark, sf).selectExpr("mission_id AS track_id", "seq", "e AS x", "n AS y")

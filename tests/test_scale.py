@@ -153,3 +153,33 @@ def test_a_cut_off_leaves_out_far_pairs_alone(spark):
     near = {(r.vp_id, r.hs_id): r.term for r in interest.score_pairs(aimed, spots, cams, cutoff=40.0).collect()}
     assert near == pytest.approx({k: r.term for k, r in every.items() if r.dist <= 40.0}) and 0 < len(near) < len(every)
     assert all(r.framing > 0 and r.facing > 0 and r.hs_id != 99 for r in every.values())
+
+
+def test_similar_tracks_are_all_pairs_within_the_bound(spark):
+    from siteview.operators import measures
+
+    rnd = random.Random(9)
+    tracks = {}
+    for k in range(40):
+        x, y, way = *(rnd.choice([0.0, 30.0]) + rnd.uniform(-4, 4) for _ in range(2)), []
+        for _ in range(rnd.randrange(1, 9)):
+            x, y = x + rnd.uniform(-5, 9), y + rnd.uniform(-5, 9)
+            way.append((x, y))
+        tracks[k] = way
+    tracks[50], tracks[51] = tracks[3], list(reversed(tracks[3]))
+
+    def frechet(a, b):
+        t = {}
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                before = [t[c] for c in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if c in t]
+                t[i, j] = max(math.dist(p, q), min(before, default=0.0))
+        return t[len(a) - 1, len(b) - 1]
+
+    rows = [(k, s, x, y) for k, way in tracks.items() for s, (x, y) in enumerate(way)] + [(60, 0, None, 1.0), (3, 99, None, None)]
+    table = spark.createDataFrame(rows, "track_id int, seq int, x double, y double")
+    for bound in (6.0, 15.0):
+        want = {(a, b): d for a in tracks for b in tracks if a < b and (d := frechet(tracks[a], tracks[b])) <= bound}
+        got = {(r.track_a, r.track_b): r.distance for r in measures.similar_tracks(table, bound).collect()}
+        assert got == pytest.approx(want) and got[3, 50] == 0 and len(want) > 1
+    assert measures.similar_tracks(table.where("false"), 5.0).count() == 0
