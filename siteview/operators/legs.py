@@ -22,26 +22,32 @@ def mission_legs(waypoints: DataFrame, cruise: float = 5.0, fastest: float = 15.
     return rows.withColumns({"before_m": F.coalesce(F.sum("leg").over(past), F.lit(0.0)), "before_s": F.coalesce(F.sum(F.col("leg") / F.col("v")).over(past), F.lit(0.0))})
 
 
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"({a.format(c)}) * ({b.format(c)})" for c in "enu") + ")"
+
+
+_WAY, _OFF = "{0} - p{0}", "p{0} - c{0}"
+
+
 def leg_cells(legs: DataFrame, cells: DataFrame, reach: float, res: float = 2.0, origin: tuple[float, float, float] = (-48.0, -48.0, 0.0)) -> DataFrame:
     """Pairs of a leg (site_id, pe..pu, e..u) and a cell of its site whose centre is nearer than ``reach`` to it, with the
     cell's i, j, k, the squared distances ``near2`` of the leg and ``start2`` of its start, and ``qa``, ``qb``: the squared length
     and the product of way and offset.
 
-    Cells lie in blocks of twice the reach. A leg looks into the blocks round points of it that are a reach apart at most, each
-    once, so it meets what is near its line and not what is in the box round it.
+    Cells lie in blocks. A leg is cut to stretches of a block's edge at most, and each looks into the blocks that the reach round it
+    touches; so a leg meets what is near its line and not what is in the box round it. A pair may come more than once.
     """
-    edge = 2.0 * reach
-    at = "struct({})".format(", ".join(f"cast(floor((p{c} + ({c} - p{c}) * s / m - {o}D) / {edge}D) as int) as b{x}" for c, o, x in zip("enu", origin, "ijk", strict=True)))
-    steps = f"transform(sequence(0, m), s -> {at})"
-    around = "flatten(transform(array_distinct(b), x -> transform(sequence(0, 26), k -> struct(x.bi + cast(k div 9 as int) - 1 as bi, x.bj + cast(k div 3 as int) % 3 - 1 as bj, x.bk + k % 3 - 1 as bk))))"
-    rows = legs.withColumn("m", F.expr(f"cast(greatest(1, ceil(sqrt((e - pe) * (e - pe) + (n - pn) * (n - pn) + (u - pu) * (u - pu)) / {float(reach)}D)) as int)"))
-    rows = rows.withColumn("b", F.expr(steps)).withColumn("b", F.explode(F.expr(f"array_distinct({around})"))).select(*legs.columns, "b.bi", "b.bj", "b.bk")
-    named = cells.select(*voxels.CELL, *[(F.lit(o) + (F.col(x) + 0.5) * res).alias(f"c{c}") for c, o, x in zip("enu", origin, "ijk", strict=True)]).distinct()
-    named = named.withColumns({f"b{x}": F.floor((F.col(f"c{c}") - o) / edge).cast("int") for c, o, x in zip("enu", origin, "ijk", strict=True)})
-    pairs = rows.join(named, ["site_id", "bi", "bj", "bk"]).drop("bi", "bj", "bk")
-    dot = lambda a, b: " + ".join(f"({a.format(c)}) * ({b.format(c)})" for c in "enu")
-    way, off = "{0} - p{0}", "p{0} - c{0}"
-    pairs = pairs.withColumns({"qa": F.expr(dot(way, way)), "qb": F.expr(dot(way, off)), "start2": F.expr(dot(off, off))})
+    edge, axes = max(2.0 * res, 2.0 * reach), list(zip("enu", "ijk", origin, strict=True))
+    rows = legs.withColumn("m", F.expr(f"cast(greatest(1, ceil(sqrt((e - pe) * (e - pe) + (n - pn) * (n - pn) + (u - pu) * (u - pu)) / {edge}D)) as int)"))
+    rows = rows.withColumn("s", F.explode(F.expr("sequence(0, m - 1)")))
+    for c, x, o in axes:
+        a, b = (f"(p{c} + ({c} - p{c}) * (s + {k}) / m - {o}D)" for k in (0, 1))
+        rows = rows.withColumn(f"b{x}", F.explode(F.expr(f"sequence(cast(floor((least({a}, {b}) - {reach}D) / {edge}D) as int), cast(floor((greatest({a}, {b}) + {reach}D) / {edge}D) as int))")))
+    blocks = ["bi", "bj", "bk"]
+    named = cells.select(*voxels.CELL, *[(F.lit(o) + (F.col(x) + 0.5) * res).alias(f"c{c}") for c, x, o in axes]).distinct()
+    named = named.withColumns({f"b{x}": F.floor((F.col(f"c{c}") - o) / edge).cast("int") for c, x, o in axes})
+    pairs = rows.select(*legs.columns, *blocks).join(named, ["site_id", *blocks]).drop(*blocks)
+    pairs = pairs.withColumns({"qa": F.expr(_dot(_WAY, _WAY)), "qb": F.expr(_dot(_WAY, _OFF)), "start2": F.expr(_dot(_OFF, _OFF))})
     pairs = pairs.withColumn("near2", F.expr("CASE WHEN qb >= 0 OR qa = 0 THEN start2 WHEN -qb >= qa THEN start2 + 2 * qb + qa ELSE start2 - qb * qb / qa END")).drop("ce", "cn", "cu")
     return pairs.where(F.col("near2") < reach * reach)
 
@@ -70,13 +76,16 @@ def audit_flights(waypoints: DataFrame, obstacles: DataFrame, margin: float = 1.
     legs = legs.where("left_s > 0 OR (leg = 0 AND before_s = 0)").withColumn("part", F.expr("CASE WHEN leg / v >= left_s AND leg > 0 THEN left_s * v / leg ELSE 1D END"))
     legs = legs.withColumn("lands", F.expr("leg > 0 AND leg / v >= left_s"))
     legs = legs.withColumns({c: F.expr(f"p{c} + ({c} - p{c}) * part") for c in "enu"} | {"leg": F.expr("leg * part")}).drop("part", "left_s")
-    pairs = leg_cells(legs.select("mission_id", "site_id", "seq", *[f"p{c}" for c in "enu"], "e", "n", "u"), obstacles, reach, **GRID)
+    way = ["mission_id", "site_id", "seq", "pe", "pn", "pu", "e", "n", "u"]
     m2 = float(margin) * margin
     touch = F.expr(f"CASE WHEN start2 < {m2}D THEN 0D WHEN near2 < {m2}D AND qb < 0 THEN (-qb - sqrt(qb * qb - qa * (start2 - {m2}D))) / qa END")
-    met = pairs.groupBy("mission_id", "seq").agg(F.min(touch).alias("hit"), F.min("near2").alias("near2"), F.min("start2").alias("start2"))
-    rows = legs.join(met, ["mission_id", "seq"], "left")
+    met = leg_cells(legs.select(*way), obstacles, margin, **GRID).groupBy("mission_id", "seq").agg(F.min(touch).alias("hit"), F.min("start2").alias("start2"))
     first = Window.partitionBy("mission_id").orderBy("seq")
-    rows = rows.withColumn("_hits", F.count("hit").over(first.rowsBetween(Window.unboundedPreceding, -1))).where("_hits = 0")
+    rows = legs.join(met, ["mission_id", "seq"], "left").withColumn("_hits", F.count("hit").over(first.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = voxels.stored(rows.where("_hits = 0").drop("_hits"))
+    # the least distance is looked for on legs that are flown to their end
+    passed = leg_cells(rows.where("hit IS NULL").select(*way), obstacles, reach, **GRID).groupBy("mission_id", "seq").agg(F.min("near2").alias("near2"))
+    rows = rows.join(passed, ["mission_id", "seq"], "left")
     flown = F.coalesce(F.col("hit"), F.lit(1.0))
     # before a contact nothing is nearer than the margin, unless the way starts there
     gap = F.when(F.col("hit").isNull(), F.sqrt("near2")).when(F.col("hit") > 0, F.lit(float(margin))).otherwise(F.sqrt("start2"))
