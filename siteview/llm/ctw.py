@@ -1,4 +1,10 @@
-"""Context-tree weighting over bytes, with a unigram word base."""
+"""Context-tree weighting over bytes, with a unigram word base.
+
+The byte tree gives each token, a word with the byte that ends it, a probability; these sum to one over all tokens that can
+follow. So do the shares of the words in the training texts. The score halves between both for every token, as a node
+of the tree halves between its own estimate and its children's. From the second word on, RECENT of it goes to the shares of
+the words that the text has had so far.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, id_bucket, stored
 
-#: Bytes of context, and documents of a chunk, whose words are looked up together.
-DEPTH, CHUNK = 4, 4096
+#: Bytes of context, and about how many bytes of text make a chunk, whose words are looked up together.
+DEPTH, CHUNK = 4, 16 << 20
 #: Ends a text in the byte model; not a byte of UTF-8.
 END = 255
+LN10 = math.log(10)
+#: Weight of a text's own words so far.
+RECENT = 0.1
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -126,28 +135,64 @@ def context_tree(grams: DataFrame) -> DataFrame:
     return bits.join(down, ["ctx", "node"]).groupBy("gram").agg(F.sum(F.log10(p)).alias("log10p"))
 
 
-def _score(train_tokens: int, vocabulary: int):
+def _shares(words: list[np.ndarray], c: np.ndarray, train_tokens: int, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token its share in the training tokens, its share in the words before it in its text, and their number. A
+    text's tokens are its words (numbers into the counts ``c``), the last one together with the end; of a text without words, the end."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    every, of = np.concatenate([np.zeros(0, np.int64), *words]), np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((every, of))  # stable: repeats of a word in a text stay in order
+    new = np.ones(len(every), bool)
+    new[1:] = (np.diff(every[order]) != 0) | (np.diff(of[order]) != 0)
+    first = np.nonzero(new)[0]
+    before = np.empty(len(every))
+    before[order] = np.arange(len(every)) - np.repeat(first, np.diff(np.append(first, len(every))))
+    place = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+    end = ends / max(1, train_tokens)
+    goes = np.where(place == n[of] - 1, end, 1 - end)  # the end comes next, or another word
+    seen = c[every] / max(1, train_tokens - ends) * goes * np.where(place == 0, 1 - end, 1)
+    at = np.cumsum(np.maximum(1, n)) - np.maximum(1, n)  # where each text's tokens start
+    tokens = np.repeat(at, n) + place
+    out = tuple(np.zeros(int(np.maximum(1, n).sum())) for _ in range(3))
+    for x, values in zip(out, (seen, before / np.maximum(1, place) * goes, place), strict=True):
+        x[tokens] = values
+    out[0][at[n == 0]] = end
+    return out
+
+
+def _score(train_tokens: int, vocabulary: int, ends: int):
     total = math.log10(train_tokens + 0.1 * (vocabulary + 1))
 
     def run(docs: pa.Table, items: pa.Table) -> pa.Table:
         is_word = items.column("word").is_valid()
         words, grams = items.filter(is_word), items.filter(items.column("gram").is_valid())
-        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
+        number = {w: k for k, w in enumerate(words.column("word").to_pylist())}
+        count = words.column("c").to_numpy().astype(np.float64)
         key, lp = grams.column("gram").to_numpy().astype(np.uint64), grams.column("log10p").to_numpy()
         order = np.argsort(key)
         key, lp = key[order], lp[order]
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base": [], "score": []}
-        found = [_words(x) for x in docs.column("text").to_pylist()]
-        for ws in found:
-            c = np.fromiter(map(count.__getitem__, ws), np.float64, len(ws))
+        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base": [], "score": [], "tree": []}
+        lines, numbers = [], []
+        for text in docs.column("text").to_pylist():
+            ws = _words(text)
+            numbers.append(np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)))
+            c = count[numbers[-1]]
             out["n_known"].append(int((c > 0).sum()))
             out["n_tokens"].append(len(ws) + 1)
             out["base"].append(float(np.log10(c + 0.1).sum()) - total * len(ws))
-        lines = [b" ".join(x) for x in found]
+            lines.append(b" ".join(ws))
         for a, b in _pieces(lines):
             k, starts = _grams(lines[a:b])
-            out["score"] += np.add.reduceat(_look(key, lp, k), starts).tolist()
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), *[pa.array(out[x], t) for x, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))]], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+            byte = _look(key, lp, k)
+            out["tree"] += np.add.reduceat(byte, starts).tolist()
+            k &= np.uint64(255)
+            after = np.nonzero((k == 32) | (k == END))[0] + 1  # where the next token starts
+            token = np.add.reduceat(byte, np.concatenate([[0], after[:-1]]))
+            seen, own, place = _shares(numbers[a:b], count, train_tokens, ends)
+            with np.errstate(divide="ignore"):
+                learnt = np.logaddexp(token * LN10, np.log(seen)) - math.log(2)
+                token = np.where(place > 0, np.logaddexp(learnt + math.log(1 - RECENT), np.log(RECENT * own)), learnt) / LN10
+            out["score"] += np.add.reduceat(token, np.searchsorted(after, starts, "right")).tolist()
+        return pa.table([docs.column("doc_id"), docs.column("held_out"), *[pa.array(out[x], t) for x, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tree", pa.float64()))]], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tree"])
 
     return run
 
@@ -176,32 +221,33 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
 def score_texts(documents: DataFrame, folds: int = 10, chunk: int = CHUNK) -> DataFrame:
     """Byte context-tree and word unigram scores of every whole text, learnt from ids whose fold is not 0.
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The byte model
-    reads the lower-cased words with one space between, then an end mark. Null and empty texts are the end
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, tree_score (the byte tree alone). The
+    byte model reads the lower-cased words with one space between, then an end mark. Null and empty texts are the end
     token alone; a null id falls in fold 0; repeated rows count each time. Without training rows every count is
     0 and the tree predicts 1/2 for each bit.
 
-    Documents are dealt to chunks by a hash of the id; each chunk sends its distinct words and grams, counted,
-    to the corpus totals and gets them back, so nothing is broadcast and no word's texts meet in one task.
+    Documents are dealt to chunks by a hash of the id, as many as there are bytes for; each chunk sends its distinct words and
+    grams, counted, to the corpus totals and gets them back, so nothing is broadcast and no word's texts meet in one task.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = max(1, -(-docs.count() // chunk))
+    chunks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk))
     docs = docs.withColumn("held_out", id_bucket("doc_id", folds) == 0)
     # rows without an id, and repeats of one, are spread by their text
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     items = stored(docs.groupBy("chunk").applyInArrow(_count, "chunk long, word binary, gram long, n long, ends long"))
-    by_word = Window.partitionBy("word")
-    words = items.where("word is not null").select("chunk", "word", F.sum("n").over(by_word).alias("c"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first"))
-    words = stored(words)
-    totals = items.agg(F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum("ends"), F.lit(0)).alias("ends")).first()
-    vocabulary = words.where("first and c > 0").count() + (totals["ends"] > 0)
-    train_tokens = totals["n"] + totals["ends"]
+    counts = stored(items.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+    words = items.where("word is not null").select("chunk", "word").join(counts, "word")
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("known")).first()
+    ends = items.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
+    vocabulary = totals["known"] + (ends > 0)
+    train_tokens = totals["n"] + ends
     grams = items.where("gram is not null")
     tree = context_tree(checkpointed(grams.groupBy("gram").agg(F.sum("n").alias("n"))))
     known = words.select("chunk", "word", "c", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("log10p"))
     known = known.unionByName(grams.join(tree, "gram").select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "gram", "log10p"))
-    scored = docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(train_tokens, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    end = math.log10((totals["ends"] + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
+    scored = docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(train_tokens, vocabulary, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tree double")
+    end = math.log10((ends + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
     return scored.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + int(totals["ends"] > 0)).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.lit(end)).alias("base_score"), "score"
-    )
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.lit(end)).alias("base_score"), "score",
+        F.col("tree").alias("tree_score"),
+    )
