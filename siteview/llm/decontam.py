@@ -19,19 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Least share of copies at distance ``most`` = 0.2 that share a key with their item; the settings in CLASSES
-#: reach it for the shortest items of their class (tests/llm/test_llm.py, at 10, 15 and 19 % edits).
+#: reach it for the shortest items of their class (tests/llm/test_llm.py, at 10, 15 and 19 % edits, and each kind of edit
+#: alone, random, evenly spread or in one stretch).
 TARGET = 0.95
-#: Items of a pass, so that what each task is sent is bounded (about 600 keys an item).
-ITEMS_A_PASS = 20_000
+#: About how many bytes of items a pass takes, so that what each task is sent is bounded (12 keys a word).
+BYTES_A_PASS = 5 << 20
 #: (shortest item in bytes, steps of a walk, walks, samples of each walk, places in a sample, whether windows start at
 #: every byte), longest items first. Below 16 bytes the pigeonhole principle leaves an unedited piece as long as the walk.
-CLASSES = ((64, 36, 3, 4, 9, False), (16, 10, 3, 2, 6, True), (9, 3, 1, 1, 3, True), (4, 2, 1, 1, 2, True), (1, 1, 1, 1, 1, True))
+CLASSES = ((112, 36, 3, 4, 9, False), (64, 20, 3, 4, 7, False), (16, 10, 3, 2, 6, True), (9, 3, 1, 1, 3, True), (4, 2, 1, 1, 2, True), (1, 1, 1, 1, 1, True))
 #: Bytes from start to start inside a run without spaces in a text; items start at every byte of such a run.
 RUN = 8
 #: Starts whose keys are made together, and hits that are looked at together.
 STARTS, HITS = 1 << 15, 1 << 12
 #: Bytes of text that are searched together, or one text; 2000 texts at most.
 TEXT = 2_000_000
+#: Size of items with room for a window and 64 bytes beside any one stretch of edits.
+WIDE = 160
 #: Bits of a key by which most keys that no item has are told.
 SEEN = 22
 
@@ -257,7 +260,8 @@ class Index:
     def regions(self, body: np.ndarray, ends: np.ndarray, most: float) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """{(document, item): stretches of ``body`` that may hold the item}. The place of a hit is rounded, since the
         windows of one copy shift by its edits. The 64 bytes from the window on (all of a shorter item) may differ by
-        the item's edits, and by 1.6 times their share of them: a copy has windows on both sides of denser edits."""
+        the item's edits, and from WIDE bytes on by 1.6 times their share of them: such a copy has windows on both sides of
+        denser edits, in a shorter one they may all lie in the 64 bytes."""
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
         begins = np.concatenate([[0], ends[:-1]]) + 1
         padded = np.concatenate([np.zeros(512, np.uint8), body, np.zeros(512, np.uint8)])
@@ -275,7 +279,7 @@ class Index:
                 patterns = self.flat.take((self.first[k] + begin)[:, None] + np.arange(int(size.max())), mode="clip")
                 slack = int(min(edits.max(), 16))
                 texts = padded.take((place[a : a + HITS] + begin + 512 - slack)[:, None] + np.arange(int(size.max()) + 2 * slack), mode="clip")
-                near.append(_local(patterns, size, texts) <= np.minimum(edits, int(most * 64 * 1.6)))
+                near.append(_local(patterns, size, texts) <= np.where(self.sizes[k] < WIDE, edits, np.minimum(edits, int(most * 64 * 1.6))))
             if not near:
                 continue
             keep = np.concatenate(near)
@@ -300,7 +304,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, most: float = 0.2)
 
     Null and empty items match nothing, null and empty texts hold nothing; items that repeat are reported under
     each id, rows without an item id or doc_id under null. Whole texts are searched; a document costs a pass
-    for every ITEMS_A_PASS items of the benchmark.
+    for every BYTES_A_PASS bytes of the benchmark.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
@@ -333,9 +337,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, most: float = 0.2)
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark in blocks of about ITEMS_A_PASS items; one block, if there are no items."""
+    """The benchmark in blocks of about BYTES_A_PASS bytes; one block, if there are no items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
-    blocks = max(1, -(-items.count() // ITEMS_A_PASS))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_PASS))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         found = [(r["item_id"], normalise(r["text"])) for r in block]

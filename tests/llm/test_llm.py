@@ -137,6 +137,38 @@ def test_decontamination_recall_at_high_edit_rates(docs, spark):
             assert recall >= decontam.TARGET
 
 
+def _edited_by(kind, body, rate, rng):
+    n, out = int(rate * len(body)), bytearray(body)
+    letters = rng.integers(97, 123, n).tolist()
+    even = np.linspace(0, len(out) - 1, n).astype(int).tolist()
+    some = even if kind.startswith("even") else sorted(rng.choice(len(out), n, replace=False).tolist())
+    if kind == "burst":
+        at = int(rng.integers(len(out) - n))
+        some = range(at, at + n)
+    for i, c in zip(reversed(some), letters, strict=True):
+        out[i : i + ("insertions" not in kind)] = [] if "deletions" in kind else [c]
+    return bytes(out)
+
+
+@pytest.mark.parametrize("length", [64, 70, 80, 100, 112, 128, 160, 200])
+def test_decontamination_recall_of_each_kind_of_edit(docs, spark, length):
+    bodies = [decontam.normalise(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    host = decontam.normalise(" ".join(r.text for r in docs.where("n_chars between 500 and 3000").orderBy("doc_id").limit(40).collect()))
+    rng = np.random.default_rng(8)
+    items = [(k, b[:length].strip()) for k, b in enumerate(bodies)]
+    search, index = decontam._hits(items, 0.2), decontam.Index(items)
+    for kind in ("deletions", "insertions", "substitutions", "even deletions", "even insertions", "even substitutions", "burst"):
+        texts = []
+        for k, body in items * 4:
+            at = int(rng.integers(len(host) - 400))
+            texts.append((host[at : at + 150] + b" " + _edited_by(kind, body, 0.19, rng) + b" " + host[at + 200 : at + 350]).decode("utf-8", "replace"))
+        found = search(index, texts)
+        held = [d for d, t in enumerate(texts) if decontam.best_match(items[d % len(items)][1], decontam.normalise(t))[0] <= 0.2 * len(items[d % len(items)][1])]
+        recall = sum((d, d % len(items)) in found for d in held) / len(held)
+        print(f"items of {length} bytes, 19% {kind}: recall {recall:.3f} of {len(held)}")
+        assert recall >= decontam.TARGET, kind
+
+
 def test_decontamination_of_unspaced_text_and_of_any_batch(docs):
     rng = np.random.default_rng(6)
     item = bytes(rng.integers(97, 123, 90).tolist())
