@@ -5,7 +5,9 @@ divided by their number; the ratios are smoothed over the paths in page order an
 are content. Links do not count towards a path, and a furniture name among its classes lowers its ratios. The
 element that holds nearly all content text is the article; its blocks on content paths are the result, with a repair:
 headings, items and short paragraphs among them, and the rest of an article that the page declares, unless links or
-furniture names mark them. Tags and roles that mean furniture are left out before.
+furniture names mark them. Tags and roles that mean furniture are left out before. Comments are told by structure:
+an article inside an article, articles without a heading beside the one that has it, and siblings on one path that each
+begin with a name and a date. Such blocks, and minor ones with a furniture name, are no part of the result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FURNITURE = frozenset("head nav footer aside form select button menu dialog fieldset legend optgroup option datalist audio video applet".split())
 PROSE = frozenset("p li dt dd td th pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
-#: Whole class tokens and ids that say furniture. They lower the ratios of a path and decide nothing alone.
-_NAMED = frozenset("ad ads advert adverts advertisement advertising sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies cookie-notice newsletter share sharing social related popup comments comment commentlist comment-list disqus".split())
+#: Words of class tokens and ids that say furniture, and words that only say a box. A token means furniture if all its words
+#: are of these and one of the first; it marks only what holds neither an article, the title nor most of the text.
+_NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices newsletter subscribe signup share sharing social related popup modal comments comment commentlist responses response respond replies reply disqus".split())
+_BOX = frozenset("area banner bar block body box card container content feed footer form group header holder inner item items links list main message meta panel section slot sticky text thread top bottom unit user users reader readers view widget widgets wrap wrapper".split())
+_WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+#: A line above a comment: a name, then when or that it was written.
+_STAMP = re.compile(r"[^\W\d_].*?(?:\b(?:ago|says|wrote|replied|commented|posted)\b|\d{1,2}:\d\d|\d{4}-\d\d?-\d\d?|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d|\d\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))", re.I)
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table tr td th article section div main body html aside nav footer header form blockquote".split())
 _HOLDERS = frozenset("html body main article section div td table tbody tr center blockquote root".split())
@@ -41,13 +48,19 @@ NAMED_SHARE = 0.1
 class Node:
     """An open or closed element. ``ends`` has, for the tags that a later start tag can close, the innermost open one."""
 
-    __slots__ = ("tag", "parent", "path", "off", "body", "declared", "named", "ends", "weight", "size", "heading", "holds", "inside")
+    __slots__ = ("tag", "parent", "path", "off", "body", "declared", "named", "ends", "weight", "size", "heading", "title", "holds", "inside", "first", "blocks")
 
     def __init__(self, tag: str, parent: Node | None, path: int):
         self.tag, self.parent, self.path = tag, parent, path
-        self.off = self.body = self.declared = self.named = self.heading = self.holds = self.inside = False
+        self.off = self.body = self.declared = self.named = self.heading = self.title = self.holds = self.inside = False
         self.ends: dict[str, Node] = {}
         self.weight = self.size = 0.0
+        self.first, self.blocks = -1, 0
+
+
+def _is_furniture(token: str) -> bool:
+    words = {w.lower() for w in _WORDS.split(token)}
+    return not _NAMED.isdisjoint(words) and words <= _NAMED | _BOX
 
 
 def _read_attributes(node: Node, attrs: str) -> str:
@@ -55,10 +68,11 @@ def _read_attributes(node: Node, attrs: str) -> str:
     label = ""
     if attrs and not attrs.isspace():
         for name, *values in _NAMES.findall(attrs):
-            name, value = name.lower(), "".join(values).strip().lower()
+            name, given = name.lower(), "".join(values).strip()
+            value = given.lower()
             if name in ("class", "id"):
                 label += "." + value if name == "class" else ""
-                node.named = node.named or not _NAMED.isdisjoint(value.split())
+                node.named = node.named or any(map(_is_furniture, given.split()))
             elif name == "role":
                 node.off, node.body = node.off or value in _ROLES, node.body or value in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value == "true" and node.tag not in INLINE):
@@ -135,7 +149,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, Node, bool, str]]]:
         label = _read_attributes(child, attrs)
         child.off = child.off or node.off
         child.declared = node.declared or child.body
-        child.heading = tag in ("h1", "h2")
+        child.heading, child.title = tag in ("h1", "h2"), tag == "h1"
         if tag not in INLINE:
             child.path = paths.setdefault((tag + label, node.path), len(paths))
         if tag in ("ul", "ol", "dl", "table"):
@@ -169,6 +183,33 @@ def _content(paths: list[int], texts: list[str], shares: list[float]) -> tuple[s
     return {p for p, k in order.items() if fused[k] >= limit and fused[k] > 0}, {p: float(fused[k]) for p, k in order.items()}
 
 
+def _replies(nodes: list[Node], texts: list[str]) -> set[int]:
+    """The elements that are comments of readers by their structure."""
+    found: set[int] = set()
+    groups: dict[tuple[int, int], list[Node]] = {}
+    articles: list[Node] = []
+    within: set[int] = set()
+    for node in nodes[1:]:
+        if id(node.parent) in within:
+            within.add(id(node))
+        if node.tag == "article" and not node.off and node.first >= 0:
+            if id(node) in within:
+                if node.size <= 0.5 * nodes[0].size:
+                    found.add(id(node))
+            else:
+                articles.append(node)
+            within.add(id(node))
+        elif node.tag in ("div", "li", "section") and node.blocks > 1:
+            groups.setdefault((id(node.parent), node.path), []).append(node)
+    titled = [x for x in articles if x.heading]
+    if len(titled) == 1:
+        found.update(id(x) for x in articles if x is not titled[0])
+    for same in groups.values():
+        if len(same) > 1 and all(len(texts[x.first]) <= 80 and _STAMP.match(texts[x.first]) for x in same):
+            found.update(map(id, same))
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line, references decoded and white space collapsed; empty if there are none."""
     if not page:
@@ -188,13 +229,20 @@ def main_text(page: str | None) -> str:
             rows.append((own, 1 - min(1.0, linked), text))
     if not rows:
         return ""
-    for node, _, text in rows:
+    for k, (node, _, text) in enumerate(rows):
         node.size += len(text)
+        node.blocks += 1
+        node.first = k if node.first < 0 else node.first
     for node in reversed(nodes[1:]):
-        node.parent.size += node.size
-        node.parent.holds = node.parent.holds or node.holds or (node.body and not node.off)
-    for node in nodes[1:]:  # a name never marks what holds an article or most of the text
-        node.named = node.parent.named or (node.named and not (node.body or node.holds or node.size > 0.5 * nodes[0].size))
+        up = node.parent
+        up.size, up.blocks = up.size + node.size, up.blocks + node.blocks
+        up.holds = up.holds or node.holds or (node.body and not node.off)
+        up.heading, up.title = up.heading or node.heading, up.title or node.title
+        if node.first >= 0 and (up.first < 0 or node.first < up.first):
+            up.first = node.first
+    replies = _replies(nodes, [t for _, _, t in rows])
+    for node in nodes[1:]:  # a name never marks what holds an article, the title or most of the text
+        node.named = node.parent.named or id(node) in replies or (node.named and not (node.body or node.holds or node.title or node.size > 0.5 * nodes[0].size))
     shares = [share * (NAMED_SHARE if node.named else 1) for node, share, _ in rows]
     content, fused = _content([node.path for node, _, _ in rows], [t for _, _, t in rows], shares)
     for node, _, text in rows:
@@ -202,12 +250,11 @@ def main_text(page: str | None) -> str:
     children: dict[int, list[Node]] = {}
     for node in reversed(nodes[1:]):
         node.parent.weight += node.weight
-        node.parent.heading = node.parent.heading or node.heading
         children.setdefault(id(node.parent), []).append(node)
     at = nodes[0]
     while not at.body:
         inner = [c for c in reversed(children.get(id(at), [])) if not c.off and (c.body or c.tag in _HOLDERS)]
-        declared = [c for c in inner if c.body and c.weight >= 0.25 * at.weight]
+        declared = [c for c in inner if c.body and not c.named and c.weight >= 0.25 * at.weight]
         best = max(declared if len(declared) == 1 else inner, key=lambda c: (c.weight, c.body), default=None)
         if best is None or best.weight < (0.25 if len(declared) == 1 else 0.75) * at.weight or (not best.body and at.heading and not best.heading):
             break
@@ -216,7 +263,11 @@ def main_text(page: str | None) -> str:
     for node in nodes:
         node.inside = node.inside or (node.parent is not None and node.parent.inside)
     rows = [r for r in rows if r[0].inside]
-    chosen = [k for k, (node, _, _) in enumerate(rows) if node.path in content]
+    if any(node.path in content and not node.named for node, _, _ in rows):
+        kept = [node.path in content and not node.named for node, _, _ in rows]
+    else:  # all is furniture by name: the ratios alone decide
+        kept = [node.path in content for node, _, _ in rows]
+    chosen = [k for k, x in enumerate(kept) if x]
     beside = {id(rows[k][0].parent) for k in chosen} | {id(rows[k][0]) for k in chosen}
 
     def repaired(k: int, node: Node, share: float) -> bool:
@@ -232,7 +283,7 @@ def main_text(page: str | None) -> str:
         home = up if up is not node else node.parent
         return node.tag in PROSE and (chosen[0] < k < chosen[-1] or id(home) in beside)
 
-    return "\n".join(t for k, (node, share, t) in enumerate(rows) if node.path in content or repaired(k, node, share))
+    return "\n".join(t for k, (node, share, t) in enumerate(rows) if kept[k] or repaired(k, node, share))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -585,6 +585,35 @@ def test_main_text():
     assert html_text.main_text("a < b &amp; c") == "a < b & c"
 
 
+@pytest.mark.parametrize("wrap", ["div", "article"])
+def test_main_text_without_comments_notices_and_adverts(wrap):
+    long = "This is paragraph {} of the article, with several clauses, and it goes on for quite some time; it says things. It says more, at length."
+    body = "<h1>A title</h1>" + "".join(f"<p>{long.format(k)}</p>" for k in "abc")
+    want = ["A title", *(long.format(k) for k in "abc")]
+    other = "I think, as a reader of many years, that this is all quite wrong; still, thank you. It was worth the time, mostly."
+    for name in "comments-area comment-body user-comments responses cookie-banner ad-banner sidebar-widget newsletter-box commentList notice".split():
+        for inner in (other, f"<p>{other}</p>", f"<p>{other}</p><p>{other}</p>"):
+            block = f"<div class='{name}'>{inner}</div>"
+            for page in (f"<{wrap}>{body}{block}</{wrap}>", f"<{wrap}>{body}</{wrap}>{block}", f"{block}<{wrap}>{body}</{wrap}>"):
+                assert html_text.main_text(f"<body>{page}</body>").split("\n") == want, (name, page)
+    for page in (f"<{wrap}>{body}<article class='x'><p>{other}</p></article></{wrap}>", f"<{wrap}>{body}</{wrap}><article class='x'><p>{other}</p></article>"):
+        if wrap == "article":
+            assert html_text.main_text(f"<body>{page}</body>").split("\n") == want
+    thread = "".join(f"<div class='q'><div>{who}, 3 May 2021 at 12:0{k}</div><p>{other}</p></div>" for k, who in enumerate(("Ann", "Bo", "Cy")))
+    for page in (f"<{wrap}>{body}<div class='z'>{thread}</div></{wrap}>", f"<{wrap}>{body}</{wrap}><div class='z'>{thread}</div>"):
+        assert html_text.main_text(f"<body>{page}</body>").split("\n") == want
+    # sections of the article on one path, and events with a time alone, are no comments
+    parts = "".join(f"<div class='q'><div>12:0{k}</div><p>{other}</p></div>" for k in range(3)) + "".join(f"<section class='s'><h3>Part {k}</h3><p>{other}</p></section>" for k in range(3))
+    assert html_text.main_text(f"<body><{wrap}>{body}{parts}</{wrap}></body>").count(other) == 6
+
+
+def test_main_text_keeps_what_shares_a_path_with_comments():
+    long = "This is paragraph {} of the article, with several clauses, and it goes on for quite some time; it says things. It says more, at length."
+    parts = [f"<section><p>{long.format(k)}</p><p>{long.format(k)}</p></section>" for k in "abc"]
+    page = f"<body><div><h1>A title</h1>{''.join(parts)}<section id='comments'><p>{long.format('x')}</p></section></div></body>"
+    assert html_text.main_text(page).split("\n") == ["A title", *(long.format(k) for k in "aabbcc")]
+
+
 def test_deep_markup_takes_linear_time():
     import time
 
