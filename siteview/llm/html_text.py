@@ -269,6 +269,10 @@ def main_text(page: str | None) -> str:
         kept = [node.path in content for node, _, _ in rows]
     chosen = [k for k, x in enumerate(kept) if x]
     beside = {id(rows[k][0].parent) for k in chosen} | {id(rows[k][0]) for k in chosen}
+    above, up = set(), rows[chosen[0]][0].parent if chosen else None
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
 
     def repaired(k: int, node: Node, share: float) -> bool:
         """Whether a block below the threshold belongs to the chosen ones: part of an article that the page declares, or
@@ -277,6 +281,8 @@ def main_text(page: str | None) -> str:
             return False
         if at.body:
             return True
+        if node.tag in ("h1", "h2") and k < chosen[0] and id(node.parent) in above:  # the title over the first block
+            return True
         up = node
         while up.tag in _LISTS and up.parent is not None:
             up = up.parent
