@@ -26,7 +26,7 @@ TARGET = 0.95
 BYTES_A_PASS = 5 << 20
 #: (shortest item in bytes, steps of a walk, walks, samples of each walk, places in a sample, whether windows start at
 #: every byte), longest items first. Below 16 bytes the pigeonhole principle leaves an unedited piece as long as the walk.
-CLASSES = ((112, 36, 3, 4, 9, False), (64, 20, 3, 4, 7, False), (16, 10, 3, 2, 6, True), (9, 3, 1, 1, 3, True), (4, 2, 1, 1, 2, True), (1, 1, 1, 1, 1, True))
+CLASSES = ((112, 36, 3, 4, 9, False), (64, 20, 3, 2, 7, False), (16, 10, 3, 2, 6, True), (9, 3, 1, 1, 3, True), (4, 2, 1, 1, 2, True), (1, 1, 1, 1, 1, True))
 #: Bytes from start to start inside a run without spaces in a text; items start at every byte of such a run.
 RUN = 8
 #: Starts whose keys are made together, and hits that are looked at together.
