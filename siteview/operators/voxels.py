@@ -37,6 +37,12 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: merged by sorting, never broadcast. Spark's own choice goes by compressed bytes, of which
+    ten millions can hold hundreds of millions in the driver's memory."""
+    return df.hint("merge")
+
+
 def voxel_index(points: DataFrame, res: float, origin: tuple[float, float, float]) -> DataFrame:
     return points.withColumns({c: F.floor((F.col(p) - o) / res).cast("int") for c, p, o in zip("ijk", "enu", origin, strict=True)})
 
@@ -171,7 +177,8 @@ def nearest_surface(points: DataFrame, surface: DataFrame, key: str, res: float,
     order; points of sites without a surface have no row.
 
     Points look in cubes of ``reach`` round them and, while none is found within it, in cubes of twice the edge; each round
-    works on the points still open, and there are at most as many as doublings span the grid.
+    works on the points still open, and there are at most as many as doublings span the grid. Surface cells go to the 27 cubes
+    round their own, since a grid has a bounded number of them and points may be many; neither side is ever broadcast.
     """
     centres = voxel_center(surface.select(*CELL).distinct(), res, origin).withColumnsRenamed({c: f"s{c}" for c in "enu"})
     left = points.select(key, "site_id", "e", "n", "u").join(surface.select("site_id").distinct(), "site_id", "left_semi")
@@ -180,12 +187,12 @@ def nearest_surface(points: DataFrame, surface: DataFrame, key: str, res: float,
     while True:
         cells, boxes = left, centres
         for c in "enu":
-            cells = cells.withColumn("_d", F.explode(near)).withColumn(f"_{c}", F.floor(F.col(c) / reach) + F.col("_d")).drop("_d")
-            boxes = boxes.withColumn(f"_{c}", F.floor(F.col(f"s{c}") / reach))
-        pairs = cells.join(boxes, ["site_id", "_e", "_n", "_u"]).withColumn("dist", F.expr("sqrt(pow(e - se, 2) + pow(n - sn, 2) + pow(u - su, 2))")).where(F.col("dist") <= reach)
+            cells = cells.withColumn(f"_{c}", F.floor(F.col(c) / reach))
+            boxes = boxes.withColumn("_d", F.explode(near)).withColumn(f"_{c}", F.floor(F.col(f"s{c}") / reach) + F.col("_d")).drop("_d")
+        pairs = cells.join(sorted_side(boxes), ["site_id", "_e", "_n", "_u"]).withColumn("dist", F.expr("sqrt(pow(e - se, 2) + pow(n - sn, 2) + pow(u - su, 2))")).where(F.col("dist") <= reach)
         best = _checkpoint(pairs.groupBy(key).agg(F.min(F.struct("dist", "i", "j", "k")).alias("b")).select(key, "b.i", "b.j", "b.k", "b.dist"))
         out = best if out is None else out.unionByName(best)
-        left = _checkpoint(left.join(best.select(key), key, "left_anti"))
+        left = _checkpoint(left.join(sorted_side(best.select(key)), key, "left_anti"))
         if left.isEmpty():
             return out
         reach *= 2
