@@ -25,3 +25,22 @@ def test_the_surface_is_not_broadcast(spark, monkeypatch):
     at = lambda c: (-47 + 2 * c[1], -47 + 2 * c[2], 2 * c[3] + 1)
     want = {p[0]: min((math.dist(p[2:], at(c)), *c[1:]) for c in cells)[1:] for p in points}
     assert {r.vp_id: (r.i, r.j, r.k) for r in got.collect()} == want and not plans
+
+
+def _stored(monkeypatch) -> list[str]:
+    """Collects the broadcasts of each table that is stored from now on."""
+    plans, plain = [], voxels.stored
+    monkeypatch.setattr(voxels, "stored", lambda df, *a: (df.collect(), plans.extend(_broadcast(df)), plain(df, *a))[2])
+    return plans
+
+
+def test_close_ups_broadcast_nothing(spark, monkeypatch):
+    from siteview.operators import rays
+
+    rnd = random.Random(2)
+    solid = spark.createDataFrame(sorted({(1, rnd.randrange(15, 33), rnd.randrange(15, 33), rnd.randrange(9)) for _ in range(300)}), "site_id int, i int, j int, k int")
+    want = {tuple(r) for r in rays.generate_closeups(solid, solid, 8.0, 6).collect()}
+    plans = _stored(monkeypatch)
+    got = rays.generate_closeups(solid, solid, 8.0, 6)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == solid.count()
+    assert not plans and not _broadcast(got)
