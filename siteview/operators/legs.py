@@ -46,7 +46,7 @@ def leg_cells(legs: DataFrame, cells: DataFrame, reach: float, res: float = 2.0,
     blocks = ["bi", "bj", "bk"]
     named = cells.select(*voxels.CELL, *[(F.lit(o) + (F.col(x) + 0.5) * res).alias(f"c{c}") for c, x, o in axes]).distinct()
     named = named.withColumns({f"b{x}": F.floor((F.col(f"c{c}") - o) / edge).cast("int") for c, x, o in axes})
-    pairs = rows.select(*legs.columns, *blocks).join(named, ["site_id", *blocks]).drop(*blocks)
+    pairs = rows.select(*legs.columns, *blocks).join(voxels.sorted_side(named), ["site_id", *blocks]).drop(*blocks)
     pairs = pairs.withColumns({"qa": F.expr(_dot(_WAY, _WAY)), "qb": F.expr(_dot(_WAY, _OFF)), "start2": F.expr(_dot(_OFF, _OFF))})
     pairs = pairs.withColumn("near2", F.expr("CASE WHEN qb >= 0 OR qa = 0 THEN start2 WHEN -qb >= qa THEN start2 + 2 * qb + qa ELSE start2 - qb * qb / qa END")).drop("ce", "cn", "cu")
     return pairs.where(F.col("near2") < reach * reach)
@@ -81,11 +81,11 @@ def audit_flights(waypoints: DataFrame, obstacles: DataFrame, margin: float = 1.
     touch = F.expr(f"CASE WHEN start2 < {m2}D THEN 0D WHEN near2 < {m2}D AND qb < 0 THEN (-qb - sqrt(qb * qb - qa * (start2 - {m2}D))) / qa END")
     met = leg_cells(legs.select(*way), obstacles, margin, **GRID).groupBy("mission_id", "seq").agg(F.min(touch).alias("hit"), F.min("start2").alias("start2"))
     first = Window.partitionBy("mission_id").orderBy("seq")
-    rows = legs.join(met, ["mission_id", "seq"], "left").withColumn("_hits", F.count("hit").over(first.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = legs.join(voxels.sorted_side(met), ["mission_id", "seq"], "left").withColumn("_hits", F.count("hit").over(first.rowsBetween(Window.unboundedPreceding, -1)))
     rows = voxels.stored(rows.where("_hits = 0").drop("_hits"))
     # the least distance is looked for on legs that are flown to their end
     passed = leg_cells(rows.where("hit IS NULL").select(*way), obstacles, reach, **GRID).groupBy("mission_id", "seq").agg(F.min("near2").alias("near2"))
-    rows = rows.join(passed, ["mission_id", "seq"], "left")
+    rows = rows.join(voxels.sorted_side(passed), ["mission_id", "seq"], "left")
     flown = F.coalesce(F.col("hit"), F.lit(1.0))
     # before a contact nothing is nearer than the margin, unless the way starts there
     gap = F.when(F.col("hit").isNull(), F.sqrt("near2")).when(F.col("hit") > 0, F.lit(float(margin))).otherwise(F.sqrt("start2"))
