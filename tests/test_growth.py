@@ -44,3 +44,27 @@ def test_close_ups_broadcast_nothing(spark, monkeypatch):
     got = rays.generate_closeups(solid, solid, 8.0, 6)
     assert {tuple(r) for r in got.collect()} == want and len(want) == solid.count()
     assert not plans and not _broadcast(got)
+
+
+def test_audits_broadcast_nothing(spark, monkeypatch):
+    from siteview.operators import legs
+
+    rnd = random.Random(7)
+    ways = spark.createDataFrame([(m, 1, s, *[rnd.uniform(-40, 40) for _ in range(2)], rnd.uniform(2, 38), 5.0) for m in range(30) for s in range(4)], "mission_id int, site_id int, seq int, e double, n double, u double, speed double")
+    cells = spark.createDataFrame(sorted({(1, rnd.randrange(48), rnd.randrange(48), rnd.randrange(20)) for _ in range(60)}), "site_id int, i int, j int, k int")
+    plans = _stored(monkeypatch)
+    got = legs.audit_flights(ways, cells)
+    assert len(got.collect()) == 30 and not plans and not _broadcast(got)
+
+
+def test_plots_are_not_broadcast(spark):
+    from siteview.operators import plots
+
+    rnd = random.Random(4)
+    at = [(k, float(rnd.randrange(90)), float(rnd.randrange(90))) for k in range(60)]
+    ring = lambda x, y: [(x, y), (x + 9, y), (x + 9, y + 9), (x, y + 9)]
+    table = spark.createDataFrame([(k, ring(x, y)) for k, x, y in at], "plot_id int, polygon array<struct<x:double,y:double>>")
+    pins = [(i, rnd.uniform(0, 99), rnd.uniform(0, 99)) for i in range(200)]
+    got = plots.points_in_plots(spark.createDataFrame(pins, "pin_id int, e double, n double"), table, 8.0)
+    assert {(r.pin_id, r.plot_id) for r in got.collect()} == {(i, k) for i, e, n in pins for k, x, y in at if x < e < x + 9 and y < n < y + 9}
+    assert not _broadcast(got)
