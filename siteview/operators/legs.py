@@ -61,6 +61,25 @@ def missed_on_legs(waypoints: DataFrame, truth: DataFrame, mapped: DataFrame, cl
     return held.groupBy("site_id").agg(F.count(F.when(F.col("_held").isNull(), 1)).alias("n_missed"), F.count("*").alias("n_on_path"))
 
 
+def missed_on_samples(waypoints: DataFrame, truth: DataFrame, mapped: DataFrame, dt: float = 0.1, clearance: float = 4.0) -> DataFrame:
+    """``rays.missed_on_path`` over the first waypoint of each mission and its legs' samples every ``dt`` or less
+    (``missions.path_samples``), which are never written out: of a leg and a cell only the two samples on either side of the leg's
+    nearest point are looked at, and one of them is the nearest."""
+    start = waypoints.where("seq = 0").select("mission_id", "site_id").withColumn("_start", F.lit(True))
+    rows = mission_legs(waypoints).drop("site_id").join(voxels.sorted_side(start), "mission_id")
+    rows = rows.withColumn("steps", F.expr(f"CASE WHEN leg >= 1e-9 THEN cast(greatest(ceil(leg / v / {dt}D), 1) AS int) WHEN seq = 0 THEN 0 END")).where("steps IS NOT NULL")
+    thin = truth.where(F.col("label").isin(4, 5))
+    pairs = leg_cells(rows.select("site_id", "steps", "pe", "pn", "pu", "e", "n", "u"), thin, clearance + 1e-6, **GRID)
+    pairs = pairs.withColumn("_s", F.explode(F.expr("CASE WHEN steps = 0 THEN array(0) ELSE transform(array(0, 1), d -> least(steps, greatest(1, cast(floor(-qb / qa * steps) AS int) + d))) END")))
+    gap = F.lit(0.0)
+    for c, x, o in zip("enu", "ijk", GRID["origin"], strict=True):
+        at = F.expr(f"IF(steps = 0, {c}, p{c} + ({c} - p{c}) * _s / steps)")
+        gap = gap + F.pow(at - (F.lit(o) + (F.col(x) + 0.5) * GRID["res"]), 2)
+    close = pairs.where(F.sqrt(gap) <= clearance).select(*voxels.CELL).distinct()
+    held = close.join(voxels.sorted_side(mapped.select(*voxels.CELL).distinct()).withColumn("_held", F.lit(1)), voxels.CELL, "left")
+    return held.groupBy("site_id").agg(F.count(F.when(F.col("_held").isNull(), 1)).alias("n_missed"), F.count("*").alias("n_on_path"))
+
+
 def audit_flights(waypoints: DataFrame, obstacles: DataFrame, margin: float = 1.5, reserve: float = 0.15, battery_s: float = 1080.0, reach: float = 6.0) -> DataFrame:
     """One row a mission: path_m, time_s, used, min_clearance, collided, landed, completed up to the first event, and its place
     event_e, event_n, event_u.

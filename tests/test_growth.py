@@ -68,3 +68,23 @@ def test_plots_are_not_broadcast(spark):
     got = plots.points_in_plots(spark.createDataFrame(pins, "pin_id int, e double, n double"), table, 8.0)
     assert {(r.pin_id, r.plot_id) for r in got.collect()} == {(i, k) for i, e, n in pins for k, x, y in at if x < e < x + 9 and y < n < y + 9}
     assert not _broadcast(got)
+
+
+def test_samples_are_not_written_out(spark, monkeypatch):
+    from siteview.operators import legs, missions, rays
+
+    rnd = random.Random(11)
+    ways = [(m, 1, s, *[rnd.uniform(-44, 44) for _ in range(2)], rnd.uniform(2, 38), rnd.choice([None, 1.0, 9.0, 99.0])) for m in range(12) for s in range(rnd.randrange(1, 5))]
+    ways += [(70, 1, 0, 0.0, 0.0, 30.0, 5.0), (70, 1, 1, 0.0, 0.0, 30.0, 5.0), (71, 1, 1, 0.0, 0.0, 9.0, 5.0), (71, 1, 2, 9.0, 9.0, 9.0, 5.0)]
+    ways = spark.createDataFrame(ways, "mission_id int, site_id int, seq int, e double, n double, u double, speed double")
+    cells = sorted({(1, rnd.randrange(48), rnd.randrange(48), rnd.randrange(20), rnd.choice([3, 4, 5])) for _ in range(4000)})
+    truth = spark.createDataFrame(cells, "site_id int, i int, j int, k int, label int")
+    mapped = truth.where("(i + j) % 2 = 0")
+    for dt in (0.1, 2.0):
+        path = missions.path_samples(ways, dt).withColumn("sample_id", F.struct("mission_id", "seq", "s"))
+        want = rays.missed_on_path(path, truth, mapped).collect()
+        assert legs.missed_on_samples(ways, truth, mapped, dt).collect() == want and want[0].n_missed > 0
+    from siteview.plans import queries
+
+    monkeypatch.setattr(missions, "path_samples", None)
+    assert queries.queries()["a5_missed_on_legs"](spark, "/root/testdata/sf0.001").count() > 0
