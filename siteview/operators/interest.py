@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +17,9 @@ from .camera import camera_intrinsics, pose_quaternion, project_points
 SALT = 8
 
 
-def score_pairs(
-    viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, optimal: float = 12.0, sigma: float = 6.0, power: float = 1.0, centre: float = 0.5, cutoff: float | None = None
-) -> DataFrame:
-    """Viewpoint and hotspot pairs of a site with a framing above 0, and their term interest * framing * focal.
-
-    Viewpoints carry r00..r22 and camera_id. Framing is facing, the cosine between the view and the inward normal to the
-    ``power``, times the in-frame reward: 0 behind the camera or off the image, else 1 less ``centre`` times the distance
-    from the image's middle (1 at a corner). Beyond 39 sigma of the optimal distance the focal weight is 0 in double
-    precision: both sides are binned to cells of that reach and meet the 27 neighbours, so a large site does not form all
-    its pairs, and no term is lost; a ``cutoff`` in metres makes the reach smaller and leaves out all pairs beyond it.
-    Viewpoints may bring an ``optimal`` and ``sigma`` of their own as columns; the widest reach of them, one number, then
-    sets the cells. A site's viewpoints are dealt over SALT parts.
-
-    Pairs are sifted by products of numbers that each side brings along: first those that face away, then those behind the
-    camera, then those off the image; distances, pixels and weights are taken of what is left.
-    """
+def _sides(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, optimal: float, sigma: float, power: float, centre: float, cutoff: float | None) -> tuple[DataFrame, DataFrame]:
+    """Viewpoints with the rows of their camera matrix and hotspots with their unit normal, both with the cells ce, cn, cu in which
+    they meet; a hotspot is in the 27 round its own."""
     if optimal <= 0 or sigma <= 0 or power <= 0 or not 0 <= centre <= 1 or (cutoff is not None and cutoff <= 0):
         raise ValueError("optimal, sigma, power and cutoff must be positive and centre in [0, 1]")
     own = {"optimal", "sigma"} <= set(viewpoints.columns)
@@ -42,13 +33,34 @@ def score_pairs(
         "site_id", "vp_id", *[F.col(c).alias(f"v{c}") for c in "enu"], F.col("width").cast("double").alias("_w"), F.col("height").cast("double").alias("_h"), "cx", "cy", best.alias("_best"), width.alias("_width"),
         *[F.expr(x.format(i=i)).alias(f"_{k}{i}") for k, x in rows.items() for i in range(3)],
     )
-    v = v.withColumns({f"_{k}3": F.expr(f"_{k}0 * ve + _{k}1 * vn + _{k}2 * vu") for k in rows}).withColumn("_salt", F.pmod(F.hash("vp_id"), F.lit(SALT)))
+    v = v.withColumns({f"_{k}3": F.expr(f"_{k}0 * ve + _{k}1 * vn + _{k}2 * vu") for k in rows})
     size = F.sqrt(F.nullif(F.expr("nx * nx + ny * ny + nz * nz"), F.lit(0.0)))
     h = hotspots.select("site_id", "hs_id", *[F.col(c).alias(f"h{c}") for c in "enu"], *[(F.col(c) / size).alias(c) for c in ("nx", "ny", "nz")], "interest").where("nx IS NOT NULL")
-    h = h.withColumn("_n", F.expr("he * nx + hn * ny + hu * nz")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    h = h.withColumn("_n", F.expr("he * nx + hn * ny + hu * nz"))
     for c in "enu":
         v = v.withColumn(f"c{c}", F.floor(F.col(f"v{c}") / reach))
         h = h.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{c}", F.floor(F.col(f"h{c}") / reach) + F.col("_d")).drop("_d")
+    return v, h
+
+
+def score_pairs(
+    viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, optimal: float = 12.0, sigma: float = 6.0, power: float = 1.0, centre: float = 0.5, cutoff: float | None = None
+) -> DataFrame:
+    """Viewpoint and hotspot pairs of a site with a framing above 0, and their term interest * framing * focal.
+
+    Viewpoints carry r00..r22 and camera_id. Framing is facing, the cosine between the view and the inward normal to the
+    ``power``, times the in-frame reward: 0 behind the camera or off the image, else 1 less ``centre`` times the distance
+    from the image's middle (1 at a corner). Beyond 39 sigma of the optimal distance the focal weight is 0 in double
+    precision: both sides are binned to cells of that reach and meet the 27 neighbours, so a large site does not form all
+    its pairs, and no term is lost; a ``cutoff`` in metres makes the reach smaller and leaves out all pairs beyond it.
+    Viewpoints may bring an ``optimal`` and ``sigma`` of their own as columns; the widest reach of them, one number, then
+    sets the cells. A site's viewpoints are dealt over SALT parts.
+
+    Pairs are sifted by products of numbers that each side brings along: first those that face away, then those behind the
+    camera, then those off the image; distances, pixels and weights are taken of what is left.
+    """
+    v, h = _sides(viewpoints, hotspots, cameras, optimal, sigma, power, centre, cutoff)
+    v, h = v.withColumn("_salt", F.pmod(F.hash("vp_id"), F.lit(SALT))), h.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     keys = ["site_id", "ce", "cn", "cu", "_salt"]
     z, x, y = (f"(_{k}0 * he + _{k}1 * hn + _{k}2 * hu - _{k}3)" for k in "zxy")
     facing = "(ve * nx + vn * ny + vu * nz - _n)"
@@ -64,10 +76,80 @@ def score_pairs(
     return pairs.select("site_id", "vp_id", "hs_id", "dist", "facing", "in_frame", "framing", (F.col("interest") * F.col("framing") * focal).alias("term"))
 
 
+#: Rows of one side that a task holds in a group of ``score_sums``, and pairs that it weighs at once: few enough that a product of matrices stays in one thread.
+PART, WEIGHED = 20_000, 60_000
+
+
+def _sums(v: dict[str, np.ndarray], h: dict[str, np.ndarray], power: float, centre: float, cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every viewpoint the sum of its terms, and for every hotspot its number of pairs and their framing; which viewpoints have a pair."""
+    n, m = len(v["ve"]), len(h["he"])
+    term, some, count, framed = np.zeros(n), np.zeros(n, bool), np.zeros(m, np.int64), np.zeros(m)
+    place, normal = np.stack([h["he"], h["hn"], h["hu"]]), np.stack([h["nx"], h["ny"], h["nz"]])
+    step = max(1, WEIGHED // max(1, m))
+    for at in range(0, n, step):
+        p = {k: x[at : at + step] for k, x in v.items()}
+        pos = np.stack([p["ve"], p["vn"], p["vu"]], axis=1)
+        facing = pos @ normal - h["_n"]
+        look = {k: np.stack([p[f"_{k}{i}"] for i in range(3)], axis=1) @ place - p[f"_{k}3"][:, None] for k in "zxy"}
+        z = look["z"]
+        on = (facing > 0) & (z > 1e-9) & (look["x"] >= 0) & (look["x"] < p["_w"][:, None] * z) & (look["y"] >= 0) & (look["y"] < p["_h"][:, None] * z)
+        a, b = np.nonzero(on)
+        dist = np.sqrt((h["he"][b] - p["ve"][a]) ** 2 + (h["hn"][b] - p["vn"][a]) ** 2 + (h["hu"][b] - p["vu"][a]) ** 2)
+        z = z[a, b]
+        off = np.sqrt(((look["x"][a, b] / z - p["cx"][a]) / (p["_w"][a] / 2)) ** 2 + ((look["y"][a, b] / z - p["cy"][a]) / (p["_h"][a] / 2)) ** 2) / np.sqrt(2.0)
+        reward = 1.0 - centre + centre * (1 - np.minimum(1.0, off))
+        near = (dist >= 1e-9) & (dist <= cutoff) & ((reward > 0) if centre == 1 else True)
+        a, b, dist, reward, away = a[near], b[near], dist[near], reward[near], facing[a, b][near]
+        framing = (away / dist) ** power * reward
+        focal = np.exp(-((dist - p["_best"][a]) ** 2) / (2 * p["_width"][a] * p["_width"][a]))
+        # a term without an optimal distance or a width is null, and nulls are not summed
+        weight = np.where(np.isnan(p["_best"][a] + p["_width"][a]), 0.0, h["interest"][b] * framing * focal)
+        term[at : at + step] = np.bincount(a, weight, len(pos))
+        some[at : at + step] = np.bincount(a, minlength=len(pos)) > 0
+        count += np.bincount(b, minlength=m)
+        framed += np.bincount(b, framing, m)
+    return term, some, count, framed
+
+
+def score_sums(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, of: str, optimal: float = 12.0, sigma: float = 6.0, power: float = 1.0, centre: float = 0.5, cutoff: float | None = None) -> DataFrame:
+    """Sums over the pairs of ``score_pairs``, which are never written out: for ``of`` "vp_id" (site_id, vp_id, score), the sum of a
+    viewpoint's terms, for "hs_id" (site_id, hs_id, n, framing), the pairs of a hotspot and their framing.
+
+    Both sides of a cell are dealt over parts of about PART rows, as many as their number asks for, so that a group of a part of each has
+    a bounded number of rows and pairs however large a site is. A group weighs its pairs in slices of WEIGHED as arrays.
+    """
+    v, h = _sides(viewpoints, hotspots, cameras, optimal, sigma, power, centre, cutoff)
+    v = v.where(" AND ".join(f"_{k}{i} IS NOT NULL" for k in "zxy" for i in range(4)))
+    h = h.where("he IS NOT NULL AND hn IS NOT NULL AND hu IS NOT NULL AND ny IS NOT NULL AND nz IS NOT NULL").withColumn("interest", F.coalesce("interest", F.lit(0.0)))
+    keys = ["site_id", "ce", "cn", "cu"]
+    parts = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    sizes = parts(v, "_vs").join(parts(h, "_hs"), keys)
+    v = v.join(sizes, keys).withColumn("_v", F.pmod(F.hash("vp_id"), "_vs")).withColumn("_h0", F.explode(F.expr("sequence(0, _hs - 1)"))).drop("_vs", "_hs")
+    h = h.join(sizes, keys).withColumn("_h0", F.pmod(F.hash("hs_id"), "_hs")).withColumn("_v", F.explode(F.expr("sequence(0, _vs - 1)"))).drop("_vs", "_hs")
+    vn, hn = [c for c in v.columns if c not in (*keys, "vp_id", "_v", "_h0")], ["he", "hn", "hu", "nx", "ny", "nz", "interest", "_n"]
+    group = [*keys, "_v", "_h0"]
+    v, h = v.select(*group, "vp_id", *[F.col(c).cast("double").alias(c) for c in vn]), h.select(*group, "hs_id", *[F.col(c).cast("double").alias(c) for c in hn])
+    far = float(cutoff or "inf")
+    kinds = dict(v.dtypes) | dict(h.dtypes)
+    out = "_score double" if of == "vp_id" else "_count long, _framing double"
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        flat = lambda t, names: {c: t.column(c).to_numpy() for c in names}
+        term, some, count, framed = _sums(flat(left, vn), flat(right, hn), power, centre, far)
+        rows, on, sums = (left, some, [term]) if of == "vp_id" else (right, count > 0, [count, framed])
+        rows = rows.filter(pa.array(on))
+        names = ["_score"] if of == "vp_id" else ["_count", "_framing"]
+        return pa.table([rows.column("site_id"), rows.column(of), *[pa.array(x[on]) for x in sums]], names=["site_id", of, *names])
+
+    summed = v.groupBy(*group).cogroup(h.groupBy(*group)).applyInArrow(one, f"site_id {kinds['site_id']}, {of} {kinds[of]}, {out}")
+    total = [F.sum("_score").alias("score")] if of == "vp_id" else [F.sum("_count").alias("n"), F.sum("_framing").alias("framing")]
+    return summed.groupBy("site_id", of).agg(*total)
+
+
 def viewpoint_value(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, **how: float) -> DataFrame:
     """Adds score, the sum of a viewpoint's terms; 0 where nothing is seen."""
-    total = score_pairs(viewpoints, hotspots, cameras, **how).groupBy("vp_id").agg(F.sum("term").alias("score"))
-    return viewpoints.join(total, "vp_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    total = score_sums(viewpoints, hotspots, cameras, "vp_id", **how).groupBy("vp_id").agg(F.sum("score").alias("score"))
+    return viewpoints.join(voxels.sorted_side(total), "vp_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def build_value_field(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, **how: float) -> DataFrame:

@@ -214,8 +214,8 @@ VALUES = f"{PAIRS}, score AS (SELECT vp_id, sum(interest * framing * exp(-pow(di
 
 @register(f"{PAIRS} SELECT site_id, hs_id, count(*) AS n, round(sum(framing), 4) AS framing FROM pairs WHERE framing > 0 GROUP BY ALL")
 def j8_score_pairs(spark, sf):
-    pairs = interest.score_pairs(_aimed(spark, sf), T.hotspots(spark, sf), T.cameras(spark))
-    return pairs.groupBy("site_id", "hs_id").agg(F.count("*").alias("n"), F.round(F.sum("framing"), 4).alias("framing"))
+    rows = interest.score_sums(_aimed(spark, sf), T.hotspots(spark, sf), T.cameras(spark), "hs_id")
+    return rows.select("site_id", "hs_id", "n", F.round("framing", 4).alias("framing"))
 
 
 @register(f"{VALUES} SELECT vp_id, round(coalesce(score, 0), 6) AS score FROM viewpoints LEFT JOIN score USING (vp_id)")

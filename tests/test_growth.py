@@ -88,3 +88,29 @@ def test_samples_are_not_written_out(spark, monkeypatch):
 
     monkeypatch.setattr(missions, "path_samples", None)
     assert queries.queries()["a5_missed_on_legs"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_sums_of_scored_pairs_are_those_of_the_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from siteview.operators import camera, interest
+
+    rnd = random.Random(5)
+    cams = spark.sql("SELECT 0 AS camera_id, 84D AS hfov, 53D AS vfov, 640 AS width, 480 AS height")
+    poses = spark.createDataFrame([(s, 100 * s + i, *[rnd.uniform(-60, 60) for _ in range(3)], 0.0, 0.0, 5.0, 0) for s in (1, 2) for i in range(60)], "site_id int, vp_id int, e double, n double, u double, te double, tn double, tu double, camera_id int")
+    spots = [(s, 100 * s + i, *[rnd.uniform(-15, 15) for _ in range(3)], *[rnd.gauss(0, 1) for _ in range(3)], 2.0) for s in (1, 2, 3) for i in range(40)]
+    spots = spark.createDataFrame([*spots, (1, 99, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 98, 1.0, 2.0, 3.0, 0.0, 0.0, -1.0, None)], "site_id int, hs_id int, e double, n double, u double, nx double, ny double, nz double, interest double")
+    aimed = camera.look_at(poses)
+    near = lambda a, b: set(a) == set(b) and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) for k in a for x, y in zip(a[k], b[k]))
+    for part in (20_000, 7):
+        monkeypatch.setattr(interest, "PART", part)
+        for how in ({}, {"cutoff": 30.0}, {"power": 2.0, "centre": 1.0}):
+            pairs = interest.score_pairs(aimed, spots, cams, **how).cache()
+            want = {r.vp_id: (r.s,) for r in pairs.groupBy("vp_id").agg(F.sum("term").alias("s")).where("s IS NOT NULL").collect()}
+            sums = interest.score_sums(aimed, spots, cams, "vp_id", **how)
+            got = {r.vp_id: (r.score,) for r in sums.collect() if r.score}
+            assert near(got, {k: v for k, v in want.items() if v[0]}) and want
+            want = {r.hs_id: (r.n, r.f) for r in pairs.groupBy("hs_id").agg(F.count("*").alias("n"), F.sum("framing").alias("f")).collect()}
+            assert near({r.hs_id: (r.n, r.framing) for r in interest.score_sums(aimed, spots, cams, "hs_id", **how).collect()}, want)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
