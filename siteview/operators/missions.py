@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import voxels
+
 # shot palette in order (fixed values)
 PALETTE = ("orbit", "flyby", "reveal", "push_in", "top_down", "parallax", "dronie")
 
@@ -77,17 +79,19 @@ def first_tags(clips: DataFrame, n: int = 3) -> DataFrame:
 
 def tag_closeups(clips: DataFrame, closeups: DataFrame, tolerance: float = 1e-6, tag: str = "occlusion_closeup") -> DataFrame:
     """Clips (clip key columns, site_id, e, n, u, interest_tags) with the tag where a close-up camera (site_id, e, n, u) stands
-    within the tolerance. Both sides are binned to cells of twice the tolerance; a clip meets the 27 cells round its own."""
+    within the tolerance. Both sides are binned to cells of twice the tolerance; a camera goes to the cells that its tolerance reaches,
+    one for most, and the cameras of a cell are one row, so that each clip is sent once and comes back once."""
     cell = 2 * tolerance
-    near = F.sequence(F.lit(-1), F.lit(1))
-    keyed = clips.withColumn("_id", F.struct(*[c for c in clips.columns if c != "interest_tags"]))
-    left = keyed.select("_id", "site_id", "e", "n", "u")
+    at = closeups.select("site_id", "e", "n", "u").distinct()
     for c in "enu":
-        left = left.withColumn("_d", F.explode(near)).withColumn(f"_{c}", F.floor(F.col(c) / cell) + F.col("_d")).drop("_d")
-    right = closeups.select("site_id", *[F.floor(F.col(c) / cell).alias(f"_{c}") for c in "enu"], *[F.col(c).alias(f"c{c}") for c in "enu"])
-    hit = left.join(right, ["site_id", "_e", "_n", "_u"]).where(F.expr("sqrt(pow(e - ce, 2) + pow(n - cn, 2) + pow(u - cu, 2))") < tolerance)
-    rows = keyed.join(hit.select("_id").distinct().withColumn("_hit", F.lit(True)), "_id", "left")
-    return add_tag(rows, tag, F.col("_hit")).drop("_id", "_hit")
+        reach = F.sequence(F.floor((F.col(c) - tolerance) / cell), F.floor((F.col(c) + tolerance) / cell))
+        at = at.withColumn(f"_{c}", F.explode(reach))
+    keys = ["site_id", "_e", "_n", "_u"]
+    at = at.groupBy(*keys).agg(F.collect_list(F.struct("e", "n", "u")).alias("_at"))
+    rows = clips.withColumns({f"_{c}": F.floor(F.col(c) / cell) for c in "enu"}).join(voxels.sorted_side(at), keys, "left")
+    rows = rows.withColumn("_hit", F.expr(f"exists(_at, p -> sqrt(pow(e - p.e, 2) + pow(n - p.n, 2) + pow(u - p.u, 2)) < {tolerance!r}D)"))
+    rows = rows.select(*clips.columns, "_hit")
+    return add_tag(rows, tag, F.col("_hit")).drop("_hit")
 
 
 def check_variety(shots: DataFrame, distinct: int = 3) -> DataFrame:

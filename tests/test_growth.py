@@ -114,3 +114,31 @@ def test_sums_of_scored_pairs_are_those_of_the_pairs(spark, monkeypatch):
             assert near({r.hs_id: (r.n, r.framing) for r in interest.score_sums(aimed, spots, cams, "hs_id", **how).collect()}, want)
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_local_maxima_and_clearance_against_brute_force(spark):
+    from siteview.operators import interest
+
+    rnd = random.Random(13)
+    points = [(s, 1000 * s + i, *[float(rnd.randrange(-15, 15)) for _ in range(3)], float(rnd.randrange(40))) for s in (1, 2) for i in range(400)] + [(1, 9001, None, 0.0, 0.0, 0.0), (1, 9002, None, 0.0, 0.0, 5.0)]
+    table = spark.createDataFrame(points, "site_id int, vp_id int, e double, n double, u double, value double")
+    known = [p for p in points if p[2] is not None]
+    worse = {p[1] for p in known for q in known if p[0] == q[0] and math.dist(p[2:5], q[2:5]) <= 6 and (q[5], -q[1]) > (p[5], -p[1])}
+    got = interest.local_maxima(table)
+    assert {r.vp_id for r in got.collect()} == {p[1] for p in points} - worse and not _broadcast(got)
+    cells = sorted({(1, rnd.randrange(15, 33), rnd.randrange(15, 33), rnd.randrange(9)) for _ in range(150)})
+    clear = voxels.clearance(table.where("e IS NOT NULL"), spark.createDataFrame(cells, "site_id int, i int, j int, k int"), "vp_id", 3)
+    index = lambda p: (math.floor((p[2] + 48) / 2), math.floor((p[3] + 48) / 2), math.floor(p[4] / 2))
+    want = {p[1]: min((math.dist(p[2:5], (-47 + 2 * c[1], -47 + 2 * c[2], 2 * c[3] + 1)) for c in cells if c[0] == p[0] and max(abs(a - b) for a, b in zip(c[1:], index(p))) <= 3), default=None) for p in known}
+    assert {r.vp_id: r.min_d for r in clear.collect()} == want and not _broadcast(clear)
+
+
+def test_tagged_clips_are_sent_once(spark):
+    from siteview.operators import missions
+
+    clips = spark.createDataFrame([(i, 1, i * 1e-7, 0.0, 0.0, ["orbit"]) for i in range(-30, 31)] + [(99, 1, None, 0.0, 0.0, ["orbit"]), (98, 2, 0.0, 0.0, 0.0, ["orbit"])], "seq int, site_id int, e double, n double, u double, interest_tags array<string>")
+    cameras = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0), (1, 5e-7, 0.0, 1e-7)], "site_id int, e double, n double, u double")
+    got = missions.tag_closeups(clips, cameras)
+    want = {i for i in range(-30, 31) if any(math.dist((i * 1e-7, 0.0, 0.0), c) < 1e-6 for c in ((0.0, 0.0, 0.0), (5e-7, 0.0, 1e-7)))}
+    rows = got.collect()
+    assert len(rows) == 63 and {r.seq for r in rows if len(r.interest_tags) == 2} == want and not _broadcast(got)
