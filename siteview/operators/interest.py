@@ -176,23 +176,30 @@ def normalise_value(viewpoints: DataFrame) -> DataFrame:
     return viewpoints.withColumn("norm", F.when(top > 0, F.col("value") / top).otherwise(F.col("value")))
 
 
-def neighbour_pairs(viewpoints: DataFrame, radius: float = 6.0) -> DataFrame:
-    """Ordered pairs (vp_id, other) of a site within the radius, by cells of that edge."""
+def neighbour_pairs(viewpoints: DataFrame, radius: float = 6.0, of: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs (vp_id, other) of a site within the radius, by cells of that edge; with ``of``, of its viewpoints alone and all others."""
     cell = {f"c{c}": F.floor(F.col(c) / radius) for c in "enu"}
     right = viewpoints.select("site_id", F.col("vp_id").alias("other"), *[F.col(c).alias(f"o{c}") for c in "enu"], F.col("value").alias("other_value"), *[v.alias(k) for k, v in cell.items()])
-    left = viewpoints.select("site_id", "vp_id", "e", "n", "u", "value", *[v.alias(k) for k, v in cell.items()])
+    left = (viewpoints if of is None else of).select("site_id", "vp_id", "e", "n", "u", "value", *[v.alias(k) for k, v in cell.items()])
     for c in "enu":
         left = left.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_d")).drop("_d")
     close = F.expr(f"sqrt(pow(e - oe, 2) + pow(n - on_, 2) + pow(u - ou, 2)) <= {radius + 1e-9}D")
     right = right.withColumnRenamed("on", "on_")
-    return left.join(right, ["site_id", "ce", "cn", "cu"]).where((F.col("vp_id") != F.col("other")) & close).select("site_id", "vp_id", "other", "value", "other_value")
+    return right.join(voxels.sorted_side(left), ["site_id", "ce", "cn", "cu"]).where((F.col("vp_id") != F.col("other")) & close).select("site_id", "vp_id", "other", "value", "other_value")
 
 
 def local_maxima(viewpoints: DataFrame, radius: float = 6.0) -> DataFrame:
-    """Viewpoints without a better neighbour; of equals the lowest id stays; a null value is 0."""
+    """Viewpoints without a better neighbour; of equals the lowest id stays; a null value is 0.
+
+    All of a cell with a diagonal below the radius are neighbours, so what is worse than the best of its cell is out at once, and only
+    the best of each cell, whose number the site's extent bounds, meet all others."""
     rows = viewpoints.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    cell = [F.floor(F.col(c) / (radius * 0.57)) for c in "enu"]
+    finite = F.coalesce(F.abs("e") + F.abs("n") + F.abs("u") < 1e15, F.lit(False))
+    top = F.max("value").over(Window.partitionBy("site_id", finite, *cell))
+    best = rows.withColumn("_top", top).where(~finite | (F.col("value") >= F.col("_top") - 1e-12)).drop("_top")
     better = (F.col("other_value") > F.col("value") + 1e-12) | ((F.abs(F.col("other_value") - F.col("value")) <= 1e-12) & (F.col("other") < F.col("vp_id")))
-    return rows.join(neighbour_pairs(rows, radius).where(better).select("vp_id").distinct(), "vp_id", "left_anti")
+    return best.join(voxels.sorted_side(neighbour_pairs(rows, radius, best).where(better).select("vp_id").distinct()), "vp_id", "left_anti")
 
 
 def top_k_viewpoints(viewpoints: DataFrame, k: int) -> DataFrame:
