@@ -75,16 +75,17 @@ def shell_voxels(voxels: DataFrame) -> DataFrame:
 
 def near_obstacles(points: DataFrame, obstacles: DataFrame, key: str, window: int, res: float, origin: tuple[float, float, float]) -> DataFrame:
     """Pairs of a point and an obstacle cell within a cube of ``window`` cells: both sides are binned to blocks of
-    ``window`` cells, the point's block meets its 27 neighbours by equality, and the cube is tested then."""
+    ``window`` cells, an obstacle goes to its block and the 26 round it, since a grid bounds the obstacles and not the points, blocks
+    meet by equality, and the cube is tested then."""
     p = voxel_index(points, res, origin).withColumnsRenamed({c: f"p{c}" for c in "ijk"})
-    near = F.sequence(F.lit(-1), F.lit(1))
+    p = p.withColumns({f"b{c}": F.floor(F.col(f"p{c}") / window) for c in "ijk"})
+    near, o = F.sequence(F.lit(-1), F.lit(1)), obstacles.select(*CELL)
     for c in "ijk":
-        p = p.withColumn("_d", F.explode(near)).withColumn(f"b{c}", F.floor(F.col(f"p{c}") / window) + F.col("_d")).drop("_d")
-    o = obstacles.select(*CELL, *[F.floor(F.col(c) / window).alias(f"b{c}") for c in "ijk"])
+        o = o.withColumn("_d", F.explode(near)).withColumn(f"b{c}", F.floor(F.col(c) / window) + F.col("_d")).drop("_d")
     cube = F.lit(True)
     for c in "ijk":
         cube = cube & (F.abs(F.col(c) - F.col(f"p{c}")) <= window)
-    return p.join(o, ["site_id", "bi", "bj", "bk"]).where(cube).drop("bi", "bj", "bk")
+    return p.join(sorted_side(o), ["site_id", "bi", "bj", "bk"]).where(cube).drop("bi", "bj", "bk")
 
 
 def clearance(points: DataFrame, obstacles: DataFrame, key: str, window: int = 4, res: float = 2.0, origin: tuple[float, float, float] = (-48.0, -48.0, 0.0)) -> DataFrame:
@@ -93,7 +94,7 @@ def clearance(points: DataFrame, obstacles: DataFrame, key: str, window: int = 4
     gap = F.lit(0.0)
     for c, p, o in zip("ijk", "enu", origin, strict=True):
         gap = gap + F.pow(F.col(p) - (F.lit(o) + (F.col(c) + 0.5) * res), 2)
-    return points.join(pairs.groupBy(key).agg(F.sqrt(F.min(gap)).alias("min_d")), key, "left")
+    return points.join(sorted_side(pairs.groupBy(key).agg(F.sqrt(F.min(gap)).alias("min_d"))), key, "left")
 
 
 def is_clear(cleared: DataFrame, margin: float = 1.5) -> Column:
