@@ -1,11 +1,11 @@
-"""Straight legs of missions against cells of a grid, without steps: what they pass, and the first event of a flight."""
+"""Straight legs of missions against cells of a grid: what they pass, and the first event of a flight, with no sample written out."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import voxels
+from . import missions, voxels
 
 GRID = {"res": 2.0, "origin": (-48.0, -48.0, 0.0)}
 
@@ -29,8 +29,9 @@ def _dot(a: str, b: str) -> str:
 _WAY, _OFF = "{0} - p{0}", "p{0} - c{0}"
 
 
-def leg_cells(legs: DataFrame, cells: DataFrame, reach: float, res: float = 2.0, origin: tuple[float, float, float] = (-48.0, -48.0, 0.0)) -> DataFrame:
-    """Pairs of a leg (site_id, pe..pu, e..u) and a cell of its site whose centre is nearer than ``reach`` to it, with the
+def leg_cells(legs: DataFrame, cells: DataFrame, reach: float, res: float = 2.0, origin: tuple[float, float, float] = (-48.0, -48.0, 0.0), cube: bool = False) -> DataFrame:
+    """Pairs of a leg (site_id, pe..pu, e..u) and a cell of its site whose centre is nearer than ``reach`` to it, or with ``cube`` in the cube of that
+    reach round some place of it, with the
     cell's i, j, k, the squared distances ``near2`` of the leg and ``start2`` of its start, and ``qa``, ``qb``: the squared length
     and the product of way and offset.
 
@@ -48,8 +49,16 @@ def leg_cells(legs: DataFrame, cells: DataFrame, reach: float, res: float = 2.0,
     named = named.withColumns({f"b{x}": F.floor((F.col(f"c{c}") - o) / edge).cast("int") for c, x, o in axes})
     pairs = rows.select(*legs.columns, *blocks).join(voxels.sorted_side(named), ["site_id", *blocks]).drop(*blocks)
     pairs = pairs.withColumns({"qa": F.expr(_dot(_WAY, _WAY)), "qb": F.expr(_dot(_WAY, _OFF)), "start2": F.expr(_dot(_OFF, _OFF))})
-    pairs = pairs.withColumn("near2", F.expr("CASE WHEN qb >= 0 OR qa = 0 THEN start2 WHEN -qb >= qa THEN start2 + 2 * qb + qa ELSE start2 - qb * qb / qa END")).drop("ce", "cn", "cu")
-    return pairs.where(F.col("near2") < reach * reach)
+    pairs = pairs.withColumn("near2", F.expr("CASE WHEN qb >= 0 OR qa = 0 THEN start2 WHEN -qb >= qa THEN start2 + 2 * qb + qa ELSE start2 - qb * qb / qa END"))
+    if not cube:
+        return pairs.where(F.col("near2") < reach * reach).drop("ce", "cn", "cu")
+    # the share of the way on which the cell lies between both faces of each axis
+    lo, hi, beside = "0D", "1D", []
+    for c in "enu":
+        a, b = (f"((c{c} {sign} {reach}D - p{c}) / ({c} - p{c}))" for sign in "-+")
+        lo, hi = f"IF({c} = p{c}, {lo}, greatest({lo}, least({a}, {b})))", f"IF({c} = p{c}, {hi}, least({hi}, greatest({a}, {b})))"
+        beside.append(f"c{c} BETWEEN least(p{c}, {c}) - {reach + 1e-6}D AND greatest(p{c}, {c}) + {reach + 1e-6}D")
+    return pairs.where(" AND ".join(beside)).withColumns({"lo": F.expr(lo), "hi": F.expr(hi)}).where("lo <= hi + 1e-9").drop("ce", "cn", "cu")
 
 
 def missed_on_legs(waypoints: DataFrame, truth: DataFrame, mapped: DataFrame, clearance: float = 4.0) -> DataFrame:
@@ -116,3 +125,88 @@ def audit_flights(waypoints: DataFrame, obstacles: DataFrame, margin: float = 1.
     out = out.withColumn("used", F.col("time_s") / battery_s).withColumn("completed", ~F.col("collided") & ~F.col("landed"))
     where = [F.when(~F.col("completed"), F.col(f"_p.{c}")).alias(f"event_{c}") for c in "enu"]
     return out.select("mission_id", "path_m", "time_s", "used", "min_clearance", "collided", "landed", "completed", *where)
+
+
+#: Half the edge of the cube of cells that a sample looks into, three cells each way from its own.
+CUBE = 7.0
+
+
+def _sample(s: str) -> dict[str, str]:
+    """The place of sample ``s`` of a leg; a mission's start is a leg of no steps."""
+    return {c: f"IF(steps = 0, {c}, p{c} + ({c} - p{c}) * ({s}) / steps)" for c in "enu"}
+
+
+def _gap(s: str) -> str:
+    at = _sample(s)
+    return "sqrt(" + " + ".join(f"pow({at[c]} - c{c}, 2)" for c in "enu") + ")"
+
+
+def _centres(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({f"c{c}": F.lit(o) + (F.col(x) + 0.5) * GRID["res"] for c, x, o in zip("enu", "ijk", GRID["origin"], strict=True)})
+
+
+def _beside(pairs: DataFrame, offsets: tuple[int, ...]) -> DataFrame:
+    """A row for each sample ``_s`` of the leg at the offsets from ``_f``, with its distance ``_d``. Rows, since one expression over all of them
+    would be a method too long for the JVM to compile."""
+    tries = ", ".join(f"least(top, greatest(1, coalesce(_f, 0) + {d}))" for d in offsets)
+    return pairs.withColumn("_s", F.explode(F.expr(f"IF(steps = 0, array(0), array({tries}))"))).withColumn("_d", F.expr(_gap("_s")))
+
+
+def audit_samples(waypoints: DataFrame, obstacles: DataFrame, dt: float = 0.1, margin: float = 1.5, reserve: float = 0.15, battery_s: float = 1080.0) -> DataFrame:
+    """``measures.audit_missions`` with its window of three cells, without a row for a sample: which sample of a leg is the first within the margin of
+    a cell, at which the battery is down and which is nearest to a cell is solved for, and the samples beside it are looked at.
+
+    The least distance of flights without a collision is looked for within 2, 4 and 7 m and then in the whole cube, each
+    time for the missions that have none yet; so a pair of a leg and a cell is formed where cells are few or near.
+    """
+    if not 0 < margin < CUBE:
+        raise ValueError("margin must be positive and within the cube")
+    by = Window.partitionBy("mission_id").orderBy("seq")
+    rows = missions.leg_lengths(waypoints).withColumns({f"p{c}": F.lag(c).over(by).cast("double") for c in "enu"} | {c: F.col(c).cast("double") for c in "enu"})
+    rows = rows.withColumn("v", F.least(F.greatest(F.coalesce("speed", F.lit(5.0)), F.lit(0.1)), F.lit(15.0)).cast("double"))
+    rows = rows.withColumn("has_start", F.max(F.col("seq") == 0).over(Window.partitionBy("mission_id"))).where("has_start AND (seq = 0 OR leg >= 1e-9)")
+    # a mission's first waypoint is its sample 0, whatever comes before it
+    rows = rows.withColumns({f"p{c}": F.expr(f"IF(seq = 0, {c}, p{c})") for c in "enu"} | {"leg": F.expr("IF(seq = 0, 0D, leg)")})
+    rows = rows.withColumn("steps", F.expr(f"IF(seq = 0, 0, cast(greatest(ceil(leg / v / {dt}D), 1) AS int))"))
+    past = by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"before_m": F.coalesce(F.sum("leg").over(past), F.lit(0.0)), "before_s": F.coalesce(F.sum(F.col("leg") / F.col("v")).over(past), F.lit(0.0))})
+    left = f"1 - (before_s + leg / v * s / steps) / {battery_s}D <= {reserve}D"
+    near = f"cast(ceil(((1 - {reserve}D) * {battery_s}D - before_s) / (leg / v) * steps) AS long)"
+    rows = rows.withColumn("low", F.expr(f"IF(steps = 0, NULL, array_min(filter(transform(array(-1, 0, 1), d -> cast(least(steps, greatest(1, {near} + d)) AS int)), s -> {left})))"))
+    rows = rows.withColumn("lows", F.count("low").over(past)).where("lows = 0").withColumn("top", F.coalesce("low", "steps"))
+    rows = voxels.stored(rows.select("mission_id", "site_id", "seq", *[f"p{c}" for c in "enu"], *"enu", "leg", "v", "steps", "top", "low", "before_m", "before_s"))
+    key, way = ["mission_id", "seq"], ["mission_id", "site_id", "seq", *[f"p{c}" for c in "enu"], *"enu", "steps", "top"]
+    obstacles = voxels.stored(obstacles.select(*voxels.CELL).distinct())
+    # the samples round the way's entry into the sphere of the margin
+    met = _centres(leg_cells(rows.select(*way), obstacles, margin + 1e-6, **GRID))
+    enter = f"IF(qa = 0, 0, cast(ceil(greatest(0D, (-qb - sqrt(greatest(0D, qb * qb - qa * (start2 - {margin * margin}D)))) / qa) * steps) AS int))"
+    met = _beside(met.withColumn("_f", F.expr(enter)), (-1, 0, 1)).where(F.col("_d") < margin)
+    met = met.groupBy(*key).agg(F.min(F.struct("_s", "_d")).alias("hit"))
+    rows = rows.join(voxels.sorted_side(met), key, "left").withColumn("_hits", F.count("hit").over(past)).where("_hits = 0").drop("_hits")
+    rows = voxels.stored(rows.withColumn("_clear", F.count("hit").over(Window.partitionBy("mission_id")) == 0))
+    # before a collision nothing is within the margin
+    found, open_legs = rows.where("hit IS NOT NULL").groupBy("mission_id").agg(F.min("hit._d").alias("min_clearance")), rows.where("_clear").select(*way)
+    for reach, cube in ((2.0, False), (4.0, False), (CUBE, False), (CUBE, True)):
+        if reach <= margin:
+            continue
+        open_legs = voxels.stored(open_legs)
+        if open_legs.isEmpty():
+            break
+        pairs = _centres(leg_cells(open_legs, obstacles, reach, **GRID, cube=cube))
+        if cube:
+            pairs = pairs.withColumn("_f", F.explode(F.expr("array(greatest(lo, least(hi, IF(qa = 0, 0D, -qb / qa))), lo, hi, 1D)"))).withColumn("_f", F.expr("cast(floor(_f * steps) AS int)"))
+            inside = " AND ".join(f"{x} >= c{c} - {CUBE}D AND {x} < c{c} + {CUBE}D" for c, x in _sample("_s").items())
+            pairs = _beside(pairs, (-1, 0, 1, 2)).where(inside)
+        else:  # whatever is nearer than half its edge lies in the cube, and the nearest sample is beside the nearest point
+            pairs = _beside(pairs.withColumn("_f", F.expr("IF(qa = 0, 0, cast(floor(-qb / qa * steps) AS int))")), (0, 1)).where(F.col("_d") < reach)
+        least = pairs.groupBy("mission_id").agg(F.min("_d").alias("min_clearance"))
+        least = voxels.stored(least)
+        found = found.unionByName(least)
+        open_legs = open_legs.join(voxels.sorted_side(least.select("mission_id")), "mission_id", "left_anti")
+    share = F.coalesce(F.col("hit._s"), F.col("top")) / F.nullif(F.col("steps"), F.lit(0))
+    out = rows.groupBy("mission_id").agg(
+        F.max(F.col("before_m") + F.coalesce(F.col("leg") * share, F.lit(0.0))).alias("path_m"), F.max(F.col("before_s") + F.coalesce(F.col("leg") / F.col("v") * share, F.lit(0.0))).alias("time_s"),
+        F.max(F.col("hit").isNotNull()).alias("collided"), F.max(F.col("low").isNotNull() & F.col("hit").isNull()).alias("landed"),
+    )
+    out = out.join(voxels.sorted_side(found), "mission_id", "left").withColumns({"used": F.col("time_s") / battery_s, "completed": ~F.col("collided") & ~F.col("landed")})
+    return out.select("mission_id", "path_m", "time_s", "used", "min_clearance", "collided", "landed", "completed")

@@ -205,5 +205,5 @@ def g9_audit_missions(spark, sf):
 @register(None)
 def g9_audit_missions_fine(spark, sf):
     """As samples every 0.1 s, which is how a simulated flight is audited; g9_audit_missions solves for the events."""
-    rows = measures.audit_missions(T.waypoints(spark, sf), T.obstacle_map(spark, sf))
+    rows = legs.audit_samples(T.waypoints(spark, sf), T.obstacle_map(spark, sf))
     return rows.select("mission_id", *_r4("path_m", "time_s", "min_clearance"), "collided", "landed", "completed")

@@ -142,3 +142,33 @@ def test_tagged_clips_are_sent_once(spark):
     want = {i for i in range(-30, 31) if any(math.dist((i * 1e-7, 0.0, 0.0), c) < 1e-6 for c in ((0.0, 0.0, 0.0), (5e-7, 0.0, 1e-7)))}
     rows = got.collect()
     assert len(rows) == 63 and {r.seq for r in rows if len(r.interest_tags) == 2} == want and not _broadcast(got)
+
+
+def test_flights_are_audited_without_samples(spark, monkeypatch):
+    from siteview.operators import legs, measures, missions
+
+    rnd = random.Random(17)
+    ways = [(m, 1 + m % 3, s, *[rnd.uniform(-55, 55) for _ in range(2)], rnd.uniform(2, 45), rnd.choice([None, 0.05, 1.0, 9.0, 99.0])) for m in range(60) for s in range(rnd.randrange(1, 6))]
+    ways += [(70, 1, 0, 0.0, 0.0, 30.0, 5.0), (70, 1, 1, 0.0, 0.0, 30.0, 5.0), (71, 1, 1, 0.0, 0.0, 9.0, 5.0), (72, 1, 0, 0.0, 0.0, 30.0, 5.0), (72, 1, 1, None, 9.0, 9.0, 5.0), (72, 1, 2, 9.0, 9.0, 9.0, 5.0)]
+    ways += [(100 + k, 2, s, float(k), -3.0 + 9.0 * s, 9.0, 4.0) for k in range(-9, 10) for s in range(2)]
+    ways = spark.createDataFrame(ways, "mission_id int, site_id int, seq int, e double, n double, u double, speed double")
+    # a site with many cells, one with a few, one with none
+    cells = sorted({(1, rnd.randrange(48), rnd.randrange(48), rnd.randrange(20)) for _ in range(400)} | {(2, rnd.randrange(48), rnd.randrange(48), rnd.randrange(20)) for _ in range(40)})
+    cells = spark.createDataFrame(cells, "site_id int, i int, j int, k int")
+    names = ("path_m", "time_s", "used", "min_clearance")
+    flat = lambda rows: {r.mission_id: (r.collided, r.landed, r.completed, *[r[c] for c in names]) for r in rows}
+    for how in ({}, {"battery_s": 60.0, "dt": 0.5}):
+        want, plans = flat(measures.audit_missions(ways, cells, **how).collect()), _stored(monkeypatch)
+        out = legs.audit_samples(ways, cells, **how)
+        got = flat(out.collect())
+        monkeypatch.undo()
+        assert got.keys() == want.keys() and not plans and not _broadcast(out)
+        for m, w in want.items():
+            assert got[m][:3] == w[:3], m
+            assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)) for a, b in zip(got[m][3:], w[3:], strict=True)), (m, got[m], w)
+        assert any(w[0] for w in want.values()) and any(w[2] for w in want.values()) and {w[6] is None for w in want.values()} == {True, False}
+    assert any(w[1] for w in want.values())
+    from siteview.plans import queries
+
+    monkeypatch.setattr(missions, "leg_samples", None)
+    assert queries.queries()["g9_audit_missions_fine"](spark, "/root/testdata/sf0.001").count() > 0
