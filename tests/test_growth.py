@@ -172,3 +172,33 @@ def test_flights_are_audited_without_samples(spark, monkeypatch):
 
     monkeypatch.setattr(missions, "leg_samples", None)
     assert queries.queries()["g9_audit_missions_fine"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_missions_are_ordered_and_timed_together(spark, monkeypatch):
+    import numpy as np
+
+    from siteview.operators import routes
+    from siteview.plans import queries
+
+    rng = np.random.default_rng(9)
+    sets = {m: np.round(rng.uniform(-60, 60, (1 + m % 12, 3)), int(m % 3)) for m in range(90)} | {200: np.zeros((5, 3)), 201: rng.normal(size=(routes.STRETCH + 30, 3))}
+    table = spark.createDataFrame([(f"m{m}", s, *map(float, x)) for m, p in sets.items() for s, x in enumerate(p)], "mission_id string, seq int, e double, n double, u double")
+    monkeypatch.setattr(routes, "HELD", 3000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        visits, times = routes.route_missions(table).collect(), {r.mission_id: r for r in routes.scaled_durations(table).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in sorted(visits, key=lambda r: r.visit):
+        got.setdefault(r.mission_id, []).append(r.seq)
+    for m, p in sets.items():
+        assert got[f"m{m}"] == [a + k for a in range(0, len(p), routes.STRETCH) for k in routes._visit(p[a : a + routes.STRETCH])]
+    want = {r.mission_id: r for r in routes.time_scale(routes.fit_trajectories(table)).collect()}
+    assert times.keys() == want.keys() and len(want) == len(sets)
+    for m, w in want.items():
+        assert math.isclose(times[m].length, w.length, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(times[m].duration, w.duration, rel_tol=1e-9)
+    assert any(w.duration > w.length / 5 > 1 for w in want.values())
+    monkeypatch.setattr(routes, "fit_trajectories", None)
+    plans = [queries.queries()[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in ("g5_route_missions", "g7_time_scale")]
+    assert all("MapInArrow" in p and "FlatMapGroupsInPandas" not in p for p in plans)
