@@ -73,7 +73,7 @@ def build_missions(field: DataFrame, aoi: DataFrame, obstacles: DataFrame, k: in
         "waypoints": waypoints,
         "keyframes": rays.gimbal_keyframes(posed),
         "clips": rays.clip_rows(waypoints, F.col("value")),
-        "trajectories": routes.time_scale(routes.fit_trajectories(waypoints.select("mission_id", "site_id", "seq", "e", "n", "u", "speed"))),
+        "trajectories": routes.scaled_durations(waypoints.select("mission_id", "site_id", "seq", "e", "n", "u", "speed")),
         "quarantine": field.select("site_id").distinct().join(picked.select("site_id").distinct(), "site_id", "left_anti").withColumn("reason", F.lit("no admissible viewpoint")),
     }
 
