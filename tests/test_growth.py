@@ -202,3 +202,29 @@ def test_missions_are_ordered_and_timed_together(spark, monkeypatch):
     monkeypatch.setattr(routes, "fit_trajectories", None)
     plans = [queries.queries()[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in ("g5_route_missions", "g7_time_scale")]
     assert all("MapInArrow" in p and "FlatMapGroupsInPandas" not in p for p in plans)
+
+
+def test_no_pair_of_a_pose_and_a_cell_is_shuffled(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from siteview.operators import camera, rays
+
+    rnd = random.Random(23)
+    cells = {(s, rnd.randrange(14, 34), rnd.randrange(14, 34), rnd.randrange(20)) for s in (1, 2) for _ in range(500)} | {(1, -3, 20, 4), (1, 50, 20, 25), (4, 3, 3, 3)}
+    solid = spark.createDataFrame(sorted(cells), "site_id int, i int, j int, k int")
+    surface = solid.where("(i + j) % 2 = 0 OR i < 0").unionByName(spark.createDataFrame([(1, None, 2, 2)], solid.schema))
+    poses = [(s, f"p{s}:{n}", float(rnd.randrange(-20, 20)), float(rnd.randrange(-20, 20)), float(rnd.randrange(20, 90)), *((0.0, 1.0, 0.0, 0.0) if n % 2 else [rnd.gauss(0, 1) for _ in range(4)]), 0) for s in (1, 2, 3) for n in range(30)]
+    # one stands at the centre of a cell, one has no place
+    poses += [(1, "in", -47.0 + 2 * 20, -47.0 + 2 * 20, 9.0, 0.0, 1.0, 0.0, 0.0, 0), (1, "no", None, 0.0, 50.0, 0.0, 1.0, 0.0, 0.0, 0)]
+    poses = spark.createDataFrame(poses, "site_id int, image_id string, e double, n double, u double, qw double, qx double, qy double, qz double, camera_id int")
+    cams = spark.sql("SELECT 0 AS camera_id, 84D AS hfov, 53D AS vfov, 640 AS width, 480 AS height")
+    centres = voxels.voxel_center(surface, **rays.GRID).join(poses.select("image_id", "site_id"), "site_id")
+    framed = camera.project_points(centres, poses, cams).where("in_view").withColumnsRenamed({c: f"t{c}" for c in "enu"})
+    cast = framed.join(poses.select("image_id", "e", "n", "u"), "image_id").withColumn("ray_id", F.concat_ws(":", "image_id", "i", "j", "k"))
+    want = sorted(tuple(r) for r in rays.line_of_sight(cast, solid).select("image_id", "site_id", "i", "j", "k").collect())
+    monkeypatch.setattr(rays, "POSED", 7)
+    monkeypatch.setattr(rays, "line_of_sight", None)
+    seen, pairs = rays.visible_surface(poses, surface, solid, cams), rays.frustum_pairs(poses, surface, cams)
+    assert sorted(tuple(r) for r in seen.select("image_id", "site_id", "i", "j", "k").collect()) == want and want
+    assert sorted(tuple(r) for r in pairs.select("image_id", "i", "j", "k").collect()) == sorted(tuple(r) for r in framed.select("image_id", "i", "j", "k").collect())
+    assert 0 < len(want) < pairs.count() and all("FlatMapCoGroupsInArrow" in d._jdf.queryExecution().executedPlan().toString() for d in (seen, pairs))
