@@ -228,3 +228,23 @@ def test_no_pair_of_a_pose_and_a_cell_is_shuffled(spark, monkeypatch):
     assert sorted(tuple(r) for r in seen.select("image_id", "site_id", "i", "j", "k").collect()) == want and want
     assert sorted(tuple(r) for r in pairs.select("image_id", "i", "j", "k").collect()) == sorted(tuple(r) for r in framed.select("image_id", "i", "j", "k").collect())
     assert 0 < len(want) < pairs.count() and all("FlatMapCoGroupsInArrow" in d._jdf.queryExecution().executedPlan().toString() for d in (seen, pairs))
+
+
+def test_crossed_cells_are_not_shuffled(spark, monkeypatch):
+    from siteview.operators import rays
+
+    rnd = random.Random(29)
+    solid = spark.createDataFrame(sorted({(s, rnd.randrange(48), rnd.randrange(48), rnd.randrange(20)) for s in (1, 2) for _ in range(3000)}) + [(1, -4, 2, 2), (1, 48, 2, 2), (5, 1, 1, 1)], "site_id int, i int, j int, k int")
+    cast = [(f"r{k}", 1 + k % 3, *[rnd.uniform(-60, 60) for _ in range(2)], rnd.uniform(0, 60), *[rnd.uniform(-60, 60) for _ in range(2)], rnd.uniform(0, 60)) for k in range(300)] + [("z", 1, None, 0.0, 0.0, 1.0, 1.0, 1.0), ("y", 1, 0.0, 0.0, 5.0, 0.0, 0.0, 5.0)]
+    table = spark.createDataFrame(cast, "ray_id string, site_id int, e double, n double, u double, te double, tn double, tu double")
+    want = sorted(map(tuple, rays.cast_rays(table).join(solid, voxels.CELL).select("ray_id", *voxels.CELL, "t").collect()))
+    monkeypatch.setattr(rays, "CAST", 40)
+    monkeypatch.setattr(rays, "STEPPED", 9)
+    monkeypatch.setattr(rays, "cast_rays", None)
+    hits = rays.ray_hits(table, solid)
+    assert sorted(map(tuple, hits.select("ray_id", *voxels.CELL, "t").collect())) == want and len(want) > 300
+    first = {r.ray_id: (r.hit_t, r.hit_i, r.hit_j, r.hit_k) for r in rays.first_hit(table, solid).collect()}
+    best = {}
+    for ray, _, i, j, k, t in want:
+        best[ray] = min(best.get(ray, (math.inf,)), (t, i, j, k))
+    assert first == {r[0]: best.get(r[0], (math.inf, None, None, None)) for r in cast}
