@@ -185,17 +185,26 @@ def plan_tracks(plans: DataFrame) -> DataFrame:
     return _planar(rows.withColumns({"lat": F.col("_g")[0], "lon": F.col("_g")[1]}).drop("_g"))
 
 
+#: Regions and paths of a plan's document; a plan of more is written as several.
+HELD = 1000
+
+
 def plans(homes: DataFrame, regions: DataFrame, tracks: DataFrame) -> DataFrame:
     """Plans of homes (building, osm_id, home_lat, home_lon), regions (osm_id, region_id, lat, lon, e, n, radius_m, extra_loops) and
-    tracks as ``plan_tracks`` has them. Regions and paths stand in order of their ids; enu is written to two places."""
+    tracks as ``plan_tracks`` has them. Regions and paths stand in order of their ids; enu is written to two places. A plan
+    of more than about HELD regions and paths is dealt to several documents of its home, each in that order, so that no task holds a whole plan."""
     point = lambda: F.transform(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))), lambda p: F.array(p["lat"], p["lon"]))
     lines = tracks.groupBy("osm_id", "track_id", "mode", "altitude_m", "duration_s", "kind").agg(point().alias("points"))
     of = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("points")), ignorenulls=True)
     paths = lines.groupBy("osm_id", "track_id", "mode", "altitude_m", "duration_s").agg(of("control").alias("control_points"), of("smoothed").alias("smoothed"))
-    paths = paths.groupBy("osm_id").agg(F.sort_array(F.collect_list(F.struct(F.col("track_id").alias("id"), "mode", "altitude_m", "duration_s", "control_points", "smoothed"))).alias("paths"))
+    items = tracks.select("osm_id", F.col("track_id").alias("_id")).distinct().unionByName(regions.select("osm_id", F.col("region_id").alias("_id")))
+    parts = items.groupBy("osm_id").agg(F.ceil(F.count("*") / HELD).cast("int").alias("_parts"))
+    deal = lambda rows, c: rows.join(voxels.sorted_side(parts), "osm_id").withColumn("_part", F.expr(f"cast(pmod(xxhash64({c}), _parts) as int)"))
+    paths = deal(paths, "track_id").groupBy("osm_id", "_part").agg(F.sort_array(F.collect_list(F.struct(F.col("track_id").alias("id"), "mode", "altitude_m", "duration_s", "control_points", "smoothed"))).alias("paths"))
     spots = F.struct(F.col("region_id").alias("id"), F.array("lat", "lon").alias("center"), F.array(F.bround("e", 2), F.bround("n", 2)).alias("enu"), "radius_m", "extra_loops")
-    found = regions.groupBy("osm_id").agg(F.sort_array(F.collect_list(spots)).alias("poi_regions"))
-    rows = homes.select("building", "osm_id", F.array("home_lat", "home_lon").alias("home")).join(found, "osm_id", "left").join(paths, "osm_id", "left")
+    found = deal(regions, "region_id").groupBy("osm_id", "_part").agg(F.sort_array(F.collect_list(spots)).alias("poi_regions"))
+    rows = homes.select("building", "osm_id", F.array("home_lat", "home_lon").alias("home")).join(parts, "osm_id", "left").withColumn("_part", F.explode(F.expr("sequence(0, coalesce(_parts, 1) - 1)")))
+    rows = rows.join(voxels.sorted_side(found), ["osm_id", "_part"], "left").join(voxels.sorted_side(paths), ["osm_id", "_part"], "left")
     none = {c: F.coalesce(F.col(c), F.array().cast(dict(rows.dtypes)[c])) for c in ("poi_regions", "paths")}
     return rows.select(F.lit(3).alias("stage"), "building", "osm_id", "home", *[v.alias(k) for k, v in none.items()])
 
