@@ -248,3 +248,31 @@ def test_crossed_cells_are_not_shuffled(spark, monkeypatch):
     for ray, _, i, j, k, t in want:
         best[ray] = min(best.get(ray, (math.inf,)), (t, i, j, k))
     assert first == {r[0]: best.get(r[0], (math.inf, None, None, None)) for r in cast}
+
+
+def test_large_plans_are_several_documents(spark, monkeypatch, tmp_path):
+    from siteview.sources import files
+
+    homes = spark.createDataFrame([(f"b{k}", k, 40.0 + k, 8.0) for k in range(3)], "building string, osm_id long, home_lat double, home_lon double")
+    regions = spark.createDataFrame([(k, f"r{i:03}", 40.0 + i / 1e4, 8.0, 1.0, 2.0, 5.0, i) for k in range(2) for i in range(30 if k else 2)], "osm_id long, region_id string, lat double, lon double, e double, n double, radius_m double, extra_loops int")
+    ways = spark.createDataFrame([(k, f"t{i:03}", "waypoints", 14.0, 8.0, kind, s, 40.0 + i / 1e4, 8.0 + s / 1e4) for k in range(2) for i in range(50 if k else 3) for kind in ("control", "smoothed") for s in range(4)], "osm_id long, track_id string, mode string, altitude_m double, duration_s double, kind string, seq int, lat double, lon double")
+    monkeypatch.setattr(files, "HELD", 10)
+    files.write_plans(files.plans(homes, regions, ways), f"{tmp_path}/plans")
+    read = files.read_plans(spark, f"{tmp_path}/plans").cache()
+    sizes = {}
+    for r in read.collect():
+        sizes.setdefault(r.osm_id, []).append(len(r.poi_regions) + len(r.paths))
+        assert [p.id for p in r.paths] == sorted(p.id for p in r.paths)
+    assert len(sizes[0]) == len(sizes[2]) == 1 and sizes[2] == [0] and len(sizes[1]) == 8 and sum(sizes[1]) == 80 and max(sizes[1]) < 30
+    key = ["osm_id", "track_id", "kind", "seq", "lat", "lon"]
+    assert sorted(map(tuple, files.plan_tracks(read).select(*key).collect())) == sorted(map(tuple, ways.select(*key).collect()))
+    key = ["osm_id", "region_id", "lat", "lon", "extra_loops"]
+    assert sorted(map(tuple, files.plan_regions(read).select(*key).collect())) == sorted(map(tuple, regions.select(*key).collect()))
+
+
+def test_summaries_write_no_samples(spark, monkeypatch):
+    from siteview.operators import missions
+    from siteview.plans import queries
+
+    monkeypatch.setattr(missions, "leg_samples", None)
+    assert queries.queries()["a16_mission_summary"](spark, "/root/testdata/sf0.001").where("path_m > 0 AND used > 0").count() > 0
