@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import camera, coverage, frames, generators, interest, measures, missions, polygons, rays, survey, voxels
+from ..operators import camera, coverage, frames, generators, interest, legs, measures, missions, polygons, rays, survey, voxels
 from ..sources import driver_tables as T
 from ..sources import files
 from .queries import AOI, CAMERA, GEO, HOTSPOTS, LEGS, MAP, ORIGIN, POSES, RES, ROT, SHOTS, SITES, TRACKS, VIEWPOINTS, WAYPOINTS, _r, _s, _sql_ecef, register
@@ -178,7 +178,7 @@ FLOWN = f"WITH {WAYPOINTS}, {LEGS}, t AS (SELECT mission_id, sum(leg) AS path_m,
 
 
 def _flown(spark, sf):
-    rows = missions.running_totals(missions.leg_samples(T.waypoints(spark, sf), 0.5)).groupBy("mission_id").agg(F.max("path_m").alias("path_m"), F.max("used").alias("used"))
+    rows = legs.mission_legs(T.waypoints(spark, sf)).where("leg >= 1e-9").groupBy("mission_id").agg(F.sum("leg").alias("path_m"), (F.sum(F.col("leg") / F.col("v")) / 1080).alias("used"))
     return rows.withColumns({"collided": F.col("mission_id") % 5 == 0, "completed": F.col("used") < 0.2, "landed": F.col("mission_id") % 2 == 0})
 
 
