@@ -276,3 +276,22 @@ def test_summaries_write_no_samples(spark, monkeypatch):
 
     monkeypatch.setattr(missions, "leg_samples", None)
     assert queries.queries()["a16_mission_summary"](spark, "/root/testdata/sf0.001").where("path_m > 0 AND used > 0").count() > 0
+
+
+def test_pairs_of_plots_are_clipped_together(spark, monkeypatch):
+    from siteview.operators import plots, polygons
+
+    rnd = random.Random(31)
+    rings = []
+    for k in range(24):
+        x, y, a, b = rnd.uniform(0, 20), rnd.uniform(0, 20), rnd.uniform(2, 9), rnd.uniform(2, 9)
+        ring = [[(x, y), (x + a, y), (x + a, y + b), (x, y + b)], [(x, y), (x + a, y), (x + a, y + b / 2), (x + a / 2, y + b / 2), (x + a / 2, y + b), (x, y + b)], [(x, y), (x + a, y + 1), (x + 1, y + b)], [(x, y), (x + a, y), (x + 2 * a, y), (x + a, y)]][k % 4]
+        rings.append((k, ring[:: rnd.choice([1, -1])]))
+    table = spark.createDataFrame([*rings, (50, rings[0][1]), (51, rings[1][1])], "plot_id int, polygon array<struct<x:double,y:double>>")
+    want = {(r.plot_a, r.plot_b): (r.iou, r.reason) for r in polygons.polygon_iou(plots.overlapping_pairs(table, 8.0)).collect()}
+    monkeypatch.setattr(plots, "CLIPPED", 40)
+    monkeypatch.setattr(polygons, "polygon_iou", None)
+    got = {(r.plot_a, r.plot_b): (r.iou, r.reason) for r in plots.overlaps(table, 8.0).collect()}
+    assert got.keys() == want.keys() and len(want) > 50 and len({r for _, r in want.values()}) == 2
+    for k, (iou, reason) in want.items():
+        assert got[k][1] == reason and (got[k][0] is None) == (iou is None) and (iou is None or math.isclose(got[k][0], iou, rel_tol=1e-9, abs_tol=1e-9)), k
