@@ -295,3 +295,22 @@ def test_pairs_of_plots_are_clipped_together(spark, monkeypatch):
     assert got.keys() == want.keys() and len(want) > 50 and len({r for _, r in want.values()}) == 2
     for k, (iou, reason) in want.items():
         assert got[k][1] == reason and (got[k][0] is None) == (iou is None) and (iou is None or math.isclose(got[k][0], iou, rel_tol=1e-9, abs_tol=1e-9)), k
+
+
+def test_pairs_of_tracks_are_weighed_together(spark):
+    from siteview.operators import measures
+
+    rnd = random.Random(8)
+    tracks = [(t, s, float(rnd.randrange(-20, 21)), float(t % 40)) for t in range(400) for s in range(rnd.randrange(1, 21))]
+    table = spark.createDataFrame(tracks, "track_id long, seq int, x double, y double")
+    got = measures.similar_tracks(table, 40.0)
+    rows = got.collect()
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString() and not _broadcast(got)
+    assert len({(r.track_a, r.track_b) for r in rows}) == len(rows) and all(r.track_a < r.track_b for r in rows)
+    # in parts of a few tracks the pairs are the same
+    before, measures.TRACKS = measures.TRACKS, 100
+    try:
+        some = measures.similar_tracks(table.where("track_id < 300"), 40.0).collect()
+    finally:
+        measures.TRACKS = before
+    assert {tuple(r) for r in some} == {tuple(r) for r in rows if r.track_b < 300}
