@@ -15,6 +15,12 @@ def camera_intrinsics(cameras: DataFrame) -> DataFrame:
     return cameras.withColumns({k: F.when(good, v) for k, v in {"fx": fx, "fy": fy, "cx": F.col("width") / 2, "cy": F.col("height") / 2}.items()})
 
 
+def _once(value: Column) -> Column:
+    """The value as a row made of it, which is worked out once: the optimizer writes a plain column out again wherever a filter or a
+    later column names it, dozens of times for a rotation."""
+    return F.explode(F.array(value))
+
+
 def pose_rotation(poses: DataFrame) -> DataFrame:
     """Adds the camera-to-world rotation r00..r22 of the normalised quaternion; null for a zero one."""
     rows = poses.withColumn("_q", F.nullif(F.expr("qw * qw + qx * qx + qy * qy + qz * qz"), F.lit(0.0)))
@@ -36,7 +42,7 @@ def pose_quaternion(poses: DataFrame) -> DataFrame:
         WHEN r11 > r22 THEN named_struct('w', (r02 - r20) / s.y, 'x', (r01 + r10) / s.y, 'y', s.y / 4, 'z', (r12 + r21) / s.y)
         WHEN r22 IS NOT NULL THEN named_struct('w', (r10 - r01) / s.z, 'x', (r02 + r20) / s.z, 'y', (r12 + r21) / s.z, 'z', s.z / 4) END"""
     unit = "named_struct('q', p, 'l', sqrt(p.w * p.w + p.x * p.x + p.y * p.y + p.z * p.z))"
-    rows = poses.withColumn("_q", F.expr(let.format(sizes, "s", let.format(parts, "p", unit))))
+    rows = poses.withColumn("_q", _once(F.expr(let.format(sizes, "s", let.format(parts, "p", unit)))))
     return rows.withColumns({f"q{c}": F.col(f"_q.q.{c}") / F.col("_q.l") for c in "wxyz"}).drop("_q")
 
 
@@ -54,7 +60,7 @@ def look_at(poses: DataFrame, up: tuple[float, float, float] = (0.0, 0.0, 1.0))
         'r20', x.x2, 'r21', z.z0 * x.x1 - z.z1 * x.x0, 'r22', z.z2)"""
     for value, name in ((unit, "x"), (other, "w"), (side, "s"), (z, "z")):
         turn = let.format(value, name, turn)
-    rows = poses.withColumn("_turn", F.expr(let.format(axes, "d", f"IF(d.l < 1e-12D, NULL, {turn})")))
+    rows = poses.withColumn("_turn", _once(F.expr(let.format(axes, "d", f"IF(d.l < 1e-12D, NULL, {turn})"))))
     return rows.withColumns({f"r{i}{j}": F.col(f"_turn.r{i}{j}") for i in range(3) for j in range(3)}).drop("_turn")
 
 

@@ -314,3 +314,17 @@ def test_pairs_of_tracks_are_weighed_together(spark):
     finally:
         measures.TRACKS = before
     assert {tuple(r) for r in some} == {tuple(r) for r in rows if r.track_b < 300}
+
+
+def test_rotations_are_worked_out_once(spark):
+    from siteview.operators import camera
+
+    rows = spark.createDataFrame([(1.0, 2.0, 3.0, 0.0, 0.0, 0.0), (0.0, 0.0, 5.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 1.0, 1.0, 1.0)], "e double, n double, u double, te double, tn double, tu double")
+    turned = camera.pose_quaternion(camera.look_at(rows))
+    kept = turned.where("qw IS NOT NULL AND abs(qx) <= 1").select("e", "qw", "qx", "qy", "qz")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("greatest(") == 4 and len(plan) < 10_000
+    # a target at the position has a row, without a rotation
+    got = turned.collect()
+    assert len(got) == 3 and [r.qw is None for r in got] == [False, False, True] and kept.count() == 2
+    assert all(abs(r.qw**2 + r.qx**2 + r.qy**2 + r.qz**2 - 1) < 1e-12 for r in got[:2])
