@@ -178,7 +178,7 @@ class Memo:
     full, so memory is bounded.
     """
 
-    def __init__(self, coder: Pieces, most: int = 250_000):
+    def __init__(self, coder: Pieces, most: int = 700_000):
         self.coder, self.most = coder, most
         self.plain: dict[str, tuple[bytes, int, int]] = {}
         self.varied: dict[tuple[str, int], bytes] = {}

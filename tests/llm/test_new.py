@@ -237,3 +237,23 @@ def test_rows_that_share_an_id_are_candidates_each(spark):
     got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(table, table.where("vec_id = 0"), 5).collect())
     assert got == [(k, j, -s) for k, (s, j) in enumerate(pairs, 1)]
     assert topk.top_k(table.where("false"), table.where("false"), 5).count() == 0
+
+
+def test_units_of_a_large_worker_stay_known():
+    from siteview.llm import subword
+
+    class Coder:
+        calls = 0
+
+        def unit(self, text, draw, mask):
+            self.calls += 1
+            return b"", 1
+
+    memo = subword.Memo(Coder())
+    for k in range(400_000):
+        memo.first(str(k), 0, 0)
+    assert "0" in memo.plain and len(memo.plain) == 400_000
+    small = subword.Memo(Coder(), most=10)
+    for k in range(100):
+        small.first(str(k), 0, 0)
+    assert len(small.plain) <= 10
