@@ -10,6 +10,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,58 @@ SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 #: Characters of a unit up to which its agenda is a list; no candidate; candidates of a unit whose skips are drawn at once.
 FEW, NONE, DRAWN = 48, 1 << 60, 16
+#: Characters of units that are cut together; units cut at once; characters of text that are encoded at once.
+TOGETHER, AT_ONCE, CHARACTERS = 32, 8192, 1_000_000
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Merges:
+    """The symbol that two neighbouring ones merge to, as a hash table in arrays. Symbols are numbers: those of ``symbols``
+    first, then, from ``raw`` up, characters that are in no piece. A number below 0 merges with nothing."""
+
+    def __init__(self, pieces: dict[str, int]):
+        chars = {c for piece in pieces for c in piece}
+        self.symbols = [*pieces, *sorted(chars - pieces.keys())]
+        number = {x: k for k, x in enumerate(self.symbols)}
+        self.raw = len(self.symbols)
+        self.order = np.array([*pieces.values()] + [NONE] * (self.raw - len(pieces) + 1), np.int64)
+        # of a code point; a space is the mark of a space, and that mark itself, if literal, a character in no piece
+        self.of = np.arange(0x110000) + self.raw
+        for c in chars:
+            self.of[ord(c)] = number[c]
+        self.of[32], self.of[ord(SPACE)] = number.get(SPACE, self.raw + ord(SPACE)), self.raw + ord(SPACE)
+        pairs = [(number[x[:k]], number[x[k:]], number[x]) for x in pieces for k in range(1, len(x)) if x[:k] in number and x[k:] in number]
+        a, b, c = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.width = self.raw + 0x110000
+        key, bits = a * self.width + b, max(4, (4 * len(a)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        at, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = np.flatnonzero(self.keys[at[left]] < 0)
+            _, first = np.unique(at[left[free]], return_index=True)
+            put = left[free[first]]
+            self.keys[at[put]], self.values[at[put]] = key[put], c[put]
+            left = np.setdiff1d(left, put)
+            at[left] = at[left] + 1 & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * _HASH >> self.shift).astype(np.int64)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The symbol that each pair merges to; -1 if none."""
+        key = a * self.width + b
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where((found == key) & (a >= 0) & (b >= 0), self.values[at], -1)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            found = self.keys[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = np.where((a[left[hit]] >= 0) & (b[left[hit]] >= 0), self.values[at[left[hit]]], -1)
+            left = left[~hit & (found >= 0)]
+        return out
 
 
 class Pieces:
@@ -46,6 +99,8 @@ class Pieces:
         self.order = {piece: places[x] for piece, (x, _) in self.rank.items()}
         self.ids = {piece: i for piece, (_, i) in self.rank.items()}
         self.limit, self.seed = int(dropout * 65536), seed
+        self.merges = Merges(self.order)
+        self.id_of = np.array([self.ids.get(x, -1) for x in self.merges.symbols], np.int64)
         self.sizes = np.array([len(b) for b in self.body])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.flat = np.frombuffer(b"".join(self.body), np.uint8)
@@ -127,19 +182,152 @@ class Pieces:
                     heappush(agenda, (got, p, len(sym[p]) + len(piece)))
         return [s for s in sym if s is not None], t
 
-    def draws(self, key: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each of n units of the text with this key: its draw, and which of its first DRAWN candidates are skipped."""
-        x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+    def skips(self, draws: np.ndarray, t: int) -> np.ndarray:
+        """Which of the units with these draws skip their t-th candidate."""
+        return (draws * np.uint64((2 * t + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) >> np.uint64(40)) & np.uint64(0xFFFF) < np.uint64(self.limit)
+
+    @staticmethod
+    def mixed(keys: np.ndarray | np.uint64, places: np.ndarray) -> np.ndarray:
+        """The draws of units at these places, from 1, of texts with these keys."""
+        x = places.astype(np.uint64) * _HASH + keys
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of a known mixer
             x ^= x >> np.uint64(shift)
             x *= np.uint64(by)
-        x ^= x >> np.uint64(31)
+        return x ^ x >> np.uint64(31)
+
+    def draws(self, key: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of n units of the text with this key: its draw, and which of its first DRAWN candidates are skipped."""
+        x = self.mixed(np.uint64(key), np.arange(1, n + 1))
         mask = np.zeros(n, np.int64)
         if self.limit:
             for t in range(DRAWN):
-                mask |= ((x * np.uint64((2 * t + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) >> np.uint64(40)) & np.uint64(0xFFFF) < np.uint64(self.limit)).astype(np.int64) << t
+                mask |= self.skips(x, t).astype(np.int64) << t
         return x, mask
 
+    def _agendas(self, sym: np.ndarray, draws: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of units of one length, a row each, after their agendas, -1 where one was merged to its left; and how many
+        candidates each came to. All rows take their t-th candidate together. Neighbours are linked; the last column is no
+        symbol and stands at both ends."""
+        merges, (n, size) = self.merges, sym.shape
+        wide = size + 1
+        full = np.full((n, wide), -1, np.int64)
+        full[:, :size] = sym
+        to = np.full((n, wide), -1, np.int64)
+        to[:, : size - 1] = merges.merged(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, -1)
+        agenda = merges.order[to]  # of -1: none
+        after = np.tile(np.minimum(np.arange(1, wide + 1), size), (n, 1))
+        before = np.tile(np.r_[size, 0:size], (n, 1))
+        rows, t, came = np.arange(n), 0, np.zeros(n, np.int64)
+        flat, into, ranks, right, left = full.reshape(-1), to.reshape(-1), agenda.reshape(-1), after.reshape(-1), before.reshape(-1)
+        while len(rows):
+            k = (agenda if len(rows) == n else agenda[rows]).argmin(axis=1)
+            at = rows * wide + k
+            open_ = ranks[at] < NONE
+            rows, at = rows[open_], at[open_]
+            came[rows] += 1
+            go = at
+            if draws is not None:
+                skip = self.skips(draws[rows], t)
+                ranks[at[skip]] = NONE
+                go = at[~skip]
+            t += 1
+            base = go - go % wide
+            j = base + right[go]
+            flat[go], flat[j], ranks[j] = into[go], -1, NONE
+            following, previous = right[j], left[go]
+            right[go] = following
+            left[base + following] = go - base
+            for x, y, z in ((go, base + following, go), (base + previous, go, base + previous)):
+                into[z] = got = merges.merged(flat[x], flat[y])
+                ranks[z] = merges.order[got]
+        return full[:, :size], came
+
+    def _ids(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols laid end to end, and how many each has: those without a piece are written as bytes."""
+        got = np.where(sym < self.merges.raw, self.id_of[np.minimum(sym, self.merges.raw - 1)], -1)
+        size = np.ones(len(sym), np.int64)
+        bare = np.flatnonzero(got < 0)
+        if not len(bare):
+            return got, size
+        kinds, of = np.unique(sym[bare], return_inverse=True)
+        body = [[self.byte[b] for b in (chr(x - self.merges.raw) if x >= self.merges.raw else self.merges.symbols[x]).encode("utf-8", "surrogatepass")] for x in kinds.tolist()]
+        size[bare] = np.array([len(x) for x in body])[of]
+        start = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.int64)
+        out[start] = got
+        for j in range(4):
+            some = size[bare] > j
+            out[start[bare[some]] + j] = np.array([x[j] if j < len(x) else 0 for x in body])[of[some]]
+        return out, size
+
+    def cut(self, units: list[str], draws: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``unit`` does, many at a time: all ids as int32, where each unit's begin, how many they are, and how many
+        candidates its agenda came to. Without ``draws`` nothing is skipped."""
+        n = np.fromiter(map(len, units), np.int64, len(units))
+        if not units:
+            return np.zeros(0, np.int32), n, n, n
+        first, length, came = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts, order = np.cumsum(n) - n, np.argsort(n, kind="stable")
+        edges = np.flatnonzero(np.diff(n[order], prepend=-1))
+        out, held = [], 0
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(n)], strict=True):
+            size = int(n[order[a]])
+            for lo in range(a, b, AT_ONCE):
+                mine = order[lo : min(b, lo + AT_ONCE)]
+                if size > TOGETHER:
+                    got = [self._alone(units[k], None if draws is None else int(draws[k])) for k in mine.tolist()]
+                    ids = np.frombuffer(b"".join(x for x, _ in got), np.int32)
+                    lengths, came[mine] = np.array([len(x) // 4 for x, _ in got]), [t for _, t in got]
+                else:
+                    sym, came[mine] = self._agendas(self.merges.of[points[starts[mine][:, None] + np.arange(size)]], None if draws is None else draws[mine])
+                    kept = sym >= 0
+                    ids, each = self._ids(sym[kept])
+                    of = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(kept.sum(axis=1))])]
+                    lengths = np.diff(of)
+                first[mine], length[mine] = held + np.cumsum(lengths) - lengths, lengths
+                out.append(ids.astype(np.int32))
+                held += len(ids)
+        return np.concatenate(out), first, length, came
+
+    def _alone(self, unit: str, draw: int | None) -> tuple[bytes, int]:
+        if draw is not None:
+            one = np.array([draw], np.uint64)
+            return self.unit(unit, draw, sum(int(self.skips(one, t)[0]) << t for t in range(DRAWN)))
+        limit, self.limit = self.limit, 0
+        try:
+            return self.unit(unit, 0, 0)
+        finally:
+            self.limit = limit
+
+    def encode_all(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts as int32, and how many each has; as ``encode`` gives them. Each distinct unit is cut once, and
+        each occurrence that skips one of the candidates of that cut again. Nothing is kept for other texts."""
+        found = [UNIT.findall(" " + t) if t else [] for t in texts]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        code: dict[str, int] = {}
+        codes = np.fromiter((code.setdefault(u, len(code)) for us in found for u in us), np.int64, int(n.sum()))
+        units = list(code)
+        ids, first, length, came = self.cut(units)
+        first, length = first[codes], length[codes]
+        if self.limit:
+            places = np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(n) - n, n)
+            draws = self.mixed(np.repeat(np.array(keys, np.uint64), n), places)
+            most = came[codes]
+            other, asked = most > DRAWN, np.flatnonzero(most <= DRAWN)
+            for t in range(DRAWN):
+                asked = asked[most[asked] > t]
+                skip = self.skips(draws[asked], t)
+                other[asked[skip]] = True
+                asked = asked[~skip]
+            again = np.flatnonzero(other)
+            more, begin, first_length, _ = self.cut([units[k] for k in codes[again].tolist()], draws[again])
+            first[again], length[again] = begin + len(ids), first_length
+            ids = np.concatenate([ids, more])
+        ends = np.concatenate([[0], np.cumsum(length)])
+        flat = ids[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])]
+        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
+
     def encode(self, text: str | None, key: int, memo: Memo) -> bytes:
         """Ids of a whole text as int32. Every occurrence of a unit has draws of its own."""
         if not text:
@@ -202,15 +390,14 @@ class Memo:
 
 
 #: The encoder that a Python worker keeps from task to task.
-_CODERS: dict[tuple, tuple[Pieces, Memo]] = {}
+_CODERS: dict[tuple, Pieces] = {}
 
 
-def _coder(model: bytes, dropout: float, seed: int) -> tuple[Pieces, Memo]:
+def _coder(model: bytes, dropout: float, seed: int) -> Pieces:
     key = (hash(model), dropout, seed)
     if key not in _CODERS:
         _CODERS.clear()
-        coder = Pieces(model, dropout, seed)
-        _CODERS[key] = coder, Memo(coder)
+        _CODERS[key] = Pieces(model, dropout, seed)
     return _CODERS[key]
 
 
@@ -232,19 +419,20 @@ def encode(documents: DataFrame, model: str = MODEL, dropout: float = 0.1, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        coder, memo = _coder(body, dropout, seed)
+        coder = _coder(body, dropout, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, ends, right = [], [0], []
-                part = batch.slice(at, 500)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    key = xxhash.xxh3_64_intdigest(str(doc) if doc is not None else (text or "").encode("utf-8", "surrogatepass"), seed=seed)
-                    got = np.frombuffer(coder.encode(text, key, memo), np.int32)
-                    ids.append(got)
-                    ends.append(ends[-1] + len(got))
-                    right.append(coder.decode(got) == (text or "").encode("utf-8", "surrogatepass"))
-                pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pieces, pa.array(np.diff(ends).astype(np.int64)), pa.array(right)], ["doc_id", "pieces", "n_pieces", "lossless"])
+            # a stretch of texts ends with the one that fills it
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // CHARACTERS
+            cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                keys = [xxhash.xxh3_64_intdigest(str(d) if d is not None else (t or "").encode("utf-8", "surrogatepass"), seed=seed) for d, t in zip(docs, texts, strict=True)]
+                ids, n = coder.encode_all(texts, keys)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                right = [coder.decode(ids[a:b]) == (t or "").encode("utf-8", "surrogatepass") for t, a, b in zip(texts, ends.tolist(), ends[1:].tolist(), strict=False)]
+                pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), pieces, pa.array(n), pa.array(right, pa.bool_())], ["doc_id", "pieces", "n_pieces", "lossless"])
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(run, "doc_id long, pieces array<int>, n_pieces long, lossless boolean")

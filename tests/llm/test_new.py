@@ -257,3 +257,24 @@ def test_units_of_a_large_worker_stay_known():
     for k in range(100):
         small.first(str(k), 0, 0)
     assert len(small.plain) <= 10
+
+
+def test_units_are_cut_together_as_one_by_one(spark):
+    from siteview.llm import subword
+
+    odd = ["", None, "a", "\n", " ", "  two  spaces \n\n end ", "\u2581 literal\u2581", "\0 nul\0\u2581", "\U0001f600\U0001f600 \u00e9\u0301 \ud55c\uad6d", "a" * 33, "ab" * 40, "x" * 700, "1234567890 " * 9]
+    texts = odd + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    keys = [(k * 0x9E3779B97F4A7C15 + 5) % (1 << 64) for k in range(len(texts))]
+    for dropout in (0.0, 0.1, 0.6):
+        coder = subword.Pieces(subword._model(subword.MODEL), dropout, 1)
+        cuts = []
+        alone, coder.unit = coder.unit, lambda unit, draw, mask: cuts.append(unit) or alone(unit, draw, mask)  # noqa: B023
+        ids, n = coder.encode_all(texts, keys)
+        assert all(len(u) > subword.TOGETHER for u in cuts)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        memo = subword.Memo(coder)
+        for text, key, a, b in zip(texts, keys, ends, ends[1:], strict=False):
+            assert ids[a:b].tobytes() == coder.encode(text, key, memo), (dropout, text)
+    none, n = coder.encode_all([None, ""], [1, 2])
+    assert len(none) == 0 and n.tolist() == [0, 0]
+    assert [len(x) for x in coder.encode_all([], [])] == [0, 0]
