@@ -13,6 +13,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,14 @@ def _strings(values: pa.Array) -> list[str]:
     return out if len(out) == len(values) else values.to_pylist()
 
 
+def _lines(unit: str) -> list[str]:
+    """The lines of a unit and the line feeds between them, if no other white space is beside a line feed."""
+    lines = unit.split("\n")
+    if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        return []
+    return [lines[0], *(x for line in lines[1:] for x in ("\n", line))]
+
+
 class Units:
     """Ids of texts by the tokenizer, unit by unit. A text is cut before single spaces between two characters that are no
     white space, where the tokenizer's own split always cuts; each distinct unit is encoded once and remembered."""
@@ -175,11 +184,14 @@ class Units:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_str(vocabulary)
+        feed = self.coder.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
         self.clear()
 
     def clear(self) -> None:
         self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.ids, self.size = np.zeros(1 << 16, np.uint32), 0
+        self.count = 0
         self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -196,34 +208,65 @@ class Units:
 
     def _learn(self, units: list[str], lead: int) -> np.ndarray:
         """The number of each unit; those not known are encoded. The tokenizer's split always cuts between a letter and a
-        sentence's mark, so a unit that ends in marks behind a letter is put together from its word and its marks."""
+        sentence's mark, and before and behind a line feed between characters that are no white space, so a unit of several
+        lines, and one that ends in marks behind a letter, is put together from its parts."""
         known = self.known[lead]
-        new = [u for u in units if u not in known]
-        if new:
-            cut = [(u, w, u[len(w) :]) for u in new if u[-1:] in _MARKS and (w := u.rstrip(_MARKS)) and w[-1].isalpha()]
-            ends, words = list({m for _, _, m in cut}), list({w for _, w, _ in cut})
-            if cut:
-                whole = {u for u, _, _ in cut}
-                self._encode([u for u in new if u not in whole], lead)
-                word, end = dict(zip(words, self._learn(words, lead).tolist(), strict=True)), dict(zip(ends, self._learn(ends, 0).tolist(), strict=True))
-                a, b = (np.fromiter((x[c[k]] for c in cut), np.int64, len(cut)) for k, x in ((1, word), (2, end)))
-                pairs = np.column_stack([self.first[a], self.first[b]]).ravel()
-                sizes = np.column_stack([self.length[a], self.length[b]]).ravel()
-                flat = self.ids[np.repeat(pairs - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-                self._keep([u for u, _, _ in cut], lead, flat, self.length[a] + self.length[b])
-            else:
-                self._encode(new, lead)
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        number = np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
+        lost = np.flatnonzero(number < 0)
+        if not len(lost):
+            return number
+        asked = [units[k] for k in lost.tolist()]
+        new = list(dict.fromkeys(asked))
+        lines = [(u, *x) for u in new if "\n" in u and (x := _lines(u))]
+        if lines:  # their parts may be among the others
+            self._compose(lines, lead)
+            new = [u for u in new if u not in known]
+        ends = [(u, w, u[len(w) :]) for u in new if u[-1:] in _MARKS and (w := u.rstrip(_MARKS)) and w[-1].isalpha()]
+        apart = {u for u, *_ in ends}
+        self._encode([u for u in new if u not in apart], lead)
+        if ends:
+            self._compose(ends, lead)
+        number[lost] = np.fromiter(map(known.__getitem__, asked), np.int64, len(asked))
+        return number
+
+    def _compose(self, units: list[tuple[str, ...]], lead: int) -> None:
+        """Keep units that are given with their parts; parts that are not known are encoded."""
+        counts = np.fromiter((len(c) - 1 for c in units), np.int64, len(units))
+        starts = np.cumsum(counts) - counts
+        of, behind = np.zeros(int(counts.sum()), np.int64), np.ones(int(counts.sum()), bool)
+        behind[starts] = False
+        of[starts] = self._learn([c[1] for c in units], lead)
+        of[behind] = self._learn([x for c in units for x in c[2:]], 0)
+        sizes = self.length[of]
+        flat = self.ids[np.repeat(self.first[of] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self._keep([c[0] for c in units], lead, flat, np.add.reduceat(sizes, starts))
 
     def _encode(self, new: list[str], lead: int) -> None:
-        if new:
-            coded = [x.ids for x in self.coder.encode_batch_fast([" " + u for u in new] if lead else new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum()))
-            self._keep(new, lead, flat, lengths)
+        """Encode units. Those without white space are encoded as lines of one text: the tokenizer's split always cuts before
+        and behind a line feed there, and no other token is its id."""
+        if not new:
+            return
+        lines = ("\n " if lead else "\n").join(["", *new, ""])
+        if self.feed is not None and lines.split() == new:
+            flat = np.array(self.coder.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(flat == self.feed)
+            if lead:  # the last line is a space
+                flat = flat[: at[-1]]
+            lengths = np.diff(at) - 1
+            self._keep(new, lead, flat[flat != self.feed], lengths)
+            return
+        if len(new) > 1:
+            bare = [len(u.split()) == 1 and u.strip() == u for u in new]
+            if any(bare) and not all(bare):
+                self._encode([u for u, x in zip(new, bare, strict=True) if x], lead)
+                self._encode([u for u, x in zip(new, bare, strict=True) if not x], lead)
+                return
+        coded = [x.ids for x in self.coder.encode_batch_fast([" " + u for u in new] if lead else new, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        self._keep(new, lead, np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths)
 
     def _keep(self, new: list[str], lead: int, flat: np.ndarray, lengths: np.ndarray) -> None:
-        at = sum(map(len, self.known))
+        at = self.count
         while self.size + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         while at + len(new) > len(self.first):
@@ -232,12 +275,13 @@ class Units:
         self.first[at : at + len(new)] = self.size + np.cumsum(lengths) - lengths
         self.length[at : at + len(new)] = lengths
         self.size += len(flat)
+        self.count += len(new)
         self.known[lead].update(zip(new, range(at, at + len(new)), strict=True))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``end``, and the number of ids of each."""
         texts = pc.fill_null(texts, "")
-        if sum(map(len, self.known)) > _KEPT or self.size > _IDS:
+        if self.count > _KEPT or self.size > _IDS:
             self.clear()
         units, n = self._units(texts)
         coded = units.dictionary_encode()
@@ -248,9 +292,11 @@ class Units:
         number = np.zeros(len(codes), np.int64)
         for which in (0, 1):
             mine = np.flatnonzero(lead == bool(which))
-            used, back = np.unique(codes[mine], return_inverse=True)
+            used = np.flatnonzero(np.bincount(codes[mine], minlength=len(named)))
             if len(used):
-                number[mine] = self._learn([named[k] for k in used], which)[back]
+                each = np.zeros(len(named), np.int64)
+                each[used] = self._learn(named if len(used) == len(named) else [named[k] for k in used.tolist()], which)
+                number[mine] = each[codes[mine]]
         lengths = self.length[number]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         of = np.repeat(self.first[number] - ends[:-1], lengths) + np.arange(ends[-1])

@@ -278,3 +278,32 @@ def test_units_are_cut_together_as_one_by_one(spark):
     none, n = coder.encode_all([None, ""], [1, 2])
     assert len(none) == 0 and n.tolist() == [0, 0]
     assert [len(x) for x in coder.encode_all([], [])] == [0, 0]
+
+
+def test_lines_are_put_together_from_known_words():
+    import pyarrow as pa
+
+    with open(rans.VOCABULARY, encoding="utf-8") as f:
+        units = rans.Units(f.read())
+    marks = ["", ",", ".", "...", "?!", "»", "'s", "9", "́"]
+    words = [w + m for w in ("hay", "Été", "x1", "don't", "한국", "<|endoftext|>", "Ġ", "-") for m in marks]
+    gaps = [" ", "\n", "\n\n", " \n", "\n ", "\t", "\x1c", " ", "\r\n", "  "]
+    draw = random.Random(3)
+    for _ in range(6):  # what one round keeps must not mislead the next
+        texts = ["".join(draw.choice(words) + draw.choice(gaps[: draw.choice((1, 2, 10))]) for _ in range(draw.randint(0, 30))) for _ in range(200)]
+        ids, n = units.encode(pa.array(["", "hay,", "hay,\nhay.", "hay,", *texts]), rans.END)
+        want = [[*units.coder.encode(t, add_special_tokens=False).ids, rans.END] for t in ["", "hay,", "hay,\nhay.", "hay,", *texts]]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [x for w in want for x in w]
+
+    asked = []
+
+    class Coder:
+        def encode_batch_fast(self, given, add_special_tokens):
+            asked.extend(given)
+            return coder.encode_batch_fast(given, add_special_tokens=add_special_tokens)
+
+    coder, units.coder = units.coder, Coder()
+    units.encode(pa.array(["one two three\n", "two", "three", "\n"]), rans.END)
+    asked.clear()
+    ids, _ = units.encode(pa.array(["one two\nthree,\ntwo"]), rans.END)
+    assert asked == [] and ids.tolist() == [*coder.encode("one two\nthree,\ntwo", add_special_tokens=False).ids, rans.END]
