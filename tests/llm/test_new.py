@@ -307,3 +307,18 @@ def test_lines_are_put_together_from_known_words():
     asked.clear()
     ids, _ = units.encode(pa.array(["one two\nthree,\ntwo"]), rans.END)
     assert asked == [] and ids.tolist() == [*coder.encode("one two\nthree,\ntwo", add_special_tokens=False).ids, rans.END]
+
+
+def test_a_worker_keeps_no_units():
+    import tracemalloc
+
+    from siteview.llm import subword
+
+    coder = subword._coder(subword._model(subword.MODEL), 0.1, 1)
+    coder.encode_all(["warm up"], [1])
+    tracemalloc.start()
+    for k in range(3):
+        coder.encode_all([" ".join(f"w{k}x{i}" for i in range(20_000))], [k])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 1 << 20
