@@ -76,39 +76,69 @@ def score_pairs(
     return pairs.select("site_id", "vp_id", "hs_id", "dist", "facing", "in_frame", "framing", (F.col("interest") * F.col("framing") * focal).alias("term"))
 
 
-#: Rows of one side that a task holds in a group of ``score_sums``, and pairs that it weighs at once: few enough that a product of matrices stays in one thread.
-PART, WEIGHED = 20_000, 60_000
+#: Rows of one side that a task holds in a group of ``score_sums``, and pairs that it weighs at once: few enough that a product of matrices stays in one
+#: thread and that the arrays of a slice stay near the core.
+PART, WEIGHED = 20_000, 30_000
 
 
-def _sums(v: dict[str, np.ndarray], h: dict[str, np.ndarray], power: float, centre: float, cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every viewpoint the sum of its terms, and for every hotspot its number of pairs and their framing; which viewpoints have a pair."""
+def _sums(v: dict[str, np.ndarray], h: dict[str, np.ndarray], power: float, centre: float, cutoff: float, of: str) -> tuple[np.ndarray, ...]:
+    """For ``of`` "vp_id" which viewpoints have a pair and the sum of each one's terms, for "hs_id" which hotspots have one, the number
+    of each one's pairs and their framing. Only what is asked for is worked out."""
     n, m = len(v["ve"]), len(h["he"])
     term, some, count, framed = np.zeros(n), np.zeros(n, bool), np.zeros(m, np.int64), np.zeros(m)
     place, normal = np.stack([h["he"], h["hn"], h["hu"]]), np.stack([h["nx"], h["ny"], h["nz"]])
+    v = v | {"_w2": v["_w"] / 2, "_h2": v["_h"] / 2, "_s": -2 * v["_width"] * v["_width"]}
     step = max(1, WEIGHED // max(1, m))
     for at in range(0, n, step):
         p = {k: x[at : at + step] for k, x in v.items()}
-        pos = np.stack([p["ve"], p["vn"], p["vu"]], axis=1)
-        facing = pos @ normal - h["_n"]
-        look = {k: np.stack([p[f"_{k}{i}"] for i in range(3)], axis=1) @ place - p[f"_{k}3"][:, None] for k in "zxy"}
-        z = look["z"]
-        on = (facing > 0) & (z > 1e-9) & (look["x"] >= 0) & (look["x"] < p["_w"][:, None] * z) & (look["y"] >= 0) & (look["y"] < p["_h"][:, None] * z)
-        a, b = np.nonzero(on)
-        dist = np.sqrt((h["he"][b] - p["ve"][a]) ** 2 + (h["hn"][b] - p["vn"][a]) ** 2 + (h["hu"][b] - p["vu"][a]) ** 2)
-        z = z[a, b]
-        off = np.sqrt(((look["x"][a, b] / z - p["cx"][a]) / (p["_w"][a] / 2)) ** 2 + ((look["y"][a, b] / z - p["cy"][a]) / (p["_h"][a] / 2)) ** 2) / np.sqrt(2.0)
-        reward = 1.0 - centre + centre * (1 - np.minimum(1.0, off))
+        rows = len(p["ve"])
+        away = np.stack([p["ve"], p["vn"], p["vu"]], axis=1) @ normal
+        away -= h["_n"]
+        x, y, z = (np.stack([p[f"_{k}{i}"] for i in range(3)], axis=1) @ place - p[f"_{k}3"][:, None] for k in "xyz")
+        on = away > 0
+        for also in (z > 1e-9, x >= 0, x < p["_w"][:, None] * z, y >= 0, y < p["_h"][:, None] * z):
+            on &= also
+        pair = np.flatnonzero(on)
+        a = pair // m
+        b = pair - a * m
+        away, x, y, z = (t.take(pair) for t in (away, x, y, z))
+        dist = np.zeros(len(pair))
+        for c in "enu":
+            gap = h[f"h{c}"].take(b)
+            gap -= p[f"v{c}"].take(a)
+            gap *= gap
+            dist += gap
+        np.sqrt(dist, out=dist)
+        for t, middle, half in ((x, "cx", "_w2"), (y, "cy", "_h2")):
+            t /= z
+            t -= p[middle].take(a)
+            t /= p[half].take(a)
+            t *= t
+        x += y
+        reward = np.sqrt(x, out=x)
+        reward /= np.sqrt(2.0)
+        np.minimum(reward, 1.0, out=reward)
+        reward = 1.0 - centre + centre * (1 - reward)
         near = (dist >= 1e-9) & (dist <= cutoff) & ((reward > 0) if centre == 1 else True)
-        a, b, dist, reward, away = a[near], b[near], dist[near], reward[near], facing[a, b][near]
-        framing = (away / dist) ** power * reward
-        focal = np.exp(-((dist - p["_best"][a]) ** 2) / (2 * p["_width"][a] * p["_width"][a]))
-        # a term without an optimal distance or a width is null, and nulls are not summed
-        weight = np.where(np.isnan(p["_best"][a] + p["_width"][a]), 0.0, h["interest"][b] * framing * focal)
-        term[at : at + step] = np.bincount(a, weight, len(pos))
-        some[at : at + step] = np.bincount(a, minlength=len(pos)) > 0
-        count += np.bincount(b, minlength=m)
-        framed += np.bincount(b, framing, m)
-    return term, some, count, framed
+        if not near.all():
+            a, b, dist, reward, away = a[near], b[near], dist[near], reward[near], away[near]
+        away /= dist
+        framing = away if power == 1 else away**power
+        framing *= reward
+        if of == "vp_id":
+            some[at : at + step] = np.bincount(a, minlength=rows) > 0
+            dist -= p["_best"].take(a)
+            dist *= dist
+            dist /= p["_s"].take(a)
+            framing *= np.exp(dist, out=dist)
+            framing *= h["interest"].take(b)
+            # a term without an optimal distance or a width is null, and nulls are not summed
+            known = ~np.isnan(p["_best"] + p["_width"])
+            term[at : at + step] = np.bincount(a, framing if known.all() else np.where(known[a], framing, 0.0), rows)
+        else:
+            count += np.bincount(b, minlength=m)
+            framed += np.bincount(b, framing, m)
+    return (some, term) if of == "vp_id" else (count > 0, count, framed)
 
 
 def score_sums(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, of: str, optimal: float = 12.0, sigma: float = 6.0, power: float = 1.0, centre: float = 0.5, cutoff: float | None = None) -> DataFrame:
@@ -123,7 +153,8 @@ def score_sums(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, o
     h = h.where("he IS NOT NULL AND hn IS NOT NULL AND hu IS NOT NULL AND ny IS NOT NULL AND nz IS NOT NULL").withColumn("interest", F.coalesce("interest", F.lit(0.0)))
     keys = ["site_id", "ce", "cn", "cu"]
     parts = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
-    sizes = parts(v, "_vs").join(parts(h, "_hs"), keys)
+    # by compressed bytes Spark would choose to send the hotspots of 27 cells through the driver
+    sizes = voxels.sorted_side(parts(v, "_vs").join(voxels.sorted_side(parts(h, "_hs")), keys))
     v = v.join(sizes, keys).withColumn("_v", F.pmod(F.hash("vp_id"), "_vs")).withColumn("_h0", F.explode(F.expr("sequence(0, _hs - 1)"))).drop("_vs", "_hs")
     h = h.join(sizes, keys).withColumn("_h0", F.pmod(F.hash("hs_id"), "_hs")).withColumn("_v", F.explode(F.expr("sequence(0, _vs - 1)"))).drop("_vs", "_hs")
     vn, hn = [c for c in v.columns if c not in (*keys, "vp_id", "_v", "_h0")], ["he", "hn", "hu", "nx", "ny", "nz", "interest", "_n"]
@@ -135,9 +166,8 @@ def score_sums(viewpoints: DataFrame, hotspots: DataFrame, cameras: DataFrame, o
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         flat = lambda t, names: {c: t.column(c).to_numpy() for c in names}
-        term, some, count, framed = _sums(flat(left, vn), flat(right, hn), power, centre, far)
-        rows, on, sums = (left, some, [term]) if of == "vp_id" else (right, count > 0, [count, framed])
-        rows = rows.filter(pa.array(on))
+        on, *sums = _sums(flat(left, vn), flat(right, hn), power, centre, far, of)
+        rows = (left if of == "vp_id" else right).filter(pa.array(on))
         names = ["_score"] if of == "vp_id" else ["_count", "_framing"]
         return pa.table([rows.column("site_id"), rows.column(of), *[pa.array(x[on]) for x in sums]], names=["site_id", of, *names])
 

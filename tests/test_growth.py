@@ -328,3 +328,16 @@ def test_rotations_are_worked_out_once(spark):
     got = turned.collect()
     assert len(got) == 3 and [r.qw is None for r in got] == [False, False, True] and kept.count() == 2
     assert all(abs(r.qw**2 + r.qx**2 + r.qy**2 + r.qz**2 - 1) < 1e-12 for r in got[:2])
+
+
+def test_hotspots_of_scored_sums_are_not_broadcast(spark):
+    from siteview.operators import camera, interest
+
+    cams = spark.sql("SELECT 0 AS camera_id, 84D AS hfov, 53D AS vfov, 640 AS width, 480 AS height")
+    poses = spark.range(50).selectExpr("cast(id % 3 as int) AS site_id", "id AS vp_id", "id - 20D AS e", "3D * id - 60 AS n", "5D AS u", "0D AS te", "0D AS tn", "5D AS tu", "0 AS camera_id")
+    spots = spark.range(90).selectExpr("cast(id % 3 as int) AS site_id", "id AS hs_id", "id % 15D AS e", "id % 13D AS n", "id % 11D AS u", "1D AS nx", "0D AS ny", "0D AS nz", "1D AS interest")
+    for of in ("vp_id", "hs_id"):
+        sums = interest.score_sums(camera.look_at(poses), spots, cams, of)
+        assert sums.count()
+        # the cells of hotspots, 27 each, and of viewpoints are merged by sorting; cameras are a handful of rows
+        assert not [j for j in _broadcast(sums) if "site_id" in j]
