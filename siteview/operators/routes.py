@@ -1,5 +1,5 @@
 """Visit orders and smooth trajectories, one mission a group (G5-G7). After the selection (O1) a mission has tens of waypoints; visit
-orders cut a longer one into bounded stretches, splines hold the waypoints of one mission."""
+orders and splines hold the waypoints of one mission."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import measures, missions
 
 
-#: Points of a mission that are ordered together; a longer mission is cut into stretches of so many by seq.
+#: Points that are ordered together where a caller leaves ``stretch`` as it is; the registered queries order missions whole.
 STRETCH = 400
 
 
@@ -75,6 +75,63 @@ def _visit(p: np.ndarray) -> list[int]:
     return _visits(p[None])[0].tolist()
 
 
+def _visit_long(p: np.ndarray) -> np.ndarray:
+    """``_visits`` of one set of which all distances would be more than HELD: the same reversals and moves, weighed over the distances of
+    some points at a time."""
+    n = len(p)
+
+    def far(some: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return np.rint(np.sqrt(((some[:, None] - to[None]) ** 2).sum(axis=2)) * 1000) / 1000
+
+    free, order = np.ones(n, bool), np.zeros(n, np.int64)
+    free[0] = False
+    for k in range(1, n):
+        order[k] = np.where(free, far(p[order[k - 1], None], p)[0], np.inf).argmin()
+        free[order[k]] = False
+    at, rows = np.arange(n), max(1, HELD // (n + 1))
+    while True:
+        q = p[order]
+        step = np.append(np.rint(np.sqrt(((q[:-1] - q[1:]) ** 2).sum(axis=1)) * 1000) / 1000, 0.0)
+        tries = min(3, n - 1)
+        least, where = np.full(1 + tries, np.inf), np.zeros((1 + tries, 2), np.int64)
+        for lo in range(0, n, rows):
+            # row and column n stand for the open end, at no distance
+            w = np.zeros((min(rows + 3, n + 1 - lo), n + 1))
+            w[: min(len(w), n - lo), :n] = far(q[lo : lo + len(w)], q)
+            some = np.arange(lo, min(lo + rows, n - 1))
+            if len(some):
+                turn = w[some - lo, 1:n] + w[some - lo + 1, 2:] - step[some, None] - step[None, 1:]
+                turn[at[None, : n - 1] < some[:, None]] = 0
+                k = int(turn.argmin())
+                if turn.flat[k] < least[0]:
+                    least[0], where[0] = turn.flat[k], (some[k // (n - 1)], k % (n - 1))
+            for more in range(tries):
+                x = np.arange(max(1, lo), min(lo + rows, n - more))
+                if not len(x):
+                    continue
+                y = x + more
+                ends = np.where(y + 1 < n, np.rint(np.sqrt(((q[x - 1] - q[np.minimum(y + 1, n - 1)]) ** 2).sum(axis=1)) * 1000) / 1000, 0.0)
+                closed = ends - step[x - 1] - step[y]
+                put = closed[:, None] + w[x - lo, :n] + w[y - lo, 1:] - step[None, :]
+                put[(at[None, :] >= x[:, None] - 1) & (at[None, :] <= y[:, None])] = 0
+                k = int(put.argmin())
+                if put.flat[k] < least[1 + more]:
+                    least[1 + more], where[1 + more] = put.flat[k], (x[k // n], k % n)
+        kind, best = -1, -1e-9
+        for k, gain in enumerate(least):
+            if gain < best:
+                kind, best = k, gain
+        if kind < 0:
+            return order
+        if kind == 0:
+            a, b = 1 + where[0]
+            order[a : b + 1] = order[a : b + 1][::-1].copy()
+        else:
+            (a, c), b = where[kind], where[kind][0] + kind - 1
+            place = np.where((at >= a) & (at <= b), c + (at - a + 1) / (n + 1), at)
+            order = order[np.argsort(place, kind="stable")]
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups and where the groups begin, of rows in order that mark a group's first row by ``_first``."""
     held: list[pa.RecordBatch] = []
@@ -102,26 +159,30 @@ def _coordinates(rows: pa.Table, columns: str = "enu") -> np.ndarray:
     return np.column_stack([rows.column(c).to_numpy().astype(float) for c in columns])
 
 
-def route_missions(points: DataFrame) -> DataFrame:
+def route_missions(points: DataFrame, stretch: int | None = STRETCH) -> DataFrame:
     """Adds visit, the place of each point in its mission's path. The path starts at the first point by seq, is open, and
-    no reversal of a stretch and no move of up to three points shortens it. A mission of more than STRETCH points is cut
-    into stretches by seq, each a path of that kind from its own first point, flown one after the other, so that no task
-    holds more than a stretch. Missions of equal size are ordered together."""
+    no reversal of a part and no move of up to three points shortens it. Missions of equal size are ordered together; of a long
+    one, the distances of some points at a time are held, and the path is the same.
+
+    With a ``stretch`` of None that holds for missions of any size. Else a mission of more points is cut into stretches of so
+    many by seq, each a path of that kind from its own first point, flown one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begins in _whole(batches):
             p, sizes = _coordinates(rows), np.diff(np.append(begins, rows.num_rows))
             order = np.empty(rows.num_rows, np.int64)
             for n in np.unique(sizes):
-                of, most = begins[sizes == n], max(1, HELD // int(n + 1) ** 2)
-                for k in range(0, len(of), most):
+                of, most = begins[sizes == n], HELD // int(n + 1) ** 2
+                for k in of if not most else ():
+                    order[k : k + n] = k + _visit_long(p[k : k + n])
+                for k in range(0, len(of), most) if most else ():
                     at = of[k : k + most, None] + np.arange(n)
                     order[at] = of[k : k + most, None] + _visits(p[at])
             out = rows.take(pa.array(order))
             yield from out.drop_columns(["_first", "_place"]).append_column("visit", rows.column("_place").cast(pa.int64())).to_batches()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in points.dtypes) + ", visit long"
-    return _in_order(points, STRETCH).mapInArrow(run, schema)
+    return _in_order(points, stretch).mapInArrow(run, schema)
 
 
 def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

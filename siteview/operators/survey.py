@@ -65,7 +65,7 @@ def build_missions(field: DataFrame, aoi: DataFrame, obstacles: DataFrame, k: in
     """
     picked = voxels._checkpoint(interest.select_viewpoints(field, aoi, obstacles, k))
     stops = picked.withColumn("mission_id", F.col("site_id")).withColumn("seq", F.col("rank") - 1).withColumn("speed", F.lit(cruise))
-    order = routes.route_missions(stops.select("mission_id", "site_id", "seq", "e", "n", "u", "speed")).select("mission_id", "seq", "visit")
+    order = routes.route_missions(stops.select("mission_id", "site_id", "seq", "e", "n", "u", "speed"), stretch=None).select("mission_id", "seq", "visit")
     routed = stops.join(order, ["mission_id", "seq"]).drop("seq", "rank").withColumnRenamed("visit", "seq")
     waypoints = voxels._checkpoint(missions.assign_shot_types(routed, distinct))
     posed = rays.aim_points(waypoints)

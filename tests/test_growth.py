@@ -341,3 +341,24 @@ def test_hotspots_of_scored_sums_are_not_broadcast(spark):
         assert sums.count()
         # the cells of hotspots, 27 each, and of viewpoints are merged by sorting; cameras are a handful of rows
         assert not [j for j in _broadcast(sums) if "site_id" in j]
+
+
+def test_long_missions_are_ordered_whole(spark, monkeypatch):
+    import numpy as np
+
+    from siteview.operators import routes
+    from siteview.plans import sight
+
+    rng = np.random.default_rng(12)
+    sets = {m: np.round(rng.uniform(-60, 60, (n, 3)), int(m % 3)) for m, n in enumerate((2, 3, 4, 5, 9, 40, 61, 62))}
+    want = {m: routes._visit(p) for m, p in sets.items()}
+    table = spark.createDataFrame([(m, s, *map(float, x)) for m, p in sets.items() for s, x in enumerate(p)], "mission_id int, seq int, e double, n double, u double")
+    monkeypatch.setattr(sight.T, "waypoints", lambda spark, sf: table)
+    monkeypatch.setattr(routes, "STRETCH", 10)
+    monkeypatch.setattr(routes.route_missions, "__defaults__", (10,) if routes.route_missions.__defaults__ else None)
+    for held in (routes.HELD, 200, 1):  # all distances of a mission at once, of some points, of one point
+        monkeypatch.setattr(routes, "HELD", held)
+        got = {}
+        for r in sight.g5_route_missions(spark, None).orderBy("mission_id", "visit").collect():
+            got.setdefault(r.mission_id, []).append(r.seq)
+        assert got == want
