@@ -362,3 +362,28 @@ def test_long_missions_are_ordered_whole(spark, monkeypatch):
         for r in sight.g5_route_missions(spark, None).orderBy("mission_id", "visit").collect():
             got.setdefault(r.mission_id, []).append(r.seq)
         assert got == want
+
+
+def test_pairs_of_plots_are_not_shuffled(spark, monkeypatch):
+    from siteview.operators import plots, polygons
+
+    rnd = random.Random(37)
+    rings = []
+    for k in range(150):
+        x, y, a, b = (rnd.randrange(20), rnd.randrange(20), rnd.randrange(1, 9), rnd.randrange(1, 9)) if k % 2 else (rnd.uniform(0, 20), rnd.uniform(0, 20), rnd.uniform(1, 9), rnd.uniform(1, 9))
+        box, ell = [(x, y), (x + a, y), (x + a, y + b), (x, y + b)], [(x, y), (x + a, y), (x + a, y + b / 2), (x + a / 2, y + b / 2), (x + a / 2, y + b), (x, y + b)]
+        star = [(x, y), (x + a, y + 0.5), (x + a, y + b), (x + a / 2, y + 1e-9), (x - 1, y + b)]
+        ring = [box, ell, star, [(x, y), (x + a, y + 1), (x + 1, y + b)], box[1:] + box[:1]][k % 5][:: rnd.choice([1, -1])]
+        rings.append((f"p{k}", [(float(p), float(q)) for p, q in ring]))
+    table = spark.createDataFrame(rings, "plot_id string, polygon array<struct<x:double,y:double>>")
+    want = {(r.plot_a, r.plot_b): (r.iou, r.reason) for r in polygons.polygon_iou(plots.overlapping_pairs(table, 8.0)).collect()}
+    monkeypatch.setattr(plots, "overlapping_pairs", None)
+    monkeypatch.setattr(plots, "PLOTS", 20)
+    monkeypatch.setattr(plots, "TRIED", 50)
+    rows = plots.overlaps(table, 8.0)
+    got = {(r.plot_a, r.plot_b): (r.iou, r.reason) for r in rows.collect()}
+    assert got.keys() == want.keys() and rows.count() == len(want) > 1000
+    for k, (iou, reason) in want.items():
+        assert got[k][1] == reason and (got[k][0] is None) == (iou is None) and (iou is None or math.isclose(got[k][0], iou, rel_tol=1e-9, abs_tol=1e-9)), k
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "plot_id_a" not in plan
