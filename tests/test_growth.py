@@ -387,3 +387,24 @@ def test_pairs_of_plots_are_not_shuffled(spark, monkeypatch):
         assert got[k][1] == reason and (got[k][0] is None) == (iou is None) and (iou is None or math.isclose(got[k][0], iou, rel_tol=1e-9, abs_tol=1e-9)), k
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "plot_id_a" not in plan
+
+
+def test_legs_meet_cells_in_the_task(spark, monkeypatch):
+    from siteview.operators import legs, measures
+
+    rnd = random.Random(23)
+    ways = [(m, 1 + m % 3, s, *[rnd.uniform(-55, 55) for _ in range(2)], rnd.uniform(2, 45), rnd.choice([None, 0.5, 9.0])) for m in range(40) for s in range(rnd.randrange(1, 9))]
+    ways = spark.createDataFrame(ways, "mission_id int, site_id int, seq int, e double, n double, u double, speed double")
+    cells = sorted({(1, rnd.randrange(48), rnd.randrange(48), rnd.randrange(20)) for _ in range(150)} | {(2, rnd.randrange(-3, 48), rnd.randrange(48), rnd.randrange(20)) for _ in range(30)} | {(9, 0, 0, 0)})
+    cells = spark.createDataFrame([*cells, (2, 5000, 0, 0)], "site_id int, i int, j int, k int")
+    flat = lambda rows: {r.mission_id: (r.collided, r.landed, r.completed, r.path_m, r.time_s, r.min_clearance) for r in rows}
+    want = [flat(measures.audit_missions(ways, cells).collect()), flat(legs.audit_flights(ways, cells).collect())]
+    monkeypatch.setattr(legs, "leg_cells", None)
+    # many groups, pieces of two legs, few places at a time, and cells too far apart for an array
+    for name, value in (("LEGS", 9), ("PIECE", 2), ("LOOKED", 3000), ("BOXED", 0)):
+        monkeypatch.setattr(legs, name, value)
+    for audit, rows in zip((legs.audit_samples, legs.audit_flights), want, strict=True):
+        got = flat(audit(ways, cells).collect())
+        assert got.keys() == rows.keys() and len({r[0] for r in rows.values()}) == 2
+        for m, w in rows.items():
+            assert got[m][:3] == w[:3] and all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)) for a, b in zip(got[m][3:], w[3:], strict=True)), (m, got[m], w)
