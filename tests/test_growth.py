@@ -408,3 +408,22 @@ def test_legs_meet_cells_in_the_task(spark, monkeypatch):
         assert got.keys() == rows.keys() and len({r[0] for r in rows.values()}) == 2
         for m, w in rows.items():
             assert got[m][:3] == w[:3] and all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)) for a, b in zip(got[m][3:], w[3:], strict=True)), (m, got[m], w)
+
+
+def test_equal_points_and_rings_are_tested_once(spark, monkeypatch):
+    from siteview.operators import plots
+
+    box = lambda x, y, a: [(x, y), (x + a, y), (x + a, y + 5.0), (x, y + 5.0)]
+    rings = {k: box(float(k % 3), 1.0, 6.0) for k in range(20)} | {30: [(0.0, 0.0), (9.0, 0.0), (0.0, 9.0)]}
+    pins = [(k, *[(2.5, 2.5), (7.5, 3.0), (50.0, 2.0), (0.5, 0.5)][k % 4], f"n{k}") for k in range(40)] + [(99, None, 2.0, "x"), (98, 2.5, 2.5, None), (97, 2.5, 2.5, None)]
+    table = spark.createDataFrame(list(rings.items()), "plot_id int, polygon array<struct<x:double,y:double>>")
+    within = lambda k, e, n: e is not None and ((e + n < 9) if k == 30 else (k % 3 < e < k % 3 + 6 and 1 < n < 6))
+    want = sorted((p, e, n, str(s), k) for p, e, n, s in pins for k in rings if within(k, e, n))
+    indexed, index = [], plots.raster_index
+    monkeypatch.setattr(plots, "raster_index", lambda rows, cell: indexed.append(rows.count()) or index(rows, cell))
+    for together, lists in ((1000, 4), (3, 3 + 3 + 2 + 1)):
+        monkeypatch.setattr(plots, "TOGETHER", together, raising=False)
+        rows = plots.points_in_plots(spark.createDataFrame(pins, "pin_id int, e double, n double, name string"), table, 2.0)
+        assert rows.columns == ["pin_id", "e", "n", "name", "plot_id"]
+        assert sorted((r.pin_id, r.e, r.n, str(r.name), r.plot_id) for r in rows.collect()) == want and len(want) > 300
+        assert indexed.pop() == lists
