@@ -427,3 +427,26 @@ def test_equal_points_and_rings_are_tested_once(spark, monkeypatch):
         assert rows.columns == ["pin_id", "e", "n", "name", "plot_id"]
         assert sorted((r.pin_id, r.e, r.n, str(r.name), r.plot_id) for r in rows.collect()) == want and len(want) > 300
         assert indexed.pop() == lists
+
+
+def test_equal_poses_look_once(spark, monkeypatch):
+    from siteview.operators import rays
+
+    rnd = random.Random(29)
+    solid = sorted({(s, rnd.randrange(48), rnd.randrange(48), rnd.randrange(20)) for s in (1, 2) for _ in range(300)})
+    cells = spark.createDataFrame(solid, "site_id int, i int, j int, k int")
+    cams = spark.sql("SELECT 0 AS camera_id, 84D AS hfov, 53D AS vfov, 640 AS width, 480 AS height")
+    poses = [(1 + m % 2, m, float(m % 4), 2.0, 60.0, 0.0, 1.0, 0.0, 0.0, 0) for m in range(60)]
+    kind = "site_id int, image_id int, e double, n double, u double, qw double, qx double, qy double, qz double, camera_id int"
+    one = {}
+    for r in rays.visible_surface(spark.createDataFrame(poses[:4], kind), cells, cells, cams).collect():
+        one.setdefault(r.image_id, []).append((r.site_id, r.i, r.j, r.k))
+    for equal in (16, 4):
+        monkeypatch.setattr(rays, "EQUAL", equal, raising=False)
+        rows = rays.visible_surface(spark.createDataFrame(poses, kind), cells, cells, cams)
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.image_id, []).append((r.site_id, r.i, r.j, r.k))
+        assert {m: sorted(c) for m, c in got.items()} == {m: sorted(one[m % 4]) for m in range(60)} and len(one) == 4
+        # equal poses meet in one group
+        assert "Window" in rows._jdf.queryExecution().executedPlan().toString()
